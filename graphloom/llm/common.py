@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,9 @@ def release(*tables: DataFrame | None) -> None:
             spark = t.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            del t._shared_path
+    gc.collect()  # shuffle files of finished steps go once nothing refers to them
+    SparkSession.active()._jvm.System.gc()
 
 
 def slices(sizes: Sequence[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -85,3 +89,30 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("comp")).limit(0)
     roots = labels.groupBy("r").agg(F.min("u").alias("comp"))
     return materialize(labels.join(roots, "r").select(F.col("u").alias("id"), "comp"), f"{tag}-comp")
+
+
+def linked(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """Components ``(id, comp)`` under the links that ``check`` confirms among rows sharing a bucket.
+
+    ``buckets``: ``key, id``; ``check`` gets pairs ``a < b`` and returns those that hold. A bucket of n
+    rows makes n - 1 pairs with its smallest row; only buckets that then still span several components
+    have members of different components compared, so no pair that could join two components is left
+    out and a group of copies never makes all its pairs.
+    """
+    pivots = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
+    star = materialize(buckets.join(pivots, "key").where("a < id").select("a", F.col("id").alias("b")).distinct(), f"{tag}-star")
+    links = materialize(check(star), f"{tag}-links")
+    comp = components(links, tag)
+    label = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    crowded = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
+    label = materialize(label.join(crowded, "key", "left_semi"), f"{tag}-bucket")
+    mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rest = materialize(label.join(mixed, "key"), f"{tag}-mixed")
+    x, y = (rest.select("key", F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+    cross = x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    more = materialize(check(cross), f"{tag}-links")
+    if not more.isEmpty():
+        first, comp = comp, components(links.union(more), tag)
+        release(first)
+    release(rest, label, star, links, more)
+    return comp

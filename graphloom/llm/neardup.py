@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release
+from .common import linked, materialize
 
 BANDS, ROWS, SKETCH, SLACK = 40, 5, 512, 0.2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -129,10 +129,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sk = materialize(sketches(src, k), "sketch")
     reps = sk.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
     reps = materialize(reps, "reps")
-    in_bucket = reps.select("rep", "n", "odd", F.explode("keys").alias("key"))
-    slim = reps.select("rep", F.explode("keys").alias("key"))
-    pivots = slim.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    star = materialize(slim.join(pivots, "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "star")
+    buckets = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
@@ -140,19 +137,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         near = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (estimate(F.col("oa"), F.col("ob")) >= percent / 100 - SLACK)
         return both.where(near).select("a", "b")
 
-    links = materialize(confirm(likely(star), src, k, percent), "links")
-    comp = components(links, "near")
-    label = in_bucket.select("rep", "key").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    label = materialize(label, "bucket")
-    mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("key")
-    rest = materialize(label.join(mixed, "key"), "mixed")
-    release(label)
-    x, y = (rest.select("key", F.col("rep").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    cross = x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = materialize(confirm(likely(cross), src, k, percent), "links")
-    if not more.isEmpty():
-        comp = components(links.union(more), "near")
-    release(rest, star)
+    comp = linked(buckets, lambda pairs: confirm(likely(pairs), src, k, percent), "near")
     whole = reps.select("c1", "c2", "rep").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     whole = whole.select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     out = sk.select("id", "n", "c1", "c2").join(whole, ["c1", "c2"], "left")
