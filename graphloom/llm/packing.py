@@ -118,3 +118,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline: the last stage; all that is left is packed, with the pieces' ids."""
+    import public_tokenizers as P
+
+    return pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True)
