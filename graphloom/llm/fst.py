@@ -122,10 +122,12 @@ class Counter:
 
     def _compile(self, words: set[str]) -> None:
         """Annotate the transitions that close these words."""
-        if len(self.lexicon) + len(words) > LEXICON:
+        new = words.difference(self.lexicon)
+        if len(self.lexicon) + len(new) > LEXICON:
             self.lexicon.clear()
+            new = words
         encode = self.encoding.encode_ordinary
-        self.lexicon.update((w, len(encode(w))) for w in words)
+        self.lexicon.update((w, len(encode(w))) for w in new)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
@@ -144,7 +146,7 @@ class Counter:
         here[ends] = True
         cuts = np.flatnonzero(here).tolist()
         words = [joined[a:b] for a, b in zip([0, *cuts], cuts)]
-        self._compile(set(words).difference(self.lexicon))
+        self._compile(set(words))
         emitted = np.fromiter(map(self.lexicon.__getitem__, words), np.int64, len(words))
         sums = np.concatenate([[0], np.cumsum(emitted)])
         starts = np.concatenate([[0], ends[:-1] + 1])
