@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SAMPLE, BLOCK, QUERIES, RERANK, THRESHOLD = 8192, 4096, 512, 200, 0.2
+SAMPLE, BLOCK, QUERIES, SHARDS, RERANK, THRESHOLD = 8192, 2048, 1024, 4, 200, 0.2
 
 
 class Quantizer:
@@ -135,37 +135,54 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     alike = Window.partitionBy(F.xxhash64("vec"), F.hash("vec")).orderBy("id")
     few = rows.groupBy("id", "vec").agg(F.max("asks").alias("asks"))
     few = few.select("id", "vec", F.row_number().over(alike).alias("r")).where(F.col("r") <= k + 1)
-    index = materialize(_blocks(few.select("id", "vec"), BLOCK, quantizer), "index")
-    asked = rows.where("asks").select("id", "vec").dropDuplicates(["id"]).coalesce(max(1, min(64, n // 100_000)))
+    full = max(1, -(-n // (4 * BLOCK)))  # fewer partitions, so that blocks are full
+    index = materialize(_blocks(few.select("id", "vec").coalesce(full), BLOCK, quantizer), "index")
+    asked = rows.where("asks").select("id", "vec").dropDuplicates(["id"]).coalesce(max(1, n // 400_000))
     asked = materialize(_blocks(asked, QUERIES, None), "queries")
-    cells = max(1, index.count())
+    cells, shards = max(1, index.count()), max(1, min(SHARDS, index.count()))
     index = index.select("ids", "codes", "vecs", F.pmod(F.xxhash64("first", "ids"), F.lit(cells)).cast("int").alias("cell"))
-    every = asked.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    met = index.join(every, "cell").repartition(max(cells, 1) * 2, F.xxhash64("cell", "q_ids"))
+    every = asked.select(F.col("first").alias("ask"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    met = index.join(every, "cell").withColumn("shard", F.col("cell") % shards)
+    met = met.repartition(max(1, min(2000, asked.count() * shards)), "ask", "shard").sortWithinPartitions("ask", "shard")
+
+    def scan(ids: np.ndarray, codes: np.ndarray, vecs: np.ndarray, qi: np.ndarray, qv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the best of a block, for some queries."""
+        tables, scores = quantizer.tables(qv), np.zeros((len(qi), len(ids)), np.float32)
+        for b, col in enumerate(codes):
+            scores += tables[:, b].take(col, 1)
+        r = min(RERANK, len(ids))
+        near = np.argpartition(scores, len(ids) - r, 1)[:, -r:] if r < len(ids) else np.tile(np.arange(len(ids)), (len(qi), 1))
+        exact = np.einsum("qrd,qd->qr", vecs[near].astype(np.float64), qv)
+        return ids[near], np.where(ids[near] == qi[:, None], -np.inf, exact)
+
+    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores), 1)[:, :k]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, None  # the query block in hand and its best so far
+
+        def flush() -> pd.DataFrame:
+            q, i, x = held
+            real = x > -np.inf
+            return pd.DataFrame({"query_id": np.repeat(q, i.shape[1])[real.ravel()], "vec_id": i[real], "score": x[real]})
+
         for pdf in batches:
-            for ids, codes, vecs, q_ids, q_vecs in zip(pdf["ids"], pdf["codes"], pdf["vecs"], pdf["q_ids"], pdf["q_vecs"]):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                vecs, q_vecs = (np.frombuffer(x, np.float64).reshape(-1, dim) for x in (vecs, q_vecs))
+            for ask, shard, ids, codes, vecs, q_ids, q_vecs in zip(*(pdf[c] for c in ("ask", "shard", "ids", "codes", "vecs", "q_ids", "q_vecs"))):
+                q_ids, q_vecs = np.frombuffer(q_ids, np.int64), np.frombuffer(q_vecs, np.float64).reshape(-1, dim)
+                if at != (ask, shard):
+                    if held:
+                        yield flush()
+                    at, held = (ask, shard), (q_ids, np.zeros((len(q_ids), 0), np.int64), np.zeros((len(q_ids), 0)))
+                ids, vecs = np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, dim)
                 codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T)
-                for a in range(0, len(q_ids), 64):
-                    qi, qv = q_ids[a : a + 64], q_vecs[a : a + 64]
-                    tables = quantizer.tables(qv)
-                    scores = np.zeros((len(qi), len(ids)), np.float32)
-                    for b, col in enumerate(codes):
-                        scores += tables[:, b].take(col, 1)
-                    scores[qi[:, None] == ids[None, :]] = -np.inf
-                    r = min(RERANK, len(ids))
-                    near = np.argpartition(-scores, r - 1, 1)[:, :r] if r < len(ids) else np.tile(np.arange(len(ids)), (len(qi), 1))
-                    exact = np.einsum("qrd,qd->qr", vecs[near], qv)
-                    exact = np.where(ids[near] == qi[:, None], -np.inf, exact)
-                    for j in range(len(qi)):
-                        best = np.lexsort((ids[near[j]], -exact[j]))[:k]
-                        best = best[exact[j][best] > -np.inf]
-                        yield pd.DataFrame({"query_id": qi[j], "vec_id": ids[near[j][best]], "score": exact[j][best]})
-
-    found = met.select("ids", "codes", "vecs", "q_ids", "q_vecs").mapInPandas(run, "query_id long, vec_id long, score double")
+                parts = [scan(ids, codes, vecs, q_ids[a : a + 64], q_vecs[a : a + 64]) for a in range(0, len(q_ids), 64)]
+                new = best(*(np.concatenate([held[j + 1], np.concatenate([x[j] for x in parts])], 1) for j in (0, 1)))
+                held = (q_ids, *new)
+        if held:
+            yield flush()
+
+    found = met.select("ask", "shard", "ids", "codes", "vecs", "q_ids", "q_vecs").mapInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
