@@ -7,8 +7,8 @@ puts the template's start at word position minus posting position, and only star
 anchors agree go on. There the key phrase must stand word by word; the share of the template's IDF
 that stands at its places is the score. A true place holds all its words, so no place is lost.
 
-Only template words (a fixed list) are counted over the corpus, so what reaches the driver is bounded
-by that list. Nothing is shuffled but those counts.
+Texts are cut once: the positions of template words are written to the shared folder as the index. What
+reaches the driver is a count for each template word, a fixed list; only those counts are shuffled.
 
 Defined cases: null text is empty: no words, no labels (empty strings), null positions, score 0.
 Repeated rows get the same answer; overlapping places all count; an empty table gives an empty result.
@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: label, template, mandatory key phrase (a part of the template), base phrase or not
@@ -47,11 +49,19 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def frequencies(docs: DataFrame, templates: list[tuple] = TEMPLATES, text_col: str = "text") -> tuple[dict[str, int], int]:
+def occurrences(docs: DataFrame, vocab: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional index, written once: ``doc_id, n_words, pos, word`` (arrays) of the template words."""
+    cut = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    cut = cut.select("doc_id", "words", F.filter(every, lambda i: F.get("words", i).isin(vocab)).alias("pos"))
+    word = F.transform("pos", lambda i: F.get("words", i))
+    return materialize(cut.select("doc_id", F.size("words").cast("long").alias("n_words"), "pos", word.alias("word")), "licence-words")
+
+
+def frequencies(found: DataFrame, vocab: list[str]) -> tuple[dict[str, int], int]:
     """Documents that hold each template word, and documents in all."""
-    vocab = sorted({w for _, t, _, _ in templates for w in t.split()})
-    own = F.array_intersect(words_of(F.col(text_col)), F.array(*map(F.lit, vocab)))
-    rows = docs.select(F.explode(F.array_append(own, F.lit(""))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    own = F.array_append(F.array_distinct("word"), F.lit(""))
+    rows = found.select(F.explode(own).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     n = {r["w"]: r["n"] for r in rows}
     return {w: n.get(w, 0) for w in vocab}, n.get("", 0)
 
@@ -75,23 +85,25 @@ def _literal(t: dict) -> Column:
 
 def scan(docs: DataFrame, templates: list[tuple] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, places``; a place has ``label, start, score, base, found``."""
-    built = index(*frequencies(docs, templates, text_col), templates)
+    vocab = sorted({w for _, t, _, _ in templates for w in t.split()})
+    occ = occurrences(docs, vocab, id_col, text_col)
+    built = index(*frequencies(occ, vocab), templates)
     anchors = sorted({t["a"] for t in built})
-    w, at = F.col("words"), lambda i: F.get(F.col("words"), i)
+    at = lambda p: F.try_element_at(F.col("of"), p)
 
     def place(t: Column, start: Column) -> Column:
-        got = F.zip_with(F.slice(w, start + 1, F.size(t["words"])), t["words"], lambda x, y: x == y)
-        score = F.aggregate(F.zip_with(got, t["weights"], lambda g, v: F.when(F.coalesce(g, F.lit(False)), v).otherwise(F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
-        key = F.array_join(F.slice(w, start + t["key_at"] + 1, t["key_len"]), " ") == t["key"]
+        got = F.transform(t["words"], lambda w, j: F.coalesce(at(start + j) == w, F.lit(False)))
+        score = F.aggregate(F.zip_with(got, t["weights"], lambda g, v: F.when(g, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
+        key = F.forall(F.slice(got, t["key_at"] + 1, t["key_len"]), lambda g: g)
         score = F.when(F.abs(score - 1) < 1e-9, F.lit(1.0)).otherwise(score)
         return F.struct(t["label"].alias("label"), start.alias("start"), score.alias("score"), t["base"].alias("base"), (key & (score >= SHARE)).alias("found"))
 
     posting = F.array(*map(_literal, built))
-    agreed = lambda p: F.filter(posting, lambda t: (at(p) == t["a"]) & (p >= t["a_at"]) & F.coalesce(at(p - t["a_at"] + t["b_at"]) == t["b"], F.lit(False)))
-    hits = F.filter(F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>")), lambda i: at(i).isin(anchors))
-    places = F.flatten(F.transform(F.col("hits"), lambda p: F.transform(agreed(p), lambda t: place(t, p - t["a_at"]))))
-    cut = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    return cut.select("doc_id", "words", hits.alias("hits")).select("doc_id", F.size(w).cast("long").alias("n_words"), places.alias("places"))
+    agreed = lambda p, w: F.filter(posting, lambda t: (t["a"] == w) & (p >= t["a_at"]) & F.coalesce(at(p - t["a_at"] + t["b_at"]) == t["b"], F.lit(False)))
+    hits = F.filter(F.arrays_zip("pos", "word"), lambda x: x["word"].isin(anchors))
+    places = F.flatten(F.transform("hits", lambda x: F.transform(agreed(x["pos"], x["word"]), lambda t: place(t, x["pos"] - t["a_at"]))))
+    rows = occ.select("doc_id", "n_words", F.map_from_arrays("pos", "word").alias("of"), hits.alias("hits"))
+    return rows.select("doc_id", "n_words", places.alias("places"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
