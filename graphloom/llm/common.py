@@ -55,6 +55,12 @@ def slices(sizes: Sequence[int], limit: int = 4 << 20) -> Iterator[tuple[int, in
         yield lo, len(sizes)
 
 
+def portions(pdf, column: str, limit: int = 4 << 20):
+    """The rows of a pandas batch in portions whose ``column`` holds about ``limit`` bytes."""
+    for a, b in slices([len(x) if x is not None else 0 for x in pdf[column]], limit):
+        yield pdf.iloc[a:b]
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(id, comp)`` with comp the smallest id reachable.
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, portions, release
 
 WINDOW, Q, REACH = 400, 25, 300  # REACH: a window's 100-byte buckets start 0..300 bytes after it
 BLOCK, WIDTH = 1 << 18, 16
@@ -112,7 +112,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     """Step 1: every run of windows as ``id, th, a, n, dh, m, f``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in portions(batch, "bytes")):
             texts, ids, th = [bytes(x) for x in pdf["bytes"]], pdf["id"].to_numpy(), pdf["th"].to_numpy()
             for data, valid, starts, parts in _blocks(texts):
                 a, n, dh, m, f = groups(data, valid)
@@ -127,7 +127,7 @@ def _content(active: DataFrame, docs: DataFrame) -> DataFrame:
     """Step 2: the bytes of runs that need refining."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in portions(batch, "bytes", 1 << 20)):
             out = [(i, th, r["a"], r["n"], r["dh"], r["m"], t[r["a"] : r["a"] + r["n"] - 1 + WINDOW]) for i, th, t, rs in zip(pdf["id"], pdf["th"], pdf["bytes"], pdf["runs"]) for r in rs]
             yield pd.DataFrame(out, columns=["id", "th", "a", "n", "dh", "m", "bytes"])
 
@@ -200,7 +200,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def _finish(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in portions(batch, "bytes")):
             rows = []
             for i, t, ss in zip(pdf["id"], pdf["bytes"], pdf["spans"]):
                 kept, at, spans = [], 0, []
