@@ -1,4 +1,419 @@
-"""Queries over the driver's tables and their SQL, by name."""
+"""Queries over the driver's tables, each through an operator, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import expr as X
+from graphloom.operators import analyze, asof, assemble, cluster, paths, query, resolve, system, workspace
+from graphloom.operators import contract as routes
+from graphloom.schema import Graph
+
+from . import tables as T
+from .tables import EDGES_SQL, ENDPOINTS_SQL, NODES_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+BOTH = f"WITH {NODES_SQL}, {EDGES_SQL}"
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+DEG = "deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"
+
+
+@register(f"{BOTH}, {DEG} SELECT n.id, label, degree, CAST(row_number() OVER (ORDER BY degree DESC, n.id) AS INT) AS rank FROM nodes n JOIN deg USING (id) WHERE degree >= 2 ORDER BY rank LIMIT 7")
+def q_god_nodes(spark, d):
+    return analyze.god_nodes(T.nodes(spark, d), T.edges(spark, d)).select("id", "label", "degree", "rank")
+
+
+@register(f"{BOTH}, {DEG} SELECT n.id, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN deg USING (id)")
+def q_degrees(spark, d):
+    return cluster.degrees(T.nodes(spark, d), T.edges(spark, d)).select("id", "degree")
+
+
+@register(f"{BOTH}, keep AS (SELECT * FROM edges WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)), deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM keep UNION ALL SELECT dst FROM keep) GROUP BY id) SELECT * FROM deg")
+def q_island_degree(spark, d):
+    n, e = T.nodes(spark, d), T.edges(spark, d)
+    keep = e.where("src <> dst").join(assemble.dangling(e, n).select("graph", "src", "dst"), ["graph", "src", "dst"], "left_anti")
+    return cluster.degrees(n, keep).where("degree > 0").select("id", "degree")
+
+
+SLUG = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '-')"
+
+
+@register(f"SELECT p_partkey, {SLUG.format(x='p_name')} || ':' || {SLUG.format(x='p_type')} AS id FROM part UNION ALL SELECT n_nationkey, {SLUG.format(x='n_name')} || ':' || {SLUG.format(x='n_name')} FROM nation")
+def q_norm_id(spark, d):
+    p = T.table(spark, d, "part").select("p_partkey", X.node_id("p_name", "p_type").alias("id"))
+    return p.union(T.table(spark, d, "nation").select(F.col("n_nationkey").cast("long"), X.node_id("n_name", "n_name")))
+
+
+TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: t <> '')"
+
+
+@register(f"SELECT p_partkey, array_to_string({TOKENS.format(x='p_name')}, ' ') AS tokens FROM part")
+def q_tokenize(spark, d):
+    return T.table(spark, d, "part").select("p_partkey", F.array_join(X.tokenize("p_name"), " ").alias("tokens"))
+
+
+BAGS = f"bags AS (SELECT id, list_distinct(list_append({TOKENS.format(x='label')}, kind)) AS bag FROM nodes)"
+
+
+@register(f"WITH {NODES_SQL}, {BAGS} SELECT term, count(*) AS df FROM (SELECT unnest(bag) AS term FROM bags) GROUP BY term")
+def q_doc_freq(spark, d):
+    return query.doc_freq(T.nodes(spark, d)).select("term", "df")
+
+
+QUESTION = "Which supplier method or FRANCE class serves doc 12?"
+WORDS = ["which", "supplier", "method", "or", "france", "class", "serves", "doc", "12"]
+_VALUES = ", ".join(f"({i}, '{w}')" for i, w in enumerate(WORDS))
+SCORED = f"""{BAGS}, q(pos, term) AS (VALUES {_VALUES}), n AS (SELECT count(*) AS n FROM nodes),
+ df AS (SELECT pos, term, ln((n + 1) / (count(b.id) + 1)) AS idf FROM q CROSS JOIN n LEFT JOIN bags b ON list_contains(b.bag, term) GROUP BY pos, term, n),
+ scored AS (SELECT b.id, sum(idf ORDER BY pos) AS score FROM bags b JOIN df ON list_contains(b.bag, term) GROUP BY b.id HAVING sum(idf ORDER BY pos) > 0)"""
+
+
+@register(f"WITH {NODES_SQL}, {SCORED} SELECT id, round(score, 9) AS score FROM scored")
+def q_idf_score(spark, d):
+    n = T.nodes(spark, d)
+    return query.scores(n, query.question_terms(spark, QUESTION)).select("id", F.round("score", 9).alias("score"))
+
+
+@register(
+    f"""WITH {NODES_SQL}, {SCORED}, cost AS (SELECT s.id, round(score, 9) AS score, greatest(strlen(n.id || ' [' || kind || '] ' || label || ' @ ' || file || ':' || line) // 4, 1) AS cost FROM scored s JOIN nodes n USING (id)),
+ run AS (SELECT id, CAST(cost AS INT) AS cost, CAST(sum(cost) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM cost) SELECT * FROM run WHERE used <= 400"""
+)
+def q_seed_budget(spark, d):
+    n = T.nodes(spark, d)
+    s = query.scores(n, query.question_terms(spark, QUESTION)).withColumn("score", F.round("score", 9))
+    return query.seeds(s, 400).select("id", "cost", "used")
+
+
+@register("SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
+def q_first_writer(spark, d):
+    return assemble.first_writer(T.table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
+
+
+@register(f"WITH {EDGES_SQL} SELECT DISTINCT relation, confidence, src FROM edges")
+def q_edge_distinct(spark, d):
+    e = T.edges(spark, d).withColumn("dst", F.lit(""))
+    return assemble.distinct_edges(e).select("relation", "confidence", "src")
+
+
+@register("WITH new AS (SELECT o_orderkey AS id, 'new' AS origin FROM orders WHERE o_orderkey % 3 = 0), old AS (SELECT o_orderkey AS id, 'old' AS origin FROM orders WHERE o_orderkey % 2 = 0) SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)")
+def q_merge_guard(spark, d):
+    o = T.table(spark, d, "orders")
+    old, new = (o.where(f"o_orderkey % {k} = 0").select(F.col("o_orderkey").alias("id"), F.lit(x).alias("origin")) for k, x in ((2, "old"), (3, "new")))
+    return assemble.guard_shrink(assemble.merge(old, new, ["id"]), old.count())
+
+
+PAIRS = "pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM edges WHERE src <> dst GROUP BY ALL)"
+
+
+@register(f"WITH {EDGES_SQL}, {PAIRS} SELECT * FROM pairs")
+def q_pair_weight(spark, d):
+    return cluster.pair_weights(T.edges(spark, d)).select("a", "b", "w")
+
+
+@register(f"WITH {EDGES_SQL}, {PAIRS} SELECT id, CAST(sum(w) AS BIGINT) AS deg FROM (SELECT a AS id, w FROM pairs UNION ALL SELECT b, w FROM pairs) GROUP BY id")
+def q_weighted_degree(spark, d):
+    return cluster.weighted_degrees(cluster.pair_weights(T.edges(spark, d))).select("id", "deg")
+
+
+@register(f"{BOTH} SELECT e.src, e.dst, relation, a.community AS src_community, b.community AS dst_community FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.community >= 0 AND b.community >= 0 AND a.community <> b.community")
+def q_cross_community(spark, d):
+    return analyze.surprising_edges(T.nodes(spark, d), T.edges(spark, d)).select("src", "dst", "relation", "src_community", "dst_community")
+
+
+def _named(spark, d):
+    """Customers and suppliers by nation: some communities have a dominant directory."""
+    n = T.nodes(spark, d).where("kind in ('function', 'method', 'module')")
+    return n.withColumn("community", F.when(F.col("kind") == "method", F.col("line") % 5).otherwise(F.col("community") + 10).cast("int"))
+
+
+NAMED = "named AS (SELECT id, label, file, CASE WHEN kind = 'method' THEN line % 5 ELSE community + 10 END AS community FROM nodes WHERE kind IN ('function', 'method', 'module'))"
+
+
+@register(f"""WITH {NODES_SQL}, two AS (SELECT community % 2 AS community, split_part(file, '/', 1) || '/x' AS file FROM nodes WHERE kind = 'function' AND (community <> 2 OR line % 9 = 0)),
+ dirs AS (SELECT community, regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n FROM two GROUP BY ALL), size AS (SELECT community, count(*) AS size FROM two GROUP BY ALL)
+ SELECT community, dir FROM dirs JOIN size USING (community) WHERE dir <> '' AND 2 * n > size""")
+def q_dominant_dir(spark, d):
+    n = T.nodes(spark, d).where("kind = 'function' and (community <> 2 or line % 9 = 0)")
+    n = n.withColumn("community", F.col("community") % 2).withColumn("file", F.concat(F.substring_index("file", "/", 1), F.lit("/x")))
+    return cluster.dominant_dirs(n).select("community", "dir")
+
+
+@register(f"{BOTH}, {DEG}, {NAMED} SELECT community, n.id, label, coalesce(degree, 0) AS degree FROM named n LEFT JOIN deg USING (id) QUALIFY row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, n.id) = 1")
+def q_central_member(spark, d):
+    return cluster.central_members(_named(spark, d), T.edges(spark, d)).select("community", "id", "label", "degree")
+
+
+@register(f"WITH {NODES_SQL} SELECT community, count(*) AS n FROM nodes WHERE community >= 0 GROUP BY community ORDER BY n DESC, community LIMIT 1")
+def q_biggest_community(spark, d):
+    return analyze.biggest_community(T.nodes(spark, d)).select("community", "n")
+
+
+def _calls(spark, d):
+    """Line items as calls of parts by name, every other one through an import."""
+    li = T.table(spark, d, "lineitem").join(T.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    imp = F.concat(F.lit("lib/"), F.col("p_type"))
+    callee = F.when(F.col("l_linenumber") % 2 == 0, F.concat("p_type", F.lit("."), "p_name")).otherwise(F.concat("p_name", (F.col("l_partkey") % 997).cast("string")))
+    twice = F.when(F.col("l_linenumber") % 4 == 0, F.array(imp, imp)).otherwise(F.array(imp, F.lit("os")))
+    return li.select(F.lit("star").alias("graph"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("from_id"), callee.alias("callee"), F.lit(1).alias("line"), F.col("p_brand").alias("file"), twice.alias("imports"))
+
+
+@register("""WITH defs AS (SELECT p_name || (p_partkey % 997) AS label, p_brand AS file, 'part:' || p_partkey AS id FROM part), idx AS (SELECT label, min(id) AS target FROM defs GROUP BY label HAVING count(DISTINCT file) = 1)
+ SELECT DISTINCT l_orderkey || ':' || l_linenumber AS src, target AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN idx ON label = p_name || (l_partkey % 997) WHERE l_linenumber % 2 <> 0""")
+def q_resolve_bare(spark, d):
+    defs = T.table(spark, d, "part").select(F.lit("star").alias("graph"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("id"), F.concat("p_name", (F.col("p_partkey") % 997).cast("string")).alias("label"), F.lit("function").alias("kind"), F.col("p_brand").alias("file"))
+    return resolve.resolve_bare(defs, _calls(spark, d)).select("src", "dst").distinct()
+
+
+@register(f"""SELECT DISTINCT l_orderkey || ':' || l_linenumber AS src, {SLUG.format(x="'module:lib/' || p_type")} || ':' || {SLUG.format(x='p_type')} AS dst FROM lineitem JOIN part ON l_partkey = p_partkey
+ WHERE l_linenumber % 4 = 2 AND NOT contains(p_type, '.') AND p_type IN (SELECT p_type FROM part WHERE p_size < 50)""")
+def q_resolve_selector(spark, d):
+    t = T.table(spark, d, "part").where("p_size < 50").select("p_type").distinct()
+    modules = t.select(F.lit("star").alias("graph"), X.node_id(F.concat(F.lit("module:lib/"), "p_type"), "p_type").alias("id"), F.lit("module").alias("kind"))
+    return resolve.resolve_selector(modules, _calls(spark, d)).select("src", "dst").distinct()
+
+
+@register(f"WITH {EDGES_SQL} SELECT 'in' AS direction, src AS other, relation, confidence FROM edges WHERE dst = 'nation:7' UNION ALL SELECT 'out', dst, relation, confidence FROM edges WHERE src = 'nation:7'")
+def q_neighbors(spark, d):
+    return paths.neighbors(T.edges(spark, d), "nation:7")
+
+
+@register(f"{BOTH}, pick AS (SELECT id FROM nodes WHERE line % 10 = 1) SELECT DISTINCT src, dst, relation, confidence FROM edges WHERE src IN (SELECT id FROM pick) AND dst IN (SELECT id FROM pick)")
+def q_induced_edges(spark, d):
+    return query.induced_edges(T.edges(spark, d), T.nodes(spark, d).where("line % 10 = 1").select("graph", "id")).select("src", "dst", "relation", "confidence")
+
+
+@register("""WITH marks AS (SELECT * FROM events WHERE event_id % 5 = 0) SELECT e.event_id, arg_max(m.event_id, (m.ts, m.event_id)) AS mark FROM events e LEFT JOIN marks m ON e.user_id = m.user_id AND m.ts <= e.ts WHERE e.event_id % 5 <> 0 GROUP BY e.event_id""")
+def q_asof_enclosing(spark, d):
+    e = T.table(spark, d, "events")
+    marks = e.where("event_id % 5 = 0").select("user_id", "ts", F.col("event_id").alias("mark"))
+    return asof.asof(e.where("event_id % 5 <> 0").select("event_id", "user_id", "ts"), marks, ["user_id"], "ts", "mark", "mark").select("event_id", "mark")
+
+
+@register("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
+def q_carry_state(spark, d):
+    c = T.table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return asof.carry(c, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("turn")), "asked").select("conv_id", "turn", "asked")
+
+
+HOST = "CASE WHEN regexp_replace({x}, '(?i)^https?://[^/]*', '') = '' THEN '/' ELSE regexp_replace({x}, '(?i)^https?://[^/]*', '') END"
+_PARTS = "array_to_string(list_transform(string_split(regexp_replace({x}, '[?#].*$', ''), '/'), lambda s: CASE WHEN regexp_matches(s, '^([{{].*[}}]|:.+|<.*>|[0-9]+)$') THEN '{{}}' ELSE s END), '/')"
+
+
+@register(f"WITH u AS (SELECT page_id, {HOST.format(x='url')} AS p FROM pages), t AS (SELECT page_id, {_PARTS.format(x='p')} AS p FROM u) SELECT page_id, CASE WHEN regexp_matches(p, '^/+$') THEN '/' ELSE regexp_replace(p, '/+$', '') END AS path FROM t")
+def q_norm_path(spark, d):
+    return T.table(spark, d, "pages").select("page_id", X.norm_path(X.strip_host("url")).alias("path"))
+
+
+@register(f"SELECT page_id, {HOST.format(x='url')} AS path FROM pages")
+def q_strip_host(spark, d):
+    return T.table(spark, d, "pages").select("page_id", X.strip_host("url").alias("path"))
+
+
+@register("SELECT url, href, count(*) AS n FROM (SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY ALL")
+def q_href_edges(spark, d):
+    return T.table(spark, d, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("url", "href").agg(F.count("*").alias("n"))
+
+
+def _code(spark, d):
+    """A line of code for each page, of four kinds."""
+    u, k = F.col("url"), F.col("page_id") % 4
+    path = X.strip_host("url")
+    text = F.when(k == 0, F.concat(F.lit('resp = http.get("'), u, F.lit('")'))).when(k == 1, F.concat(F.lit('app.post("'), path, F.lit('", handler)')))
+    text = text.when(k == 2, F.concat(F.lit('bus.publish("page.'), "page_id", F.lit('")'))).otherwise(F.concat(F.lit('mux.HandleFunc("'), path, F.lit('", serve)')))
+    return T.table(spark, d, "pages").select(F.lit("web").alias("graph"), F.concat(F.lit("f"), (F.col("page_id") % 10).cast("string"), F.lit(".go")).alias("file"), F.col("page_id").cast("int").alias("line"), text.alias("text"), F.lit("backend").alias("role"))
+
+
+@register(f"""WITH u AS (SELECT page_id, {HOST.format(x='url')} AS p FROM pages), t AS (SELECT page_id, {_PARTS.format(x='p')} AS p FROM u), k AS (SELECT page_id, CASE WHEN regexp_matches(p, '^/+$') THEN '/' ELSE regexp_replace(p, '/+$', '') END AS p FROM t)
+ SELECT CAST(page_id AS INT) AS line, CASE WHEN page_id % 4 IN (1, 3) THEN 'provides' ELSE 'consumes' END AS direction, CASE WHEN page_id % 4 = 2 THEN 'page.' || page_id WHEN page_id % 4 = 1 THEN 'POST ' || p ELSE 'GET ' || p END AS key,
+ CASE page_id % 4 WHEN 0 THEN 'client' WHEN 2 THEN 'literal' ELSE 'route' END AS source FROM k""")
+def q_client_calls_and_routes(spark, d):
+    return routes.finalize(routes.recognize(_code(spark, d))).select("line", "direction", "key", "source")
+
+
+@register("SELECT page_id, split_part(regexp_replace(regexp_replace(url, '^.*(::|/)', ''), '\\.(js|jsx|mjs|cjs|ts|tsx|py|php)$', ''), '.', -1) AS segment FROM pages")
+def q_import_segment(spark, d):
+    return T.table(spark, d, "pages").select("page_id", X.last_segment("url").alias("segment"))
+
+
+@register("SELECT event_id, key, CAST(props AS JSON) ->> key AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def q_json_contract(spark, d):
+    e = T.table(spark, d, "events")
+    return e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+def _match(spark, d):
+    return system.match(T.endpoints(spark, d))
+
+
+@register(f"WITH {ENDPOINTS_SQL} SELECT service AS from_service, p_service AS to_service, kind, key, node AS from_node, p_node AS to_node, 'client->route' || CASE WHEN path_only THEN '+path-only' ELSE '' END AS via FROM pairs WHERE n = 1")
+def q_match_links(spark, d):
+    return _match(spark, d)["links"].select("from_service", "to_service", "kind", "key", "from_node", "to_node", "via")
+
+
+@register(f"WITH {ENDPOINTS_SQL} SELECT node AS from_node, p_node AS to_node, ckey <> key AS other_method FROM pairs WHERE n = 1 AND path_only")
+def q_match_path_only(spark, d):
+    links = _match(spark, d)["links"].where("endswith(via, '+path-only')")
+    return links.select("from_node", "to_node", F.lit(True).alias("other_method"))
+
+
+@register(f"WITH {ENDPOINTS_SQL} SELECT node AS from_node, p_node AS to_node, key FROM pairs WHERE n > 1")
+def q_match_ambiguous(spark, d):
+    return _match(spark, d)["ambiguous"].select("from_node", "to_node", "key")
+
+
+@register(f"WITH {ENDPOINTS_SQL} SELECT service, kind, key FROM cons WHERE node NOT IN (SELECT node FROM pairs)")
+def q_match_dangling(spark, d):
+    return _match(spark, d)["dangling"].select("service", "kind", "key")
+
+
+@register(f"WITH {ENDPOINTS_SQL} SELECT DISTINCT service, kind, key FROM prov WHERE (service, kind, key) NOT IN (SELECT p_service, kind, key FROM pairs)")
+def q_match_orphans(spark, d):
+    return _match(spark, d)["orphans"].select("service", "kind", "key")
+
+
+@register(f"WITH {ENDPOINTS_SQL} SELECT service AS from_service, key, node AS from_node FROM pairs WHERE n = 1 AND p_service = (SELECT min(p_service) FROM pairs WHERE n = 1)")
+def q_impact_direct(spark, d):
+    links = _match(spark, d)["links"]
+    target = links.agg(F.min("to_service")).first()[0] or ""
+    return paths.impact(links, target)[0].select("from_service", "key", "from_node")
+
+
+@register(f"WITH RECURSIVE {EDGES_SQL.replace('edges AS', 'edges AS', 1)}, e AS (SELECT DISTINCT src, dst FROM edges WHERE relation = 'contains' OR relation = 'references'), r AS (SELECT 'customer:1' AS id UNION SELECT e.src FROM r JOIN e ON e.dst = r.id) SELECT id AS service FROM r WHERE id <> 'customer:1'")
+def q_impact_closure(spark, d):
+    e = T.edges(spark, d).where("relation in ('contains', 'references')")
+    return paths.closure(e, "customer:1", "src", "dst")
+
+
+SMALL = "small AS (SELECT src, dst FROM edges WHERE relation = 'contains'), both_ AS (SELECT src, dst FROM small UNION SELECT dst, src FROM small)"
+
+
+@register(f"WITH RECURSIVE {EDGES_SQL}, {SMALL}, r AS (SELECT 'supplier:1' AS id, 0 AS level UNION SELECT b.dst, level + 1 FROM r JOIN both_ b ON b.src = r.id WHERE level < 4) SELECT id, min(level) AS level FROM r GROUP BY id")
+def q_bfs_levels(spark, d):
+    return paths.levels(T.edges(spark, d).where("relation = 'contains'"), "supplier:1", 4)
+
+
+@register()
+def q_shortest_path(spark, d):
+    n, e = T.nodes(spark, d), T.edges(spark, d).where("relation in ('contains', 'references')")
+    path = paths.shortest_path(n, e, "supplier:1", "customer:1") or []
+    return spark.createDataFrame(list(enumerate(path)), "step int, id string")
+
+
+def _by_region(spark, d):
+    n, e = T.nodes(spark, d).where("kind in ('module', 'class')"), T.edges(spark, d).where("startswith(src, 'region:')")
+    own = n.withColumn("graph", F.concat(F.lit("r"), F.col("community")))
+    e = e.join(own.select(F.col("id").alias("src"), F.col("graph").alias("g")), "src").select(F.col("g").alias("graph"), "src", "dst", "relation", "confidence")
+    return Graph(own, e)
+
+
+@register(f"{BOTH}, own AS (SELECT 'r' || community AS g, * FROM nodes WHERE kind IN ('module', 'class')) SELECT g || '::' || id AS src, '' AS dst FROM own UNION ALL SELECT g || '::' || src, g || '::' || dst FROM edges JOIN own ON own.id = src WHERE starts_with(src, 'region:') UNION ALL SELECT 'r0::region:0', 'r1::region:1'")
+def q_federate(spark, d):
+    links = spark.createDataFrame([("r0::region:0 -> r1::region:1 calls",), ("r0::region:0 -> r1::none",), ("# note",)], "value string")
+    own = _by_region(spark, d)
+    over = workspace.overlay(workspace.parse_links(links).where("error is null"), own.nodes.withColumnRenamed("graph", "alias"))
+    g = workspace.federate(own, over)
+    return g.nodes.select(F.col("id").alias("src"), F.lit("").alias("dst")).union(g.edges.select("src", "dst"))
+
+
+@register(f"{BOTH}, own AS (SELECT 'r' || community AS g, id FROM nodes WHERE kind IN ('module', 'class')) SELECT 'r' || (n_nationkey % 5) || '::' || CASE WHEN n_regionkey = n_nationkey % 5 THEN 'nation:' || n_nationkey ELSE '@service' END AS src, 'r0::@service' AS dst FROM nation")
+def q_combine_fallback(spark, d):
+    links = T.table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_nationkey") % 5).alias("from_service"), F.lit("r0").alias("to_service"), F.lit("http").alias("kind"), F.concat(F.lit("nation:"), "n_nationkey").alias("from_node"), F.lit("gone").alias("to_node"), F.lit("INFERRED").alias("confidence"))
+    return system.combine(_by_region(spark, d), links).edges.where("relation = 'calls'").select("src", "dst")
+
+
+@register("SELECT CAST(doc_id AS VARCHAR) AS name, substr(sha256(text), 1, 12) AS recorded, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'changed' END AS current FROM documents WHERE doc_id % 3 = 0 OR doc_id % 3 = 1")
+def q_stale(spark, d):
+    docs = T.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), X.short_hash("text").alias("map_hash"), F.col("doc_id"))
+    now = docs.where("doc_id % 3 <> 0").withColumn("map_hash", F.when(F.col("doc_id") % 3 == 1, F.lit("changed")).otherwise(F.col("map_hash")))
+    return system.stale(docs, now)
+
+
+@register(f"WITH {NODES_SQL}, t AS (SELECT id, kind, label, CASE WHEN line % 3 = 0 THEN file || '_test.go' WHEN line % 3 = 1 THEN file || '/test_x.py' ELSE file END AS file FROM nodes) SELECT id, CASE WHEN kind = 'module' THEN 2 WHEN regexp_matches(file, '(_test\\.go|_test\\.py|(^|/)test_[^/]*\\.py|\\.(test|spec)\\.[jt]sx?|Test\\.java)$') OR regexp_matches(label, '^Test[A-Z_]?') THEN 1 ELSE 0 END AS cat FROM t")
+def q_category(spark, d):
+    f = F.when(F.col("line") % 3 == 0, F.concat("file", F.lit("_test.go"))).when(F.col("line") % 3 == 1, F.concat("file", F.lit("/test_x.py"))).otherwise(F.col("file"))
+    return T.nodes(spark, d).select("id", X.category("kind", "label", f).alias("cat"))
+
+
+@register(f"{BOTH}, keep AS (SELECT id FROM nodes WHERE NOT (kind = 'doc' AND line % 2 = 0)) SELECT src, dst, e AS \"end\" FROM (SELECT src, dst, unnest([src, dst]) AS e FROM edges) WHERE e NOT IN (SELECT id FROM keep)")
+def q_validate_dangling(spark, d):
+    return assemble.dangling(T.edges(spark, d), T.nodes(spark, d).where("not (kind = 'doc' and line % 2 = 0)")).select("src", "dst", "end")
+
+
+@register(f"WITH {NODES_SQL} SELECT rule, id AS subject FROM (SELECT 'unknown kind' AS rule, id FROM nodes WHERE line = 7 UNION ALL SELECT 'negative line', id FROM nodes WHERE line = 8)")
+def q_validate_enum(spark, d):
+    n = T.nodes(spark, d).withColumn("kind", F.when(F.col("line") == 7, F.lit("odd")).otherwise(F.col("kind"))).withColumn("line", F.when(F.col("line") == 8, F.lit(-1)).otherwise(F.col("line")))
+    none = T.edges(spark, d).where("false")
+    return assemble.validate(Graph(n, none)).select("rule", "subject")
+
+
+@register(f"WITH {NODES_SQL}, p AS (SELECT string_split(file, '/') AS s FROM nodes) SELECT array_to_string(s[1:k], '/') AS prefix, count(*) AS n FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM p) GROUP BY 1")
+def q_path_tree(spark, d):
+    s = F.split("file", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(s)), lambda k: F.array_join(F.slice(s, F.lit(1), k), "/"))
+    return T.nodes(spark, d).select(F.explode(prefixes).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+@register(f"""{BOTH}, {PAIRS}, m AS (SELECT 2 * sum(w) AS m2 FROM pairs), d AS (SELECT id, sum(w) AS deg FROM (SELECT a AS id, w FROM pairs UNION ALL SELECT b, w FROM pairs) GROUP BY id),
+ i AS (SELECT sum(CASE WHEN x.community = y.community THEN 2 * w ELSE 0 END) AS inside FROM pairs JOIN nodes x ON a = x.id JOIN nodes y ON b = y.id), s AS (SELECT sum(t * t) AS sq FROM (SELECT sum(deg) AS t FROM d JOIN nodes USING (id) GROUP BY community))
+ SELECT round(CAST(inside AS DOUBLE) / m2 - CAST(sq AS DOUBLE) / m2 / m2, 9) AS q FROM i, s, m""")
+def q_modularity(spark, d):
+    return cluster.modularity(T.nodes(spark, d), T.edges(spark, d)).select(F.round("q", 9).alias("q"))
+
+
+@register("SELECT CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN 'no arrow' WHEN n_nationkey % 4 = 2 THEN 'unknown relation' ELSE 'bad target' END AS error, n_nationkey AS n FROM nation")
+def q_links_dsl(spark, d):
+    k, name = F.col("n_nationkey") % 4, F.concat(F.lit("a::n"), F.col("n_nationkey"))
+    text = F.when(k == 0, F.concat(name, F.lit(" -> b::x calls extra"))).when(k == 1, F.concat(name, F.lit(" b::x"))).when(k == 2, F.concat(name, F.lit(" -> b::x likes"))).otherwise(F.concat(name, F.lit(" -> b")))
+    rows = workspace.parse_links(T.table(spark, d, "nation").select(text.alias("value")))
+    return rows.select("error", F.regexp_extract("line", r"^a::n(\d+)", 1).cast("int").alias("n"))
+
+
+CYC = "imp AS (SELECT DISTINCT 'orders:' || (l_orderkey % 500) AS src, 'orders:' || (l_partkey % 500) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 500 <> l_partkey % 500)"
+
+
+@register(f"WITH {CYC} SELECT a.src || ' ' || a.dst AS cycle FROM imp a JOIN imp b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || ' ' || b.src || ' ' || c.src FROM imp a JOIN imp b ON a.dst = b.src JOIN imp c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src")
+def q_cycles_2_3(spark, d):
+    name = lambda x: F.concat(F.lit("orders:"), F.col(x) % 500)
+    e = T.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.lit("star").alias("graph"), name("l_orderkey").alias("src"), name("l_partkey").alias("dst"), F.lit("imports").alias("relation"))
+    return analyze.short_cycles(e).select(F.array_join("members", " ").alias("cycle"))
+
+
+@register()
+def q_louvain(spark, d):
+    n, e = T.nodes(spark, d).where("kind <> 'doc'"), T.edges(spark, d).where("relation <> 'imports'")
+    return cluster.louvain(n, e).groupBy("community").agg(F.count("*").alias("n"))
+
+
+@register()
+def q_import_cycles(spark, d):
+    name = lambda x: F.concat(F.lit("orders:"), F.col(x) % 500)
+    e = T.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.lit("star").alias("graph"), name("l_orderkey").alias("src"), name("l_partkey").alias("dst"), F.lit("imports").alias("relation"))
+    return analyze.import_cycles(e).select("rank", F.size("members").alias("n"))
+
+
+@register()
+def q_questions(spark, d):
+    n, e = T.nodes(spark, d), T.edges(spark, d)
+    return analyze.questions(n, e, cluster.name_communities(n, e)).select("rank", "question")
+
+
+@register()
+def q_subgraph(spark, d):
+    n, _ = query.query(T.nodes(spark, d), T.edges(spark, d).where("relation = 'contains'"), QUESTION, 600)
+    return n.select("id", "label", "kind")
