@@ -6,7 +6,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,25 +97,29 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     return materialize(labels.join(roots, "r").select(F.col("u").alias("id"), "comp"), f"{tag}-comp")
 
 
-def linked(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+def linked(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
     """Components ``(id, comp)`` under the links that ``check`` confirms among rows sharing a bucket.
 
-    ``buckets``: ``key, id``; ``check`` gets pairs ``a < b`` and returns those that hold. A bucket of n
-    rows makes n - 1 pairs with its smallest row; only buckets that then still span several components
-    have members of different components compared, so no pair that could join two components is left
-    out and a group of copies never makes all its pairs.
+    ``buckets``: ``key, id``; ``traits``: ``id, t`` with what ``near`` needs to tell of two rows whether
+    they may be linked; ``check`` gets pairs ``a < b`` and returns those that hold. A bucket of n rows
+    makes n - 1 pairs with its smallest row; only buckets that then still span several components have
+    members of different components compared, by ``near`` within the join, so no pair that could join
+    two components is left out and a group of copies never makes all its pairs.
     """
     pivots = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
+    side = lambda c: traits.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"))
     star = materialize(buckets.join(pivots, "key").where("a < id").select("a", F.col("id").alias("b")).distinct(), f"{tag}-star")
-    links = materialize(check(star), f"{tag}-links")
+    likely = star.join(side("b"), "b").join(side("a"), "a").where(near(F.col("ta"), F.col("tb"))).select("a", "b")
+    links = materialize(check(likely), f"{tag}-links")
     comp = components(links, tag)
     label = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
     label = materialize(label.join(crowded, "key", "left_semi"), f"{tag}-bucket")
     mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(label.join(mixed, "key"), f"{tag}-mixed")
-    x, y = (rest.select("key", F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    cross = x.join(y, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = materialize(label.join(mixed, "key", "left_semi").join(traits, "id"), f"{tag}-mixed")
+    x, y = (rest.select("key", *[F.col(n).alias(f"{n[0]}{c}") for n in ("id", "comp", "t")]) for c in "ab")
+    cross = x.join(y, (x["key"] == y["key"]) & (F.col("ia") < F.col("ib")) & (F.col("ca") != F.col("cb")) & near(F.col("ta"), F.col("tb")))
+    cross = cross.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = materialize(check(cross), f"{tag}-links")
     if not more.isEmpty():
         first, comp = comp, components(links.union(more), tag)

@@ -129,9 +129,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     buckets = classes.select(F.col("h1").alias("id"), F.explode(F.array(*keys)).alias("key"))
 
     def check(pairs: DataFrame) -> DataFrame:
-        side = lambda c: classes.select(F.col("h1").alias(c), F.col("sim").alias(f"s{c}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS)
-        near = materialize(near.select("a", "b").distinct(), "likely")
+        near = materialize(pairs.distinct(), "likely")
         ends = near.select(F.col("a").alias("h1")).union(near.select("b")).distinct()
         need = materialize(classes.join(ends, "h1", "left_semi").select("h1", "first.id", "first.line"), "need")
         texts = materialize(_texts(need, docs), "words")
@@ -144,7 +142,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
         return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long")
 
-    comp = linked(buckets, check, "lines")
+    traits = classes.select(F.col("h1").alias("id"), F.col("sim").alias("t")).dropDuplicates(["id"])
+    comp = linked(buckets, traits, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= BITS, check, "lines")
     named = classes.join(comp.select(F.col("id").alias("h1"), "comp"), "h1", "left").select("h1", "h2", "first", "c", F.coalesce("comp", "h1").alias("comp"), F.col("comp").isNotNull().alias("linked"))
     best = named.where("linked").groupBy("comp").agg(F.min("first").alias("best"))
     kept = named.join(best, "comp", "left").select("h1", "h2", F.coalesce("best", "first").alias("best"), (F.col("linked") | (F.col("c") > 1)).alias("many")).where("many")

@@ -17,6 +17,7 @@ same answer; a tie is settled by the smallest id. Only the id and text columns a
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -92,10 +93,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n long, c1 long, c2 long, keys array<long>, odd array<long>")
 
 
-def estimate(a: Column, b: Column, k: int = BANDS * ROWS) -> Column:
-    """Similarity from two odd sketches; nothing above a half of differing bits can be told from 0."""
-    odd = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return 1 + SKETCH / (4.0 * k) * F.log(F.greatest(1 - 2.0 * odd / SKETCH, F.lit(1e-9)))
+def differing(a: Column, b: Column) -> Column:
+    """Population count of the XOR of two odd sketches."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
+
+
+def most_differing(similarity: float, k: int = BANDS * ROWS) -> int:
+    """Bits that differ, as expected at a similarity: its samples differ in k (1 - similarity) places, and
+    each puts two bits into the XOR at random."""
+    return math.ceil(SKETCH / 2 * (1 - math.exp(-4 * k * (1 - similarity) / SKETCH)))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -131,13 +137,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     reps = materialize(reps, "reps")
     buckets = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a")
-        near = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (estimate(F.col("oa"), F.col("ob")) >= percent / 100 - SLACK)
-        return both.where(near).select("a", "b")
+    most = most_differing(percent / 100 - SLACK)
+
+    def near(x: Column, y: Column) -> Column:
+        sizes = F.lit(100) * F.least(x["n"], y["n"]) >= F.lit(percent) * F.greatest(x["n"], y["n"])
+        return sizes & (differing(x["odd"], y["odd"]) <= most)
 
-    comp = linked(buckets, lambda pairs: confirm(likely(pairs), src, k, percent), "near")
+    traits = reps.select(F.col("rep").alias("id"), F.struct("n", "odd").alias("t"))
+    comp = linked(buckets, traits, near, lambda pairs: confirm(pairs, src, k, percent), "near")
     whole = reps.select("c1", "c2", "rep").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     whole = whole.select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     out = sk.select("id", "n", "c1", "c2").join(whole, ["c1", "c2"], "left")
