@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW, RUN, BROADCAST = 8, 13, 500_000
 #: Units that become placeholders after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec min h hr hrs day days week weeks month months year years percent usd eur dollars dollar euros euro cents mph kmh w kw kwh v hz ghz kb mb gb tb degrees meters metres kilometers kilograms grams liters litres hours minutes seconds miles feet inches pounds".split()
@@ -72,6 +74,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     met = rows.join(near(windows), "h").groupBy("doc_id", "item", "form", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("n"))
     met = met.join(near(whole), ["item", "form"]).where(F.col("n") + WINDOW - 1 >= F.least(F.lit(RUN), F.col("size")))
     full = met.join(src, "doc_id").select("doc_id", "item", "form", "shift", "n", "itoks", tokens(surfaces(F.col("text"))).alias("toks"))
+    full = materialize(full, "aligned")  # else the tokens would be cut anew for every place compared
     slot = lambda x: F.substring(x, 1, 2)
     at = F.sequence(F.lit(0), F.size("itoks") - 1)
     pair = F.transform(at, lambda i: F.struct(F.get("itoks", i).alias("a"), F.when(i + F.col("shift") >= 0, F.get("toks", i + F.col("shift"))).alias("b")))
