@@ -106,15 +106,15 @@ def linked(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column
     members of different components compared, by ``near`` within the join, so no pair that could join
     two components is left out and a group of copies never makes all its pairs.
     """
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
+    pivots = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
+    shared = materialize(buckets.join(pivots, "key"), f"{tag}-shared")  # few rows share a bucket
     side = lambda c: traits.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"))
-    star = materialize(buckets.join(pivots, "key").where("a < id").select("a", F.col("id").alias("b")).distinct(), f"{tag}-star")
+    star = materialize(shared.where("a < id").select("a", F.col("id").alias("b")).distinct(), f"{tag}-star")
     likely = star.join(side("b"), "b").join(side("a"), "a").where(near(F.col("ta"), F.col("tb"))).select("a", "b")
     links = materialize(check(likely), f"{tag}-links")
     comp = components(links, tag)
-    label = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    crowded = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
-    label = materialize(label.join(crowded, "key", "left_semi"), f"{tag}-bucket")
+    label = shared.where("m > 2").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    label = materialize(label, f"{tag}-bucket")
     mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = materialize(label.join(mixed, "key", "left_semi").join(traits, "id"), f"{tag}-mixed")
     x, y = (rest.select("key", *[F.col(n).alias(f"{n[0]}{c}") for n in ("id", "comp", "t")]) for c in "ab")
@@ -124,5 +124,5 @@ def linked(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column
     if not more.isEmpty():
         first, comp = comp, components(links.union(more), tag)
         release(first)
-    release(rest, label, star, links, more)
+    release(rest, label, shared, star, links, more)
     return comp

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import linked, materialize
 
-BANDS, ROWS, SKETCH, SLACK = 40, 5, 512, 0.2
+BANDS, ROWS, SKETCH, SLACK, WHOLE = 40, 5, 512, 0.2, 2048
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,6 +75,15 @@ def sketch(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndar
     return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def whole_sketch(s: np.ndarray) -> np.ndarray | None:
+    """Odd sketch of all elements (a sample as large as the set), for sets of up to ``WHOLE``. The XOR of two
+    has at most as many bits as the sets have elements that only one of them holds."""
+    if len(s) > WHOLE:
+        return None
+    bits = np.bincount((_scramble(s * _mix) % np.uint64(2 * SKETCH)).astype(np.int64), minlength=2 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """``id, n, c1, c2`` (class of equal sets), ``keys`` and ``odd`` of every document."""
 
@@ -84,18 +93,18 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             for doc, text in zip(pdf["id"], pdf["text"]):
                 s = shingles(text, k)
                 if not len(s):
-                    rows.append((doc, 0, 0, 0, None, None))
+                    rows.append((doc, 0, 0, 0, None, None, None))
                     continue
                 c1, c2 = (int(x) for x in np.array([s.sum(dtype=np.uint64), _scramble(s).sum(dtype=np.uint64)], np.uint64).view(np.int64))
-                rows.append((doc, len(s), c1, c2, *sketch(s)))
-            yield pd.DataFrame(rows, columns=["id", "n", "c1", "c2", "keys", "odd"])
+                rows.append((doc, len(s), c1, c2, *sketch(s), whole_sketch(s)))
+            yield pd.DataFrame(rows, columns=["id", "n", "c1", "c2", "keys", "odd", "all"])
 
-    return docs.mapInPandas(run, "id long, n long, c1 long, c2 long, keys array<long>, odd array<long>")
+    return docs.mapInPandas(run, "id long, n long, c1 long, c2 long, keys array<long>, odd array<long>, all array<long>")
 
 
-def differing(a: Column, b: Column) -> Column:
+def differing(a: Column, b: Column, bits: int = SKETCH) -> Column:
     """Population count of the XOR of two odd sketches."""
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(bits // 64)), F.lit(0))
 
 
 def most_differing(similarity: float, k: int = BANDS * ROWS) -> int:
@@ -133,7 +142,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """``id, n_shingles, component_id`` for every row; ids are integers."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = materialize(sketches(src, k), "sketch")
-    reps = sk.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
+    reps = sk.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("all").alias("all"))
     reps = materialize(reps, "reps")
     buckets = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
 
@@ -141,9 +150,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     def near(x: Column, y: Column) -> Column:
         sizes = F.lit(100) * F.least(x["n"], y["n"]) >= F.lit(percent) * F.greatest(x["n"], y["n"])
-        return sizes & (differing(x["odd"], y["odd"]) <= most)
+        apart = differing(x["all"], y["all"], 2 * SKETCH)  # null for large sets
+        whole = F.coalesce((100 + percent) * apart <= (100 - percent) * (x["n"] + y["n"]), F.lit(True))
+        return sizes & whole & (differing(x["odd"], y["odd"]) <= most)
 
-    traits = reps.select(F.col("rep").alias("id"), F.struct("n", "odd").alias("t"))
+    traits = reps.select(F.col("rep").alias("id"), F.struct("n", "odd", "all").alias("t"))
     comp = linked(buckets, traits, near, lambda pairs: confirm(pairs, src, k, percent), "near")
     whole = reps.select("c1", "c2", "rep").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     whole = whole.select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
