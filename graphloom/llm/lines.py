@@ -1,7 +1,7 @@
 """Operator 2, line dedup: fuzzy lines.
 
 Lines are normalised to their words in lower case. Equal normalised lines form a class; each class has
-a 64-bit SimHash of its words, weighted by length. Two classes whose SimHashes differ in at most
+a 64-bit SimHash of its distinct words, weighted by length (up to ``HEAVY``). Two classes whose SimHashes differ in at most
 ``BITS`` bits agree on at least ``PICK`` of the ``BLOCKS`` blocks, so classes are joined on every choice of that many
 blocks, checked by their Hamming distance, and verified by the edit similarity of their words (at
 least 0.8). One occurrence stays of each connected group: the first by document id and line.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import linked, materialize, release
 
-MIN_WORDS, BITS, BLOCKS, PICK, PERCENT, BROADCAST = 5, 3, 5, 2, 80, 100_000
+MIN_WORDS, BITS, BLOCKS, PICK, PERCENT, HEAVY, BROADCAST = 5, 3, 5, 2, 80, 12, 100_000
 WORD = re.compile(r"\w+")
 
 
@@ -34,20 +34,22 @@ def normalised(line: str) -> list[str]:
 
 
 def simhashes(lines: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each list of words (none is empty)."""
+    """64-bit SimHash of each list's distinct words (none is empty); a word said often weighs no more."""
     from xxhash import xxh3_64_intdigest as name
 
+    lines = [list(set(ws)) for ws in lines]
     index: dict[str, int] = {}
     ids = np.array([index.setdefault(w, len(index)) for ws in lines for w in ws], np.int64)
     h = np.array([name(w) for w in index], ">u8")
     signs = np.unpackbits(h.view(np.uint8)).reshape(-1, 64).astype(np.int16) * 2 - 1
-    signs *= np.array([min(len(w), 100) for w in index], np.int16)[:, None]
+    signs *= np.array([min(len(w), HEAVY) for w in index], np.int16)[:, None]
     starts = np.cumsum([0, *[len(ws) for ws in lines]])
     out = np.empty(len(lines), np.uint64)
     lo = 0
     while lo < len(lines):  # about 64k words at once
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 65536, "right")) - 1)
-        sums = np.add.reduceat(signs[ids[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], 0, np.int64)
+        small = HEAVY * int(np.diff(starts[lo : hi + 1]).max()) < 1 << 15  # else 16 bits could overflow
+        sums = np.add.reduceat(signs[ids[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], 0, np.int16 if small else np.int64)
         out[lo:hi] = np.packbits(sums > 0, axis=1).view(">u8")[:, 0]
         lo = hi
     return out
