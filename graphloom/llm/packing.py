@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, portions
 
 GROUP, OPEN = 100_000, 1 << 16
 
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, the ids themselves."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in portions(batch, "text", 1 << 20)):
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = np.array([*token_ids(text, ranks, pattern), end_id], "<u4")
