@@ -21,13 +21,32 @@ MOST = 1 << 20
 def read_files(spark: SparkSession, root: str, graph: str, own: str = ".graphloom") -> DataFrame:
     """All files under a folder (any file system Spark reads): ``graph, path, rel_path, ext, length, content``.
     ``content`` is read only where it is used."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content").union(hidden_files(spark, root))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace(F.col("path"), rf"^.*?\Q{base}\E/+", "")
     out = raw.select(F.lit(graph).alias("graph"), "path", rel.alias("rel_path"), "length", "content")
     return out.withColumn("ext", F.lower(F.regexp_extract("rel_path", r"(\.[^./]*)$", 1))).where(~_under(F.col("rel_path"), [own]))
 
 
+def hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files whose own name starts with ``_`` or ``.`` (``__init__.py``, ``.gitignore``): Spark's readers leave them
+    out, so the driver lists and reads them; they are few and small (up to 1 MiB each)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, rows = fs.listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().getName()
+        known = name == ".gitignore" or any(name.lower().endswith(x) for x in {*LANGUAGES, *CONTRACT_EXT})
+        if name[:1] in "._" and known and f.getLen() <= MOST:
+            stream = fs.open(f.getPath())
+            try:
+                rows.append((f.getPath().toString(), f.getLen(), bytearray(stream.readAllBytes())))
+            finally:
+                stream.close()
+    return spark.createDataFrame(rows, "path string, length long, content binary")
+
+
 def _under(rel: Column, names: list[str]) -> Column:
     return rel.rlike(rf"(^|/)({'|'.join(map(re.escape, names))})/")
 
