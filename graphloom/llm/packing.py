@@ -82,7 +82,8 @@ class Packer:
 
 
 def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` and, if asked for, the ids themselves."""
+    """``doc_id, piece, start, length, ids_crc32`` and, if asked for, the ids themselves (little-endian 32 bits each;
+    bytes stay compact on their way through Python, which lists of numbers don't)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (x for batch in batches for x in portions(batch, "text", 1 << 20)):
@@ -91,10 +92,10 @@ def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_
                 ids = np.array([*token_ids(text, ranks, pattern), end_id], "<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].astype(np.int32)] if with_ids else [])))
+                    rows.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].tobytes()] if with_ids else [])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
