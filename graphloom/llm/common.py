@@ -107,7 +107,8 @@ def linked(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column
     two components is left out and a group of copies never makes all its pairs.
     """
     pivots = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    shared = materialize(buckets.join(pivots, "key"), f"{tag}-shared")  # few rows share a bucket
+    pivots = materialize(pivots, f"{tag}-pivots")  # few rows share a bucket; as a table its size is known to the join
+    shared = materialize(buckets.join(pivots, "key"), f"{tag}-shared")
     side = lambda c: traits.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"))
     star = materialize(shared.where("a < id").select("a", F.col("id").alias("b")).distinct(), f"{tag}-star")
     likely = star.join(side("b"), "b").join(side("a"), "a").where(near(F.col("ta"), F.col("tb"))).select("a", "b")
@@ -124,5 +125,5 @@ def linked(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column
     if not more.isEmpty():
         first, comp = comp, components(links.union(more), tag)
         release(first)
-    release(rest, label, shared, star, links, more)
+    release(rest, label, shared, pivots, star, links, more)
     return comp

@@ -16,43 +16,59 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import linked, materialize, release
+from .common import linked, materialize, portions, release
 
-MIN_WORDS, BITS, BLOCKS, PICK, PERCENT, HEAVY, BROADCAST = 5, 3, 5, 2, 80, 12, 100_000
-WORD = re.compile(r"\w+")
+MIN_WORDS, BITS, BLOCKS, PICK, PERCENT, HEAVY, BROADCAST = 5, 3, 6, 3, 80, 12, 100_000
+WORD, PUNCTUATION = re.compile(r"\w+"), ".,;:!?'\"()-"
 
 
 def normalised(line: str) -> list[str]:
-    return WORD.findall(line.lower())
+    line = line.lower()
+    for mark in PUNCTUATION:
+        line = line.replace(mark, " ")
+    words = line.split()  # cheaper than the pattern, and the same if nothing else parts words
+    return words if "".join(words).isalnum() else WORD.findall(line)
+
+
+class Index(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def simhashes(lines: list[list[str]]) -> np.ndarray:
     """64-bit SimHash of each list's distinct words (none is empty); a word said often weighs no more."""
     from xxhash import xxh3_64_intdigest as name
 
-    lines = [list(set(ws)) for ws in lines]
-    index: dict[str, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for ws in lines for w in ws], np.int64)
+    index, sets = Index(), [set(ws) for ws in lines]
+    ids = np.fromiter(map(index.__getitem__, chain.from_iterable(sets)), np.int64)
     h = np.array([name(w) for w in index], ">u8")
     signs = np.unpackbits(h.view(np.uint8)).reshape(-1, 64).astype(np.int16) * 2 - 1
     signs *= np.array([min(len(w), HEAVY) for w in index], np.int16)[:, None]
-    starts = np.cumsum([0, *[len(ws) for ws in lines]])
-    out = np.empty(len(lines), np.uint64)
-    lo = 0
-    while lo < len(lines):  # about 64k words at once
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 65536, "right")) - 1)
-        small = HEAVY * int(np.diff(starts[lo : hi + 1]).max()) < 1 << 15  # else 16 bits could overflow
-        sums = np.add.reduceat(signs[ids[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], 0, np.int16 if small else np.int64)
-        out[lo:hi] = np.packbits(sums > 0, axis=1).view(">u8")[:, 0]
-        lo = hi
-    return out
+    sizes = np.array([len(ws) for ws in sets], np.int64)
+    order = np.argsort(-sizes, kind="stable")  # longest first: those with a k-th word come before the others
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    sums, k, n = np.zeros((len(lines), 64), np.int16), 0, len(lines)
+    while n >= 32 and HEAVY * (k + 1) < 1 << 15:  # few long lines, and what 16 bits don't hold, are summed alone
+        sums[:n] += signs[ids[starts[:n] + k]]
+        k += 1
+        n = int(np.searchsorted(-sizes, -k, "left"))
+    out = np.packbits(sums > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
+    for i in range(n):
+        rest = signs[ids[starts[i] + k : starts[i] + sizes[i]]].sum(0, np.int64) + sums[i]
+        out[i] = np.packbits(rest > 0).view(">u8")[0]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def similar(a: list[str], b: list[str], percent: int = PERCENT) -> bool:
@@ -87,9 +103,9 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         from xxhash import xxh3_128_digest as name
 
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
+            for part in portions(pdf, "text", 2 << 20):
                 at, words = [], []
-                for i, text in zip(pdf["id"][lo : lo + 500], pdf["text"][lo : lo + 500]):
+                for i, text in zip(part["id"], part["text"]):
                     for k, line in enumerate((text or "").split("\n")):
                         w = normalised(line)
                         if len(w) >= MIN_WORDS:
