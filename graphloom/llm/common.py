@@ -97,18 +97,24 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     return materialize(labels.join(roots, "r").select(F.col("u").alias("id"), "comp"), f"{tag}-comp")
 
 
-def linked(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+def meet(buckets: DataFrame, tag: str) -> DataFrame:
+    """``key, id, a, m`` of the buckets ``key, id`` that hold several rows: their smallest row and count."""
+    pivots = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
+    pivots = materialize(pivots, f"{tag}-pivots")  # few rows share a bucket; as a table its size is known to the join
+    out = materialize(buckets.join(pivots, "key"), f"{tag}-shared")
+    release(pivots)
+    return out
+
+
+def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
     """Components ``(id, comp)`` under the links that ``check`` confirms among rows sharing a bucket.
 
-    ``buckets``: ``key, id``; ``traits``: ``id, t`` with what ``near`` needs to tell of two rows whether
+    ``shared``: from :func:`meet`; ``traits``: ``id, t`` with what ``near`` needs to tell of two rows whether
     they may be linked; ``check`` gets pairs ``a < b`` and returns those that hold. A bucket of n rows
     makes n - 1 pairs with its smallest row; only buckets that then still span several components have
     members of different components compared, by ``near`` within the join, so no pair that could join
     two components is left out and a group of copies never makes all its pairs.
     """
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    pivots = materialize(pivots, f"{tag}-pivots")  # few rows share a bucket; as a table its size is known to the join
-    shared = materialize(buckets.join(pivots, "key"), f"{tag}-shared")
     side = lambda c: traits.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"))
     star = materialize(shared.where("a < id").select("a", F.col("id").alias("b")).distinct(), f"{tag}-star")
     likely = star.join(side("b"), "b").join(side("a"), "a").where(near(F.col("ta"), F.col("tb"))).select("a", "b")
@@ -125,5 +131,5 @@ def linked(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column
     if not more.isEmpty():
         first, comp = comp, components(links.union(more), tag)
         release(first)
-    release(rest, label, shared, pivots, star, links, more)
+    release(rest, label, shared, star, links, more)
     return comp

@@ -20,51 +20,55 @@ from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import linked, materialize, portions, release
+from .common import linked, materialize, meet, portions, release
 
 MIN_WORDS, BITS, BLOCKS, PICK, PERCENT, HEAVY, BROADCAST = 5, 3, 6, 3, 80, 12, 100_000
+CHUNK, PART = 1 << 16, 1 << 21  # classes whose keys are made at once, keys compared at once
 WORD, PUNCTUATION = re.compile(r"\w+"), ".,;:!?'\"()-"
 
 
-def normalised(line: str) -> list[str]:
-    line = line.lower()
+def plain(text: str) -> str:
+    """In lower case, with the marks that often part words as blanks."""
+    text = text.lower()
     for mark in PUNCTUATION:
-        line = line.replace(mark, " ")
+        text = text.replace(mark, " ")
+    return text
+
+
+def cut(line: str) -> list[str]:
+    """The words of a line that :func:`plain` made."""
     words = line.split()  # cheaper than the pattern, and the same if nothing else parts words
     return words if "".join(words).isalnum() else WORD.findall(line)
 
 
-class Index(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def normalised(line: str) -> list[str]:
+    return cut(plain(line))
 
 
 def simhashes(lines: list[list[str]]) -> np.ndarray:
     """64-bit SimHash of each list's distinct words (none is empty); a word said often weighs no more."""
-    from xxhash import xxh3_64_intdigest as name
+    from xxhash import xxh3_64_digest as name
 
-    index, sets = Index(), [set(ws) for ws in lines]
-    ids = np.fromiter(map(index.__getitem__, chain.from_iterable(sets)), np.int64)
-    h = np.array([name(w) for w in index], ">u8")
-    signs = np.unpackbits(h.view(np.uint8)).reshape(-1, 64).astype(np.int16) * 2 - 1
-    signs *= np.array([min(len(w), HEAVY) for w in index], np.int16)[:, None]
+    sets = [set(ws) for ws in lines]
+    words = list(chain.from_iterable(sets))
+    bits = np.unpackbits(np.frombuffer(b"".join(map(name, words)), np.uint8).reshape(-1, 8), axis=1)
+    weight = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), HEAVY).astype(np.int8)[:, None]
+    signs = bits.view(np.int8) * (weight + weight) - weight
     sizes = np.array([len(ws) for ws in sets], np.int64)
     order = np.argsort(-sizes, kind="stable")  # longest first: those with a k-th word come before the others
     starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
     sums, k, n = np.zeros((len(lines), 64), np.int16), 0, len(lines)
     while n >= 32 and HEAVY * (k + 1) < 1 << 15:  # few long lines, and what 16 bits don't hold, are summed alone
-        sums[:n] += signs[ids[starts[:n] + k]]
+        sums[:n] += signs.take(starts[:n] + k, axis=0)
         k += 1
         n = int(np.searchsorted(-sizes, -k, "left"))
     out = np.packbits(sums > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
     for i in range(n):
-        rest = signs[ids[starts[i] + k : starts[i] + sizes[i]]].sum(0, np.int64) + sums[i]
+        rest = signs[starts[i] + k : starts[i] + sizes[i]].sum(0, np.int64) + sums[i]
         out[i] = np.packbits(rest > 0).view(">u8")[0]
     back = np.empty_like(out)
     back[order] = out
@@ -106,14 +110,14 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             for part in portions(pdf, "text", 2 << 20):
                 at, words = [], []
                 for i, text in zip(part["id"], part["text"]):
-                    for k, line in enumerate((text or "").split("\n")):
-                        w = normalised(line)
+                    for k, line in enumerate(plain(text or "").split("\n")):
+                        w = cut(line)
                         if len(w) >= MIN_WORDS:
                             at.append((i, k))
                             words.append(w)
                 if at:
                     h = np.frombuffer(b"".join(name(" ".join(w)) for w in words), "<i8").reshape(-1, 2)
-                    yield pd.DataFrame({"id": [x[0] for x in at], "line": [x[1] for x in at], "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(words).astype(np.uint64).view(np.int64)})
+                    yield pd.DataFrame({"id": [x[0] for x in at], "line": [x[1] for x in at], "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(words).view(np.int64)})
 
     return docs.mapInPandas(run, "id long, line int, h1 long, h2 long, sim long")
 
@@ -131,21 +135,93 @@ def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(near(by), "id").select("text", "own").mapInPandas(run, "h1 long, words array<string>").dropDuplicates(["h1"])
 
 
+def _keys(sim: np.ndarray) -> np.ndarray:
+    """For each choice of ``PICK`` blocks a key of these blocks and the choice; one row of keys a choice."""
+    width = -(-64 // BLOCKS)
+    mask = np.uint64((1 << width) - 1)
+    block = [(sim >> np.uint64(i * width)) & mask for i in range(BLOCKS)]
+    out = []
+    for k, pick in enumerate(combinations(range(BLOCKS), PICK)):
+        key = np.full(len(sim), k, np.uint64)
+        for i in pick:
+            key = (key << np.uint64(width)) | block[i]
+        out.append(key)
+    return np.array(out)
+
+
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether a neighbour in the sorted keys is equal."""
+    same = np.r_[False, keys[1:] == keys[:-1], False]
+    return same[1:] | same[:-1]
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``key, id`` of every key that several classes have, with all that have it.
+
+    Nearly all keys occur once. They travel as packed arrays, dealt by key into parts of about ``PART``. A
+    chunk of ``CHUNK`` classes first finds the keys it holds several times: these rows are known to be
+    shared and pass by, dealt evenly, and one row stands for them among the chunk's keys. So a key that
+    very many classes have comes to its part at most once a chunk.
+    """
+    spark = classes.sparkSession
+    choices = len(list(combinations(range(BLOCKS), PICK)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * choices // PART))
+
+    def packed(part, known: bool, keys: np.ndarray, ids: np.ndarray):
+        return (int(part), known, keys.tobytes(), ids.tobytes())
+
+    def chunk(ids: np.ndarray, sim: np.ndarray, turn: int) -> pd.DataFrame:
+        keys, ids = _keys(sim).ravel(), np.tile(ids, choices)
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        twice = _repeated(keys)
+        rows = [packed((turn + lo // 4096) % parts, True, keys[twice][lo : lo + 4096], ids[twice][lo : lo + 4096]) for lo in range(0, int(twice.sum()), 4096)]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        keys, ids = keys[first], ids[first]
+        part = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        keys, ids, part = keys[order], ids[order], part[order]
+        names, starts = np.unique(part, return_index=True)
+        rows += [packed(p, False, keys[a:b], ids[a:b]) for p, a, b in zip(names, starts, [*starts[1:], len(part)])]
+        return pd.DataFrame(rows, columns=["part", "known", "keys", "ids"])
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, turn = [], 0, TaskContext.get().partitionId() * 7919
+        for pdf in chain(batches, [None]):
+            if pdf is not None and len(pdf):
+                held.append(pdf)
+                n += len(pdf)
+            if n >= CHUNK or (pdf is None and n):
+                whole, held, n, turn = pd.concat(held), [], 0, turn + 31
+                yield chunk(whole["id"].to_numpy(np.int64), whole["sim"].to_numpy(np.int64).view(np.uint64), turn)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = lambda keys, ids: pd.DataFrame({"key": keys.view(np.int64), "id": ids})
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for pdf in batches:
+            for known, k, i in zip(pdf["known"], pdf["keys"], pdf["ids"]):
+                pair = np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64)
+                if known:
+                    yield table(*pair)
+                else:
+                    held.append(pair)
+        if held:
+            keys, ids = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys)
+            keys, ids = keys[order], ids[order]
+            twice = _repeated(keys)
+            yield table(keys[twice], ids[twice])
+
+    sims = classes.select(F.col("h1").alias("id"), "sim")
+    dealt = sims.mapInPandas(spread, "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
+    return materialize(dealt.mapInPandas(find, "key long, id long").distinct(), "lines-keys")
+
+
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """``id, line, first_id, first_line`` of every line to remove; docs: ``id, text``."""
     occ = materialize(_occurrences(docs), "lines")
     first = F.min(F.struct("id", "line")).alias("first")
     classes = materialize(occ.groupBy("h1", "h2").agg(F.first("sim").alias("sim"), first, F.count("*").alias("c")), "classes")
-    sim, width = F.col("sim"), -(-64 // BLOCKS)
-    block = [F.shiftrightunsigned(sim, i * width).bitwiseAND((1 << width) - 1) for i in range(BLOCKS)]
-    keys = []
-    for k, pick in enumerate(combinations(range(BLOCKS), PICK)):
-        key = F.lit(k).cast("long")
-        for i in pick:
-            key = F.shiftleft(key, width).bitwiseOR(block[i])
-        keys.append(key)
-    buckets = classes.select(F.col("h1").alias("id"), F.explode(F.array(*keys)).alias("key"))
-
     def check(pairs: DataFrame) -> DataFrame:
         near = materialize(pairs.distinct(), "likely")
         ends = near.select(F.col("a").alias("h1")).union(near.select("b")).distinct()
@@ -161,7 +237,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long")
 
     traits = classes.select(F.col("h1").alias("id"), F.col("sim").alias("t")).dropDuplicates(["id"])
-    comp = linked(buckets, traits, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= BITS, check, "lines")
+    comp = linked(meet(_buckets(classes), "lines"), traits, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= BITS, check, "lines")
     named = classes.join(comp.select(F.col("id").alias("h1"), "comp"), "h1", "left").select("h1", "h2", "first", "c", F.coalesce("comp", "h1").alias("comp"), F.col("comp").isNotNull().alias("linked"))
     best = named.where("linked").groupBy("comp").agg(F.min("first").alias("best"))
     kept = named.join(best, "comp", "left").select("h1", "h2", F.coalesce("best", "first").alias("best"), (F.col("linked") | (F.col("c") > 1)).alias("many")).where("many")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import linked, materialize
+from .common import linked, materialize, meet
 
 BANDS, ROWS, SKETCH, SLACK, WHOLE = 40, 5, 512, 0.2, 2048
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         return sizes & whole & (differing(x["odd"], y["odd"]) <= most)
 
     traits = reps.select(F.col("rep").alias("id"), F.struct("n", "odd", "all").alias("t"))
-    comp = linked(buckets, traits, near, lambda pairs: confirm(pairs, src, k, percent), "near")
+    comp = linked(meet(buckets, "near"), traits, near, lambda pairs: confirm(pairs, src, k, percent), "near")
     whole = reps.select("c1", "c2", "rep").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     whole = whole.select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     out = sk.select("id", "n", "c1", "c2").join(whole, ["c1", "c2"], "left")
