@@ -112,4 +112,25 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = found.withColumn("real", F.filter("places", lambda x: x["found"])).withColumn("own", F.filter("real", lambda x: x["base"]))
     starts = F.transform("own", lambda x: x["start"].cast("long"))
     score = F.coalesce(F.array_max(F.transform("places", lambda x: x["score"])), F.lit(0.0))
-    return out.select("doc_id", "n_words", F.size("own").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(F.col("own")).alias("base_labels"), labels(F.col("real")).alias("labels"), score.alias("score"))
+    return out.select("doc_id", "n_words", F.size("own").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(F.col("own")).alias("base_labels"), labels(F.col("real")).alias("labels"), F.round(score, 9).alias("score"))
+
+
+_VALUES = ", ".join(f"('{label}', '{text}', '{key}', {base})" for label, text, key, base in TEMPLATES)
+#: DuckDB SQL for the rows of the query
+ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
+ t(label, text, key, base) AS (VALUES {_VALUES}),
+ k AS (SELECT *, len(string_split(substr(text, 1, strpos(text, key) - 1), ' ')) - 1 AS key_at, len(string_split(key, ' ')) AS key_len FROM t),
+ tw AS (SELECT label, base, key_at, key_len, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM k),
+ w AS (SELECT * FROM (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM tw)),
+ df AS (SELECT word, count(DISTINCT rid) AS df FROM w GROUP BY word),
+ idf AS (SELECT tw.*, ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM tw LEFT JOIN df USING (word)),
+ r AS (SELECT *, idf / sum(idf) OVER (PARTITION BY label) AS weight, row_number() OVER (PARTITION BY label ORDER BY idf DESC, i) AS r FROM idf),
+ s AS (SELECT x.rid, a.label, x.pos - a.i AS start FROM w x JOIN r a ON a.word = x.word AND a.r = 1 JOIN r b ON b.label = a.label AND b.r = 2
+  JOIN w y ON y.rid = x.rid AND y.pos = x.pos - a.i + b.i AND y.word = b.word WHERE x.pos >= a.i),
+ p AS (SELECT s.rid, s.label, s.start, any_value(base) AS base, sum(CASE WHEN w.rid IS NULL THEN 0 ELSE weight END) AS score, bool_and(w.rid IS NOT NULL) FILTER (i >= key_at AND i < key_at + key_len) AS has_key
+  FROM s JOIN r ON r.label = s.label LEFT JOIN w ON w.rid = s.rid AND w.pos = s.start + r.i AND w.word = r.word GROUP BY s.rid, s.label, s.start),
+ f AS (SELECT *, has_key AND score >= {SHARE} AS found FROM p),
+ g AS (SELECT rid, count(*) FILTER (found AND base) AS n_base, min(start) FILTER (found AND base) AS first_word, max(start) FILTER (found AND base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels, max(score) AS score FROM f GROUP BY rid)
+ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 9) AS score FROM d LEFT JOIN g USING (rid)"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_language_id": language.op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_license_scan": license.ORACLE}

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +230,18 @@ def test_license(spark, docs, none):
     assert license.scan(none).count() == 0
 
 
+def test_license_sql(spark, tmp_path):
+    texts = [t for _, t, _, _ in license.TEMPLATES]
+    rows = [(i, t and t.upper()) for i, t in enumerate([*texts, *(" ".join(t.split()[:-1]) for t in texts), None, "", "é" * 9])]
+    rows += [(90, "general general public license cc by nc cc by, all rights reserved"), (90, "all rights x"), (91, ", ".join(texts * 3)), (92, "licensed under the x license version 2 0 under the apache license version 2 0")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from read_parquet('{folder}/documents.parquet{'/*.parquet' if folder == str(tmp_path) else ''}')")
+        got, want = license.op3_license_scan(spark, folder), con.sql(license.ORACLE)
+        assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_decontamination(spark, none):
     plain = "the quick brown fox walks over a lazy sleeping dog beside the old stone bridge at night"
     items = spark.createDataFrame([(1, "If Mary buys 12 apples and then 12 pears at 3 usd each how many coins does Mary need in total today"), (2, plain), (3, None), (4, "short one"), (5, plain + " again")], "item_id long, text string")
