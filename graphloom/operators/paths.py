@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,28 +38,28 @@ def bfs_levels(edges: DataFrame, start: str, most: int = 64) -> DataFrame:
     """``id, level, parent, pos`` of all that is reachable, undirected. ``pos`` is the order of discovery: within a
     level by the parent's, then id, as a queue would find them. A level is one join; the walk ends with an empty one."""
     spark, near = edges.sparkSession, both_ways(edges)
-    front = seen = _cut(spark.createDataFrame([(start, 0, None, 1)], "id string, level int, parent string, pos long"))
+    front = seen = cut(spark.createDataFrame([(start, 0, None, 1)], "id string, level int, parent string, pos long"))
     for level in range(1, most + 1):
         step = near.join(front.select(F.col("id").alias("src"), "pos"), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
         best = step.groupBy("dst").agg(F.min(F.struct("pos", "src")).alias("p"))
         order = Window.orderBy("p.pos", "dst")
-        front = _cut(best.select(F.col("dst").alias("id"), F.lit(level).alias("level"), F.col("p.src").alias("parent"), F.row_number().over(order).cast("long").alias("pos")))
+        front = cut(best.select(F.col("dst").alias("id"), F.lit(level).alias("level"), F.col("p.src").alias("parent"), F.row_number().over(order).cast("long").alias("pos")))
         if front.isEmpty():
             break
-        seen = _cut(seen.union(front))
+        seen = cut(seen.union(front))
     return seen
 
 
 def levels(edges: DataFrame, start: str, most: int = 64) -> DataFrame:
     """``id, level`` without an order within levels: no global sort."""
     spark, near = edges.sparkSession, both_ways(edges)
-    front = seen = _cut(spark.createDataFrame([(start, 0)], "id string, level int"))
+    front = seen = cut(spark.createDataFrame([(start, 0)], "id string, level int"))
     for level in range(1, most + 1):
         step = near.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = _cut(step.join(seen, "id", "left_anti").select("id", F.lit(level).alias("level")))
+        front = cut(step.join(seen, "id", "left_anti").select("id", F.lit(level).alias("level")))
         if front.isEmpty():
             break
-        seen = _cut(seen.union(front))
+        seen = cut(seen.union(front))
     return seen
 
 
@@ -71,14 +71,14 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, most: int
     if a == b:
         return [a]
     spark, near = edges.sparkSession, both_ways(edges)
-    front = seen = _cut(spark.createDataFrame([(a, None, 1)], "id string, parent string, pos long"))
+    front = seen = cut(spark.createDataFrame([(a, None, 1)], "id string, parent string, pos long"))
     for _ in range(most):
         step = near.join(front.select(F.col("id").alias("src"), "pos"), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
         best = step.groupBy("dst").agg(F.min(F.struct("pos", "src")).alias("p"))
-        front = _cut(best.select(F.col("dst").alias("id"), F.col("p.src").alias("parent"), F.row_number().over(Window.orderBy("p.pos", "dst")).cast("long").alias("pos")))
+        front = cut(best.select(F.col("dst").alias("id"), F.col("p.src").alias("parent"), F.row_number().over(Window.orderBy("p.pos", "dst")).cast("long").alias("pos")))
         if front.isEmpty():
             return None
-        seen = _cut(seen.union(front))
+        seen = cut(seen.union(front))
         if not front.where(F.col("id") == b).isEmpty():
             path = [b]
             while path[-1] != a:
@@ -91,13 +91,13 @@ def closure(links: DataFrame, target: str, src: str = "from_service", dst: str =
     """All that reach ``target`` along links, without itself: ``service``."""
     spark = links.sparkSession
     e = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct()
-    front = seen = _cut(spark.createDataFrame([(target,)], "service string"))
+    front = seen = cut(spark.createDataFrame([(target,)], "service string"))
     while True:
         step = e.join(front.select(F.col("service").alias("b")), "b", "left_semi").select(F.col("a").alias("service")).distinct()
-        front = _cut(step.join(seen, "service", "left_anti"))
+        front = cut(step.join(seen, "service", "left_anti"))
         if front.isEmpty():
             return seen.where(F.col("service") != target)
-        seen = _cut(seen.union(front))
+        seen = cut(seen.union(front))
 
 
 def impact(links: DataFrame, target: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
