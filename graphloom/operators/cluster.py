@@ -107,9 +107,8 @@ def name_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def modularity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph, q`` of the communities that nodes carry."""
     pairs, comm = pair_weights(edges), nodes.select("graph", "id", "community")
-    total = pairs.groupBy("graph").agg((2 * F.sum("w")).alias("m2"))
     side = lambda k: comm.select("graph", F.col("id").alias(k), F.col("community").alias(f"c{k}"))
     inner = pairs.join(side("a"), ["graph", "a"]).join(side("b"), ["graph", "b"]).groupBy("graph").agg(F.sum(F.when(F.col("ca") == F.col("cb"), 2 * F.col("w")).otherwise(0)).alias("inside"))
-    per = weighted_degrees(pairs).join(comm, ["graph", "id"]).groupBy("graph", "community").agg(F.sum("deg").alias("tot"))
-    sq = per.groupBy("graph").agg(F.sum(F.col("tot") * F.col("tot")).alias("sq"))
-    return inner.join(sq, "graph").join(total, "graph").select("graph", (F.col("inside") / F.col("m2") - F.col("sq") / F.col("m2") / F.col("m2")).alias("q"))
+    per = weighted_degrees(pairs).join(comm.withColumn("known", F.lit(True)), ["graph", "id"], "left").groupBy("graph", "community", "known").agg(F.sum("deg").alias("tot"))
+    sums = per.groupBy("graph").agg(F.sum("tot").alias("m2"), F.sum(F.when(F.col("known"), F.col("tot") * F.col("tot"))).alias("sq"))
+    return inner.join(sums, "graph").select("graph", (F.col("inside") / F.col("m2") - F.col("sq") / F.col("m2") / F.col("m2")).alias("q"))
