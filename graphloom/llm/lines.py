@@ -1,10 +1,13 @@
 """Operator 2, line dedup: fuzzy lines.
 
-Lines are normalised to their words in lower case. Equal normalised lines form a class; each class has
-a 64-bit SimHash of its distinct words, weighted by length (up to ``HEAVY``). Two classes whose SimHashes differ in at most
-``BITS`` bits agree on at least ``PICK`` of the ``BLOCKS`` blocks, so classes are joined on every choice of that many
-blocks, checked by their Hamming distance, and verified by the edit similarity of their words (at
-least 0.8). One occurrence stays of each connected group: the first by document id and line.
+Lines are normalised to their words in lower case. Equal normalised lines form a class. Two classes are
+linked if the edit similarity of their words is at least 0.8, and every such pair is met: at most
+``allowed`` words of the longer line are edited, so the rest leaves a run of ``GRAM`` equal words, and a line
+lacks at most ``lost`` of the other's grams. Of each line the ``lost + 1`` first grams in one order of all grams (long
+words first, which are rare) are its keys, so the first common gram is a key of both. Lines of five
+words, whose runs may be shorter, are met by the line with one word left out. Pairs are checked by their
+lengths and by the parities of their words in 256 bits, of which an edit changes two at most, and
+verified by the edit distance. One occurrence stays of each connected group: the first by document id and line.
 
 Defined cases: lines of fewer than ``MIN_WORDS`` words are never removed (blank ones included); null text
 has no lines and stays null, empty text stays empty; repeated rows lose each other's lines, the text of
@@ -16,18 +19,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, combinations
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import linked, materialize, meet, portions, release
 
-MIN_WORDS, BITS, BLOCKS, PICK, PERCENT, HEAVY, BROADCAST = 5, 3, 6, 3, 80, 12, 100_000
-CHUNK, PART = 1 << 16, 1 << 21  # classes whose keys are made at once, keys compared at once
+MIN_WORDS, BITS, PERCENT, HEAVY, BROADCAST = 5, 64, 80, 12, 100_000  # BITS: SimHashes bound no link
+GRAM, ORDER, ODD = 3, 46, 4  # words of a gram, bits of a key, 64-bit words of the parities
+CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
 WORD, PUNCTUATION = re.compile(r"\w+"), ".,;:!?'\"()-"
 
 
@@ -50,7 +55,7 @@ def normalised(line: str) -> list[str]:
 
 
 def simhashes(lines: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each list's distinct words (none is empty); a word said often weighs no more."""
+    """64-bit SimHash of each list's distinct words (none is empty), for comparison; candidates don't depend on it."""
     from xxhash import xxh3_64_digest as name
 
     sets = [set(ws) for ws in lines]
@@ -100,26 +105,111 @@ def similar(a: list[str], b: list[str], percent: int = PERCENT) -> bool:
     return False
 
 
+def allowed(n: int) -> int:
+    """Most edits between linked lines the longer of which has ``n`` words."""
+    return n * (100 - PERCENT) // 100
+
+
+@lru_cache(1 << 16)
+def lost(n: int) -> int:
+    """Most grams of a line of ``n`` words that a linked line can lack: an edit breaks ``GRAM``, but one less if it
+    inserts, and a line longer by j has j insertions at least."""
+    return max(GRAM * allowed(n + j) - j for j in range(n // 3 + 2) if j <= allowed(n + j))
+
+
+def _hashed(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, one line after the other, and the lines' sizes."""
+    from xxhash import xxh3_64_digest as name
+
+    return np.frombuffer(b"".join(map(name, chain.from_iterable(lines))), np.uint64), np.fromiter(map(len, lines), np.int64, len(lines))
+
+
+def parities(lines: list[list[str]]) -> np.ndarray:
+    """``ODD`` 64-bit words a line: whether a bit is that of an odd number of its words."""
+    w, sizes = _hashed(lines)
+    at = np.repeat(np.arange(len(lines)) * (64 * ODD), sizes) + (w & np.uint64(64 * ODD - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * ODD * len(lines)) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(-1, ODD)
+
+
+def _mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of several hashes in order."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h + c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def keys_of(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the place of the line of each: any two lines that :func:`similar` links have equal words or share a key."""
+    w, sizes = _hashed(lines)
+    starts = np.cumsum(sizes) - sizes
+    keys, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    short = allowed(GRAM + 2) + GRAM  # 4: a line of one word more can share only two words in a row
+    for n in (short, short + 1):
+        of = np.flatnonzero(sizes == n)
+        words = [w[starts[of] + i] for i in range(n)]
+        for cut_out in [n] if n == short else range(n):
+            keys.append(_mixed([c for i, c in enumerate(words) if i != cut_out]) >> np.uint64(64 - ORDER) | np.uint64(1 << ORDER))
+            places.append(of)
+    if len(w) >= GRAM:
+        long = np.minimum(np.fromiter(map(len, chain.from_iterable(lines)), np.int64, len(w)), 21)
+        line = np.repeat(np.arange(len(lines)), sizes)
+        inside, end = line[: 1 - GRAM] == line[GRAM - 1 :], len(w) - GRAM + 1
+        rank = (63 - sum(long[i : end + i] for i in range(GRAM)))[inside].astype(np.uint64) << np.uint64(ORDER - 6)
+        gram = rank | _mixed([w[i : end + i][inside] for i in range(GRAM)]) >> np.uint64(70 - ORDER)
+        line = line[: 1 - GRAM][inside]
+        for lo, hi in _spans(line):  # the line's place and its gram are one number, which sorts at once
+            x = np.sort((line[lo:hi] - line[lo]).astype(np.uint64) << np.uint64(ORDER) | gram[lo:hi])
+            x = x[np.r_[True, x[1:] != x[:-1]]]
+            at = (x >> np.uint64(ORDER)).astype(np.int64)
+            new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            nth = np.arange(len(at)) - np.repeat(new, np.diff(np.r_[new, len(at)]))
+            at += line[lo]
+            first = nth <= np.fromiter(map(lost, sizes.tolist()), np.int64, len(sizes))[at]
+            keys.append(x[first] & np.uint64((1 << ORDER) - 1))
+            places.append(at[first])
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def _spans(line: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sorted places that span fewer than the places a number has room for."""
+    lo = 0
+    while lo < len(line):
+        hi = int(np.searchsorted(line, line[lo] + (1 << (64 - ORDER)), "left"))
+        yield lo, hi
+        lo = hi
+
+
+def _lines(text: str | None) -> Iterator[tuple[int, list[str]]]:
+    """Place and words of every line that can be removed."""
+    for k, line in enumerate(plain(text or "").split("\n")):
+        w = cut(line)
+        if len(w) >= MIN_WORDS:
+            yield k, w
+
+
+def _names(words: list[list[str]]) -> np.ndarray:
+    from xxhash import xxh3_128_digest as name
+
+    return np.frombuffer(b"".join(name(" ".join(w)) for w in words), "<i8").reshape(-1, 2)
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """``id, line, h1, h2, sim`` of every line that can be removed."""
+    """``id, line, h1, h2, n, o0, ...`` of every line that can be removed: its class, words and parities."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_128_digest as name
-
         for pdf in batches:
             for part in portions(pdf, "text", 2 << 20):
-                at, words = [], []
-                for i, text in zip(part["id"], part["text"]):
-                    for k, line in enumerate(plain(text or "").split("\n")):
-                        w = cut(line)
-                        if len(w) >= MIN_WORDS:
-                            at.append((i, k))
-                            words.append(w)
+                at = [(i, k, w) for i, text in zip(part["id"], part["text"]) for k, w in _lines(text)]
                 if at:
-                    h = np.frombuffer(b"".join(name(" ".join(w)) for w in words), "<i8").reshape(-1, 2)
-                    yield pd.DataFrame({"id": [x[0] for x in at], "line": [x[1] for x in at], "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(words).view(np.int64)})
+                    words = [x[2] for x in at]
+                    h, odd = _names(words), parities(words)
+                    own = {"id": [x[0] for x in at], "line": [x[1] for x in at], "h1": h[:, 0], "h2": h[:, 1], "n": [len(w) for w in words]}
+                    yield pd.DataFrame(own | {f"o{i}": odd[:, i] for i in range(ODD)})
 
-    return docs.mapInPandas(run, "id long, line int, h1 long, h2 long, sim long")
+    return docs.mapInPandas(run, "id long, line int, h1 long, h2 long, n int, " + ", ".join(f"o{i} long" for i in range(ODD)))
 
 
 def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
@@ -135,43 +225,29 @@ def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(near(by), "id").select("text", "own").mapInPandas(run, "h1 long, words array<string>").dropDuplicates(["h1"])
 
 
-def _keys(sim: np.ndarray) -> np.ndarray:
-    """For each choice of ``PICK`` blocks a key of these blocks and the choice; one row of keys a choice."""
-    width = -(-64 // BLOCKS)
-    mask = np.uint64((1 << width) - 1)
-    block = [(sim >> np.uint64(i * width)) & mask for i in range(BLOCKS)]
-    out = []
-    for k, pick in enumerate(combinations(range(BLOCKS), PICK)):
-        key = np.full(len(sim), k, np.uint64)
-        for i in pick:
-            key = (key << np.uint64(width)) | block[i]
-        out.append(key)
-    return np.array(out)
-
-
 def _repeated(keys: np.ndarray) -> np.ndarray:
     """Whether a neighbour in the sorted keys is equal."""
     same = np.r_[False, keys[1:] == keys[:-1], False]
     return same[1:] | same[:-1]
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
+def _buckets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``key, id`` of every key that several classes have, with all that have it.
 
-    Nearly all keys occur once. They travel as packed arrays, dealt by key into parts of about ``PART``. A
-    chunk of ``CHUNK`` classes first finds the keys it holds several times: these rows are known to be
+    Most keys occur once. They travel as packed arrays, dealt by key into parts of about ``PART``. A
+    chunk of about ``CHUNK`` keys first finds those it holds several times: these rows are known to be
     shared and pass by, dealt evenly, and one row stands for them among the chunk's keys. So a key that
-    very many classes have comes to its part at most once a chunk.
+    very many classes have comes to its part at most once a chunk. Keys are made from the texts anew, which
+    is cheaper than to move them; a chunk makes those of a class once.
     """
-    spark = classes.sparkSession
-    choices = len(list(combinations(range(BLOCKS), PICK)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * choices // PART))
+    spark = docs.sparkSession
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * GRAM * (100 - PERCENT) // 100 // PART))
 
     def packed(part, known: bool, keys: np.ndarray, ids: np.ndarray):
         return (int(part), known, keys.tobytes(), ids.tobytes())
 
-    def chunk(ids: np.ndarray, sim: np.ndarray, turn: int) -> pd.DataFrame:
-        keys, ids = _keys(sim).ravel(), np.tile(ids, choices)
+    def chunk(keys: np.ndarray, ids: np.ndarray, turn: int) -> pd.DataFrame:
         order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
         twice = _repeated(keys)
@@ -186,14 +262,22 @@ def _buckets(classes: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["part", "known", "keys", "ids"])
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n, turn = [], 0, TaskContext.get().partitionId() * 7919
-        for pdf in chain(batches, [None]):
-            if pdf is not None and len(pdf):
-                held.append(pdf)
-                n += len(pdf)
-            if n >= CHUNK or (pdf is None and n):
-                whole, held, n, turn = pd.concat(held), [], 0, turn + 31
-                yield chunk(whole["id"].to_numpy(np.int64), whole["sim"].to_numpy(np.int64).view(np.uint64), turn)
+        held, seen, n, turn = [], set(), 0, TaskContext.get().partitionId() * 7919
+        parted = (part for pdf in batches for part in portions(pdf, "text", 2 << 20))
+        for part in chain(parted, [None]):
+            if part is not None:
+                words = [w for text in part["text"] for _, w in _lines(text)]
+                ids = _names(words)[:, 0] if words else np.empty(0, np.int64)
+                new = {i: k for k, i in enumerate(ids.tolist()) if i not in seen}
+                seen.update(new)
+                if new:
+                    keys, at = keys_of([words[k] for k in new.values()])
+                    held.append((keys, np.fromiter(new, np.int64, len(new))[at]))
+                    n += len(keys)
+            if n >= CHUNK or (part is None and n):
+                keys, ids = (np.concatenate(x) for x in zip(*held))
+                held, seen, n, turn = [], set(), 0, turn + 31
+                yield chunk(keys, ids, turn)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = lambda keys, ids: pd.DataFrame({"key": keys.view(np.int64), "id": ids})
@@ -210,10 +294,15 @@ def _buckets(classes: DataFrame) -> DataFrame:
             order = np.argsort(keys)
             keys, ids = keys[order], ids[order]
             twice = _repeated(keys)
+            keys, ids = keys[twice], ids[twice]
+            order = np.lexsort((ids, keys))  # a class comes from every chunk that has it
+            keys, ids = keys[order], ids[order]
+            new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])][: len(keys)]
+            keys, ids = keys[new], ids[new]
+            twice = _repeated(keys) if len(keys) else np.empty(0, bool)
             yield table(keys[twice], ids[twice])
 
-    sims = classes.select(F.col("h1").alias("id"), "sim")
-    dealt = sims.mapInPandas(spread, "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
+    dealt = docs.select("text").mapInPandas(spread, "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
     return materialize(dealt.mapInPandas(find, "key long, id long").distinct(), "lines-keys")
 
 
@@ -221,7 +310,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """``id, line, first_id, first_line`` of every line to remove; docs: ``id, text``."""
     occ = materialize(_occurrences(docs), "lines")
     first = F.min(F.struct("id", "line")).alias("first")
-    classes = materialize(occ.groupBy("h1", "h2").agg(F.first("sim").alias("sim"), first, F.count("*").alias("c")), "classes")
+    classes = materialize(occ.groupBy("h1", "h2").agg(F.first("n").alias("n"), *[F.first(f"o{i}").alias(f"o{i}") for i in range(ODD)], first, F.count("*").alias("c")), "classes")
     def check(pairs: DataFrame) -> DataFrame:
         near = materialize(pairs.distinct(), "likely")
         ends = near.select(F.col("a").alias("h1")).union(near.select("b")).distinct()
@@ -236,8 +325,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
         return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long")
 
-    traits = classes.select(F.col("h1").alias("id"), F.col("sim").alias("t")).dropDuplicates(["id"])
-    comp = linked(meet(_buckets(classes), "lines"), traits, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= BITS, check, "lines")
+    traits = classes.select(F.col("h1").alias("id"), F.struct("n", *[f"o{i}" for i in range(ODD)]).alias("t")).dropDuplicates(["id"])
+
+    def near(x: Column, y: Column) -> Column:
+        most = F.floor(F.greatest(x["n"], y["n"]) * (100 - PERCENT) / 100)
+        apart = sum((F.bit_count(x[f"o{i}"].bitwiseXOR(y[f"o{i}"])) for i in range(ODD)), F.lit(0))
+        return (F.abs(x["n"] - y["n"]) <= most) & (apart <= 2 * most)
+
+    comp = linked(meet(_buckets(docs, classes), "lines"), traits, near, check, "lines")
     named = classes.join(comp.select(F.col("id").alias("h1"), "comp"), "h1", "left").select("h1", "h2", "first", "c", F.coalesce("comp", "h1").alias("comp"), F.col("comp").isNotNull().alias("linked"))
     best = named.where("linked").groupBy("comp").agg(F.min("first").alias("best"))
     kept = named.join(best, "comp", "left").select("h1", "h2", F.coalesce("best", "first").alias("best"), (F.col("linked") | (F.col("c") > 1)).alias("many")).where("many")

@@ -219,6 +219,27 @@ def test_line_dedup(spark, docs, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_meets_all_similar(spark):
+    """Against the edit similarity of all pairs, without SimHash."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    found = []
+    for k in range(150):
+        a = [rng.choice(words if k % 10 else words[:3]) for _ in range(rng.randint(4, 60))]
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, len(a) // 5))):
+            i = rng.randrange(len(b))
+            b[i : i + rng.choice((1, 1, 0))] = rng.choice(([], [rng.choice(words)], [rng.choice(words)]))
+        found += [a, b]
+    at = [w for w in found if len(w) >= lines.MIN_WORDS]
+    links = [(i, j) for i in range(len(at)) for j in range(i) if distance(at[i], at[j]) <= max(len(at[i]), len(at[j])) * 20 // 100]
+    want = reach(range(len(at)), links)
+    assert sum(i != x for i, x in want.items()) > 70
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(at)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(df).collect()}
+    assert got == {i: int(i != x) for i, x in want.items()}
+
+
 def test_license(spark, docs, none):
     got = license.scan(docs)
     own = F.filter("places", lambda x: x["found"] & x["base"])
