@@ -9,7 +9,11 @@ words, whose runs may be shorter, are met by the line with one word left out. Pa
 lengths and by the parities of their words in 256 bits, of which an edit changes two at most, and
 verified by the edit distance. One occurrence stays of each connected group: the first by document id and line.
 
-Defined cases: lines of fewer than ``MIN_WORDS`` words are never removed (blank ones included); null text
+Words are runs of word characters; in scripts written without blanks (``UNSPACED``) each character is a word. A
+line without a word (a rule, a bracket) has its runs between blanks as words. So every line that isn't blank counts,
+a line of fewer than five words by equality, as no edit of it leaves 0.8.
+
+Defined cases: blank lines are never removed; null text
 has no lines and stays null, empty text stays empty; repeated rows lose each other's lines, the text of
 a repeated row included, only where an earlier id holds them; an empty table gives an empty result.
 Lines are separated by a newline and keep their order and own text.
@@ -30,10 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import linked, materialize, meet, portions, release
 
-MIN_WORDS, BITS, PERCENT, HEAVY, BROADCAST = 5, 64, 80, 12, 100_000  # BITS: SimHashes bound no link
+MIN_WORDS, BITS, PERCENT, HEAVY, BROADCAST = 1, 64, 80, 12, 100_000  # BITS: SimHashes bound no link
 GRAM, ORDER, ODD = 3, 46, 4  # words of a gram, bits of a key, 64-bit words of the parities
 CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
-WORD, PUNCTUATION = re.compile(r"\w+"), ".,;:!?'\"()-"
+PUNCTUATION = ".,;:!?'\"()-"
+#: Thai to Myanmar, Khmer, New Tai Lue to Tai Tham, kana with marks, Han; not Hangul and others that part words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1980-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD, UNSPACED_WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+"), re.compile(f"[{UNSPACED}]")
 
 
 def plain(text: str) -> str:
@@ -47,11 +54,12 @@ def plain(text: str) -> str:
 def cut(line: str) -> list[str]:
     """The words of a line that :func:`plain` made."""
     words = line.split()  # cheaper than the pattern, and the same if nothing else parts words
-    return words if "".join(words).isalnum() else WORD.findall(line)
+    own = "".join(words)
+    return words if own.isalnum() and (own.isascii() or not UNSPACED_WORD.search(own)) else WORD.findall(line)
 
 
 def normalised(line: str) -> list[str]:
-    return cut(plain(line))
+    return cut(plain(line)) or line.split()
 
 
 def simhashes(lines: list[list[str]]) -> np.ndarray:
@@ -184,8 +192,9 @@ def _spans(line: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _lines(text: str | None) -> Iterator[tuple[int, list[str]]]:
     """Place and words of every line that can be removed."""
-    for k, line in enumerate(plain(text or "").split("\n")):
-        w = cut(line)
+    text = text or ""
+    for k, (own, line) in enumerate(zip(text.split("\n"), plain(text).split("\n"))):
+        w = cut(line) or own.split()
         if len(w) >= MIN_WORDS:
             yield k, w
 

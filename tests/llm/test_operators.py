@@ -240,6 +240,14 @@ def test_line_dedup_meets_all_similar(spark):
     assert got == {i: int(i != x) for i, x in want.items()}
 
 
+def test_line_dedup_short_and_unspaced(spark):
+    han, thai = "今天天气很好我们一起去公园散步吧", "วันนี้อากาศดีมากเราไปเดินเล่นในสวนกันเถอะ"
+    texts = [f"Share this page\n\n{han}\n{thai}\n* * *\nyes", f"share this page!\n\n{han}\n{thai}\n* * *\nno", f"Share this site\n\n{han.replace('公', '花')}\n---\nYes", "全部不同的另一句话写在这里"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    assert got == {0: texts[0], 1: "\nno", 2: "Share this site\n\n---", 3: texts[3]}
+
+
 def test_license(spark, docs, none):
     got = license.scan(docs)
     own = F.filter("places", lambda x: x["found"] & x["base"])
