@@ -7,13 +7,14 @@ the item); an alignment that covers ``RUN`` tokens of an item (or all, if it has
 candidate. There the slots are compared: the same value in the item must always stand for the same
 value in the document, else the template is shared and the question isn't.
 
-Items are indexed a second time with names as plain words, so a document in lower case or capitals
-is met too. The benchmark's windows are broadcast only while they number ``BROADCAST`` at most; beyond
-that the same join is a shuffle.
-
-Defined cases: null and empty texts match nothing, on either side; items of fewer than ``WINDOW`` tokens
-cannot be told from chance and match nothing; windows of mostly placeholders are not indexed. Repeated
-rows are found by their id once; one document can hold several items.
+Items are indexed a second time with names as plain words, and so are the windows of documents that hold names: a
+document in lower case or capitals is met too, and one in which a capital after a mark looks like a name. Windows of mostly
+placeholders are matched by their values, as their types alone say little. Items of fewer than ``WINDOW`` tokens are
+one window, matched by its plain words and values. The benchmark's windows are broadcast only while they
+number ``BROADCAST`` at most; beyond that the same join is a shuffle.
+
+Defined cases: null and empty texts match nothing, on either side; an item of one or few tokens leaks wherever these
+stand in a row. Repeated rows are found by their id once; one document can hold several items.
 """
 
 from __future__ import annotations
@@ -43,24 +44,49 @@ def tokens(surface: Column) -> Column:
     return F.regexp_extract_all(surface, F.lit(r"#n\p{N}+(?:[.,]\p{N}+)*|#?[\p{L}\p{M}]+"), F.lit(0))
 
 
-def typed(surface: Column) -> Column:
+def typed(toks: Column) -> Column:
     """Tokens with slots reduced to their types."""
-    return F.regexp_extract_all(surface, F.lit(r"#[npu]|(?<![#\p{L}\p{M}]|#[npu])[\p{L}\p{M}]+"), F.lit(0))
+    return F.transform(toks, lambda x: F.when(x.startswith("#"), F.substring(x, 1, 2)).otherwise(x))
 
 
-def hashes(toks: Column, w: int = WINDOW) -> Column:
-    """Hash of each window, by its first token."""
+def places(toks: Column, w: int = WINDOW) -> Column:
+    """First tokens of the windows."""
     n = F.size(toks) - w
-    return F.transform(F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(toks, i + 1, w)))
+    return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+
+
+def hashed(toks: Column, types: Column, i: Column) -> Column:
+    """Hash of the window at a place: of its types, or of its values if most are placeholders."""
+    own = F.slice(types, i + 1, WINDOW)
+    plain = F.size(F.filter(own, lambda x: ~x.startswith("#")))
+    return F.when(plain >= WINDOW // 2, F.xxhash64(own)).otherwise(F.xxhash64(F.slice(toks, i + 1, WINDOW)))
+
+
+def window(i: Column, h: Column) -> Column:
+    return F.struct(i.alias("pos"), h.alias("h"))
 
 
 def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows ``h, item, form, ipos`` and items ``item, form, size, itoks`` in both forms."""
-    forms = [items.select(F.col("item_id").alias("item"), F.lit(k).alias("form"), surfaces(F.col("text"), names).alias("s")) for k, names in enumerate((True, False))]
-    both = forms[0].union(forms[1]).where("s is not null").select("item", "form", tokens(F.col("s")).alias("itoks"), typed(F.col("s")).alias("t"))
-    plain = F.size(F.filter(F.slice("t", F.col("ipos") + 1, WINDOW), lambda x: ~x.startswith("#")))
-    rows = both.select("item", "form", "t", F.posexplode(hashes(F.col("t"))).alias("ipos", "h")).where(plain >= WINDOW // 2)
-    return rows.select("h", "item", "form", "ipos").distinct(), both.select("item", "form", F.size("t").alias("size"), "itoks").distinct()
+    """Windows ``h, item, form, ipos`` and items ``item, form, size, itoks`` in both forms; short items in plain form only."""
+    forms = [items.select(F.col("item_id").alias("item"), F.lit(k).alias("form"), tokens(surfaces(F.col("text"), names)).alias("itoks")) for k, names in enumerate((True, False))]
+    both = forms[0].union(forms[1]).where("size(itoks) > 0").withColumn("t", typed(F.col("itoks")))
+    long = both.select("item", "form", F.explode(F.transform(places(F.col("itoks")), lambda i: window(i, hashed(F.col("itoks"), F.col("t"), i)))).alias("w"))
+    short = both.where((F.size("itoks") < WINDOW) & (F.col("form") == 1)).select(F.xxhash64("itoks").alias("h"), "item", "form", F.lit(0).alias("ipos"))
+    rows = long.select("w.h", "item", "form", F.col("w.pos").alias("ipos")).union(short)
+    return rows.distinct(), both.select("item", "form", F.size("itoks").alias("size"), "itoks").distinct()
+
+
+def document_windows(src: DataFrame, sizes: list[int]) -> DataFrame:
+    """``doc_id, pos, h`` of all windows, those with names in plain form as well, and plain ones of the short ``sizes``."""
+    rows = src.where("text is not null").select("doc_id", tokens(surfaces(F.col("text"))).alias("v"), tokens(surfaces(F.col("text"), False)).alias("u"))
+    rows = rows.select("doc_id", "v", "u", typed(F.col("v")).alias("t"), typed(F.col("u")).alias("s"))
+    v, u, t, s = (F.col(c) for c in "vuts")
+    named = F.filter(places(u), lambda i: F.slice(t, i + 1, WINDOW) != F.slice(s, i + 1, WINDOW))
+    named = F.when(v == u, F.array().cast("array<int>")).otherwise(named)
+    all_ = [F.transform(places(v), lambda i: window(i, hashed(v, t, i))), F.transform(named, lambda i: window(i, hashed(u, s, i)))]
+    whole = lambda w: F.transform(places(u, w), lambda i: window(i, F.xxhash64(F.slice(u, i + 1, w))))
+    all_ += [whole(w) for w in sizes]
+    return rows.select("doc_id", F.explode(F.concat(*all_)).alias("w")).select("doc_id", "w.pos", "w.h")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,10 +95,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     small = windows.count() <= BROADCAST
     near = F.broadcast if small else (lambda d: d)
-    rows = src.where("text is not null").select("doc_id", typed(surfaces(F.col("text"))).alias("t"))
-    rows = rows.select("doc_id", F.posexplode(hashes(F.col("t"))).alias("pos", "h"))
+    sizes = sorted(r[0] for r in whole.where((F.col("size") < WINDOW) & (F.col("form") == 1)).select("size").distinct().collect())
+    rows = document_windows(src, sizes)
     met = rows.join(near(windows), "h").groupBy("doc_id", "item", "form", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("n"))
-    met = met.join(near(whole), ["item", "form"]).where(F.col("n") + WINDOW - 1 >= F.least(F.lit(RUN), F.col("size")))
+    met = met.join(near(whole), ["item", "form"]).where(F.col("n") + F.least(F.lit(WINDOW), F.col("size")) - 1 >= F.least(F.lit(RUN), F.col("size")))
     full = met.join(src, "doc_id").select("doc_id", "item", "form", "shift", "n", "itoks", tokens(surfaces(F.col("text"))).alias("toks"))
     full = materialize(full, "aligned")  # else the tokens would be cut anew for every place compared
     slot = lambda x: F.substring(x, 1, 2)
@@ -82,7 +108,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     full = full.withColumn("pairs", F.array_distinct(pairs))
     kinds = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
     good = full.where(F.size("pairs") == kinds)
-    n = (F.col("n") + WINDOW - 1).cast("long")
+    n = (F.col("n") + F.least(F.lit(WINDOW), F.size("itoks")) - 1).cast("long")
     row = good.select("doc_id", F.col("item").alias("item_id"), F.greatest("shift", F.lit(0)).cast("long").alias("first_token"), n.alias("n_tokens"), F.size("pairs").cast("long").alias("n_slots"), F.exists("pairs", lambda p: p["a"] != p["b"]).alias("changed"))
     best = row.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("first_token", "n_tokens", "n_slots", "changed"), F.struct("n_tokens", -F.col("first_token"), "n_slots", ~F.col("changed"))).alias("b"))
     return best.select("doc_id", "item_id", "b.*")

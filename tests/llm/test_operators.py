@@ -289,6 +289,15 @@ def test_decontamination(spark, none):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_verbatim(spark):
+    texts = ["What is the capital city of the largest country in Africa?", "Compute 12 + 15 + 18 + 21 and 4 * 7 * 9 then 3 + 5 + 8 in total", "Who wrote the novel War and Peace?"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    data = [(i, f"Question: {t} Answer: yes") for i, t in enumerate(texts)]
+    data += [(10, "Compute 1 + 2 + 3 + 4 and 5 * 6 * 7 then 9 + 10 + 11 in full"), (11, "Who wrote the novel War and Dust?"), (12, "the capital city of the largest country")]
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in data], DOCS)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, items).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
