@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SALT = 2048
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir``; a local one only for local masters."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -113,20 +116,24 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
     they may be linked; ``check`` gets pairs ``a < b`` and returns those that hold. A bucket of n rows
     makes n - 1 pairs with its smallest row; only buckets that then still span several components have
     members of different components compared, by ``near`` within the join, so no pair that could join
-    two components is left out and a group of copies never makes all its pairs.
+    two components is left out and a group of copies never makes all its pairs. Large buckets are cut into blocks
+    of about ``SALT`` rows, and pairs of blocks are joined, so no task has a whole bucket's comparisons.
     """
     side = lambda c: traits.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"))
     star = materialize(shared.where("a < id").select("a", F.col("id").alias("b")).distinct(), f"{tag}-star")
     likely = star.join(side("b"), "b").join(side("a"), "a").where(near(F.col("ta"), F.col("tb"))).select("a", "b")
     links = materialize(check(likely), f"{tag}-links")
     comp = components(links, tag)
-    label = shared.where("m > 2").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    label = shared.where("m > 2").join(comp, "id", "left").select("key", "id", "m", F.coalesce("comp", "id").alias("comp"))
     label = materialize(label, f"{tag}-bucket")
     mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = materialize(label.join(mixed, "key", "left_semi").join(traits, "id"), f"{tag}-mixed")
-    x, y = (rest.select("key", *[F.col(n).alias(f"{n[0]}{c}") for n in ("id", "comp", "t")]) for c in "ab")
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("ia") < F.col("ib")) & (F.col("ca") != F.col("cb")) & near(F.col("ta"), F.col("tb")))
-    cross = cross.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    blocks = F.ceil(F.col("m") / SALT).cast("int")
+    rest_in = rest.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    x = rest_in.select("key", F.col("blk").alias("p"), F.explode(F.sequence("blk", blocks - 1)).alias("q"), F.col("id").alias("ia"), F.col("comp").alias("ca"), F.col("t").alias("ta"))
+    y = rest_in.select("key", F.explode(F.sequence(F.lit(0), "blk")).alias("p"), F.col("blk").alias("q"), F.col("id").alias("ib"), F.col("comp").alias("cb"), F.col("t").alias("tb"))
+    cross = x.join(y, ["key", "p", "q"]).where(((F.col("p") < F.col("q")) | (F.col("ia") < F.col("ib"))) & (F.col("ca") != F.col("cb")) & near(F.col("ta"), F.col("tb")))
+    cross = cross.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = materialize(check(cross), f"{tag}-links")
     if not more.isEmpty():
         first, comp = comp, components(links.union(more), tag)

@@ -1,22 +1,28 @@
 """Operator 2, line dedup: fuzzy lines.
 
-Lines are normalised to their words in lower case. Equal normalised lines form a class. Two classes are
-linked if the edit similarity of their words is at least 0.8, and every such pair is met: at most
-``allowed`` words of the longer line are edited, so the rest leaves a run of ``GRAM`` equal words, and a line
-lacks at most ``lost`` of the other's grams. Of each line the ``lost + 1`` first grams in one order of all grams (long
-words first, which are rare) are its keys, so the first common gram is a key of both. Lines of five
-words, whose runs may be shorter, are met by the line with one word left out. Pairs are checked by their
-lengths and by the parities of their words in 256 bits, of which an edit changes two at most, and
-verified by the edit distance. One occurrence stays of each connected group: the first by document id and line.
+Lines are normalised to their words in lower case; equal ones form a class. Two classes are linked if the edit
+similarity of their words is at least 0.8. Blocks that linked lines must share come from the pigeonhole principle:
+at most ``allowed`` words of the longer line are edited, so a line lacks at most ``lost`` of the other's grams of
+``GRAM`` words, and its ``lost + 1`` first grams in one order of all grams meet the other line's. Of these the
+first ``KEYS`` are the blocks that are joined: all of them for lines of up to about a dozen words (nothing is lost),
+and a bottom-k sketch of the grams for longer ones, which finds a pair at similarity 0.8 with probability 0.95 or
+more (README). Lines of five words, whose runs may be shorter, are met by the line with one word left out.
+Pairs are checked by their lengths and by the parities of their words in ``64 * ODD`` bits, of which an edit changes
+two at most, and verified by the edit distance. One occurrence stays of each connected group: the first by
+document id, line and text.
+
+SimHash blocks aren't used: at similarity 0.8 SimHashes of 64 bits differ in 13 bits on average, which no split into
+selective blocks meets (README has figures). :func:`simhashes` remains for comparison.
 
 Words are runs of word characters; in scripts written without blanks (``UNSPACED``) each character is a word. A
 line without a word (a rule, a bracket) has its runs between blanks as words. So every line that isn't blank counts,
 a line of fewer than five words by equality, as no edit of it leaves 0.8.
 
-Defined cases: blank lines are never removed; null text
-has no lines and stays null, empty text stays empty; repeated rows lose each other's lines, the text of
-a repeated row included, only where an earlier id holds them; an empty table gives an empty result.
-Lines are separated by a newline and keep their order and own text.
+Defined cases: blank lines are never removed; null text has no lines and stays null, empty text stays empty; a row
+without an id comes after all others; rows that share an id are told apart by their text, and rows equal in both are one
+row (they keep and lose the same lines); an empty table gives an empty result; a text of any length is read in one
+piece, its lines in portions. Other columns pass through under any name; ``n_lines`` and ``n_removed`` of the input
+are replaced. Lines are separated by a newline and keep their order and own text.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -34,9 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import linked, materialize, meet, portions, release
 
-MIN_WORDS, BITS, PERCENT, HEAVY, BROADCAST = 1, 64, 80, 12, 100_000  # BITS: SimHashes bound no link
-GRAM, ORDER, ODD = 3, 46, 4  # words of a gram, bits of a key, 64-bit words of the parities
+PERCENT, HEAVY, BROADCAST, FEW = 80, 12, 100_000, 1000
+GRAM, KEYS, ODD = 3, 8, 2  # words of a gram, most keys of a line, 64-bit words of the parities
 CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
+NO_ID, LINES = (1 << 63) - 1, 20_000  # id of rows without one; lines in hand at once
 PUNCTUATION = ".,;:!?'\"()-"
 #: Thai to Myanmar, Khmer, New Tai Lue to Tai Tham, kana with marks, Han; not Hangul and others that part words.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1980-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
@@ -149,53 +156,44 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def keys_of(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and the place of the line of each: any two lines that :func:`similar` links have equal words or share a key."""
+def keys_of(lines: list[list[str]]) -> np.ndarray:
+    """``KEYS`` keys a line (0: none): lines that :func:`similar` links share one, if they have no more keys than that.
+
+    Grams are taken in the order of a hash, those of few letters (which are common) last."""
     w, sizes = _hashed(lines)
-    starts = np.cumsum(sizes) - sizes
-    keys, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    starts, out = np.cumsum(sizes) - sizes, np.zeros((len(lines), KEYS), np.uint64)
     short = allowed(GRAM + 2) + GRAM  # 4: a line of one word more can share only two words in a row
     for n in (short, short + 1):
         of = np.flatnonzero(sizes == n)
         words = [w[starts[of] + i] for i in range(n)]
-        for cut_out in [n] if n == short else range(n):
-            keys.append(_mixed([c for i, c in enumerate(words) if i != cut_out]) >> np.uint64(64 - ORDER) | np.uint64(1 << ORDER))
-            places.append(of)
+        for j, cut_out in enumerate([n] if n == short else range(n)):
+            out[of, j] = _mixed([c for i, c in enumerate(words) if i != cut_out])
     if len(w) >= GRAM:
-        long = np.minimum(np.fromiter(map(len, chain.from_iterable(lines)), np.int64, len(w)), 21)
         line = np.repeat(np.arange(len(lines)), sizes)
-        inside, end = line[: 1 - GRAM] == line[GRAM - 1 :], len(w) - GRAM + 1
-        rank = (63 - sum(long[i : end + i] for i in range(GRAM)))[inside].astype(np.uint64) << np.uint64(ORDER - 6)
-        gram = rank | _mixed([w[i : end + i][inside] for i in range(GRAM)]) >> np.uint64(70 - ORDER)
-        line = line[: 1 - GRAM][inside]
-        for lo, hi in _spans(line):  # the line's place and its gram are one number, which sorts at once
-            x = np.sort((line[lo:hi] - line[lo]).astype(np.uint64) << np.uint64(ORDER) | gram[lo:hi])
-            x = x[np.r_[True, x[1:] != x[:-1]]]
-            at = (x >> np.uint64(ORDER)).astype(np.int64)
-            new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            nth = np.arange(len(at)) - np.repeat(new, np.diff(np.r_[new, len(at)]))
-            at += line[lo]
-            first = nth <= np.fromiter(map(lost, sizes.tolist()), np.int64, len(sizes))[at]
-            keys.append(x[first] & np.uint64((1 << ORDER) - 1))
-            places.append(at[first])
-    return np.concatenate(keys), np.concatenate(places)
-
-
-def _spans(line: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of sorted places that span fewer than the places a number has room for."""
-    lo = 0
-    while lo < len(line):
-        hi = int(np.searchsorted(line, line[lo] + (1 << (64 - ORDER)), "left"))
-        yield lo, hi
-        lo = hi
+        at = np.flatnonzero(line[: 1 - GRAM] == line[GRAM - 1 :])
+        at = at[sizes[line[at]] > short]
+        long = np.fromiter(map(len, chain.from_iterable(lines)), np.int64, len(w))
+        letters = sum(long[at + i] for i in range(GRAM))
+        common = ((letters < 15).astype(np.uint64) + (letters < 10)) << np.uint64(62)
+        gram, line = _mixed([w[at + i] for i in range(GRAM)]) >> np.uint64(2) | common, line[at]
+        order = np.lexsort((gram, line))
+        gram, line = gram[order], line[order]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (line[1:] != line[:-1])][: len(gram)]
+        gram, line = gram[new], line[new]
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
+        nth = np.arange(len(line)) - np.repeat(first, np.diff(np.r_[first, len(line)]))
+        most = np.minimum(np.fromiter(map(lost, sizes.tolist()), np.int64, len(sizes)) + 1, KEYS)
+        keep = nth < most[line]
+        place = nth + np.where(sizes[line] == short + 1, short + 1, 0)  # after the lines with a word left out
+        out[line[keep], place[keep]] = gram[keep]
+    return out
 
 
 def _lines(text: str | None) -> Iterator[tuple[int, list[str]]]:
-    """Place and words of every line that can be removed."""
+    """Place and words of every line that isn't blank."""
     text = text or ""
     for k, (own, line) in enumerate(zip(text.split("\n"), plain(text).split("\n"))):
-        w = cut(line) or own.split()
-        if len(w) >= MIN_WORDS:
+        if w := cut(line) or own.split():
             yield k, w
 
 
@@ -205,53 +203,56 @@ def _names(words: list[list[str]]) -> np.ndarray:
     return np.frombuffer(b"".join(name(" ".join(w)) for w in words), "<i8").reshape(-1, 2)
 
 
+KEYED = [f"k{i}" for i in range(KEYS)]
+PARITIES = [f"o{i}" for i in range(ODD)]
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """``id, line, h1, h2, n, o0, ...`` of every line that can be removed: its class, words and parities."""
+    """``id, th, line, h1, h2, n, o0, ..., k0, ...`` of every line that isn't blank: its class, words, parities and keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in portions(pdf, "text", 2 << 20):
-                at = [(i, k, w) for i, text in zip(part["id"], part["text"]) for k, w in _lines(text)]
-                if at:
-                    words = [x[2] for x in at]
-                    h, odd = _names(words), parities(words)
-                    own = {"id": [x[0] for x in at], "line": [x[1] for x in at], "h1": h[:, 0], "h2": h[:, 1], "n": [len(w) for w in words]}
-                    yield pd.DataFrame(own | {f"o{i}": odd[:, i] for i in range(ODD)})
+                at = ((i, th, k, w) for i, th, text in zip(part["id"], part["th"], part["text"]) for k, w in _lines(text))
+                while some := list(islice(at, LINES)):
+                    words = [x[3] for x in some]
+                    h, odd, keys = _names(words), parities(words), keys_of(words).view(np.int64)
+                    own = {"id": [x[0] for x in some], "th": [x[1] for x in some], "line": [x[2] for x in some], "h1": h[:, 0], "h2": h[:, 1], "n": [len(w) for w in words]}
+                    yield pd.DataFrame(own | {c: odd[:, i] for i, c in enumerate(PARITIES)} | {c: keys[:, i] for i, c in enumerate(KEYED)})
 
-    return docs.mapInPandas(run, "id long, line int, h1 long, h2 long, n int, " + ", ".join(f"o{i} long" for i in range(ODD)))
+    return docs.mapInPandas(run, "id long, th int, line int, h1 long, h2 long, n int, " + ", ".join(f"{c} long" for c in PARITIES + KEYED))
 
 
 def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
-    """``h1, words`` of the classes asked for (``h1, id, line``)."""
+    """``cid, words`` of the classes asked for (``cid, id, th, line``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(x["h1"], normalised(text.split("\n")[x["line"]])) for text, own in zip(pdf["text"], pdf["own"]) for x in own]
-            yield pd.DataFrame(out, columns=["h1", "words"])
+            for part in portions(pdf, "text", 2 << 20):
+                out = [(x["cid"], normalised(cut_[x["line"]])) for text, own in zip(part["text"], part["own"]) for cut_ in [text.split("\n")] for x in own]
+                yield pd.DataFrame(out, columns=["cid", "words"])
 
-    by = need.groupBy("id").agg(F.collect_list(F.struct("h1", "line")).alias("own"))
+    by = need.groupBy("id", "th").agg(F.collect_list(F.struct("cid", "line")).alias("own"))
     near = F.broadcast if need.count() <= BROADCAST else (lambda d: d)
-    return docs.join(near(by), "id").select("text", "own").mapInPandas(run, "h1 long, words array<string>").dropDuplicates(["h1"])
+    return docs.join(near(by), ["id", "th"]).select("text", "own").mapInPandas(run, "cid long, words array<string>").dropDuplicates(["cid"])
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
     """Whether a neighbour in the sorted keys is equal."""
     same = np.r_[False, keys[1:] == keys[:-1], False]
-    return same[1:] | same[:-1]
+    return (same[1:] | same[:-1])[: len(keys)]
 
 
-def _buckets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _buckets(classes: DataFrame) -> DataFrame:
     """``key, id`` of every key that several classes have, with all that have it.
 
     Most keys occur once. They travel as packed arrays, dealt by key into parts of about ``PART``. A
     chunk of about ``CHUNK`` keys first finds those it holds several times: these rows are known to be
     shared and pass by, dealt evenly, and one row stands for them among the chunk's keys. So a key that
-    very many classes have comes to its part at most once a chunk. Keys are made from the texts anew, which
-    is cheaper than to move them; a chunk makes those of a class once.
+    very many classes have comes to its part at most once a chunk.
     """
-    spark = docs.sparkSession
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * GRAM * (100 - PERCENT) // 100 // PART))
+    spark = classes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * KEYS // PART))
 
     def packed(part, known: bool, keys: np.ndarray, ids: np.ndarray):
         return (int(part), known, keys.tobytes(), ids.tobytes())
@@ -260,7 +261,8 @@ def _buckets(docs: DataFrame, classes: DataFrame) -> DataFrame:
         order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
         twice = _repeated(keys)
-        rows = [packed((turn + lo // 4096) % parts, True, keys[twice][lo : lo + 4096], ids[twice][lo : lo + 4096]) for lo in range(0, int(twice.sum()), 4096)]
+        known, own = keys[twice], ids[twice]
+        rows = [packed((turn + lo // 4096) % parts, True, known[lo : lo + 4096], own[lo : lo + 4096]) for lo in range(0, len(known), 4096)]
         first = np.r_[True, keys[1:] != keys[:-1]]
         keys, ids = keys[first], ids[first]
         part = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
@@ -271,21 +273,16 @@ def _buckets(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["part", "known", "keys", "ids"])
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seen, n, turn = [], set(), 0, TaskContext.get().partitionId() * 7919
-        parted = (part for pdf in batches for part in portions(pdf, "text", 2 << 20))
-        for part in chain(parted, [None]):
-            if part is not None:
-                words = [w for text in part["text"] for _, w in _lines(text)]
-                ids = _names(words)[:, 0] if words else np.empty(0, np.int64)
-                new = {i: k for k, i in enumerate(ids.tolist()) if i not in seen}
-                seen.update(new)
-                if new:
-                    keys, at = keys_of([words[k] for k in new.values()])
-                    held.append((keys, np.fromiter(new, np.int64, len(new))[at]))
-                    n += len(keys)
-            if n >= CHUNK or (part is None and n):
+        held, n, turn = [], 0, TaskContext.get().partitionId() * 7919
+        for pdf in chain(batches, [None]):
+            if pdf is not None and len(pdf):
+                keys = pdf[KEYED].to_numpy(np.int64).view(np.uint64).ravel()
+                ids = np.repeat(pdf["cid"].to_numpy(np.int64), KEYS)[keys != 0]
+                held.append((keys[keys != 0], ids))
+                n += len(ids)
+            if n and (pdf is None or n >= CHUNK):
                 keys, ids = (np.concatenate(x) for x in zip(*held))
-                held, seen, n, turn = [], set(), 0, turn + 31
+                held, n, turn = [], 0, turn + 31
                 yield chunk(keys, ids, turn)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,67 +297,82 @@ def _buckets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     held.append(pair)
         if held:
             keys, ids = (np.concatenate(x) for x in zip(*held))
+            del held
             order = np.argsort(keys)
             keys, ids = keys[order], ids[order]
             twice = _repeated(keys)
             keys, ids = keys[twice], ids[twice]
-            order = np.lexsort((ids, keys))  # a class comes from every chunk that has it
-            keys, ids = keys[order], ids[order]
-            new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])][: len(keys)]
-            keys, ids = keys[new], ids[new]
-            twice = _repeated(keys) if len(keys) else np.empty(0, bool)
-            yield table(keys[twice], ids[twice])
+            for lo in range(0, len(keys), 1 << 16):
+                yield table(keys[lo : lo + (1 << 16)], ids[lo : lo + (1 << 16)])
 
-    dealt = docs.select("text").mapInPandas(spread, "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
+    dealt = classes.select("cid", *KEYED).mapInPandas(spread, "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
     return materialize(dealt.mapInPandas(find, "key long, id long").distinct(), "lines-keys")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """``id, line, first_id, first_line`` of every line to remove; docs: ``id, text``."""
+    """``id, th, line, first_id, first_line`` of every line to remove; docs: ``id, th, text``."""
     occ = materialize(_occurrences(docs), "lines")
-    first = F.min(F.struct("id", "line")).alias("first")
-    classes = materialize(occ.groupBy("h1", "h2").agg(F.first("n").alias("n"), *[F.first(f"o{i}").alias(f"o{i}") for i in range(ODD)], first, F.count("*").alias("c")), "classes")
+    carried = ["n", *PARITIES, *KEYED]
+    classes = occ.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in carried], F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("c"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # fixed once written
+
     def check(pairs: DataFrame) -> DataFrame:
         near = materialize(pairs.distinct(), "likely")
-        ends = near.select(F.col("a").alias("h1")).union(near.select("b")).distinct()
-        need = materialize(classes.join(ends, "h1", "left_semi").select("h1", "first.id", "first.line"), "need")
+        ends = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
+        need = materialize(classes.join(ends, "cid", "left_semi").select("cid", "first.id", "first.th", "first.line"), "need")
         texts = materialize(_texts(need, docs), "words")
-        side = lambda c: texts.select(F.col("h1").alias(c), F.col("words").alias(f"w{c}"))
+        side = lambda c: texts.select(F.col("cid").alias(c), F.col("words").alias(f"w{c}"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 good = [similar(list(x), list(y)) for x, y in zip(pdf["wa"], pdf["wb"])]
                 yield pdf.loc[good, ["a", "b"]]
 
-        return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long")
+        out = materialize(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long"), "verified")
+        release(near, need, texts)
+        return out
 
-    traits = classes.select(F.col("h1").alias("id"), F.struct("n", *[f"o{i}" for i in range(ODD)]).alias("t")).dropDuplicates(["id"])
+    traits = classes.select(F.col("cid").alias("id"), F.struct("n", *PARITIES).alias("t"))
 
     def near(x: Column, y: Column) -> Column:
         most = F.floor(F.greatest(x["n"], y["n"]) * (100 - PERCENT) / 100)
-        apart = sum((F.bit_count(x[f"o{i}"].bitwiseXOR(y[f"o{i}"])) for i in range(ODD)), F.lit(0))
+        apart = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in PARITIES), F.lit(0))
         return (F.abs(x["n"] - y["n"]) <= most) & (apart <= 2 * most)
 
-    comp = linked(meet(_buckets(docs, classes), "lines"), traits, near, check, "lines")
-    named = classes.join(comp.select(F.col("id").alias("h1"), "comp"), "h1", "left").select("h1", "h2", "first", "c", F.coalesce("comp", "h1").alias("comp"), F.col("comp").isNotNull().alias("linked"))
-    best = named.where("linked").groupBy("comp").agg(F.min("first").alias("best"))
-    kept = named.join(best, "comp", "left").select("h1", "h2", F.coalesce("best", "first").alias("best"), (F.col("linked") | (F.col("c") > 1)).alias("many")).where("many")
-    out = occ.join(kept, ["h1", "h2"]).where((F.col("id") != F.col("best.id")) | (F.col("line") != F.col("best.line")))
-    out = materialize(out.select("id", "line", F.col("best.id").alias("first_id"), F.col("best.line").alias("first_line")), "drop")
-    release(occ, classes)
+    comp = linked(meet(_buckets(classes), "lines"), traits, near, check, "lines")
+    named = classes.select("cid", "h1", "h2", "first", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
+    best = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("best"))
+    kept = named.where("comp is not null or c > 1").join(best, "comp", "left").select("h1", "h2", "c", F.coalesce("best", "first").alias("best"))
+    kept = materialize(kept, "kept")
+    # the commonest classes, FEW at most, are joined by broadcast, so that none is one task's
+    often = F.lit(max(FEW, -(-(occ.count()) // FEW)))
+    places = occ.select("id", "th", "line", "h1", "h2")
+    common = F.broadcast(kept.where(F.col("c") >= often))
+    out = places.join(common, ["h1", "h2"]).unionByName(places.join(common.select("h1", "h2"), ["h1", "h2"], "left_anti").join(kept.where(F.col("c") < often), ["h1", "h2"]))
+    out = out.where((F.col("id") != F.col("best.id")) | (F.col("line") != F.col("best.line")) | (F.col("th") != F.col("best.th")))
+    out = materialize(out.select("id", "th", "line", F.col("best.id").alias("first_id"), F.col("best.line").alias("first_line")), "drop")
+    release(occ, classes, kept, comp)
     return out
 
 
+def _without(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``kept`` (text), ``n_lines`` and ``n_removed``."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row")[text_col]
+    own = own.select("row", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"))
+    drop = duplicate_lines(own.select("id", "th", text.alias("text"))).groupBy("id", "th").agg(F.collect_set("line").alias("drop"))
+    lines = F.split(text, "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop"), lambda i: F.get(lines, i))
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(left, "\n"))
+    count = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0)).cast("long")
+    return own.join(drop, ["id", "th"], "left").select("row", kept.alias("kept"), count(lines).alias("n_lines"), count(F.col("drop")).alias("n_removed"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated lines taken out of their text, and ``n_lines, n_removed``."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    drop = duplicate_lines(src).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("__drop")).withColumnRenamed("id", "__id")
-    lines = F.split(F.col(text_col), "\n")
-    keep = F.filter(lines, lambda x, i: ~F.array_contains("__drop", i))
-    joined = docs.join(drop, F.col(id_col).cast("long") == F.col("__id"), "left")
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
-    rest = [F.col(c) for c in docs.columns if c != text_col]
-    return joined.select(*rest, text.alias(text_col), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_removed"))
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    fields = [F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest]
+    return _without(docs, id_col, text_col).select(*fields, "n_lines", "n_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,4 +382,5 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: texts without the lines that another document or place already has; no row goes."""
-    return dedup_lines(docs).select(docs.columns)
+    fields = [F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return _without(docs, "doc_id", "text").select(*fields)
