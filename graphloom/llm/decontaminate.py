@@ -14,7 +14,9 @@ one window, matched by its plain words and values. The benchmark's windows are b
 number ``BROADCAST`` at most; beyond that the same join is a shuffle.
 
 Defined cases: null and empty texts match nothing, on either side; an item of one or few tokens leaks wherever these
-stand in a row. Repeated rows are found by their id once; one document can hold several items.
+stand in a row. Repeated rows are found by their id once; rows that share an id are found by it if one of them leaks, and
+rows without an id under null; one document can hold several items. Equal alignments: the longest, then the first.
+Empty tables give an empty result; a text of any length is one row of tokens; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -29,37 +31,46 @@ WINDOW, RUN, BROADCAST = 8, 13, 500_000
 UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec min h hr hrs day days week weeks month months year years percent usd eur dollars dollar euros euro cents mph kmh w kw kwh v hz ghz kb mb gb tb degrees meters metres kilometers kilograms grams liters litres hours minutes seconds miles feet inches pounds".split()
 
 
-def surfaces(text: Column, names: bool = True) -> Column:
-    """Text whose slots carry a type and their value: ``#n3.5``, ``#umeters``, ``#pmary``."""
-    t = F.translate(text, "#", " ")
-    if names:
-        t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)(?!\p{L})", "#p$1")
-    t = F.regexp_replace(t, r"(?<!\p{L})(\p{N}+(?:[.,]\p{N}+)*)", "#n$1")
-    t = F.lower(t)
-    return F.regexp_replace(t, rf"(#n[\p{{N}}.,]*\p{{N}}) ?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})", "$1 #u$2")
+_UNITS = "|".join(sorted(UNITS, key=len, reverse=True))
 
 
-def tokens(surface: Column) -> Column:
-    """Tokens with their values."""
-    return F.regexp_extract_all(surface, F.lit(r"#n\p{N}+(?:[.,]\p{N}+)*|#?[\p{L}\p{M}]+"), F.lit(0))
+def tokens(text: Column) -> Column:
+    """Words in lower case and slots with type and value: ``#n3.5``, ``#umeters``, ``#pmary``."""
+    t = F.regexp_replace(F.translate(text, "#", " "), r"(?<!\p{L})(\p{N}+(?:[.,]\p{N}+)*)", "#n$1")
+    t = F.regexp_replace(t, rf"(?i)(#n[\p{{N}}.,]*\p{{N}}) ?({_UNITS})(?!\p{{L}})", "$1 #u$2")
+    t = F.lower(F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)(?!\p{L})", "#p$1"))
+    return F.regexp_extract_all(t, F.lit(r"#n\p{N}+(?:[.,]\p{N}+)*|#?[\p{L}\p{M}]+"), F.lit(0))
 
 
-def typed(toks: Column) -> Column:
-    """Tokens with slots reduced to their types."""
-    return F.transform(toks, lambda x: F.when(x.startswith("#"), F.substring(x, 1, 2)).otherwise(x))
+def plain(token: Column) -> Column:
+    """A name as a word."""
+    return F.when(token.startswith("#p"), F.substr(token, F.lit(3))).otherwise(token)
 
 
-def places(toks: Column, w: int = WINDOW) -> Column:
-    """First tokens of the windows."""
-    n = F.size(toks) - w
-    return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+def kinds(toks: Column) -> Column:
+    """A letter a token: ``w`` for words, the type of slots."""
+    return F.array_join(F.transform(toks, lambda x: F.when(x.startswith("#"), F.substring(x, 2, 1)).otherwise(F.lit("w"))), "")
 
 
-def hashed(toks: Column, types: Column, i: Column) -> Column:
-    """Hash of the window at a place: of its types, or of its values if most are placeholders."""
-    own = F.slice(types, i + 1, WINDOW)
-    plain = F.size(F.filter(own, lambda x: ~x.startswith("#")))
-    return F.when(plain >= WINDOW // 2, F.xxhash64(own)).otherwise(F.xxhash64(F.slice(toks, i + 1, WINDOW)))
+def places(n: Column, w: int = WINDOW) -> Column:
+    """First tokens of the windows of ``n`` tokens."""
+    return F.when(n >= w, F.sequence(F.lit(0), n - w)).otherwise(F.array().cast("array<int>"))
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``n, k`` of their tokens ``v`` and a hash for each token: ``v0`` of its value, ``t0`` with slots as
+    their types, ``v1`` and ``t1`` with names as words."""
+    typed = lambda x: F.when(x.startswith("#"), F.substring(x, 1, 2)).otherwise(x)
+    rows = rows.withColumns({"n": F.size("v"), "k": kinds(F.col("v")), "v0": F.transform("v", lambda x: F.xxhash64(x))})
+    some = lambda kind, of, then: F.when(F.col("k").rlike(kind), F.transform("v", lambda x: F.xxhash64(of(x)))).otherwise(F.col(then))
+    rows = rows.withColumns({"t0": some("[^w]", typed, "v0"), "v1": some("p", plain, "v0")})
+    return rows.withColumn("t1", some("[nu]", lambda x: typed(plain(x)), "v1"))
+
+
+def hashed(i: Column, form: int) -> Column:
+    """Hash of the window at a place: its words and the types of its slots, or its values if most are slots."""
+    slots = F.length(F.translate(F.substr("k", i + 1, F.lit(WINDOW)), "wp" if form else "w", ""))
+    return F.when(slots <= WINDOW // 2, F.xxhash64(F.slice(f"t{form}", i + 1, WINDOW))).otherwise(F.xxhash64(F.slice(f"v{form}", i + 1, WINDOW), F.lit("")))
 
 
 def window(i: Column, h: Column) -> Column:
@@ -68,46 +79,51 @@ def window(i: Column, h: Column) -> Column:
 
 def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Windows ``h, item, form, ipos`` and items ``item, form, size, itoks`` in both forms; short items in plain form only."""
-    forms = [items.select(F.col("item_id").alias("item"), F.lit(k).alias("form"), tokens(surfaces(F.col("text"), names)).alias("itoks")) for k, names in enumerate((True, False))]
-    both = forms[0].union(forms[1]).where("size(itoks) > 0").withColumn("t", typed(F.col("itoks")))
-    long = both.select("item", "form", F.explode(F.transform(places(F.col("itoks")), lambda i: window(i, hashed(F.col("itoks"), F.col("t"), i)))).alias("w"))
-    short = both.where((F.size("itoks") < WINDOW) & (F.col("form") == 1)).select(F.xxhash64("itoks").alias("h"), "item", "form", F.lit(0).alias("ipos"))
-    rows = long.select("w.h", "item", "form", F.col("w.pos").alias("ipos")).union(short)
-    return rows.distinct(), both.select("item", "form", F.size("itoks").alias("size"), "itoks").distinct()
+    rows = prepared(items.where("text is not null").select(F.col("item_id").alias("item"), tokens(F.col("text")).alias("v")).where("size(v) > 0"))
+    every = lambda f: F.explode(F.transform(places(F.col("n")), lambda i: window(i, hashed(i, f))))
+    all_ = [rows.select("item", F.lit(f).alias("form"), every(f).alias("w")) for f in (0, 1)]
+    short = rows.where(F.col("n") < WINDOW).select(F.xxhash64("v1").alias("h"), "item", F.lit(1).alias("form"), F.lit(0).alias("ipos"))
+    found = all_[0].union(all_[1]).select("w.h", "item", "form", F.col("w.pos").alias("ipos")).union(short)
+    whole = [rows.select("item", F.lit(f).alias("form"), F.col("n").alias("size"), (F.col("v") if f == 0 else F.transform("v", plain)).alias("itoks")) for f in (0, 1)]
+    return found.distinct(), whole[0].union(whole[1]).distinct()
 
 
 def document_windows(src: DataFrame, sizes: list[int]) -> DataFrame:
-    """``doc_id, pos, h`` of all windows, those with names in plain form as well, and plain ones of the short ``sizes``."""
-    rows = src.where("text is not null").select("doc_id", tokens(surfaces(F.col("text"))).alias("v"), tokens(surfaces(F.col("text"), False)).alias("u"))
-    rows = rows.select("doc_id", "v", "u", typed(F.col("v")).alias("t"), typed(F.col("u")).alias("s"))
-    v, u, t, s = (F.col(c) for c in "vuts")
-    named = F.filter(places(u), lambda i: F.slice(t, i + 1, WINDOW) != F.slice(s, i + 1, WINDOW))
-    named = F.when(v == u, F.array().cast("array<int>")).otherwise(named)
-    all_ = [F.transform(places(v), lambda i: window(i, hashed(v, t, i))), F.transform(named, lambda i: window(i, hashed(u, s, i)))]
-    whole = lambda w: F.transform(places(u, w), lambda i: window(i, F.xxhash64(F.slice(u, i + 1, w))))
+    """``row, doc_id, th, pos, h`` of all windows, those with names in plain form as well, and plain ones of the short ``sizes``."""
+    rows = prepared(src.where("text is not null").select("doc_id", "th", F.monotonically_increasing_id().alias("row"), tokens(F.col("text")).alias("v")))
+    n = F.col("n")
+    named = F.filter(places(n), lambda i: F.contains(F.substr("k", i + 1, F.lit(WINDOW)), F.lit("p")))
+    named = F.when(F.contains("k", F.lit("p")), F.transform(named, lambda i: window(i, hashed(i, 1)))).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+    all_ = [F.transform(places(n), lambda i: window(i, hashed(i, 0))), named]
+    whole = lambda w: F.transform(places(n, w), lambda i: window(i, F.xxhash64(F.slice("v1", i + 1, w))))
     all_ += [whole(w) for w in sizes]
-    return rows.select("doc_id", F.explode(F.concat(*all_)).alias("w")).select("doc_id", "w.pos", "w.h")
+    return rows.select("row", "doc_id", "th", F.explode(F.concat(*all_)).alias("w")).select("row", "doc_id", "th", "w.pos", "w.h")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, first_token, n_tokens, n_slots, changed``: the best alignment of each item that leaked."""
     windows, whole = benchmark_windows(items)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("th", F.xxhash64("text"))
     small = windows.count() <= BROADCAST
     near = F.broadcast if small else (lambda d: d)
     sizes = sorted(r[0] for r in whole.where((F.col("size") < WINDOW) & (F.col("form") == 1)).select("size").distinct().collect())
     rows = document_windows(src, sizes)
-    met = rows.join(near(windows), "h").groupBy("doc_id", "item", "form", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("n"))
+    met = rows.join(near(windows), "h").groupBy("row", "doc_id", "th", "item", "form", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.count("*").alias("n"))
     met = met.join(near(whole), ["item", "form"]).where(F.col("n") + F.least(F.lit(WINDOW), F.col("size")) - 1 >= F.least(F.lit(RUN), F.col("size")))
-    full = met.join(src, "doc_id").select("doc_id", "item", "form", "shift", "n", "itoks", tokens(surfaces(F.col("text"))).alias("toks"))
+    met = met.select(F.col("doc_id").alias("id"), F.col("th").alias("h"), "item", "form", "shift", "n", "itoks").distinct()
+    # a text that holds the items of an alignment is cut once, into the tokens beside the item
+    full = met.join(src, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
+    full = full.select("doc_id", "th", "item", "form", "shift", "n", "itoks", tokens(F.col("text")).alias("v"))
+    beside = F.transform("itoks", lambda _, i: F.when(i + F.col("shift") >= 0, F.get("v", i + F.col("shift"))))
+    full = full.select("doc_id", "item", "form", "shift", "n", "itoks", beside.alias("own")).distinct()
     full = materialize(full, "aligned")  # else the tokens would be cut anew for every place compared
+    own = F.when(F.col("form") == 1, F.transform("own", plain)).otherwise(F.col("own"))
+    pair = F.arrays_zip(F.col("itoks").alias("a"), own.alias("b"))
     slot = lambda x: F.substring(x, 1, 2)
-    at = F.sequence(F.lit(0), F.size("itoks") - 1)
-    pair = F.transform(at, lambda i: F.struct(F.get("itoks", i).alias("a"), F.when(i + F.col("shift") >= 0, F.get("toks", i + F.col("shift"))).alias("b")))
     pairs = F.filter(pair, lambda p: p["a"].startswith("#") & F.coalesce(p["b"].startswith("#"), F.lit(False)) & (slot(p["a"]) == slot(p["b"])))
     full = full.withColumn("pairs", F.array_distinct(pairs))
-    kinds = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    good = full.where(F.size("pairs") == kinds)
+    one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
+    good = full.where(F.size("pairs") == one)
     n = (F.col("n") + F.least(F.lit(WINDOW), F.size("itoks")) - 1).cast("long")
     row = good.select("doc_id", F.col("item").alias("item_id"), F.greatest("shift", F.lit(0)).cast("long").alias("first_token"), n.alias("n_tokens"), F.size("pairs").cast("long").alias("n_slots"), F.exists("pairs", lambda p: p["a"] != p["b"]).alias("changed"))
     best = row.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("first_token", "n_tokens", "n_slots", "changed"), F.struct("n_tokens", -F.col("first_token"), "n_slots", ~F.col("changed"))).alias("b"))
@@ -120,5 +136,5 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that hold a benchmark item go."""
-    bad = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
