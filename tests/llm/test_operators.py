@@ -66,9 +66,28 @@ def test_transducer_fuzz():
     assert c.counts(texts) == [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_packing(spark, docs, none):
+def test_transducer_long_and_small():
     ranks, pattern, t = vocabulary()
-    got = packing.pack(docs, ranks, pattern, 64, with_ids=True).collect()
+    odd = [" " * 1_000_000, "!" * 300_000, "a\n" * 200_000, "é😀" * 100_000, "x" * 100_000 + " <|endoftext|> y", "", "中" * 200_000, "word we'll " * 300_000, "1" * 5000 + "'ll"]
+    c = fst.Counter(ranks, pattern)
+    assert c.counts(odd) == [len(t.encode(x, add_special_tokens=False).ids) for x in odd]
+    c.words = fst.Words(2000)  # emptied again and again
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 60))) for _ in range(200)) for _ in range(20)]
+    assert c.counts(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_token_counts_odd_ids(spark):
+    ranks, pattern, _ = vocabulary()
+    df = spark.createDataFrame([(2**60 + 1, "a b"), (None, "a"), (None, None)], "doc_id long, text string").withColumn("n_tokens", F.lit(7)).coalesce(1)
+    assert sorted(map(str, map(tuple, fst.count_tokens(df, ranks, pattern).collect()))) == sorted(map(str, [(2**60 + 1, 3, 2, False), (None, 1, 1, False), (None, 0, 0, False)]))
+
+
+def test_packing(spark, docs, none):
+    t, names = vocabulary()[2], packing.vocabulary()
+    got = packing.pack(docs, names, 64, with_ids=True).collect()
+    plain = packing.pack(docs, names, 64)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, packing.pack(docs, names, 64, with_ids=True).drop("ids").collect()))
     by_doc, by_bin = {}, {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -87,7 +106,17 @@ def test_packing(spark, docs, none):
             at += length
         assert at <= 64
     assert len(by_bin) <= math.ceil(sum(r["length"] for r in got) / 64 * 1.05) + 1
-    assert packing.pack(none, ranks, pattern).count() == 0
+    assert packing.pack(none, names).count() == 0
+
+
+def test_packing_odd_rows(spark):
+    t, names = vocabulary()[2], packing.vocabulary()
+    texts = [" " * 1_000_000, "!" * 300_000, "a\n" * 200_000, None]
+    df = spark.createDataFrame([(2**60 + 1, texts[0]), (None, texts[1]), (2**60 + 1, texts[2]), (None, None)], "doc_id long, text string").withColumn("ids", F.lit(1)).coalesce(1)
+    got = packing.pack(df, names).collect()
+    assert {r["doc_id"] for r in got} == {2**60 + 1, None}
+    n = [len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in texts]
+    assert sum(r["length"] for r in got if r["doc_id"]) == n[0] + n[2] and sum(r["length"] for r in got) == sum(n)
 
 
 def test_packer_closes_the_fullest():
