@@ -6,6 +6,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,3 +141,36 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
         release(first)
     release(rest, label, shared, star, links, more)
     return comp
+
+
+class KeyTable:
+    """Open hash table from 64-bit keys (0 excluded) to numbers, read and filled by arrays of keys."""
+
+    def __init__(self, most: int):
+        self.bits = int(2 * most).bit_length()
+        self.keys, self.to = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or of the empty place where it belongs."""
+        at = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        away = np.flatnonzero((there != keys) & (there != 0))
+        while len(away):
+            at[away] = (at[away] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[away]]
+            away = away[(there != keys[away]) & (there != 0)]
+        return at
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """New keys, each once."""
+        while len(keys):
+            at = self.places(keys)
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]  # of several for one place the last stays
+            done = self.keys[at] == keys
+            self.to[at[done]] = numbers[done]
+            keys, numbers = keys[~done], numbers[~done]
+
+    def find(self, keys: np.ndarray, lack: int) -> np.ndarray:
+        at = self.places(keys)
+        return np.where(self.keys[at] == 0, lack, self.to[at])

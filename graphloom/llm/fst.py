@@ -1,21 +1,25 @@
-"""Operator 8, token counts: a finite-state tokenizer compiled to a transducer.
-
-The pre-tokenizer of byte-level BPE vocabularies (``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+|
-?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``) is compiled into a deterministic transducer over character
-classes. A transition that closes a word carries that word's number of tokens. Texts are cut into
-chunks without regard to word borders; every chunk yields a map from start state to end state, the
-maps are composed by a parallel prefix scan, and with its true start state each chunk emits borders.
-The number of tokens of a closed word comes from a lexicon that is filled from the vocabulary's own
-merges and emptied when it reaches ``LEXICON`` words, so memory is bounded.
+"""Operator 8, token counts: a finite-state tokenizer compiled to transducers.
+
+Two deterministic transducers are composed. The first is the pre-tokenizer of byte-level BPE vocabularies
+(``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``) over character classes; it
+emits word borders. Texts are cut into chunks without regard to word borders; every chunk yields a map from start
+state to end state, the maps are composed by a parallel prefix scan, and with its true start state each chunk emits
+its borders. The second reads a word's characters from the start state; the transition by which a
+border closes a word carries the number of tokens that it emits. It is compiled on demand: a transition that
+isn't there yet is added, and a closing transition gets its count from the vocabulary's own merges when it is first
+taken. All words of a portion are read at once, one character a step. At ``STATES`` states it is emptied, so
+memory is bounded; words of over ``LONG`` characters are merged each time.
 
 Defined cases: null and empty texts have 0 tokens; a special string of the vocabulary inside a text
-is one token, as is the library's default. Rows are independent: ties, repeated rows, empty tables
-and extra columns need no care (columns other than id and text are not read).
+is one token, as is the library's default. Very long texts are cut where a border is certain. Only the text goes
+through Python, so ids of any kind, null ones too, and all else stay as they are; ties and repeated rows are
+independent, empty tables give empty results; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,9 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import KeyTable, slices
 
-CHUNK, LEXICON, SPECIAL = 256, 400_000, "<|endoftext|>"
+CHUNK, STATES, LONG, SPECIAL = 256, 1_500_000, 48, "<|endoftext|>"
+PART, BORDER = 1 << 19, re.compile("(?<=[A-Za-z0-9])(?=[ \n])")
 # states
 START, LET, NUM, PUN, APO, RV, LL, CON, S1, W1, S2, W2 = range(12)
 # classes: other letters, letters that end a contraction, r v, l, e, digits, ', other marks, space, other white space, end
@@ -109,6 +114,36 @@ def borders(cls: np.ndarray) -> np.ndarray:
     return here
 
 
+class Words:
+    """Transducer over the characters of a word. Transitions are an open hash table of (state, character)."""
+
+    def __init__(self, states: int = STATES):
+        self.most = states
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.emit, self.n = KeyTable(self.most), np.full(self.most + 1, -1, np.int32), 1
+
+    def _add(self, keys: np.ndarray) -> None:
+        new = np.unique(keys)
+        self.table.add(new, np.arange(self.n, self.n + len(new), dtype=np.int32))
+        self.n += len(new)
+
+    def read(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """End state of each word; ``sizes`` fall."""
+        state = np.zeros(len(starts), np.uint64)
+        for k in range(int(sizes[0]) if len(sizes) else 0):
+            m = int(np.searchsorted(-sizes, -k, "left"))  # words of more than k characters
+            keys = (state[:m] << np.uint64(21) | codes[starts[:m] + k]) + np.uint64(1)
+            at = self.table.places(keys)
+            lack = self.table.keys[at] == 0
+            if lack.any():
+                self._add(keys[lack])
+                at[lack] = self.table.places(keys[lack])
+            state[:m] = self.table.to[at]
+        return state.astype(np.int64)
+
+
 class Counter:
     """Counts of one vocabulary: ranks file of byte-level BPE."""
 
@@ -117,26 +152,32 @@ class Counter:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special, self.lexicon = special, {}
-
-    def _compile(self, words: set[str]) -> None:
-        """Annotate the transitions that close these words."""
-        new = words.difference(self.lexicon)
-        if len(self.lexicon) + len(new) > LEXICON:
-            self.lexicon.clear()
-            new = words
-        encode = self.encoding.encode_ordinary
-        self.lexicon.update((w, len(encode(w))) for w in new)
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.merged = lambda word: len(encoding._encode_single_piece(word))  # the merges alone, no pattern
+        self.special, self.words = special, Words()
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """Texts between special strings, cut where a border is certain."""
+        for own in text.split(self.special) if self.special in text else [text]:
+            a = 0
+            while len(own) - a > 2 * PART and (m := BORDER.search(own, a + PART)):
+                yield own[a : m.start()]
+                a = m.start()
+            yield own[a:] if a else own
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        parts, owner, total = [], [], [0] * len(texts)
+        total, owner, parts = [t.count(self.special) for t in texts], [], []
         for i, t in enumerate(texts):
-            own = t.split(self.special) if self.special in t else [t]
-            total[i] = len(own) - 1
-            parts += own
-            owner += [i] * len(own)
+            for own in self._parts(t):
+                owner.append(i)
+                parts.append(own)
+        for lo, hi in slices([len(p) for p in parts], 2 * PART):
+            for i, n in zip(owner[lo:hi], self._count(parts[lo:hi])):
+                total[i] += n
+        return total
+
+    def _count(self, parts: list[str]) -> list[int]:
         joined = "\n".join(parts) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         cls = transducer()[2][codes]
@@ -144,16 +185,31 @@ class Counter:
         cls[ends] = C_END
         here = borders(cls)
         here[ends] = True
-        cuts = np.flatnonzero(here).tolist()
-        words = [joined[a:b] for a, b in zip([0, *cuts], cuts)]
-        self._compile(set(words))
-        emitted = np.fromiter(map(self.lexicon.__getitem__, words), np.int64, len(words))
-        sums = np.concatenate([[0], np.cumsum(emitted)])
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        lo, hi = np.searchsorted(cuts, starts, "right"), np.searchsorted(cuts, ends, "right")
-        for i, x in zip(owner, (sums[np.maximum(hi, lo)] - sums[lo]).tolist()):
-            total[i] += x
-        return total
+        cuts = np.flatnonzero(here)
+        starts = np.r_[0, cuts[:-1]]
+        starts[np.searchsorted(cuts, ends[:-1]) + 1] += 1  # the newline between parts
+        sizes = cuts - starts
+        emitted = np.zeros(len(cuts), np.int64)
+        for j in np.flatnonzero(sizes > LONG).tolist():
+            emitted[j] = self.merged(joined[starts[j] : cuts[j]])
+        short = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        at = 0
+        while at < len(short):  # as many words as there is surely room for
+            if self.words.most - self.words.n < self.words.most // 16:
+                self.words.clear()
+            room = int(np.searchsorted(np.cumsum(sizes[short[at:]]), self.words.most - self.words.n, "right"))
+            some = short[at : at + room]
+            state = self.words.read(codes, starts[some], sizes[some])
+            lack, first = np.unique(state[self.words.emit[state] < 0], return_index=True)
+            if len(lack):
+                from_ = some[np.flatnonzero(self.words.emit[state] < 0)[first]].tolist()
+                self.words.emit[lack] = [self.merged(joined[starts[j] : cuts[j]]) for j in from_]
+            emitted[some] = self.words.emit[state]
+            at += room
+        sums = np.r_[0, np.cumsum(emitted)]
+        last = np.searchsorted(cuts, ends) + 1
+        return np.diff(np.r_[0, sums[last]]).tolist()
 
 
 @lru_cache(2)
@@ -164,17 +220,15 @@ def counter(ranks: str, pattern: str) -> Counter:
 def count_tokens(docs: DataFrame, ranks: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row. ``ranks``: the vocabulary's ranks file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = counter(ranks, pattern)
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            n: list[int] = []
-            for a, b in slices([len(t) for t in texts], 2 << 20):
-                n += c.counts(texts[a:b])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
-
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return src.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+        for texts in batches:
+            yield pd.Series(c.counts([t or "" for t in texts]), dtype="int64")
+
+    tokens = F.pandas_udf(run, "long")
+    n_bytes = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
+    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), n_bytes.alias("n_bytes"), tokens(F.col(f"`{text_col}`")).alias("n_tokens"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
