@@ -1,8 +1,8 @@
 """Operator 7, chat formatting: schema fingerprints select declarative mappings.
 
 A record is JSON of any layout (lists of messages, prompt and completion, instruction with input and
-output). Its nested field paths, without list positions, are sorted and hashed; the fingerprint picks a
-mapping, which says where turns, roles and texts lie. Turns are written as
+output). Its nested field paths, without list positions and without fields that no mapping names, are sorted and
+hashed; the fingerprint picks a mapping, which says where turns, roles and texts lie. Turns are written as
 
     <|im_start|>role NEWLINE text <|im_end|> NEWLINE
 
@@ -10,9 +10,12 @@ Inside roles and texts ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|`` (a ne
 text can hold a control string and the escape can be undone. The loss mask is the spans, in code points
 of the formatted string, of the assistant's texts.
 
-Defined cases: null text is empty, a null role is ``user``; a record that is null, no JSON or of an
-unknown layout has no turns and the fingerprint of its paths; a list mapping with an empty list has no
-turns. Rows that share a conversation and turn are ordered by role and text; repeated rows stay.
+Defined cases: null roles and texts are empty; roles stay as they are, but where a layout has names of its own for
+them; a record that is null, no JSON, of an unknown layout or with a message that is no object has no turns, and
+the fingerprint of its paths; a list mapping with an empty list has no turns. Rows that share a conversation and turn
+are ordered by role and text; repeated rows stay; rows without a conversation are one conversation without an id.
+A conversation is one row, however long. Empty tables give empty results. Only the record goes through Python:
+other columns pass as they are; ``layout``, ``formatted`` and ``loss_mask`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -20,18 +23,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: Declarative mappings: field paths that must be there, and may be; then a list with its role and text fields, or (role, fields) turns.
 MAPPINGS = [
     ({"messages[].role", "messages[].content"}, set(), {"list": "messages", "role": "role", "text": "content"}),
-    ({"conversations[].from", "conversations[].value"}, {"system"}, {"list": "conversations", "role": "from", "text": "value", "first": ("system", "system")}),
+    ({"conversations[].from", "conversations[].value"}, {"system"}, {"list": "conversations", "role": "from", "text": "value", "first": ("system", "system"), "roles": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}}),
     ({"instruction", "output"}, {"input", "system"}, {"turns": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["output"])]}),
     ({"prompt", "completion"}, {"system"}, {"turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]}),
     ({"prompt", "response"}, {"system"}, {"turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]}),
@@ -40,28 +41,30 @@ MAPPINGS = [
 
 
 def paths(value: object, at: str = "") -> set[str]:
+    """Nested field paths; ``[]`` for an empty list, ``[]*`` for a list's plain values."""
     if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
+        name = lambda k: re.sub(r"([\\.\[*])", r"\\\1", k)
+        return set().union(*(paths(v, f"{at}.{name(k)}" if at else name(k)) for k, v in value.items())) if value else set()
     if isinstance(value, list):
         return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at}
+    return {f"{at}*" if at.endswith("[]") else at}
 
 
 def fingerprint(fields: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(fields)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def registry(mappings: list[tuple] = MAPPINGS) -> dict[str, dict]:
-    """Fingerprint to mapping, for every choice of optional fields."""
-    out = {}
+def registry(mappings: list[tuple] = MAPPINGS) -> tuple[dict[str, dict], set[str]]:
+    """Fingerprint to mapping, for every choice of optional fields; the paths that count."""
+    out, known = {}, set()
     for must, may, mapping in mappings:
-        may = sorted(may)
+        own = mapping.get("list")
+        known |= must | may | ({f"{own}[]", f"{own}[]*"} if own else set())
         for bits in range(1 << len(may)):
-            out[fingerprint(must | {f for i, f in enumerate(may) if bits >> i & 1})] = mapping
-    for _, _, mapping in mappings:
-        if "list" in mapping:
-            out[fingerprint({f"{mapping['list']}[]"})] = mapping
-    return out
+            some = {f for i, f in enumerate(sorted(may)) if bits >> i & 1}
+            for fields in [must, *([{f"{own}[]"}] if own else [])]:
+                out[fingerprint(fields | some)] = mapping
+    return out, known
 
 
 def canonical(record: object, mapping: dict | None) -> list[tuple[str, str]]:
@@ -69,10 +72,13 @@ def canonical(record: object, mapping: dict | None) -> list[tuple[str, str]]:
     if mapping is None or not isinstance(record, dict):
         return []
     text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    role = lambda x: ROLES.get(text(x), text(x)) or "user"
+    role = lambda x: mapping.get("roles", {}).get(text(x), text(x))
     if "list" in mapping:
+        items = record[mapping["list"]]
+        if not all(isinstance(m, dict) for m in items):
+            return []
         first = [(r, text(record[f])) for r, f in [mapping["first"]] if record.get(f)] if "first" in mapping else []
-        return first + [(role(m.get(mapping["role"])), text(m.get(mapping["text"]))) for m in record[mapping["list"]]]
+        return first + [(role(m.get(mapping["role"])), text(m.get(mapping["text"]))) for m in items]
     turns = [(r, "\n\n".join(t for f in fields if (t := text(record.get(f)))), fields) for r, fields in mapping["turns"]]
     return [(r, t) for r, t, fields in turns if t or r != "system"]
 
@@ -107,28 +113,27 @@ def read(formatted: str) -> list[tuple[str, str]]:
 
 def format_records(records: DataFrame, json_col: str, mappings: list[tuple] = MAPPINGS) -> DataFrame:
     """``records`` with ``layout`` (fingerprint), ``formatted`` and ``loss_mask``."""
-    known, schema = registry(mappings), "layout string, formatted string, loss_mask array<array<long>>"
-    names = records.columns
+    (known, counted), names = registry(mappings), ["layout", "formatted", "loss_mask"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for x in pdf[json_col]:
-                try:
-                    record = json.loads(x) if x is not None else None
-                except ValueError:
-                    record = None
-                layout = fingerprint(paths(record))
-                out.append((layout, *write(canonical(record, known.get(layout)))))
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["layout", "formatted", "loss_mask"])], axis=1)
+    def run(column: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in column:
+            try:
+                record = json.loads(x) if x is not None else None
+                layout = fingerprint(paths(record) & counted)
+            except (ValueError, RecursionError):
+                record, layout = None, fingerprint(set())
+            out.append((layout, *write(canonical(record, known.get(layout)))))
+        return pd.DataFrame(out, columns=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema)
-    return records.select(*[F.col(f"`{c}`") for c in names]).mapInPandas(run, f"{fields}, {schema}")
+    form = F.pandas_udf(run, "layout string, formatted string, loss_mask array<array<long>>")
+    rest = [F.col(f"`{c}`") for c in records.columns if c not in names]
+    return records.select(*rest, form(F.col(f"`{json_col}`")).alias("__form")).select(*rest, "__form.*")
 
 
 def from_turns(rows: DataFrame) -> DataFrame:
     """``conv_id, record``: a JSON record of messages from rows ``conv_id, turn, role, text``."""
-    role, text = F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("content"))))
     messages = F.transform(turns, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return rows.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
@@ -136,18 +141,18 @@ def from_turns(rows: DataFrame) -> DataFrame:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What the formatted texts hold, read back from them alone."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-        for pdf in batches:
-            rows = []
-            for conv, text, mask in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_mask"]):
-                turns = read(text)
-                loss = "".join(unescape(text[a:b]) for a, b in mask)
-                rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.select("conv_id", "formatted", "loss_mask").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+
+    def run(texts: pd.Series, masks: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, mask in zip(texts, masks):
+            turns = read(text)
+            loss = "".join(unescape(text[a:b]) for a, b in mask)
+            rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
+        return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    held = F.pandas_udf(run, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", held("formatted", "loss_mask").alias("d")).select("conv_id", "d.*")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
