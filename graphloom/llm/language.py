@@ -6,29 +6,36 @@ set of languages is chosen by likelihood less a penalty of half the logarithm of
 trigrams for each further language. The prediction is the largest share in the chosen set.
 
 Only the number of training documents is bounded: ``per_lang`` documents of each language, chosen by
-a hash of the id (fewer, if there are fewer). ``grams`` trigrams per language are kept, and characters
-beyond the ``ALPHABET`` commonest of the model are read as blanks.
+a hash of the id (fewer, if there are fewer). Every label is learned, and the ``grams`` commonest trigrams of each,
+of whatever characters. The model is the size of the label set times ``grams``.
 
-Defined cases: null text and text without a letter is ``und`` with score 0; text with letters none of
+Defined cases: null text and text without a letter (``\\p{L}``) is ``und`` with score 0; text with letters none of
 whose trigrams is known gets the commonest language with score 0; without training rows all is
 ``und``. Rows are independent: ties go to the language first in order, repeated rows get the same
-answer, other columns (lang, source) are not read for a prediction.
+answer, whether they have an id or not; other columns (lang, source) are not read for a prediction and not
+moved; a very long text is one count of trigrams.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PER_LANG, GRAMS, ALPHABET = 1500, 4000, 240
-LETTERS = re.compile(r"[^\W\d_]+")
+from .common import KeyTable
+
+PER_LANG, GRAMS = 1500, 4000
+#: Word characters that are neither letters nor digits to ``re``, such as fractions and Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def words(text: str) -> str:
@@ -43,7 +50,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, per_lang: int = PER_LANG, grams: int = GRAMS) -> dict:
     """The model, from rows with ``doc_id, text, lang``: counted on executors, collected by a fixed bound."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(250).collect()}
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return {"langs": []}
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_lang / n))])
@@ -61,14 +68,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, grams: int = GRAMS) -> dict:
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams)
     counts = {(r["lang"], r["gram"]): r["n"] for r in top.collect()}
     langs = sorted({k for k, _ in counts})
-    chars: Counter = Counter()
-    for (_, g), n in counts.items():
-        for c in g:
-            chars[c] += n
-    alphabet = [" ", *sorted(c for c, _ in sorted(chars.items(), key=lambda x: (-x[1], x[0])) if c != " ")[:ALPHABET]]
-    known = sorted({g for _, g in counts if all(c in chars for c in g) and set(g) <= set(alphabet)})
+    known = sorted({g for _, g in counts})
     n = np.array([[counts.get((k, g), 0) for k in langs] for g in known], float).reshape(len(known), len(langs))
-    return {"langs": langs, "alphabet": alphabet, "grams": known, "p": (n + 0.5) / (n.sum(0) + 0.5 * len(known)), "main": max(sorted(totals), key=totals.get)}
+    return {"langs": langs, "grams": known, "p": (n + 0.5) / (n.sum(0) + 0.5 * len(known)), "main": max(sorted(totals), key=totals.get)}
 
 
 class Mixture:
@@ -76,14 +78,15 @@ class Mixture:
 
     def __init__(self, model: dict):
         self.langs, self.main, self.p = model["langs"], model["main"], model["p"]
-        self.log_p, a = np.log(self.p), len(model["alphabet"])
-        self.of = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(model["alphabet"]):
-            self.of[ord(c)] = i
-        index = {c: i for i, c in enumerate(model["alphabet"])}
-        self.table, self.a = np.full(a**3, len(model["grams"]), np.int32), a
-        for j, g in enumerate(model["grams"]):
-            self.table[(index[g[0]] * a + index[g[1]]) * a + index[g[2]]] = j
+        self.log_p, grams = np.log(self.p), model["grams"]
+        self.table = KeyTable(len(grams))
+        self.table.add(self.keys("".join(grams))[::3], np.arange(len(grams), dtype=np.int32))
+
+    @staticmethod
+    def keys(text: str) -> np.ndarray:
+        """A number for each three characters in a row."""
+        x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return x[:-2] << np.uint64(42) | x[1:-1] << np.uint64(21) | x[2:]
 
     def em(self, p: np.ndarray, c: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
         total = c.sum()
@@ -99,8 +102,7 @@ class Mixture:
         w = words(text or "")
         if len(w) < 3:
             return "und", 0.0, {}
-        x = self.of[np.frombuffer(w.encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
-        counts = np.bincount(self.table[(x[:-2] * self.a + x[1:-1]) * self.a + x[2:]], minlength=len(self.p))[: len(self.p)]
+        counts = np.bincount(self.table.find(self.keys(w), len(self.p)), minlength=len(self.p))[: len(self.p)]
         at = np.flatnonzero(counts)
         if not len(at):
             return self.main, 0.0, {self.main: 0.0}
@@ -126,19 +128,23 @@ class Mixture:
         return self.langs[chosen[k]], float(min(1.0, max(0.0, shares[k] if len(chosen) > 1 else pi[chosen[0]]))), mine
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, lang_pred, score, shares`` (map of the chosen set) for every row."""
+def predicted(model: dict) -> Callable[[Column], Column]:
+    """Column function: ``struct<lang_pred, score, shares>`` of a text (shares: map of the chosen set)."""
     held: list[Mixture] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: pd.Series) -> pd.DataFrame:
         if not held and model["langs"]:
             held.append(Mixture(model))
-        for pdf in batches:
-            out = [held[0].predict(t) if held else ("und", 0.0, {}) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "shares": [x[2] for x in out]})
+        out = [held[0].predict(t) if held else ("und", 0.0, {}) for t in texts]
+        return pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "shares": [x[2] for x in out]})
+
+    return F.pandas_udf(run, "lang_pred string, score double, shares map<string,double>")
+
 
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, shares map<string,double>")
+def identify(docs: DataFrame, model: dict, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, lang_pred, score, shares`` (map of the chosen set) for every row."""
+    got = predicted(model)(F.col(f"`{text_col}`"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), got.alias("p")).select("doc_id", "p.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +155,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: rejects documents in which no language is found (``und``)."""
-    keep = identify(docs, fit(docs))
-    cols = docs.columns
-    kept = keep.where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(cols)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predicted(fit(docs))(F.col("text")).alias("p"))
+    return own.where(F.col("p.lang_pred") != "und").select("row.*")
