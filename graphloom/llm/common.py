@@ -137,8 +137,12 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
     cross = cross.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = materialize(check(cross), f"{tag}-links")
     if not more.isEmpty():
-        first, comp = comp, components(links.union(more), tag)
-        release(first)
+        known = comp.select(F.col("id").alias("v"), "comp")
+        ends = more.join(known.alias("x"), F.col("a") == F.col("x.v"), "left").join(known.alias("y"), F.col("b") == F.col("y.v"), "left")
+        merged = components(ends.select(F.coalesce("x.comp", "a").alias("a"), F.coalesce("y.comp", "b").alias("b")), tag)
+        new = comp.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        first, comp = comp, materialize(new.unionByName(merged.join(comp.select("id"), "id", "left_anti")), f"{tag}-merged")
+        release(first, merged)
     release(rest, label, shared, star, links, more)
     return comp
 

@@ -7,12 +7,12 @@ at most ``allowed`` words of the longer line are edited, so a line lacks at most
 first ``KEYS`` are the blocks that are joined: all of them for lines of up to about a dozen words (nothing is lost),
 and a bottom-k sketch of the grams for longer ones, which finds a pair at similarity 0.8 with probability 0.95 or
 more (README). Lines of five words, whose runs may be shorter, are met by the line with one word left out.
-Pairs are checked by their lengths and by the parities of their words in ``64 * ODD`` bits, of which an edit changes
-two at most, and verified by the edit distance. One occurrence stays of each connected group: the first by
-document id, line and text.
+Pairs are checked by their lengths, by the parities of their words in ``64 * ODD`` bits, of which an edit changes
+two at most, and, from ``SIM_WORDS`` words on, by their SimHashes, which may differ in ``SIM_BITS`` bits; what is left is
+verified by the edit distance. One occurrence stays of each connected group: the first by document id, line and text.
 
-SimHash blocks aren't used: at similarity 0.8 SimHashes of 64 bits differ in 13 bits on average, which no split into
-selective blocks meets (README has figures). :func:`simhashes` remains for comparison.
+The blocks are blocks of words and not of the SimHash: at similarity 0.8 SimHashes of 64 bits differ in 13 bits on
+average, which no split into selective blocks meets (README has figures).
 
 Words are runs of word characters; in scripts written without blanks (``UNSPACED``) each character is a word. A
 line without a word (a rule, a bracket) has its runs between blanks as words. So every line that isn't blank counts,
@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import linked, materialize, meet, portions, release
 
-PERCENT, HEAVY, BROADCAST, FEW = 80, 12, 100_000, 1000
-GRAM, KEYS, ODD = 3, 8, 2  # words of a gram, most keys of a line, 64-bit words of the parities
+PERCENT, BROADCAST, FEW = 80, 100_000, 1000
+SIM_WORDS, SIM_BITS = 20, 22  # SimHashes count from so many words, and may differ in so many bits
+GRAM, KEYS, ODD, LINE_BITS = 3, 8, 2, 11  # words of a gram, most keys of a line, 64-bit words of the parities
 CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
 NO_ID, LINES = (1 << 63) - 1, 20_000  # id of rows without one; lines in hand at once
 PUNCTUATION = ".,;:!?'\"()-"
@@ -69,55 +70,64 @@ def normalised(line: str) -> list[str]:
     return cut(plain(line)) or line.split()
 
 
-def simhashes(lines: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each list's distinct words (none is empty), for comparison; candidates don't depend on it."""
-    from xxhash import xxh3_64_digest as name
-
-    sets = [set(ws) for ws in lines]
-    words = list(chain.from_iterable(sets))
-    bits = np.unpackbits(np.frombuffer(b"".join(map(name, words)), np.uint8).reshape(-1, 8), axis=1)
-    weight = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), HEAVY).astype(np.int8)[:, None]
-    signs = bits.view(np.int8) * (weight + weight) - weight
-    sizes = np.array([len(ws) for ws in sets], np.int64)
-    order = np.argsort(-sizes, kind="stable")  # longest first: those with a k-th word come before the others
-    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    sums, k, n = np.zeros((len(lines), 64), np.int16), 0, len(lines)
-    while n >= 32 and HEAVY * (k + 1) < 1 << 15:  # few long lines, and what 16 bits don't hold, are summed alone
-        sums[:n] += signs.take(starts[:n] + k, axis=0)
-        k += 1
-        n = int(np.searchsorted(-sizes, -k, "left"))
-    out = np.packbits(sums > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
-    for i in range(n):
-        rest = signs[starts[i] + k : starts[i] + sizes[i]].sum(0, np.int64) + sums[i]
-        out[i] = np.packbits(rest > 0).view(">u8")[0]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+def simhashes(w: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each line from the hashes and lengths of all words: those of four letters and more count."""
+    line = np.repeat(np.arange(len(sizes)), sizes)[long >= 4]
+    bits = np.unpackbits(w[long >= 4].view(np.uint8).reshape(-1, 8), axis=1)
+    out, starts = np.zeros(len(sizes), np.uint64), np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
+    if len(line):
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
+        n = np.diff(np.r_[starts, len(line)])
+        out[line[starts]] = np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64)[:, 0]
+    return out
 
 
 def similar(a: list[str], b: list[str], percent: int = PERCENT) -> bool:
-    """Whether the edit distance in words leaves ``percent`` of the longer list; time grows with the
-    length and the square of the distance, which the limit bounds."""
+    """Whether the edit distance in words leaves ``percent`` of the longer list. The distance is counted in bit vectors of
+    the shorter one (a column of the table at once), after a bound by the words that only one has."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    n, m = len(a), len(b)
+    most = m * (100 - percent) // 100
+    if m - n > most:
+        return False
+    lo = 0
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[n - 1 - hi] == b[m - 1 - hi]:
+        hi += 1
+    a, b = a[lo : n - hi], b[lo : m - hi]
     n, m = len(a), len(b)
-    most = max(n, m) * (100 - percent) // 100
-    if abs(n - m) > most:
+    if not n:
+        return True
+    own: dict[str, int] = {}
+    for x in a:
+        own[x] = own.get(x, 0) + 1
+    common = 0
+    for x in b:
+        if own.get(x, 0):
+            own[x] -= 1
+            common += 1
+    if m - common > most:
         return False
-    reach = [-1] * (2 * most + 3)  # furthest place in a on diagonal d, at d + most + 1
-    for e in range(most + 1):
-        new = [-1] * len(reach)
-        for d in range(-e, e + 1):
-            at = d + most + 1
-            i = 0 if e == 0 else max(reach[at] + 1, reach[at + 1] + 1, reach[at - 1])
-            i = max(min(i, n, m - d), -d, 0)
-            if i > n or i + d > m:
-                continue
-            while i < n and i + d < m and a[i] == b[i + d]:
-                i += 1
-            if i == n and i + d == m:
-                return True
-            new[at] = i
-        reach = new
-    return False
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, distance = every, 0, n
+    for j, x in enumerate(b):
+        here = at.get(x, 0)
+        zero = (((here & up) + up) ^ up) | here | down
+        right, left = down | ~(zero | up) & every, up & zero
+        if right & last:
+            distance += 1
+        elif left & last:
+            distance -= 1
+        if distance - (m - 1 - j) > most:
+            return False
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down = left | ~(zero | right) & every, right & zero
+    return distance <= most
 
 
 def allowed(n: int) -> int:
@@ -132,19 +142,22 @@ def lost(n: int) -> int:
     return max(GRAM * allowed(n + j) - j for j in range(n // 3 + 2) if j <= allowed(n + j))
 
 
-def _hashed(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, one line after the other, and the lines' sizes."""
+_LOST = np.array([lost(n) for n in range(64)])
+
+
+def hashed(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and lengths of all words, one line after the other, and the lines' sizes."""
     from xxhash import xxh3_64_digest as name
 
-    return np.frombuffer(b"".join(map(name, chain.from_iterable(lines))), np.uint64), np.fromiter(map(len, lines), np.int64, len(lines))
+    words = list(chain.from_iterable(lines))
+    long = np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer(b"".join(map(name, words)), np.uint64), long, np.fromiter(map(len, lines), np.int64, len(lines))
 
 
-def parities(lines: list[list[str]]) -> np.ndarray:
-    """``ODD`` 64-bit words a line: whether a bit is that of an odd number of its words."""
-    w, sizes = _hashed(lines)
-    at = np.repeat(np.arange(len(lines)) * (64 * ODD), sizes) + (w & np.uint64(64 * ODD - 1)).astype(np.int64)
-    odd = (np.bincount(at, minlength=64 * ODD * len(lines)) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(-1, ODD)
+def parities(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``ODD`` 64-bit words a line (none is empty): whether a bit is that of an odd number of its words."""
+    bit, column, starts = np.uint64(1) << (w & np.uint64(63)), (w >> np.uint64(6)) % np.uint64(ODD), np.cumsum(sizes) - sizes
+    return np.stack([np.bitwise_xor.reduceat(np.where(column == i, bit, np.uint64(0)), starts) for i in range(ODD)], 1).view(np.int64)
 
 
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -156,36 +169,34 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def keys_of(lines: list[list[str]]) -> np.ndarray:
+def keys_of(w: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``KEYS`` keys a line (0: none): lines that :func:`similar` links share one, if they have no more keys than that.
 
     Grams are taken in the order of a hash, those of few letters (which are common) last."""
-    w, sizes = _hashed(lines)
-    starts, out = np.cumsum(sizes) - sizes, np.zeros((len(lines), KEYS), np.uint64)
+    starts, out = np.cumsum(sizes) - sizes, np.zeros((len(sizes), KEYS), np.uint64)
     short = allowed(GRAM + 2) + GRAM  # 4: a line of one word more can share only two words in a row
     for n in (short, short + 1):
         of = np.flatnonzero(sizes == n)
         words = [w[starts[of] + i] for i in range(n)]
         for j, cut_out in enumerate([n] if n == short else range(n)):
             out[of, j] = _mixed([c for i, c in enumerate(words) if i != cut_out])
-    if len(w) >= GRAM:
-        line = np.repeat(np.arange(len(lines)), sizes)
-        at = np.flatnonzero(line[: 1 - GRAM] == line[GRAM - 1 :])
-        at = at[sizes[line[at]] > short]
-        long = np.fromiter(map(len, chain.from_iterable(lines)), np.int64, len(w))
-        letters = sum(long[at + i] for i in range(GRAM))
-        common = ((letters < 15).astype(np.uint64) + (letters < 10)) << np.uint64(62)
-        gram, line = _mixed([w[at + i] for i in range(GRAM)]) >> np.uint64(2) | common, line[at]
-        order = np.lexsort((gram, line))
-        gram, line = gram[order], line[order]
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (line[1:] != line[:-1])][: len(gram)]
-        gram, line = gram[new], line[new]
-        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
-        nth = np.arange(len(line)) - np.repeat(first, np.diff(np.r_[first, len(line)]))
-        most = np.minimum(np.fromiter(map(lost, sizes.tolist()), np.int64, len(sizes)) + 1, KEYS)
-        keep = nth < most[line]
-        place = nth + np.where(sizes[line] == short + 1, short + 1, 0)  # after the lines with a word left out
-        out[line[keep], place[keep]] = gram[keep]
+    if len(w) < GRAM:
+        return out
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero((line[: 1 - GRAM] == line[GRAM - 1 :]) & (sizes[line[: 1 - GRAM]] > short))
+    letters = sum(long[at + i] for i in range(GRAM))
+    common = ((letters < 15).astype(np.uint64) + (letters < 10)) << np.uint64(62 - LINE_BITS)
+    gram, line = _mixed([w[at + i] for i in range(GRAM)]) >> np.uint64(2 + LINE_BITS) | common, line[at]
+    for lo in range(0, len(sizes), 1 << LINE_BITS):  # a line's place and its gram are one number, which sorts at once
+        a, b = np.searchsorted(line, (lo, lo + (1 << LINE_BITS)))
+        x = np.sort((line[a:b] - lo).astype(np.uint64) << np.uint64(64 - LINE_BITS) | gram[a:b])
+        x = x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+        own = (x >> np.uint64(64 - LINE_BITS)).astype(np.int64) + lo
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        nth = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+        keep = nth < np.minimum(_LOST[np.minimum(sizes[own], 63)] + 1, KEYS)
+        nth += np.where(sizes[own] == short + 1, short + 1, 0)  # after the lines with a word left out
+        out[own[keep], nth[keep]] = x[keep] & np.uint64((1 << (64 - LINE_BITS)) - 1) | np.uint64(1 << 63)
     return out
 
 
@@ -216,11 +227,12 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 at = ((i, th, k, w) for i, th, text in zip(part["id"], part["th"], part["text"]) for k, w in _lines(text))
                 while some := list(islice(at, LINES)):
                     words = [x[3] for x in some]
-                    h, odd, keys = _names(words), parities(words), keys_of(words).view(np.int64)
-                    own = {"id": [x[0] for x in some], "th": [x[1] for x in some], "line": [x[2] for x in some], "h1": h[:, 0], "h2": h[:, 1], "n": [len(w) for w in words]}
+                    w, long, sizes = hashed(words)
+                    h, odd, keys = _names(words), parities(w, sizes), keys_of(w, long, sizes).view(np.int64)
+                    own = {"id": [x[0] for x in some], "th": [x[1] for x in some], "line": [x[2] for x in some], "h1": h[:, 0], "h2": h[:, 1], "n": sizes, "sim": simhashes(w, long, sizes).view(np.int64)}
                     yield pd.DataFrame(own | {c: odd[:, i] for i, c in enumerate(PARITIES)} | {c: keys[:, i] for i, c in enumerate(KEYED)})
 
-    return docs.mapInPandas(run, "id long, th int, line int, h1 long, h2 long, n int, " + ", ".join(f"{c} long" for c in PARITIES + KEYED))
+    return docs.mapInPandas(run, "id long, th int, line int, h1 long, h2 long, n int, sim long, " + ", ".join(f"{c} long" for c in PARITIES + KEYED))
 
 
 def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
@@ -312,7 +324,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """``id, th, line, first_id, first_line`` of every line to remove; docs: ``id, th, text``."""
     occ = materialize(_occurrences(docs), "lines")
-    carried = ["n", *PARITIES, *KEYED]
+    carried = ["n", "sim", *PARITIES, *KEYED]
     classes = occ.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in carried], F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("c"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # fixed once written
 
@@ -332,12 +344,13 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         release(near, need, texts)
         return out
 
-    traits = classes.select(F.col("cid").alias("id"), F.struct("n", *PARITIES).alias("t"))
+    traits = classes.select(F.col("cid").alias("id"), F.struct("n", "sim", *PARITIES).alias("t"))
 
     def near(x: Column, y: Column) -> Column:
         most = F.floor(F.greatest(x["n"], y["n"]) * (100 - PERCENT) / 100)
         apart = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in PARITIES), F.lit(0))
-        return (F.abs(x["n"] - y["n"]) <= most) & (apart <= 2 * most)
+        alike = (F.least(x["n"], y["n"]) < SIM_WORDS) | (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= SIM_BITS)
+        return (F.abs(x["n"] - y["n"]) <= most) & (apart <= 2 * most) & alike
 
     comp = linked(meet(_buckets(classes), "lines"), traits, near, check, "lines")
     named = classes.select("cid", "h1", "h2", "first", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
