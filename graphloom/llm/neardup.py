@@ -11,8 +11,11 @@ only far below the threshold, and every link is confirmed on the full sets.
 With 40 bands of 5 a pair at similarity 0.8 shares a bucket with probability 1 - 1.3e-7.
 
 Defined cases: a document with fewer words than a shingle has its whole word sequence as the only
-shingle; null, empty and blank texts have an empty set, linked with nothing. Repeated rows get the
-same answer; a tie is settled by the smallest id. Only the id and text columns are read.
+shingle; null, empty and blank texts have an empty set, linked with nothing. Classes, not ids, are linked, so rows
+that share an id are told apart by their text. A row without an id is linked like any other, but names no component: its
+component is the smallest id of the rows it is linked with, null if none has one. Repeated rows get the
+same answer; a tie is settled by the smallest id. A text of any length is one row; its samples are drawn in slices.
+An empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import linked, materialize, meet
+from .common import linked, materialize, meet, portions, release
 
-BANDS, ROWS, SKETCH, SLACK, WHOLE = 40, 5, 512, 0.2, 2048
+BANDS, ROWS, SKETCH, SLACK, WHOLE, FEW = 40, 5, 512, 0.2, 2048, 1000
+NO_ID = (1 << 63) - 1  # in place of a missing id: after all others
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,21 +89,21 @@ def whole_sketch(s: np.ndarray) -> np.ndarray | None:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """``id, n, c1, c2`` (class of equal sets), ``keys`` and ``odd`` of every document."""
+    """``id, th, n, c1, c2`` (class of equal sets), ``keys``, ``odd`` and ``all`` of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in portions(batch, "text")):
             rows = []
-            for doc, text in zip(pdf["id"], pdf["text"]):
+            for doc, th, text in zip(pdf["id"], pdf["th"], pdf["text"]):
                 s = shingles(text, k)
                 if not len(s):
-                    rows.append((doc, 0, 0, 0, None, None, None))
+                    rows.append((doc, th, 0, 0, 0, None, None, None))
                     continue
                 c1, c2 = (int(x) for x in np.array([s.sum(dtype=np.uint64), _scramble(s).sum(dtype=np.uint64)], np.uint64).view(np.int64))
-                rows.append((doc, len(s), c1, c2, *sketch(s), whole_sketch(s)))
-            yield pd.DataFrame(rows, columns=["id", "n", "c1", "c2", "keys", "odd", "all"])
+                rows.append((doc, th, len(s), c1, c2, *sketch(s), whole_sketch(s)))
+            yield pd.DataFrame(rows, columns=["id", "th", "n", "c1", "c2", "keys", "odd", "all"])
 
-    return docs.mapInPandas(run, "id long, n long, c1 long, c2 long, keys array<long>, odd array<long>, all array<long>")
+    return docs.mapInPandas(run, "id long, th int, n long, c1 long, c2 long, keys array<long>, odd array<long>, all array<long>")
 
 
 def differing(a: Column, b: Column, bits: int = SKETCH) -> Column:
@@ -113,8 +117,8 @@ def most_differing(similarity: float, k: int = BANDS * ROWS) -> int:
     return math.ceil(SKETCH / 2 * (1 - math.exp(-4 * k * (1 - similarity) / SKETCH)))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the similarity; only texts of candidates are moved."""
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose full sets reach the similarity; only texts of candidates are moved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -134,18 +138,29 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[good, ["a", "b"]]
 
-    side = lambda c, t: docs.select(F.col("id").alias(c), F.col("text").alias(t))
-    return pairs.join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    pairs = materialize(pairs, "near-likely")
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    need = reps.join(ends, "cid", "left_semi").select("cid", "first.id", "first.th")
+    texts = materialize(docs.join(need, ["id", "th"]).select("cid", "text").dropDuplicates(["cid"]), "near-texts")
+    side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"t{c}"))
+    out = materialize(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "near-confirmed")
+    release(pairs, texts)
+    return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id`` for every row; ids are integers."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sk = materialize(sketches(src, k), "sketch")
-    reps = sk.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("all").alias("all"))
-    reps = materialize(reps, "reps")
-    buckets = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, th, text``: rows without an id get the largest, rows that share one differ by their texts' hash."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"), text.alias("text"))
+
 
+def grouped(src: DataFrame, k: int, percent: int) -> DataFrame:
+    """``id, th, n, first`` of every row of ``keyed``: set size and the first row (id and text hash) of its component."""
+    sk = materialize(sketches(src, k), "sketch")
+    some = ["n", "keys", "odd", "all"]
+    reps = sk.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("id", "th")).alias("first"), *[F.first(c).alias(c) for c in some])
+    reps = materialize(reps.withColumn("cid", F.monotonically_increasing_id()), "reps")  # fixed once written
+    buckets = reps.select(F.col("cid").alias("id"), F.explode("keys").alias("key"))
     most = most_differing(percent / 100 - SLACK)
 
     def near(x: Column, y: Column) -> Column:
@@ -154,22 +169,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         whole = F.coalesce((100 + percent) * apart <= (100 - percent) * (x["n"] + y["n"]), F.lit(True))
         return sizes & whole & (differing(x["odd"], y["odd"]) <= most)
 
-    traits = reps.select(F.col("rep").alias("id"), F.struct("n", "odd", "all").alias("t"))
-    comp = linked(meet(buckets, "near"), traits, near, lambda pairs: confirm(pairs, src, k, percent), "near")
-    whole = reps.select("c1", "c2", "rep").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    whole = whole.select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
-    out = sk.select("id", "n", "c1", "c2").join(whole, ["c1", "c2"], "left")
-    own = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    traits = reps.select(F.col("cid").alias("id"), F.struct("n", "odd", "all").alias("t"))
+    comp = linked(meet(buckets, "near"), traits, near, lambda pairs: confirm(pairs, reps, src, k, percent), "near")
+    named = reps.select("c1", "c2", "cid", "first").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
+    best = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("best"))
+    named = named.join(best, "comp", "left").select("c1", "c2", F.coalesce("best", "first").alias("first"))
+    named = materialize(named, "near-named")
+    release(reps, comp)
+    own = sk.select("id", "th", "n", "c1", "c2")
+    # empty sets need no class; the classes of many rows, FEW at most, are joined by broadcast
+    real, often = own.where("n > 0"), F.lit(max(FEW, -(-sk.count() // FEW)))
+    heavy = real.groupBy("c1", "c2").agg(F.count("*").alias("c")).where(F.col("c") >= often).select("c1", "c2")
+    heavy = F.broadcast(materialize(named.join(heavy, ["c1", "c2"], "left_semi"), "near-heavy"))
+    out = real.join(heavy, ["c1", "c2"]).unionByName(real.join(heavy.select("c1", "c2"), ["c1", "c2"], "left_anti").join(named, ["c1", "c2"]))
+    return out.select("id", "th", "n", "first").unionByName(own.where("n = 0").select("id", "th", "n", F.struct("id", "th").alias("first")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_shingles, component_id`` for every row; ids are integers."""
+    out = grouped(keyed(docs, id_col, text_col), k, percent)
+    known = lambda c: F.nullif(c, F.lit(NO_ID))
+    return out.select(known(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), known(F.col("first.id")).alias("component_id"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: five-word shingles at 0.8; the smallest id of each group stays."""
-    out = near_duplicates(docs)
-    keep = out.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline: five-word shingles at 0.8; of each group the row of smallest id stays (rows without an id come last),
+    of rows equal in id and text one."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = [F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.col("row.text")).alias("th")]
+    out = grouped(keyed(docs, "doc_id", "text"), 5, 80)
+    keep = out.where((F.col("id") == F.col("first.id")) & (F.col("th") == F.col("first.th"))).groupBy("id", "th").agg(F.max("n").alias("n"))
+    # an empty set is linked with nothing, so each of its rows stays
+    one = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(0)))
+    found = own.select("row", *key).join(keep, ["id", "th"]).withColumn("r", one).where((F.col("r") == 1) | (F.col("n") == 0))
+    return found.select("row.*")
