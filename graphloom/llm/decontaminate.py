@@ -58,18 +58,23 @@ def places(n: Column, w: int = WINDOW) -> Column:
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``n, k`` of their tokens ``v`` and a hash for each token: ``v0`` of its value, ``t0`` with slots as
+    """``rows`` with ``n, k`` (number, kinds) of their tokens ``v`` and a hash for each token: ``v0`` of its value, ``t0`` with slots as
     their types, ``v1`` and ``t1`` with names as words."""
     typed = lambda x: F.when(x.startswith("#"), F.substring(x, 1, 2)).otherwise(x)
-    rows = rows.withColumns({"n": F.size("v"), "k": kinds(F.col("v")), "v0": F.transform("v", lambda x: F.xxhash64(x))})
-    some = lambda kind, of, then: F.when(F.col("k").rlike(kind), F.transform("v", lambda x: F.xxhash64(of(x)))).otherwise(F.col(then))
+    rows = rows.withColumns({"n": F.size("v"), "k": kinds(F.col("v")).cast("binary"), "v0": F.transform("v", lambda x: F.xxhash64(x))})
+    some = lambda kind, of, then: F.when(F.col("k").cast("string").rlike(kind), F.transform("v", lambda x: F.xxhash64(of(x)))).otherwise(F.col(then))
     rows = rows.withColumns({"t0": some("[^w]", typed, "v0"), "v1": some("p", plain, "v0")})
     return rows.withColumn("t1", some("[nu]", lambda x: typed(plain(x)), "v1"))
 
 
+def own_kinds(i: Column) -> Column:
+    """Kinds of the window at a place; of bytes, since the place of a character in a string is found from its start."""
+    return F.substr("k", i + 1, F.lit(WINDOW)).cast("string")
+
+
 def hashed(i: Column, form: int) -> Column:
     """Hash of the window at a place: its words and the types of its slots, or its values if most are slots."""
-    slots = F.length(F.translate(F.substr("k", i + 1, F.lit(WINDOW)), "wp" if form else "w", ""))
+    slots = F.length(F.translate(own_kinds(i), "wp" if form else "w", ""))
     return F.when(slots <= WINDOW // 2, F.xxhash64(F.slice(f"t{form}", i + 1, WINDOW))).otherwise(F.xxhash64(F.slice(f"v{form}", i + 1, WINDOW), F.lit("")))
 
 
@@ -92,8 +97,8 @@ def document_windows(src: DataFrame, sizes: list[int]) -> DataFrame:
     """``row, doc_id, th, pos, h`` of all windows, those with names in plain form as well, and plain ones of the short ``sizes``."""
     rows = prepared(src.where("text is not null").select("doc_id", "th", F.monotonically_increasing_id().alias("row"), tokens(F.col("text")).alias("v")))
     n = F.col("n")
-    named = F.filter(places(n), lambda i: F.contains(F.substr("k", i + 1, F.lit(WINDOW)), F.lit("p")))
-    named = F.when(F.contains("k", F.lit("p")), F.transform(named, lambda i: window(i, hashed(i, 1)))).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+    named = F.filter(places(n), lambda i: F.contains(own_kinds(i), F.lit("p")))
+    named = F.when(F.contains(F.col("k").cast("string"), F.lit("p")), F.transform(named, lambda i: window(i, hashed(i, 1)))).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
     all_ = [F.transform(places(n), lambda i: window(i, hashed(i, 0))), named]
     whole = lambda w: F.transform(places(n, w), lambda i: window(i, F.xxhash64(F.slice("v1", i + 1, w))))
     all_ += [whole(w) for w in sizes]
