@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-SALT = 2048
+SALT, PIVOTS, MANY = 2048, 3, 100  # rows of a block; further pivots of buckets with more than so many rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -110,43 +110,76 @@ def meet(buckets: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str, carry: bool = False) -> DataFrame:
     """Components ``(id, comp)`` under the links that ``check`` confirms among rows sharing a bucket.
 
     ``shared``: from :func:`meet`; ``traits``: ``id, t`` with what ``near`` needs to tell of two rows whether
-    they may be linked; ``check`` gets pairs ``a < b`` and returns those that hold. A bucket of n rows
-    makes n - 1 pairs with its smallest row; only buckets that then still span several components have
-    members of different components compared, by ``near`` within the join, so no pair that could join
-    two components is left out and a group of copies never makes all its pairs. Large buckets are cut into blocks
+    they may be linked; ``check`` gets pairs ``a < b`` and returns those that hold; ``carry``: traits are small enough to go
+    with every row of a bucket. A bucket of n rows makes n - 1 pairs with its smallest row. Buckets that then
+    still span several components get another member as pivot, drawn by hash, for the rows of other components, up to
+    ``PIVOTS`` times: a large group of near copies is found by any of them. Then members of different components
+    are compared, by ``near`` within the join, so no pair that could join two components is left out
+    and a group of copies never makes all its pairs. Large buckets are cut into blocks
     of about ``SALT`` rows, and pairs of blocks are joined, so no task has a whole bucket's comparisons.
     """
+    own = materialize(shared.join(traits, "id"), f"{tag}-carried") if carry else shared
     side = lambda c: traits.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"))
-    star = materialize(shared.where("a < id").select("a", F.col("id").alias("b")).distinct(), f"{tag}-star")
-    likely = star.join(side("b"), "b").join(side("a"), "a").where(near(F.col("ta"), F.col("tb"))).select("a", "b")
-    links = materialize(check(likely), f"{tag}-links")
+
+    def likely(pairs: DataFrame, ends: str) -> DataFrame:
+        """Pairs ``a, b`` that may be linked; of the ends in ``ends`` the traits aren't there yet."""
+        for c in ends:
+            pairs = pairs.join(side(c), c)
+        return pairs.where(near(F.col("ta"), F.col("tb"))).select("a", "b").distinct()
+
+    def ordered(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    rows = own.where("a < id")
+    pairs = rows.select("a", F.col("id").alias("b"), F.col("t").alias("tb")) if carry else rows.select("a", F.col("id").alias("b")).distinct()
+    links = materialize(check(likely(pairs, "a" if carry else "ba")), f"{tag}-links")
     comp = components(links, tag)
-    label = shared.where("m > 2").join(comp, "id", "left").select("key", "id", "m", F.coalesce("comp", "id").alias("comp"))
-    label = materialize(label, f"{tag}-bucket")
-    mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(label.join(mixed, "key", "left_semi").join(traits, "id"), f"{tag}-mixed")
+    rest, left, tried = own.where("m > 2"), None, 0
+    while True:
+        label = rest.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+        before, left = left, materialize(label.join(mixed, "key"), f"{tag}-mixed")
+        release(before)
+        rest = left.drop("size")
+        large = left.where(F.col("size") > MANY)
+        if tried == PIVOTS or large.isEmpty():
+            break
+        tried += 1
+        draw = F.struct(F.xxhash64("id", F.lit(tried)).alias("h"), F.col("id").alias("p"), F.col("comp").alias("pc"))
+        pivot = large.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.p", "d.pc")
+        pairs = large.join(pivot, "key").where("comp <> pc").select(*ordered("id", "p")).distinct()
+        comp = _merged(comp, materialize(check(likely(pairs, "ab")), f"{tag}-links"), tag)
+    if not carry:
+        rest = materialize(rest.join(traits, "id"), f"{tag}-traits")
     blocks = F.ceil(F.col("m") / SALT).cast("int")
-    rest_in = rest.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    x = rest_in.select("key", F.col("blk").alias("p"), F.explode(F.sequence("blk", blocks - 1)).alias("q"), F.col("id").alias("ia"), F.col("comp").alias("ca"), F.col("t").alias("ta"))
-    y = rest_in.select("key", F.explode(F.sequence(F.lit(0), "blk")).alias("p"), F.col("blk").alias("q"), F.col("id").alias("ib"), F.col("comp").alias("cb"), F.col("t").alias("tb"))
+    rows = rest.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    x = rows.select("key", F.col("blk").alias("p"), F.explode(F.sequence("blk", blocks - 1)).alias("q"), F.col("id").alias("ia"), F.col("comp").alias("ca"), F.col("t").alias("ta"))
+    y = rows.select("key", F.explode(F.sequence(F.lit(0), "blk")).alias("p"), F.col("blk").alias("q"), F.col("id").alias("ib"), F.col("comp").alias("cb"), F.col("t").alias("tb"))
     cross = x.join(y, ["key", "p", "q"]).where(((F.col("p") < F.col("q")) | (F.col("ia") < F.col("ib"))) & (F.col("ca") != F.col("cb")) & near(F.col("ta"), F.col("tb")))
-    cross = cross.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = materialize(check(cross), f"{tag}-links")
-    if not more.isEmpty():
-        known = comp.select(F.col("id").alias("v"), "comp")
-        ends = more.join(known.alias("x"), F.col("a") == F.col("x.v"), "left").join(known.alias("y"), F.col("b") == F.col("y.v"), "left")
-        merged = components(ends.select(F.coalesce("x.comp", "a").alias("a"), F.coalesce("y.comp", "b").alias("b")), tag)
-        new = comp.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        first, comp = comp, materialize(new.unionByName(merged.join(comp.select("id"), "id", "left_anti")), f"{tag}-merged")
-        release(first, merged)
-    release(rest, label, shared, star, links, more)
+    more = materialize(check(cross.select(*ordered("ia", "ib")).distinct()), f"{tag}-links")
+    comp = _merged(comp, more, tag)
+    release(rest, left, shared, own, links)
     return comp
 
 
+def _merged(comp: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """Components after further links: only the components that these join are walked."""
+    if links.isEmpty():
+        release(links)
+        return comp
+    known = comp.select(F.col("id").alias("v"), "comp")
+    ends = links.join(known.alias("x"), F.col("a") == F.col("x.v"), "left").join(known.alias("y"), F.col("b") == F.col("y.v"), "left")
+    merged = components(ends.select(F.coalesce("x.comp", "a").alias("a"), F.coalesce("y.comp", "b").alias("b")), tag)
+    new = comp.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    out = materialize(new.unionByName(merged.join(comp.select("id"), "id", "left_anti")), f"{tag}-merged")
+    release(comp, merged, links)
+    return out
+
+
 class KeyTable:
     """Open hash table from 64-bit keys (0 excluded) to numbers, read and filled by arrays of keys."""
 

@@ -30,21 +30,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import linked, materialize, meet, portions, release
+from .common import linked, materialize, meet, portions, release, slices
 
-PERCENT, BROADCAST, FEW = 80, 100_000, 1000
+PERCENT, BROADCAST, FEW = 80, 1_000_000, 1000
 SIM_WORDS, SIM_BITS = 20, 22  # SimHashes count from so many words, and may differ in so many bits
 GRAM, KEYS, ODD, LINE_BITS = 3, 8, 2, 11  # words of a gram, most keys of a line, 64-bit words of the parities
 CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
-NO_ID, LINES = (1 << 63) - 1, 20_000  # id of rows without one; lines in hand at once
+NO_ID, WINDOW, WORDS = (1 << 63) - 1, 1 << 20, 500_000  # id of rows without one; bytes and words in hand at once
 PUNCTUATION = ".,;:!?'\"()-"
 #: Thai to Myanmar, Khmer, New Tai Lue to Tai Tham, kana with marks, Han; not Hangul and others that part words.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1980-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
@@ -145,21 +146,6 @@ def lost(n: int) -> int:
 _LOST = np.array([lost(n) for n in range(64)])
 
 
-def hashed(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and lengths of all words, one line after the other, and the lines' sizes."""
-    from xxhash import xxh3_64_digest as name
-
-    words = list(chain.from_iterable(lines))
-    long = np.fromiter(map(len, words), np.int64, len(words))
-    return np.frombuffer(b"".join(map(name, words)), np.uint64), long, np.fromiter(map(len, lines), np.int64, len(lines))
-
-
-def parities(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """``ODD`` 64-bit words a line (none is empty): whether a bit is that of an odd number of its words."""
-    bit, column, starts = np.uint64(1) << (w & np.uint64(63)), (w >> np.uint64(6)) % np.uint64(ODD), np.cumsum(sizes) - sizes
-    return np.stack([np.bitwise_xor.reduceat(np.where(column == i, bit, np.uint64(0)), starts) for i in range(ODD)], 1).view(np.int64)
-
-
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     """A hash of several hashes in order."""
     h = np.zeros(len(columns[0]), np.uint64)
@@ -169,6 +155,52 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Bytes as words see them: capitals small, all but letters, digits, ``_`` and what isn't ASCII as blanks.
+FOLD = bytes(c if c >= 128 or c in b"0123456789_abcdefghijklmnopqrstuvwxyz\n" else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+BARE = bytes(c if c > 32 or c == 10 else 32 for c in range(256))
+ODD_TEXT = re.compile(rf"[^\x00-\x7f\w]|[{UNSPACED}]")
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)  # a number for each byte
+_P = 0x9E3779B97F4A7C15
+_POW, _INV = (np.cumprod(np.full(WINDOW + 1, x, np.uint64)) for x in (_P, pow(_P, -1, 1 << 64)))
+
+
+def folded(text: str) -> bytes:
+    """A text whose words :data:`FOLD` parts as :func:`normalised` does, line by line."""
+    if text.isascii():
+        return text.encode()
+    low = text.lower()
+    if ODD_TEXT.search(low):
+        low = "\n".join(" ".join(cut(plain(line))) for line in text.split("\n"))
+    return low.encode("utf-8", "surrogatepass")
+
+
+def words_of(text: bytes, fold: bytes = FOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and length in bytes of every word, and the words of every line; the text ends with a newline."""
+    x = np.frombuffer(text.translate(fold), np.uint8)
+    own = x > 32
+    edge = np.flatnonzero(np.diff(own, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    sizes = np.diff(np.searchsorted(starts, np.flatnonzero(x == 10)), prepend=0)
+    w, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):  # the words of a window at once: sums of powers from its start
+        hi = max(int(np.searchsorted(ends, starts[lo] + WINDOW, "right")), lo + 1)
+        a, b = starts[lo], ends[hi - 1]
+        if b - a > WINDOW:  # a longer word
+            w[lo] = xxhash.xxh3_64_intdigest(x[a:b].tobytes())
+        else:
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_BYTE[x[a:b]] * _POW[: b - a], out=sums[1:])
+            w[lo:hi] = (sums[ends[lo:hi] - a] - sums[starts[lo:hi] - a]) * _INV[starts[lo:hi] - a]
+        lo = hi
+    return _mixed([w, (ends - starts).astype(np.uint64)]), ends - starts, sizes
+
+
+def parities(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``ODD`` 64-bit words a line (none is empty): whether a bit is that of an odd number of its words."""
+    bit, column, starts = np.uint64(1) << (w & np.uint64(63)), (w >> np.uint64(6)) % np.uint64(ODD), np.cumsum(sizes) - sizes
+    return np.stack([np.bitwise_xor.reduceat(np.where(column == i, bit, np.uint64(0)), starts) for i in range(ODD)], 1).view(np.int64)
+
+
 def keys_of(w: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``KEYS`` keys a line (0: none): lines that :func:`similar` links share one, if they have no more keys than that.
 
@@ -200,18 +232,13 @@ def keys_of(w: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lines(text: str | None) -> Iterator[tuple[int, list[str]]]:
-    """Place and words of every line that isn't blank."""
-    text = text or ""
-    for k, (own, line) in enumerate(zip(text.split("\n"), plain(text).split("\n"))):
-        if w := cut(line) or own.split():
-            yield k, w
-
-
-def _names(words: list[list[str]]) -> np.ndarray:
-    from xxhash import xxh3_128_digest as name
-
-    return np.frombuffer(b"".join(name(" ".join(w)) for w in words), "<i8").reshape(-1, 2)
+def names(w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each line (none is empty) by its words in order."""
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(w)) - np.repeat(starts, sizes)
+    turn = _mixed([place.astype(np.uint64)]) | np.uint64(1)
+    one, two = (np.add.reduceat(_mixed([w ^ np.uint64(k)]) * turn, starts) for k in (1, 2))
+    return one.view(np.int64), (two + sizes.astype(np.uint64)).view(np.int64)
 
 
 KEYED = [f"k{i}" for i in range(KEYS)]
@@ -222,15 +249,31 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """``id, th, line, h1, h2, n, o0, ..., k0, ...`` of every line that isn't blank: its class, words, parities and keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in portions(pdf, "text", 2 << 20):
-                at = ((i, th, k, w) for i, th, text in zip(part["id"], part["th"], part["text"]) for k, w in _lines(text))
-                while some := list(islice(at, LINES)):
-                    words = [x[3] for x in some]
-                    w, long, sizes = hashed(words)
-                    h, odd, keys = _names(words), parities(w, sizes), keys_of(w, long, sizes).view(np.int64)
-                    own = {"id": [x[0] for x in some], "th": [x[1] for x in some], "line": [x[2] for x in some], "h1": h[:, 0], "h2": h[:, 1], "n": sizes, "sim": simhashes(w, long, sizes).view(np.int64)}
-                    yield pd.DataFrame(own | {c: odd[:, i] for i, c in enumerate(PARITIES)} | {c: keys[:, i] for i, c in enumerate(KEYED)})
+        for part in (x for pdf in batches for x in portions(pdf, "text", WINDOW)):
+            texts = [t or "" for t in part["text"]]
+            blobs = [folded(t) for t in texts]
+            counts = np.array([b.count(10) + 1 for b in blobs])
+            doc, line = np.repeat(np.arange(len(texts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            w, long, sizes = words_of(b"\n".join(blobs) + b"\n")
+            yield from rows(part, doc, line, w, long, sizes)
+            bare = [(i, k) for i, k in zip(doc[sizes == 0].tolist(), line[sizes == 0].tolist())]
+            lines = {i: texts[i].split("\n") for i in {i for i, _ in bare}}
+            bare = [(i, k) for i, k in bare if lines[i][k].strip()]  # lines without a word: their runs between blanks
+            if bare:
+                blob = "\n".join(" ".join(lines[i][k].split()) for i, k in bare) + "\n"
+                yield from rows(part, *np.array(bare).T, *words_of(blob.encode("utf-8", "surrogatepass"), BARE))
+
+    def rows(part: pd.DataFrame, doc: np.ndarray, line: np.ndarray, w: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
+        ids, th, real = part["id"].to_numpy(), part["th"].to_numpy(), np.flatnonzero(sizes)
+        doc, line, sizes = doc[real], line[real], sizes[real]
+        ends = np.cumsum(sizes)
+        for lo, hi in slices(sizes.tolist(), WORDS):
+            a, b = (ends[lo - 1] if lo else 0), ends[hi - 1]
+            own, n = w[a:b], sizes[lo:hi]
+            odd, keys = parities(own, n), keys_of(own, long[a:b], n).view(np.int64)
+            h1, h2 = names(own, n)
+            got = {"id": ids[doc[lo:hi]], "th": th[doc[lo:hi]], "line": line[lo:hi].astype(np.int32), "h1": h1, "h2": h2, "n": n.astype(np.int32), "sim": simhashes(own, long[a:b], n).view(np.int64)}
+            yield pd.DataFrame(got | {c: odd[:, i] for i, c in enumerate(PARITIES)} | {c: keys[:, i] for i, c in enumerate(KEYED)})
 
     return docs.mapInPandas(run, "id long, th int, line int, h1 long, h2 long, n int, sim long, " + ", ".join(f"{c} long" for c in PARITIES + KEYED))
 
@@ -352,7 +395,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         alike = (F.least(x["n"], y["n"]) < SIM_WORDS) | (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= SIM_BITS)
         return (F.abs(x["n"] - y["n"]) <= most) & (apart <= 2 * most) & alike
 
-    comp = linked(meet(_buckets(classes), "lines"), traits, near, check, "lines")
+    comp = linked(meet(_buckets(classes), "lines"), traits, near, check, "lines", carry=True)
     named = classes.select("cid", "h1", "h2", "first", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
     best = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("best"))
     kept = named.where("comp is not null or c > 1").join(best, "comp", "left").select("h1", "h2", "c", F.coalesce("best", "first").alias("best"))
