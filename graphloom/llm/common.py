@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-SALT, PIVOTS, MANY = 2048, 3, 100  # rows of a block; further pivots of buckets with more than so many rows
+FEW, NO_ID = 1000, (1 << 63) - 1  # most heavy keys; in place of a missing id, after all others
+SALT, PIVOTS, MANY = 2048, 3, 1000  # rows of a block; further pivots of buckets with more than so many rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +66,23 @@ def portions(pdf, column: str, limit: int = 4 << 20):
         yield pdf.iloc[a:b]
 
 
+def join_counted(rows: DataFrame, found: DataFrame, on: list[str], count: str, total: int, semi: bool = False) -> DataFrame:
+    """``rows`` joined with ``found``, which has each key once and the number of its rows in ``count``. The keys of many
+    rows, ``FEW`` at most, are joined by broadcast, so that none of them is one task's."""
+    often = max(FEW, -(-total // FEW))
+    heavy, light = F.broadcast(found.where(F.col(count) >= often)), found.where(F.col(count) < often)
+    if semi:
+        heavy, light = heavy.select(on), light.select(on)
+    how = "left_semi" if semi else "inner"
+    return rows.join(heavy, on, how).unionByName(rows.join(heavy.select(on), on, "left_anti").join(light, on, how))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, th, text``: rows without an id get ``NO_ID``, rows that share one differ by their texts' hash."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"), text.alias("text"))
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(id, comp)`` with comp the smallest id reachable.
 
@@ -149,10 +167,14 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
         if tried == PIVOTS or large.isEmpty():
             break
         tried += 1
-        draw = F.struct(F.xxhash64("id", F.lit(tried)).alias("h"), F.col("id").alias("p"), F.col("comp").alias("pc"))
-        pivot = large.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.p", "d.pc")
-        pairs = large.join(pivot, "key").where("comp <> pc").select(*ordered("id", "p")).distinct()
-        comp = _merged(comp, materialize(check(likely(pairs, "ab")), f"{tag}-links"), tag)
+        draw = F.struct(F.xxhash64("id", F.lit(tried)).alias("h"), F.col("id").alias("p"), F.col("comp").alias("pc"), *([F.col("t").alias("pt")] if carry else []))
+        pivot = large.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.*")
+        pairs = large.join(pivot, "key").where("comp <> pc")
+        if carry:
+            pairs = pairs.where(near(F.col("t"), F.col("pt"))).select(*ordered("id", "p")).distinct()
+        else:
+            pairs = likely(pairs.select(*ordered("id", "p")).distinct(), "ab")
+        comp = _merged(comp, materialize(check(pairs), f"{tag}-links"), tag)
     if not carry:
         rest = materialize(rest.join(traits, "id"), f"{tag}-traits")
     blocks = F.ceil(F.col("m") / SALT).cast("int")

@@ -39,13 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import linked, materialize, meet, portions, release, slices
+from .common import NO_ID, join_counted, linked, materialize, meet, portions, release, slices
 
-PERCENT, BROADCAST, FEW = 80, 1_000_000, 1000
+PERCENT, BROADCAST = 80, 1_000_000
 SIM_WORDS, SIM_BITS = 20, 22  # SimHashes count from so many words, and may differ in so many bits
 GRAM, KEYS, ODD, LINE_BITS = 3, 8, 2, 11  # words of a gram, most keys of a line, 64-bit words of the parities
 CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
-NO_ID, WINDOW, WORDS = (1 << 63) - 1, 1 << 20, 500_000  # id of rows without one; bytes and words in hand at once
+WINDOW, WORDS = 1 << 20, 500_000  # bytes and words in hand at once
 PUNCTUATION = ".,;:!?'\"()-"
 #: Thai to Myanmar, Khmer, New Tai Lue to Tai Tham, kana with marks, Han; not Hangul and others that part words.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1980-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
@@ -279,17 +279,17 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
-    """``cid, words`` of the classes asked for (``cid, id, th, line``)."""
+    """``cid, words`` (a text) of the classes asked for (``cid, id, th, line``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in portions(pdf, "text", 2 << 20):
-                out = [(x["cid"], normalised(cut_[x["line"]])) for text, own in zip(part["text"], part["own"]) for cut_ in [text.split("\n")] for x in own]
+                out = [(x["cid"], " ".join(normalised(cut_[x["line"]]))) for text, own in zip(part["text"], part["own"]) for cut_ in [text.split("\n")] for x in own]
                 yield pd.DataFrame(out, columns=["cid", "words"])
 
     by = need.groupBy("id", "th").agg(F.collect_list(F.struct("cid", "line")).alias("own"))
     near = F.broadcast if need.count() <= BROADCAST else (lambda d: d)
-    return docs.join(near(by), ["id", "th"]).select("text", "own").mapInPandas(run, "cid long, words array<string>").dropDuplicates(["cid"])
+    return docs.join(near(by), ["id", "th"]).select("text", "own").mapInPandas(run, "cid long, words string").dropDuplicates(["cid"])
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -367,20 +367,20 @@ def _buckets(classes: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """``id, th, line, first_id, first_line`` of every line to remove; docs: ``id, th, text``."""
     occ = materialize(_occurrences(docs), "lines")
-    carried = ["n", "sim", *PARITIES, *KEYED]
-    classes = occ.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in carried], F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("c"))
+    carried = ["id", "th", "line", "n", "sim", *PARITIES, *KEYED]  # of any occurrence; all of one width, so nothing is sorted
+    classes = occ.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in carried], F.count("*").alias("c"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # fixed once written
 
     def check(pairs: DataFrame) -> DataFrame:
         near = materialize(pairs.distinct(), "likely")
         ends = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
-        need = materialize(classes.join(ends, "cid", "left_semi").select("cid", "first.id", "first.th", "first.line"), "need")
+        need = materialize(classes.join(ends, "cid", "left_semi").select("cid", "id", "th", "line"), "need")
         texts = materialize(_texts(need, docs), "words")
         side = lambda c: texts.select(F.col("cid").alias(c), F.col("words").alias(f"w{c}"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                good = [similar(list(x), list(y)) for x, y in zip(pdf["wa"], pdf["wb"])]
+                good = [similar(x.split(), y.split()) for x, y in zip(pdf["wa"], pdf["wb"])]
                 yield pdf.loc[good, ["a", "b"]]
 
         out = materialize(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long"), "verified")
@@ -396,18 +396,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         return (F.abs(x["n"] - y["n"]) <= most) & (apart <= 2 * most) & alike
 
     comp = linked(meet(_buckets(classes), "lines"), traits, near, check, "lines", carry=True)
-    named = classes.select("cid", "h1", "h2", "first", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
-    best = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("best"))
-    kept = named.where("comp is not null or c > 1").join(best, "comp", "left").select("h1", "h2", "c", F.coalesce("best", "first").alias("best"))
-    kept = materialize(kept, "kept")
-    # the commonest classes, FEW at most, are joined by broadcast, so that none is one task's
-    often = F.lit(max(FEW, -(-(occ.count()) // FEW)))
-    places = occ.select("id", "th", "line", "h1", "h2")
-    common = F.broadcast(kept.where(F.col("c") >= often))
-    out = places.join(common, ["h1", "h2"]).unionByName(places.join(common.select("h1", "h2"), ["h1", "h2"], "left_anti").join(kept.where(F.col("c") < often), ["h1", "h2"]))
+    group = classes.select("cid", "h1", "h2", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left").where("comp is not null or c > 1")
+    group = materialize(group.select("h1", "h2", "c", F.coalesce("comp", "cid").alias("g")), "kept")
+    places = materialize(join_counted(occ.select("id", "th", "line", "h1", "h2"), group, ["h1", "h2"], "c", occ.count()).select("id", "th", "line", "g"), "places")
+    best = materialize(places.groupBy("g").agg(F.min(F.struct("id", "line", "th")).alias("best"), F.count("*").alias("c")), "best")
+    out = join_counted(places, best, ["g"], "c", places.count())
     out = out.where((F.col("id") != F.col("best.id")) | (F.col("line") != F.col("best.line")) | (F.col("th") != F.col("best.th")))
     out = materialize(out.select("id", "th", "line", F.col("best.id").alias("first_id"), F.col("best.line").alias("first_line")), "drop")
-    release(occ, classes, kept, comp)
+    release(occ, classes, group, places, best, comp)
     return out
 
 
@@ -421,7 +417,8 @@ def _without(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop"), lambda i: F.get(lines, i))
     kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(left, "\n"))
     count = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0)).cast("long")
-    return own.join(drop, ["id", "th"], "left").select("row", kept.alias("kept"), count(lines).alias("n_lines"), count(F.col("drop")).alias("n_removed"))
+    # the smaller side is hashed, so that texts aren't sorted
+    return own.join(drop.hint("shuffle_hash"), ["id", "th"], "left").select("row", kept.alias("kept"), count(lines).alias("n_lines"), count(F.col("drop")).alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
