@@ -7,11 +7,13 @@ puts the template's start at word position minus posting position, and only star
 anchors agree go on. There the key phrase must stand word by word; the share of the template's IDF
 that stands at its places is the score. A true place holds all its words, so no place is lost.
 
-Texts are cut once: the positions of template words are written to the shared folder as the index. What
-reaches the driver is a count for each template word, a fixed list; only those counts are shuffled.
+Texts are cut once: a number for each word, 0 but for template words, is written to the shared folder as the index, so a
+word at a place is found at once and time grows with the text, however long and however often it holds anchors.
+What reaches the driver is a count for each template word, a fixed list; only those counts are shuffled.
 
 Defined cases: null text is empty: no words, no labels (empty strings), null positions, score 0.
-Repeated rows get the same answer; overlapping places all count; an empty table gives an empty result.
+Rows are independent: repeated rows, and rows without an id or with the same one, each get their answer; overlapping
+places all count; an empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -50,20 +52,18 @@ def words_of(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, vocab: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index, written once: ``doc_id, n_words, pos, word`` (arrays) of the template words."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    cut = cut.select("doc_id", "words", F.filter(every, lambda i: F.get("words", i).isin(vocab)).alias("pos"))
-    word = F.transform("pos", lambda i: F.get("words", i))
-    return materialize(cut.select("doc_id", F.size("words").cast("long").alias("n_words"), "pos", word.alias("word")), "licence-words")
+    """The positional index, written once: ``doc_id, n_words, codes``; a code is a word's place in ``vocab`` from 1, or 0."""
+    known = F.array(*map(F.lit, vocab))
+    code = lambda w: F.when(w.isin(vocab), F.array_position(known, w)).otherwise(F.lit(0)).cast("tinyint" if len(vocab) < 128 else "int")
+    cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.transform(words_of(F.col(f"`{text_col}`")), code).alias("codes"))
+    return materialize(cut.select("doc_id", F.size("codes").cast("long").alias("n_words"), "codes"), "licence-words")
 
 
 def frequencies(found: DataFrame, vocab: list[str]) -> tuple[dict[str, int], int]:
-    """Documents that hold each template word, and documents in all."""
-    own = F.array_append(F.array_distinct("word"), F.lit(""))
-    rows = found.select(F.explode(own).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
-    n = {r["w"]: r["n"] for r in rows}
-    return {w: n.get(w, 0) for w in vocab}, n.get("", 0)
+    """Documents that hold each template word, and documents in all (under code 0)."""
+    own = F.array_distinct(F.concat(F.filter("codes", lambda c: c > 0), F.array(F.lit(0).cast(found.schema["codes"].dataType.elementType))))
+    n = {r["c"]: r["n"] for r in found.select(F.explode(own).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
+    return {w: n.get(k + 1, 0) for k, w in enumerate(vocab)}, n.get(0, 0)
 
 
 def index(df: dict[str, int], n: int, templates: list[tuple] = TEMPLATES) -> list[dict]:
@@ -87,9 +87,11 @@ def scan(docs: DataFrame, templates: list[tuple] = TEMPLATES, id_col: str = "doc
     """``doc_id, n_words, places``; a place has ``label, start, score, base, found``."""
     vocab = sorted({w for _, t, _, _ in templates for w in t.split()})
     occ = occurrences(docs, vocab, id_col, text_col)
-    built = index(*frequencies(occ, vocab), templates)
+    code = {w: k + 1 for k, w in enumerate(vocab)}
+    coded = lambda v: [code[x] for x in v] if isinstance(v, list) else code[v]
+    built = [t | {k: coded(t[k]) for k in ("words", "a", "b")} for t in index(*frequencies(occ, vocab), templates)]
     anchors = sorted({t["a"] for t in built})
-    at = lambda p: F.try_element_at(F.col("of"), p)
+    at = lambda p: F.when(p >= 0, F.get("codes", p.cast("int")))
 
     def place(t: Column, start: Column) -> Column:
         got = F.transform(t["words"], lambda w, j: F.coalesce(at(start + j) == w, F.lit(False)))
@@ -100,10 +102,10 @@ def scan(docs: DataFrame, templates: list[tuple] = TEMPLATES, id_col: str = "doc
 
     posting = F.array(*map(_literal, built))
     agreed = lambda p, w: F.filter(posting, lambda t: (t["a"] == w) & (p >= t["a_at"]) & F.coalesce(at(p - t["a_at"] + t["b_at"]) == t["b"], F.lit(False)))
-    hits = F.filter(F.arrays_zip("pos", "word"), lambda x: x["word"].isin(anchors))
-    places = F.flatten(F.transform("hits", lambda x: F.transform(agreed(x["pos"], x["word"]), lambda t: place(t, x["pos"] - t["a_at"]))))
-    rows = occ.select("doc_id", "n_words", F.map_from_arrays("pos", "word").alias("of"), hits.alias("hits"))
-    return rows.select("doc_id", "n_words", places.alias("places"))
+    every = F.when(F.size("codes") > 0, F.sequence(F.lit(0), F.size("codes") - 1)).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(every, lambda i: F.get("codes", i).isin(anchors))
+    places = F.flatten(F.transform("hits", lambda i: F.transform(agreed(i, F.get("codes", i)), lambda t: place(t, i - t["a_at"]))))
+    return occ.select("doc_id", "n_words", "codes", hits.alias("hits")).select("doc_id", "n_words", places.alias("places"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
