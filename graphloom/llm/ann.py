@@ -4,21 +4,24 @@ A product quantiser with 16 centroids for every two dimensions (four bits) is tr
 most ``SAMPLE`` vectors. Its loss weighs the residual parallel to the vector ``eta`` times as much as the
 rest, since that is what shifts large inner products; both the assignment (coordinate descent over the
 subspaces) and the centroids (a linear system each) minimise it. Every vector is indexed: codes are
-packed two to a byte, in blocks of ``BLOCK`` vectors. Queries come in blocks too and meet every block of
-the index; a block is scanned with 256-entry tables (two subspaces at once), the ``RERANK`` best by
-estimate are scored exactly in double precision, and only the ``k`` best of a block go on.
+packed two to a byte, in blocks of ``BLOCK`` vectors. Queries come in blocks of ``QUERIES`` and meet every block of
+the index, which is dealt into shards; a task has one query block and the index blocks of a shard, one after the other.
+A block is scanned with 256-entry tables (two subspaces at once), the ``RERANK`` best by
+estimate are scored exactly in double precision, and only the ``k`` best so far are kept. Index blocks travel once
+for each query block, vectors in the type that they came in.
 
 Equal vectors: only the k + 1 smallest ids of each can be among k nearest with ties to the smaller id
 (one may be the query itself), so the rest aren't scanned; the limit is taken before rows are dealt.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors of
-another length than the commonest in the sample, take no part. Repeated rows (same id and vector) are
-one. With fewer than k candidates all are returned; an empty table gives an empty result.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take no
+part. Vectors of different lengths have no inner product: each length is a search of its own. Repeated rows (same id and
+vector) are one; rows that share an id are candidates each, and ask with the smallest of their vectors. Ties
+go to the smaller id. With fewer than k candidates all are returned; an empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SAMPLE, BLOCK, QUERIES, SHARDS, RERANK, THRESHOLD = 8192, 2048, 1024, 4, 200, 0.2
+SAMPLE, BLOCK, QUERIES, SHARDS, RERANK, THRESHOLD = 8192, 2048, 8192, 4, 200, 0.2
 
 
 class Quantizer:
@@ -104,46 +107,56 @@ def valid(vec: Column) -> Column:
     return F.coalesce(F.forall(vec, finite) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _blocks(vecs: DataFrame, size: int, quantizer: Quantizer | None) -> DataFrame:
+def _blocks(vecs: DataFrame, size: int, kind: type, quantizer: Quantizer | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), size):
                 part = pdf.iloc[a : a + size]
                 x = np.stack(part["vec"].to_list()).astype(np.float64)
                 codes = pack(quantizer.encode(x)).tobytes() if quantizer else b""
-                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [codes], "vecs": [x.tobytes()], "first": [part["id"].iloc[0]]})
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [codes], "vecs": [x.astype(kind).tobytes()], "first": [part["id"].iloc[0]]})
 
     return vecs.mapInPandas(run, "ids binary, codes binary, vecs binary, first long")
 
 
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest of every row for which ``queries`` holds."""
-    spark = vectors.sparkSession
+    kind = np.float32 if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
     real = vectors.where(valid(F.col(vec_col)))
     rows = real.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), queries.alias("asks")).where("id is not null")
-    n = rows.count()
-    share = min(1.0, SAMPLE / max(n, 1))
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    found = [_search(rows.where(F.size("vec") == dim), sizes[dim], dim, kind, k) for dim in sorted(sizes)]
+    out = found[0] if found else vectors.sparkSession.createDataFrame([], SCHEMA)
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _search(rows: DataFrame, n: int, dim: int, kind: type, k: int) -> DataFrame:
+    """The search among ``n`` vectors of one length."""
+    spark = rows.sparkSession
+    share = min(1.0, SAMPLE / n)
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).select("vec").limit(2 * SAMPLE).collect()
-    if not some:
-        some = rows.select("vec").limit(SAMPLE).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not some:
-        return spark.createDataFrame([], schema)
-    dim = max(sorted((c := Counter(len(r["vec"]) for r in some)).items()), key=lambda t: t[1])[0]
-    quantizer = Quantizer(dim).fit(np.array([r["vec"] for r in some if len(r["vec"]) == dim]))
-    rows = rows.where(F.size("vec") == dim)
+    some = some or rows.select("vec").limit(SAMPLE).collect()
+    quantizer = Quantizer(dim).fit(np.array([r["vec"] for r in some]))
     alike = Window.partitionBy(F.xxhash64("vec"), F.hash("vec")).orderBy("id")
     few = rows.groupBy("id", "vec").agg(F.max("asks").alias("asks"))
     few = few.select("id", "vec", F.row_number().over(alike).alias("r")).where(F.col("r") <= k + 1)
     full = max(1, -(-n // (4 * BLOCK)))  # fewer partitions, so that blocks are full
-    index = materialize(_blocks(few.select("id", "vec").coalesce(full), BLOCK, quantizer), "index")
-    asked = rows.where("asks").select("id", "vec").dropDuplicates(["id"]).coalesce(max(1, n // 400_000))
-    asked = materialize(_blocks(asked, QUERIES, None), "queries")
-    cells, shards = max(1, index.count()), max(1, min(SHARDS, index.count()))
-    index = index.select("ids", "codes", "vecs", F.pmod(F.xxhash64("first", "ids"), F.lit(cells)).cast("int").alias("cell"))
-    every = asked.select(F.col("first").alias("ask"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    met = index.join(every, "cell").withColumn("shard", F.col("cell") % shards)
-    met = met.repartition(max(1, min(2000, asked.count() * shards)), "ask", "shard").sortWithinPartitions("ask", "shard")
+    index = materialize(_blocks(few.select("id", "vec").coalesce(full), BLOCK, kind, quantizer), "index")
+    asked = rows.where("asks").groupBy("id").agg(F.min("vec").alias("vec")).coalesce(max(1, n // 400_000))
+    asked = materialize(_blocks(asked, QUERIES, kind, None), "queries")
+    asks = asked.count()
+    if not asks:
+        return spark.createDataFrame([], SCHEMA)
+    shards = max(1, min(index.count(), max(SHARDS, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // asks))))
+    number = asked.select("first", (F.row_number().over(Window.orderBy("first")) - 1).alias("ask"))  # a row for each query block
+    q = asked.join(F.broadcast(number), "first").select("ask", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("tag"), "ids", "codes", "vecs")
+    i = index.select(F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"), F.pmod(F.xxhash64("first", "ids"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("tag"), "ids", "codes", "vecs")
+    met = q.unionByName(i).repartition(min(100_000, asks * shards), "ask", "shard").sortWithinPartitions("ask", "shard", "tag")
 
     def scan(ids: np.ndarray, codes: np.ndarray, vecs: np.ndarray, qi: np.ndarray, qv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the best of a block, for some queries."""
@@ -160,29 +173,29 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, None  # the query block in hand and its best so far
+        held = None  # the queries in hand and their best so far
 
         def flush() -> pd.DataFrame:
-            q, i, x = held
+            q, _, i, x = held
             real = x > -np.inf
             return pd.DataFrame({"query_id": np.repeat(q, i.shape[1])[real.ravel()], "vec_id": i[real], "score": x[real]})
 
         for pdf in batches:
-            for ask, shard, ids, codes, vecs, q_ids, q_vecs in zip(*(pdf[c] for c in ("ask", "shard", "ids", "codes", "vecs", "q_ids", "q_vecs"))):
-                q_ids, q_vecs = np.frombuffer(q_ids, np.int64), np.frombuffer(q_vecs, np.float64).reshape(-1, dim)
-                if at != (ask, shard):
+            for tag, ids, codes, vecs in zip(pdf["tag"], pdf["ids"], pdf["codes"], pdf["vecs"]):
+                ids, vecs = np.frombuffer(ids, np.int64), np.frombuffer(vecs, kind).reshape(-1, dim)
+                if tag == 0:
                     if held:
                         yield flush()
-                    at, held = (ask, shard), (q_ids, np.zeros((len(q_ids), 0), np.int64), np.zeros((len(q_ids), 0)))
-                ids, vecs = np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, dim)
+                    held = (ids, vecs.astype(np.float64), np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0)))
+                    continue
                 codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T)
-                parts = [scan(ids, codes, vecs, q_ids[a : a + 64], q_vecs[a : a + 64]) for a in range(0, len(q_ids), 64)]
-                new = best(*(np.concatenate([held[j + 1], np.concatenate([x[j] for x in parts])], 1) for j in (0, 1)))
-                held = (q_ids, *new)
+                qi, qv, known, scores = held
+                parts = [scan(ids, codes, vecs, qi[a : a + 64], qv[a : a + 64]) for a in range(0, len(qi), 64)]
+                held = (qi, qv, *best(*(np.concatenate([old, np.concatenate([x[j] for x in parts])], 1) for j, old in enumerate((known, scores)))))
         if held:
             yield flush()
 
-    found = met.select("ask", "shard", "ids", "codes", "vecs", "q_ids", "q_vecs").mapInPandas(run, "query_id long, vec_id long, score double")
+    found = met.select("tag", "ids", "codes", "vecs").mapInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
