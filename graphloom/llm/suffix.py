@@ -13,7 +13,8 @@ known by two names that were made apart (its bucket and its content).
 
 Defined cases: null text is empty; texts under ``WINDOW`` bytes lose nothing; overlapping and repeated
 occurrences count, within a text too; repeated rows are each other's copies; an empty table gives an
-empty result. Rows may share an id. Only the id and text columns are read.
+empty result. Rows may share an id or have none: they are told apart by their text, and rows equal in both have the
+same answer. Very long texts are read in blocks of 256 KiB that overlap by a window. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, portions, release
+from .common import NO_ID, join_counted, keyed, materialize, portions, release
 
 WINDOW, Q, REACH = 400, 25, 300  # REACH: a window's 100-byte buckets start 0..300 bytes after it
 BLOCK, WIDTH = 1 << 18, 16
@@ -175,7 +176,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     classes = t1.groupBy(same).agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "a")).alias("rep"))
     classes = materialize(classes, "classes")
     shared = classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
-    full = t1.join(classes.where("c > 1").select(same), same, "left_semi")
+    full = join_counted(t1, classes.where("c > 1"), same, "c", t1.count(), semi=True)
     spans = full.select("id", "th", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + WINDOW).alias("e"))
     active = classes.join(shared, "m", "left_semi").select("rep.*", "n", "dh", "m")
     content = materialize(_content(active, docs), "content")
@@ -223,9 +224,8 @@ def _finish(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_bytes, n_removed, spans`` (maximal removed runs) and the ``kept`` bytes of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("th"), text.cast("binary").alias("bytes"))
-    return _finish(src, repeated_spans(src))
+    src = keyed(docs, id_col, text_col).select("id", "th", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    return _finish(src, repeated_spans(src)).withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
