@@ -29,10 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import linked, materialize, meet, portions, release
+from .common import NO_ID, join_counted, keyed, linked, materialize, meet, portions, release
 
-BANDS, ROWS, SKETCH, SLACK, WHOLE, FEW = 40, 5, 512, 0.2, 2048, 1000
-NO_ID = (1 << 63) - 1  # in place of a missing id: after all others
+BANDS, ROWS, SKETCH, SLACK, WHOLE = 40, 5, 512, 0.2, 2048
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,17 +147,11 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     return out
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, th, text``: rows without an id get the largest, rows that share one differ by their texts' hash."""
-    text = F.col(f"`{text_col}`")
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"), text.alias("text"))
-
-
 def grouped(src: DataFrame, k: int, percent: int) -> DataFrame:
     """``id, th, n, first`` of every row of ``keyed``: set size and the first row (id and text hash) of its component."""
     sk = materialize(sketches(src, k), "sketch")
     some = ["n", "keys", "odd", "all"]
-    reps = sk.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("id", "th")).alias("first"), *[F.first(c).alias(c) for c in some])
+    reps = sk.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("id", "th")).alias("first"), *[F.first(c).alias(c) for c in some], F.count("*").alias("c"))
     reps = materialize(reps.withColumn("cid", F.monotonically_increasing_id()), "reps")  # fixed once written
     buckets = reps.select(F.col("cid").alias("id"), F.explode("keys").alias("key"))
     most = most_differing(percent / 100 - SLACK)
@@ -171,17 +164,15 @@ def grouped(src: DataFrame, k: int, percent: int) -> DataFrame:
 
     traits = reps.select(F.col("cid").alias("id"), F.struct("n", "odd", "all").alias("t"))
     comp = linked(meet(buckets, "near"), traits, near, lambda pairs: confirm(pairs, reps, src, k, percent), "near")
-    named = reps.select("c1", "c2", "cid", "first").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
+    named = reps.select("c1", "c2", "cid", "first", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
     best = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("best"))
-    named = named.join(best, "comp", "left").select("c1", "c2", F.coalesce("best", "first").alias("first"))
+    named = named.join(best, "comp", "left").select("c1", "c2", "c", F.coalesce("best", "first").alias("first"))
     named = materialize(named, "near-named")
     release(reps, comp)
     own = sk.select("id", "th", "n", "c1", "c2")
-    # empty sets need no class; the classes of many rows, FEW at most, are joined by broadcast
-    real, often = own.where("n > 0"), F.lit(max(FEW, -(-sk.count() // FEW)))
-    heavy = real.groupBy("c1", "c2").agg(F.count("*").alias("c")).where(F.col("c") >= often).select("c1", "c2")
-    heavy = F.broadcast(materialize(named.join(heavy, ["c1", "c2"], "left_semi"), "near-heavy"))
-    out = real.join(heavy, ["c1", "c2"]).unionByName(real.join(heavy.select("c1", "c2"), ["c1", "c2"], "left_anti").join(named, ["c1", "c2"]))
+    # empty sets need no class
+    real = own.where("n > 0")
+    out = join_counted(real, named, ["c1", "c2"], "c", sk.count())
     return out.select("id", "th", "n", "first").unionByName(own.where("n = 0").select("id", "th", "n", F.struct("id", "th").alias("first")))
 
 
