@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def c(x: Column | str) -> Column:
@@ -19,19 +15,15 @@ def lower(x: Column | str) -> Column:
     return F.lower(F.replace(F.replace(c(x), F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
 
 
-@F.pandas_udf(StringType())
-def _nfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
-
-
 def nfc(x: Column | str) -> Column:
-    """Composed form. The one function here that needs Python: leave it out where input is known to be composed."""
-    return _nfc(c(x))
+    """Composed form, by the Unicode library that Spark brings; plain ASCII, the common case, passes as it is."""
+    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c(x), F.lit(False))
+    return F.when(c(x).rlike(r"[^\x00-\x7f]"), composed).otherwise(c(x))
 
 
 def slug(x: Column | str) -> Column:
     """Lower-case letters and digits, every other run one ``-``, none at the ends."""
-    return F.btrim(F.regexp_replace(lower(x), r"[^\p{L}\p{Nd}]+", "-"), F.lit("-"))
+    return F.btrim(F.regexp_replace(lower(nfc(x)), r"[^\p{L}\p{Nd}]+", "-"), F.lit("-"))
 
 
 def node_id(file: Column | str, label: Column | str) -> Column:
@@ -40,7 +32,7 @@ def node_id(file: Column | str, label: Column | str) -> Column:
 
 def tokenize(x: Column | str) -> Column:
     """Words of an identifier: cut at other characters and between lower case or digit and capital."""
-    spaced = F.regexp_replace(c(x), "(?<=[a-z0-9])(?=[A-Z])", " ")
+    spaced = F.regexp_replace(nfc(x), "(?<=[a-z0-9])(?=[A-Z])", " ")
     return F.filter(F.split(lower(spaced), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
 
 
@@ -100,20 +92,27 @@ def combine_confidence(a: Column | str, b: Column | str) -> Column:
 
 def norm_path(x: Column | str) -> Column:
     """Route template: no query, parameters and numbers as ``{}``, one leading and no trailing slash."""
-    p = F.regexp_replace(c(x), r"[?#].*$", "")
-    part = lambda s: F.when(s.rlike(r"^(?:\{.*\}|:.+|<.*>|[0-9]+)$"), F.lit("{}")).otherwise(s)
-    p = F.array_join(F.transform(F.split(p, "/"), part), "/")
+
+    def part(s: Column) -> Column:
+        for placeholder in (r"\{[^}]*\}", "<[^>]*>", r":[a-zA-Z_]\w*"):  # braces, angles, a colon with a name
+            s = F.regexp_replace(s, placeholder, "{}")
+        return F.when(s.rlike("^[0-9]+$"), F.lit("{}")).otherwise(s)
+
+    p = F.array_join(F.transform(F.split(F.regexp_replace(c(x), r"[?#].*$", ""), "/"), part), "/")
     p = F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p))
     return F.when(p.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(p, "/+$", ""))
 
 
 def strip_host(x: Column | str) -> Column:
-    rest = F.regexp_replace(c(x), "(?i)^https?://[^/]*", "")
-    return F.when(rest == "", F.lit("/")).otherwise(rest)
+    """A URL from its path on; what has no scheme stays."""
+    rest = F.substr(c(x), F.instr(c(x), "://") + 3)
+    path = F.instr(rest, "/")
+    return F.when(~F.contains(c(x), F.lit("://")), c(x)).when(path == 0, F.lit("/")).otherwise(F.substr(rest, path))
 
 
 def http_key(method: Column | str, path: Column | str) -> Column:
-    return F.concat(F.upper(c(method)), F.lit(" "), norm_path(path))
+    m = F.upper(F.btrim(c(method)))
+    return F.concat(F.when(m == "", F.lit("GET")).otherwise(m), F.lit(" "), norm_path(path))
 
 
 def join_path(prefix: Column | str, path: Column | str) -> Column:
@@ -164,3 +163,13 @@ def html_escape(x: Column | str) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+def extract_all(x: Column | str, pattern: str, group: int = 0) -> Column:
+    """All matches of a pattern, or of one of its groups."""
+    return F.regexp_extract_all(c(x), F.lit(pattern), F.lit(group))
+
+
+def json_as(x: Column | str, schema: str) -> Column:
+    """A JSON text under a schema, null if it isn't JSON."""
+    return F.from_json(c(x), schema)

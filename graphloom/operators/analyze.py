@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import degrees
+from .paths import cut
 
 HUBS = 7
 
@@ -60,9 +61,12 @@ def back_edge_cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:
 
 def import_cycles(edges: DataFrame) -> DataFrame:
     """``graph, rank, members``. Nodes that no cycle can hold are peeled off before a graph goes to its task."""
-    e = edges.where("relation = 'imports'").select("graph", "src", "dst").distinct()
-    for _ in range(3):  # drop edges into ends that import nothing, and out of ends nothing imports
-        e = e.join(e.select("graph", F.col("src").alias("dst")).distinct(), ["graph", "dst"], "left_semi").join(e.select("graph", F.col("dst").alias("src")).distinct(), ["graph", "src"], "left_semi").select("graph", "src", "dst")
+    e = cut(edges.where("relation = 'imports'").select("graph", "src", "dst").distinct())
+    n, before = e.count(), None
+    while n != before:  # drop edges into ends that import nothing, and out of ends nothing imports
+        into, out = e.select("graph", F.col("src").alias("dst")).distinct(), e.select("graph", F.col("dst").alias("src")).distinct()
+        e = cut(e.join(into, ["graph", "dst"], "left_semi").join(out, ["graph", "src"], "left_semi").select("graph", "src", "dst"))
+        n, before = e.count(), n
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cycles = back_edge_cycles(list(zip(pdf["src"], pdf["dst"])))
@@ -81,12 +85,17 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return two.union(three)
 
 
+#: In place of questions that a graph has no material for.
+GENERAL = ["Where does execution start?", "Which modules are independent of each other?", "How is the code laid out?"]
+
+
 def questions(nodes: DataFrame, edges: DataFrame, communities: DataFrame) -> DataFrame:
-    """Three questions for each graph: ``graph, rank, question``."""
+    """Three questions for each graph, ``graph, rank, question``: those that its hub, first link across and
+    biggest community give, then general ones."""
     graphs = nodes.select("graph").distinct()
-    hub = god_nodes(nodes, edges, 1).select("graph", F.format_string("Which parts rely on %s, and what would break without it?", "label").alias("q1"))
+    hub = god_nodes(nodes, edges, 1).select("graph", F.format_string("Which parts rely on %s, and what would break without it (%d links)?", "label", "degree").alias("q1"))
     odd = surprising_edges(nodes, edges).groupBy("graph").agg(F.min(F.struct("src", "dst", "relation")).alias("e")).select("graph", F.format_string("Why does %s %s %s although they lie in different districts?", "e.src", "e.relation", "e.dst").alias("q2"))
-    big = biggest_community(nodes).join(communities.select("graph", F.col("id").alias("community"), "label"), ["graph", "community"]).select("graph", F.format_string("What holds the %s district together?", "label").alias("q3"))
+    big = biggest_community(nodes).join(communities.select("graph", F.col("id").alias("community"), "label"), ["graph", "community"]).select("graph", F.format_string("What holds the %s district (%d members) together?", "label", "n").alias("q3"))
     all_ = graphs.join(hub, "graph", "left").join(odd, "graph", "left").join(big, "graph", "left")
-    filled = F.array(F.coalesce("q1", F.lit("Where does execution start?")), F.coalesce("q2", F.lit("Which modules are independent of each other?")), F.coalesce("q3", F.lit("How is the code laid out?")))
-    return all_.select("graph", F.posexplode(filled).alias("rank", "question")).withColumn("rank", F.col("rank") + 1)
+    three = F.slice(F.concat(F.array_compact(F.array("q1", "q2", "q3")), F.array(*map(F.lit, GENERAL))), 1, 3)
+    return all_.select("graph", F.posexplode(three).alias("rank", "question")).withColumn("rank", F.col("rank") + 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import expr as X
 from graphloom.schema import CONFIDENCES, ENDPOINT_KINDS, KINDS, RELATIONS, Graph
 
 EDGE = ["graph", "src", "dst", "relation", "confidence"]
@@ -62,6 +63,7 @@ def validate(graph: Graph) -> DataFrame:
     out = out.union(found(n.where(~F.coalesce(F.col("kind").isin(KINDS), F.lit(False))), 12, "unknown kind", F.col("id")))
     out = out.union(found(n.where("line < 0"), 13, "negative line", F.col("id"))).union(found(n.where("community < -1"), 14, "bad community", F.col("id")))
     link = F.concat_ws(" ", "src", "dst")
+    out = out.union(found(e.where("coalesce(src, '') = '' or coalesce(dst, '') = ''"), 19, "edge without an end", link))
     out = out.union(found(e.where(~F.coalesce(F.col("relation").isin(RELATIONS), F.lit(False))), 20, "unknown relation", link))
     out = out.union(found(e.where(~F.coalesce(F.col("confidence").isin(CONFIDENCES), F.lit(False))), 21, "unknown confidence", link))
     out = out.union(found(dangling(e, n), 22, "dangling edge", F.col("end")))
@@ -76,5 +78,33 @@ def validate(graph: Graph) -> DataFrame:
     return out
 
 
+def validate_documents(documents: DataFrame, version: str = "1") -> DataFrame:
+    """Violations of stored documents ``graph, version, generated_at, root``, before those of their rows."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rules = [(1, "version", ~F.col("version").eqNullSafe(F.lit(version))), (2, "generated_at", empty("generated_at")), (3, "root", empty("root"))]
+    found = F.array_compact(F.array(*[F.when(wrong, F.struct(F.lit(rank).alias("rank"), F.lit(f"document: {c}").alias("rule"), F.coalesce(c, F.lit("")).alias("subject"))) for rank, c, wrong in rules]))
+    return documents.select("graph", F.explode(found).alias("x")).select("graph", "x.*")
+
+
+def validate_registries(registries: DataFrame, text: str = "text", rows: str = "members", key: str = "alias") -> DataFrame:
+    """Violations of registry files ``graph, text``: no JSON, a field that lacks, a row without its key or path."""
+    d = X.json_as(text, f"struct<version:string,name:string,{rows}:array<struct<{key}:string,path:string>>>")
+    none = lambda x: F.coalesce(x, F.lit("")) == ""
+    bad = lambda r: F.exists(r, lambda m: none(m[key]) | none(m["path"]))
+    lacks = F.col("d.version").isNull() | F.col("d.name").isNull() | F.col(f"d.{rows}").isNull()
+    rule = F.when(lacks, F.lit("field lacks")).when(bad(F.col(f"d.{rows}")), F.lit(f"row without {key} or path"))
+    return registries.withColumn("d", d).select("graph", rule.alias("rule")).where("rule is not null")
+
+
+def validate_overlays(overlays: DataFrame, text: str = "text") -> DataFrame:
+    """Violations of overlay files ``graph, text``."""
+    d = X.json_as(text, "struct<version:string,links:array<struct<from:string,to:string,relation:string,confidence:string>>>")
+    parts = ("from", "to", "relation", "confidence")
+    lacks = lambda m: F.array_contains(F.array(*[m[c].isNull() for c in parts]), True)
+    rule = F.when(F.col("d.version").isNull() | F.col("d.links").isNull(), F.lit("field lacks")).when(F.exists("d.links", lacks), F.lit("link lacks a field"))
+    rule = rule.when(F.exists("d.links", lambda m: ~m["confidence"].isin(CONFIDENCES)), F.lit("unknown confidence"))
+    return overlays.withColumn("d", d).select("graph", rule.alias("rule")).where("rule is not null")
+
+
 def first_violation(violations: DataFrame) -> DataFrame:
     return violations.groupBy("graph").agg(F.min(F.struct("rank", "subject", "rule")).alias("v")).select("graph", "v.*")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import expr as X
 
+from .paths import cut, drop
+
 PASSES = 10_000
 
 
@@ -54,6 +56,52 @@ def move_locally(ids: list[str], pairs: list[tuple[str, str, int]]) -> dict[str,
     return {x: number.setdefault(own[i], len(number)) for x, i in rank.items()}
 
 
+def ranked(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``rank``, their place by id within the graph, from 0."""
+    return nodes.withColumn("rank", F.row_number().over(Window.partitionBy("graph").orderBy("id")) - 1)
+
+
+def renumbered(nodes: DataFrame) -> DataFrame:
+    """Communities numbered from 0 without gaps, by their smallest member; nodes without one (-1) keep that."""
+    lead = nodes.where("community >= 0").groupBy("graph", "community").agg(F.min("id").alias("lead"))
+    number = lead.withColumn("number", F.row_number().over(Window.partitionBy("graph").orderBy("lead")) - 1).drop("lead")
+    out = nodes.join(number, ["graph", "community"], "left").withColumn("community", F.coalesce("number", F.lit(-1)))
+    return out.select(nodes.columns)
+
+
+def local_moving(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """``graph, id, community`` for graphs that no task can hold: all nodes of one half, drawn by hash each
+    round, move at once to the neighbouring community of highest ``w - deg * tot / 2m`` (a tie keeps the own, then the
+    smallest), until no node of either half moves. Not the result of :func:`louvain`, whose moves follow each other."""
+    pairs = cut(pair_weights(edges))
+    both = cut(pairs.select("graph", F.col("a").alias("id"), F.col("b").alias("other"), "w").union(pairs.select("graph", "b", "a", "w")))
+    deg = both.groupBy("graph", "id").agg(F.sum("w").alias("deg"))
+    own = cut(nodes.select("graph", "id").distinct().join(deg, ["graph", "id"], "left").select("graph", "id", F.col("id").alias("comm"), F.coalesce("deg", F.lit(0)).alias("deg")))
+    m2 = deg.groupBy("graph").agg(F.sum("deg").alias("m2"))
+    still = 0
+    for k in range(rounds):
+        total = own.groupBy("graph", "comm").agg(F.sum("deg").alias("tot"))
+        to = both.join(own.select("graph", F.col("id").alias("other"), "comm"), ["graph", "other"]).groupBy("graph", "id", "comm").agg(F.sum("w").alias("w"))
+        home = own.select("graph", "id", F.col("comm").alias("home"), "deg")
+        choice = to.unionByName(home.select("graph", "id", F.col("home").alias("comm"), F.lit(0).cast("long").alias("w"))).groupBy("graph", "id", "comm").agg(F.sum("w").alias("w"))
+        choice = choice.join(home, ["graph", "id"]).join(total, ["graph", "comm"]).join(m2, "graph")
+        stays = F.col("comm") == F.col("home")
+        gain = F.col("w") - F.col("deg") * (F.col("tot") - F.when(stays, F.col("deg")).otherwise(0)) / F.col("m2")
+        best = choice.groupBy("graph", "id").agg(F.min_by("comm", F.struct(-gain, ~stays, "comm")).alias("best"))
+        turn = F.pmod(F.xxhash64("id", F.lit(k // 2)), F.lit(2)) == k % 2
+        new = own.join(best, ["graph", "id"], "left").withColumn("next", F.when(turn, F.coalesce("best", "comm")).otherwise(F.col("comm")))
+        new = cut(new.select("graph", "id", F.col("next").alias("comm"), "deg", (F.col("next") != F.col("comm")).alias("moved")))
+        still = still + 1 if new.where("moved").isEmpty() else 0
+        drop(own)
+        own = new
+        if still == 2:
+            break
+    drop(pairs, both)
+    lead = own.groupBy("graph", "comm").agg(F.min("id").alias("lead"))
+    number = lead.withColumn("community", F.row_number().over(Window.partitionBy("graph").orderBy("lead")) - 1)
+    return own.join(number, ["graph", "comm"]).select("graph", "id", "community")
+
+
 def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph, id, community``. The order of moves matters, so each graph is one task; graphs run side by side.
     Only ids and aggregated pairs are moved."""

@@ -3,20 +3,42 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share: ``spark.checkpoint.dir``; a local one only for local masters."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(base or f'/tmp/checkpoints/{spark.sparkContext.applicationId}').rstrip('/')}/walk-{uuid.uuid4().hex}"
+    return (base or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/walk-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._walk = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`cut` wrote and nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_walk", None):
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    """Tables that :func:`cut` wrote, of one schema, as one."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[t._walk for t in parts])
 
 
 def get_node(nodes: DataFrame, id: str) -> DataFrame:
@@ -34,70 +56,76 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return keep.select("src", "dst").union(keep.select("dst", "src")).distinct()
 
 
-def bfs_levels(edges: DataFrame, start: str, most: int = 64) -> DataFrame:
-    """``id, level, parent, pos`` of all that is reachable, undirected. ``pos`` is the order of discovery: within a
-    level by the parent's, then id, as a queue would find them. A level is one join; the walk ends with an empty one."""
-    spark, near = edges.sparkSession, both_ways(edges)
-    front = seen = cut(spark.createDataFrame([(start, 0, None, 1)], "id string, level int, parent string, pos long"))
-    for level in range(1, most + 1):
-        step = near.join(front.select(F.col("id").alias("src"), "pos"), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-        best = step.groupBy("dst").agg(F.min(F.struct("pos", "src")).alias("p"))
-        order = Window.orderBy("p.pos", "dst")
-        front = cut(best.select(F.col("dst").alias("id"), F.lit(level).alias("level"), F.col("p.src").alias("parent"), F.row_number().over(order).cast("long").alias("pos")))
-        if front.isEmpty():
-            break
-        seen = cut(seen.union(front))
-    return seen
-
-
-def levels(edges: DataFrame, start: str, most: int = 64) -> DataFrame:
-    """``id, level`` without an order within levels: no global sort."""
-    spark, near = edges.sparkSession, both_ways(edges)
-    front = seen = cut(spark.createDataFrame([(start, 0)], "id string, level int"))
-    for level in range(1, most + 1):
-        step = near.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen, "id", "left_anti").select("id", F.lit(level).alias("level")))
-        if front.isEmpty():
-            break
-        seen = cut(seen.union(front))
-    return seen
-
-
-def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, most: int = 64) -> list[str] | None:
-    """Ids from a to b, undirected, earliest discovered parents first; None if there is no path."""
+def fronts(near: DataFrame, start: str) -> Iterator[DataFrame]:
+    """The levels of a walk from ``start``, ``id, level, parent, pos`` each, until one is empty.
+
+    ``pos`` grows in the order of discovery: within a level by the parent's, then id, as a queue would find
+    them (a sorted table numbered part by part, so no task orders a whole level). Neighbours of a level lie in it, the one
+    before or the next, so only two levels are looked at to tell what is new.
+    """
+    spark = near.sparkSession
+    front = cut(spark.createDataFrame([(start, 0, None, 0)], "id string, level int, parent string, pos long"))
+    last, level = None, 0
+    while not front.isEmpty():
+        yield front
+        level += 1
+        step = near.join(front.select(F.col("id").alias("src"), "pos"), "src")
+        for seen in (front, last):
+            step = step.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti") if seen is not None else step
+        best = step.groupBy("dst").agg(F.min(F.struct("pos", "src")).alias("p")).orderBy("p.pos", "dst")
+        new = best.select(F.col("dst").alias("id"), F.lit(level).alias("level"), F.col("p.src").alias("parent"), F.monotonically_increasing_id().alias("pos"))
+        last, front = front, cut(new)
+
+
+def bfs_levels(edges: DataFrame, start: str) -> DataFrame:
+    """``id, level, parent, pos`` of all that is reachable, undirected; a level is one join."""
+    near = cut(both_ways(edges))
+    out = together(list(fronts(near, start)))
+    drop(near)
+    return out
+
+
+def levels(edges: DataFrame, start: str) -> DataFrame:
+    """``id, level`` of all that is reachable, undirected, without an order within levels."""
+    spark, near = edges.sparkSession, cut(both_ways(edges))
+    found, level = [cut(spark.createDataFrame([(start, 0)], "id string, level int"))], 0
+    while not found[-1].isEmpty():
+        level += 1
+        step = near.join(found[-1].select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        for seen in found[-2:]:
+            step = step.join(seen.select("id"), "id", "left_anti")
+        found.append(cut(step.select("id", F.lit(level).alias("level"))))
+    drop(near)
+    return together(found)
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str) -> list[str] | None:
+    """Ids from a to b, undirected, earliest discovered parents first; None if there is no path, however long."""
     known = {r["id"] for r in nodes.where(F.col("id").isin(a, b)).select("id").distinct().collect()}
     if missing := {a, b} - known:
         raise KeyError(f"unknown node {sorted(missing)[0]}")
-    if a == b:
-        return [a]
-    spark, near = edges.sparkSession, both_ways(edges)
-    front = seen = cut(spark.createDataFrame([(a, None, 1)], "id string, parent string, pos long"))
-    for _ in range(most):
-        step = near.join(front.select(F.col("id").alias("src"), "pos"), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-        best = step.groupBy("dst").agg(F.min(F.struct("pos", "src")).alias("p"))
-        front = cut(best.select(F.col("dst").alias("id"), F.col("p.src").alias("parent"), F.row_number().over(Window.orderBy("p.pos", "dst")).cast("long").alias("pos")))
-        if front.isEmpty():
-            return None
-        seen = cut(seen.union(front))
+    near, found, path = cut(both_ways(edges)), [], None
+    for front in fronts(near, a):
+        found.append(front)
         if not front.where(F.col("id") == b).isEmpty():
             path = [b]
-            while path[-1] != a:
-                path.append(seen.where(F.col("id") == path[-1]).select("parent").first()[0])
-            return path[::-1]
-    return None
+            for level in reversed(found[1:]):
+                path.append(level.where(F.col("id") == path[-1]).select("parent").first()[0])
+            break
+    drop(near, *found)
+    return path[::-1] if path else None
 
 
 def closure(links: DataFrame, target: str, src: str = "from_service", dst: str = "to_service") -> DataFrame:
     """All that reach ``target`` along links, without itself: ``service``."""
     spark = links.sparkSession
-    e = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct()
-    front = seen = cut(spark.createDataFrame([(target,)], "service string"))
-    while True:
-        step = e.join(front.select(F.col("service").alias("b")), "b", "left_semi").select(F.col("a").alias("service")).distinct()
-        front = cut(step.join(seen, "service", "left_anti"))
-        if front.isEmpty():
-            return seen.where(F.col("service") != target)
-        seen = cut(seen.union(front))
+    e = cut(links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct())
+    found = [cut(spark.createDataFrame([(target,)], "service string"))]
+    while not found[-1].isEmpty():
+        step = e.join(found[-1].select(F.col("service").alias("b")), "b", "left_semi").select(F.col("a").alias("service")).distinct()
+        found.append(cut(step.join(together(found), "service", "left_anti")))
+    drop(e)
+    return together(found).where(F.col("service") != target)
 
 
 def impact(links: DataFrame, target: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:

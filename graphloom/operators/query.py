@@ -34,12 +34,7 @@ def scores(nodes: DataFrame, words: list[str]) -> DataFrame:
     idf = F.array(*[F.log((F.col("n") + 1) / (F.col(f"df{i}") + 1)) for i in range(len(words))])
     per = per.select("graph", F.map_from_arrays(asked, idf).alias("__idf"))
     score = F.aggregate(F.transform("__own", lambda w: F.element_at(F.col("__idf"), w)), F.lit(0.0), lambda a, x: a + x)
-    return own.where(F.size("__own") > 0).join(F.broadcast(per) if _few(nodes) else per, "graph").withColumn("score", score).where("score > 0").select(*nodes.columns, "score")
-
-
-def _few(nodes: DataFrame, most: int = 10_000) -> bool:
-    """Whether there are few graphs: their weights are then small enough to broadcast."""
-    return nodes.select("graph").distinct().limit(most + 1).count() <= most
+    return own.where(F.size("__own") > 0).join(per, "graph").withColumn("score", score).where("score > 0").select(*nodes.columns, "score")
 
 
 def seeds(scored: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -61,38 +56,51 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """``graph, id, side, other, relation, confidence, n``: both directions of every edge, each side of a node numbered
+    by relation, other end and confidence."""
+    both = edges.select("graph", F.col("src").alias("id"), F.lit("out").alias("side"), F.col("dst").alias("other"), "relation", "confidence")
+    both = both.union(edges.select("graph", "dst", F.lit("in"), "src", "relation", "confidence"))
+    return both.withColumn("n", F.row_number().over(Window.partitionBy("graph", "id", "side").orderBy("relation", "other", "confidence")))
+
+
+def next_nodes(nodes: DataFrame, edges: DataFrame, queue: list[str], chosen: list[str], room: int) -> list[tuple[str, int]]:
+    """Neighbours of a queue of nodes that may still be chosen with ``room`` left, ``(id, cost)`` in order of visits.
+
+    Of each cost only the first ``room // cost`` can be: once so many are chosen, or one of them didn't fit, no other of
+    this cost fits either. So what is collected is bounded by ``room`` times its logarithm, whatever a hub's degree.
+    """
+    spark = nodes.sparkSession
+    at = F.broadcast(spark.createDataFrame(list(enumerate(queue)), "pos int, id string"))
+    out = edges.join(at, F.col("src") == F.col("id")).select("pos", F.lit(0).alias("side"), "relation", F.col("dst").alias("other"), "confidence")
+    into = edges.join(at, F.col("dst") == F.col("id")).select("pos", F.lit(1).alias("side"), "relation", F.col("src").alias("other"), "confidence")
+    seen = F.broadcast(spark.createDataFrame([(x,) for x in chosen], "other string"))
+    first = out.union(into).join(seen, "other", "left_anti").groupBy("other").agg(F.min(F.struct("pos", "side", "relation", "other", "confidence")).alias("at"))
+    cost = X.token_estimate(X.format_node("id", "kind", "label", "file", "line"))
+    fit = first.join(nodes.select(F.col("id").alias("other"), cost.alias("cost")), "other").where(F.col("cost") <= room)
+    nth = F.row_number().over(Window.partitionBy("cost").orderBy("at"))
+    few = fit.withColumn("n", nth).where(F.col("n") <= room).where(F.col("n") <= F.floor(F.lit(room) / F.col("cost")))
+    return [(r["other"], r["cost"]) for r in few.orderBy("at").collect()]
+
+
 def query(nodes: DataFrame, edges: DataFrame, question: str, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Subgraph of one graph that answers a question: nodes and the edges among them.
 
-    Seeds are chosen by Spark. Expansion depends on the order of visits, so it runs on the driver, asking
-    for the neighbours of the selected nodes only; the budget bounds what is selected (a node costs 1 at least).
+    Seeds and neighbours are ranked on executors. Which of them are taken depends on the order of visits, so the
+    driver decides; the budget bounds what it gets (a node costs 1 at least).
     """
     spark = nodes.sparkSession
     budget = budget if budget > 0 else BUDGET
     start = seeds(scores(nodes, question_terms(spark, question)), budget).orderBy(F.desc("score"), "id").collect()
-    chosen, used = {r["id"]: None for r in start}, max([r["used"] for r in start], default=0)
-    line = X.token_estimate(X.format_node("id", "kind", "label", "file", "line"))
-    queue, known = list(chosen), {r["id"]: r["cost"] for r in start}
+    chosen, used = [r["id"] for r in start], max([r["used"] for r in start], default=0)
+    queue = chosen
     while queue and used < budget:
-        near = edges.where(F.col("src").isin(queue) | F.col("dst").isin(queue)).select("src", "dst", "relation", "confidence")
-        out: dict[str, list] = {}
-        for e in near.orderBy("relation", "dst", "confidence").collect():
-            out.setdefault(e["src"], []).append(e["dst"])
-        into: dict[str, list] = {}
-        for e in near.orderBy("relation", "src", "confidence").collect():
-            into.setdefault(e["dst"], []).append(e["src"])
-        unknown = [x for q in queue for x in out.get(q, []) + into.get(q, []) if x not in known]
-        if unknown:
-            known |= {r["id"]: r["cost"] for r in nodes.where(F.col("id").isin(unknown)).select("id", line.alias("cost")).collect()}
         found = []
-        for q in queue:
-            if used >= budget:
-                break
-            for x in out.get(q, []) + into.get(q, []):
-                if x in known and x not in chosen and used + known[x] <= budget:
-                    chosen[x], used = None, used + known[x]
-                    found.append(x)
-        queue = found
+        for x, cost in next_nodes(nodes, edges, queue, chosen, budget - used):
+            if used + cost <= budget:
+                found.append(x)
+                used += cost
+        chosen, queue = chosen + found, found
     ids = spark.createDataFrame([(x,) for x in chosen], "id string")
     return nodes.join(F.broadcast(ids), "id", "left_semi"), induced_edges(edges, ids)
 

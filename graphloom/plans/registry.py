@@ -11,7 +11,9 @@ from graphloom.functions import expr as X
 from graphloom.operators import analyze, asof, assemble, cluster, paths, query, resolve, system, workspace
 from graphloom.operators import contract as routes
 from graphloom.schema import Graph
+from graphloom.sources import maps
 
+from . import contracts, more, parsing
 from . import tables as T
 from .tables import EDGES_SQL, ENDPOINTS_SQL, NODES_SQL
 
@@ -136,27 +138,54 @@ def q_cross_community(spark, d):
     return analyze.surprising_edges(T.nodes(spark, d), T.edges(spark, d)).select("src", "dst", "relation", "src_community", "dst_community")
 
 
-def _named(spark, d):
-    """Customers and suppliers by nation: some communities have a dominant directory."""
-    n = T.nodes(spark, d).where("kind in ('function', 'method', 'module')")
-    return n.withColumn("community", F.when(F.col("kind") == "method", F.col("line") % 5).otherwise(F.col("community") + 10).cast("int"))
+KIND_NO = "CASE kind WHEN 'module' THEN 0 WHEN 'class' THEN 1 WHEN 'function' THEN 2 WHEN 'method' THEN 3 ELSE 4 END"
 
 
-NAMED = "named AS (SELECT id, label, file, CASE WHEN kind = 'method' THEN line % 5 ELSE community + 10 END AS community FROM nodes WHERE kind IN ('function', 'method', 'module'))"
+def _by_kind(spark, d):
+    """All nodes; those with a community in one for each region and kind, so that some have a dominant directory."""
+    no = F.expr(KIND_NO)
+    return T.nodes(spark, d).withColumn("community", F.when(F.col("community") >= 0, F.col("community") * 10 + no).otherwise(F.col("community")).cast("int"))
 
 
-@register(f"""WITH {NODES_SQL}, two AS (SELECT community % 2 AS community, split_part(file, '/', 1) || '/x' AS file FROM nodes WHERE kind = 'function' AND (community <> 2 OR line % 9 = 0)),
- dirs AS (SELECT community, regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n FROM two GROUP BY ALL), size AS (SELECT community, count(*) AS size FROM two GROUP BY ALL)
- SELECT community, dir FROM dirs JOIN size USING (community) WHERE dir <> '' AND 2 * n > size""")
+BY_KIND = f"named AS (SELECT id, label, file, kind, line, CASE WHEN community >= 0 THEN community * 10 + {KIND_NO} ELSE community END AS community FROM nodes)"
+DOMINANT = """sized AS (SELECT community, count(*) AS size FROM named WHERE community >= 0 GROUP BY community),
+ dirs AS (SELECT community, regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n FROM named WHERE community >= 0 GROUP BY ALL),
+ dominant AS (SELECT community, dir FROM (SELECT community, dir, n FROM dirs WHERE dir <> '' QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, dir) = 1) JOIN sized USING (community) WHERE 2 * n > size)"""
+CENTRAL = "central AS (SELECT community, n.id, label, coalesce(degree, 0) AS degree FROM named n LEFT JOIN deg USING (id) WHERE community >= 0 QUALIFY row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, n.id) = 1)"
+TITLE = "array_to_string(list_transform(list_filter(string_split_regex(split_part(dir, '/', -1), '[-_]'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ')"
+COMMUNITY_NAMES = f"""{DOMINANT}, {CENTRAL}, labelled AS (SELECT c.community AS id, coalesce({TITLE}, c.label) AS label FROM central c LEFT JOIN dominant d USING (community))"""
+
+
+@register(f"WITH {NODES_SQL}, {BY_KIND}, {DOMINANT} SELECT * FROM dominant")
 def q_dominant_dir(spark, d):
-    n = T.nodes(spark, d).where("kind = 'function' and (community <> 2 or line % 9 = 0)")
-    n = n.withColumn("community", F.col("community") % 2).withColumn("file", F.concat(F.substring_index("file", "/", 1), F.lit("/x")))
-    return cluster.dominant_dirs(n).select("community", "dir")
+    return cluster.dominant_dirs(_by_kind(spark, d)).select("community", "dir")
 
 
-@register(f"{BOTH}, {DEG}, {NAMED} SELECT community, n.id, label, coalesce(degree, 0) AS degree FROM named n LEFT JOIN deg USING (id) QUALIFY row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, n.id) = 1")
+@register(f"{BOTH}, {DEG}, {BY_KIND}, {CENTRAL} SELECT * FROM central")
 def q_central_member(spark, d):
-    return cluster.central_members(_named(spark, d), T.edges(spark, d)).select("community", "id", "label", "degree")
+    return cluster.central_members(_by_kind(spark, d), T.edges(spark, d)).select("community", "id", "label", "degree")
+
+
+@register(f"{BOTH}, {DEG}, {BY_KIND}, {COMMUNITY_NAMES} SELECT l.id, label, size AS n FROM labelled l JOIN sized s ON s.community = l.id")
+def q_community_names(spark, d):
+    return cluster.name_communities(_by_kind(spark, d), T.edges(spark, d)).select("id", "label", F.size("members").cast("long").alias("n"))
+
+
+@register(f"WITH {NODES_SQL}, {BY_KIND} SELECT community, count(*) AS n, min(id) AS first, max(id) AS last, md5(string_agg(id, ',' ORDER BY id)) AS members FROM named WHERE community >= 0 GROUP BY community")
+def q_community_members(spark, d):
+    m = F.col("members")
+    return cluster.members(_by_kind(spark, d)).select("community", F.size(m).cast("long").alias("n"), F.get(m, F.lit(0)).alias("first"), F.element_at(m, -1).alias("last"), F.md5(F.array_join(m, ",")).alias("members"))
+
+
+@register(f"""{BOTH}, {DEG}, {BY_KIND}, {COMMUNITY_NAMES}, hub AS (SELECT label, degree FROM nodes JOIN deg USING (id) WHERE degree >= 2 ORDER BY degree DESC, id LIMIT 1),
+ odd AS (SELECT src, dst, relation FROM edges e JOIN named a ON a.id = src JOIN named b ON b.id = dst WHERE a.community >= 0 AND b.community >= 0 AND a.community <> b.community ORDER BY src, dst, relation LIMIT 1),
+ big AS (SELECT label, size FROM sized s JOIN labelled l ON l.id = s.community ORDER BY size DESC, s.community LIMIT 1)
+ SELECT 1 AS rank, 'Which parts rely on ' || label || ', and what would break without it (' || degree || ' links)?' AS question FROM hub
+ UNION ALL SELECT 2, 'Why does ' || src || ' ' || relation || ' ' || dst || ' although they lie in different districts?' FROM odd
+ UNION ALL SELECT 3, 'What holds the ' || label || ' district (' || size || ' members) together?' FROM big""")
+def q_questions(spark, d):
+    n, e = _by_kind(spark, d), T.edges(spark, d)
+    return analyze.questions(n, e, cluster.name_communities(n, e)).select("rank", "question")
 
 
 @register(f"WITH {NODES_SQL} SELECT community, count(*) AS n FROM nodes WHERE community >= 0 GROUP BY community ORDER BY n DESC, community LIMIT 1")
@@ -211,8 +240,8 @@ def q_carry_state(spark, d):
     return asof.carry(c, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("turn")), "asked").select("conv_id", "turn", "asked")
 
 
-HOST = "CASE WHEN regexp_replace({x}, '(?i)^https?://[^/]*', '') = '' THEN '/' ELSE regexp_replace({x}, '(?i)^https?://[^/]*', '') END"
-_PARTS = "array_to_string(list_transform(string_split(regexp_replace({x}, '[?#].*$', ''), '/'), lambda s: CASE WHEN regexp_matches(s, '^([{{].*[}}]|:.+|<.*>|[0-9]+)$') THEN '{{}}' ELSE s END), '/')"
+HOST = "CASE WHEN NOT contains({x}, '://') THEN {x} WHEN NOT contains(substr({x}, instr({x}, '://') + 3), '/') THEN '/' ELSE substr(substr({x}, instr({x}, '://') + 3), instr(substr({x}, instr({x}, '://') + 3), '/')) END"
+_PARTS = "array_to_string(list_transform(string_split(regexp_replace({x}, '[?#].*$', ''), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '{{}}' ELSE regexp_replace(s, '[{{][^}}]*[}}]|<[^>]*>|:[a-zA-Z_]\\w*', '{{}}', 'g') END), '/')"
 
 
 @register(f"WITH u AS (SELECT page_id, {HOST.format(x='url')} AS p FROM pages), t AS (SELECT page_id, {_PARTS.format(x='p')} AS p FROM u) SELECT page_id, CASE WHEN regexp_matches(p, '^/+$') THEN '/' ELSE regexp_replace(p, '/+$', '') END AS path FROM t")
@@ -227,7 +256,7 @@ def q_strip_host(spark, d):
 
 @register("SELECT url, href, count(*) AS n FROM (SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY ALL")
 def q_href_edges(spark, d):
-    return T.table(spark, d, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("url", "href").agg(F.count("*").alias("n"))
+    return T.table(spark, d, "pages").select("url", F.explode(X.extract_all("html", 'href="([^"]*)"', 1)).alias("href")).groupBy("url", "href").agg(F.count("*").alias("n"))
 
 
 def _code(spark, d):
@@ -254,16 +283,16 @@ def q_import_segment(spark, d):
 @register("SELECT event_id, key, CAST(props AS JSON) ->> key AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
 def q_json_contract(spark, d):
     e = T.table(spark, d, "events")
-    return e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return e.select("event_id", F.explode(X.json_as("props", "map<string,string>")).alias("key", "value"))
 
 
 def _match(spark, d):
     return system.match(T.endpoints(spark, d))
 
 
-@register(f"WITH {ENDPOINTS_SQL} SELECT service AS from_service, p_service AS to_service, kind, key, node AS from_node, p_node AS to_node, 'client->route' || CASE WHEN path_only THEN '+path-only' ELSE '' END AS via FROM pairs WHERE n = 1")
+@register(f"WITH {ENDPOINTS_SQL} SELECT service AS from_service, p_service AS to_service, kind, key, node AS from_node, p_node AS to_node, 'client->route' || CASE WHEN path_only THEN '+path-only' ELSE '' END AS via, 'INFERRED' AS confidence FROM pairs WHERE n = 1")
 def q_match_links(spark, d):
-    return _match(spark, d)["links"].select("from_service", "to_service", "kind", "key", "from_node", "to_node", "via")
+    return _match(spark, d)["links"].select("from_service", "to_service", "kind", "key", "from_node", "to_node", "via", "confidence")
 
 
 @register(f"WITH {ENDPOINTS_SQL} SELECT node AS from_node, p_node AS to_node, ckey <> key AS other_method FROM pairs WHERE n = 1 AND path_only")
@@ -294,47 +323,56 @@ def q_impact_direct(spark, d):
     return paths.impact(links, target)[0].select("from_service", "key", "from_node")
 
 
-@register(f"WITH RECURSIVE {EDGES_SQL.replace('edges AS', 'edges AS', 1)}, e AS (SELECT DISTINCT src, dst FROM edges WHERE relation = 'contains' OR relation = 'references'), r AS (SELECT 'customer:1' AS id UNION SELECT e.src FROM r JOIN e ON e.dst = r.id) SELECT id AS service FROM r WHERE id <> 'customer:1'")
+@register(f"WITH RECURSIVE {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT 'customer:1' AS id UNION SELECT e.src FROM r JOIN e ON e.dst = r.id) SELECT id AS service FROM r WHERE id <> 'customer:1'")
 def q_impact_closure(spark, d):
-    e = T.edges(spark, d).where("relation in ('contains', 'references')")
-    return paths.closure(e, "customer:1", "src", "dst")
+    return paths.closure(T.edges(spark, d), "customer:1", "src", "dst")
 
 
-SMALL = "small AS (SELECT src, dst FROM edges WHERE relation = 'contains'), both_ AS (SELECT src, dst FROM small UNION SELECT dst, src FROM small)"
+STEPS = "near AS MATERIALIZED (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"
+LEVELS = "{0} AS (SELECT '{1}' AS id, 0 AS level UNION SELECT n.dst, level + 1 FROM {0} r JOIN near n ON n.src = r.id WHERE level < 7), {0}_ AS (SELECT id, min(level) AS level FROM {0} GROUP BY id)"
 
 
-@register(f"WITH RECURSIVE {EDGES_SQL}, {SMALL}, r AS (SELECT 'supplier:1' AS id, 0 AS level UNION SELECT b.dst, level + 1 FROM r JOIN both_ b ON b.src = r.id WHERE level < 4) SELECT id, min(level) AS level FROM r GROUP BY id")
+@register(f"WITH RECURSIVE {EDGES_SQL}, {STEPS}, {LEVELS.format('r', 'supplier:1')} SELECT * FROM r_")
 def q_bfs_levels(spark, d):
-    return paths.levels(T.edges(spark, d).where("relation = 'contains'"), "supplier:1", 4)
+    return paths.levels(T.edges(spark, d), "supplier:1")
 
 
-@register()
+A, B = "supplier:1", "part:3"
+
+
+@register(f"""WITH RECURSIVE {EDGES_SQL}, {STEPS}, {LEVELS.format('f', A)}, {LEVELS.format('g', B)}, d AS (SELECT level AS d FROM f_ WHERE id = '{B}'),
+ dag AS (SELECT f_.id, f_.level FROM f_ JOIN g_ USING (id), d WHERE f_.level + g_.level = d),
+ p AS (SELECT ['{A}'] AS path, '{A}' AS at, 0 AS level UNION ALL SELECT list_append(path, x.id), x.id, x.level FROM p JOIN near n ON n.src = p.at JOIN dag x ON x.id = n.dst AND x.level = p.level + 1),
+ best AS (SELECT path FROM p, d WHERE level = d ORDER BY path LIMIT 1) SELECT CAST(generate_subscripts(path, 1) - 1 AS INT) AS step, unnest(path) AS id FROM best""")
 def q_shortest_path(spark, d):
-    n, e = T.nodes(spark, d), T.edges(spark, d).where("relation in ('contains', 'references')")
-    path = paths.shortest_path(n, e, "supplier:1", "customer:1") or []
+    path = paths.shortest_path(T.nodes(spark, d), T.edges(spark, d), A, B) or []
     return spark.createDataFrame(list(enumerate(path)), "step int, id string")
 
 
 def _by_region(spark, d):
-    n, e = T.nodes(spark, d).where("kind in ('module', 'class')"), T.edges(spark, d).where("startswith(src, 'region:')")
-    own = n.withColumn("graph", F.concat(F.lit("r"), F.col("community")))
-    e = e.join(own.select(F.col("id").alias("src"), F.col("graph").alias("g")), "src").select(F.col("g").alias("graph"), "src", "dst", "relation", "confidence")
-    return Graph(own, e)
+    """All nodes and edges, a graph for each community; an edge belongs to its source's."""
+    own = T.nodes(spark, d).withColumn("graph", F.concat(F.lit("r"), F.col("community") + 1))
+    e = T.edges(spark, d).join(own.select(F.col("id").alias("src"), F.col("graph").alias("g")), "src")
+    return Graph(own, e.select(F.col("g").alias("graph"), "src", "dst", "relation", "confidence"))
 
 
-@register(f"{BOTH}, own AS (SELECT 'r' || community AS g, * FROM nodes WHERE kind IN ('module', 'class')) SELECT g || '::' || id AS src, '' AS dst FROM own UNION ALL SELECT g || '::' || src, g || '::' || dst FROM edges JOIN own ON own.id = src WHERE starts_with(src, 'region:') UNION ALL SELECT 'r0::region:0', 'r1::region:1'")
+OWN = f"{BOTH}, own AS (SELECT 'r' || (community + 1) AS g, id, file FROM nodes)"
+
+
+@register(f"{OWN} SELECT g || '::' || id AS src, '' AS dst, g || '::' || file AS file FROM own UNION ALL SELECT g || '::' || src, g || '::' || dst, '' FROM edges JOIN own ON own.id = src UNION ALL SELECT 'r1::region:0', 'r2::region:1', ''")
 def q_federate(spark, d):
-    links = spark.createDataFrame([("r0::region:0 -> r1::region:1 calls",), ("r0::region:0 -> r1::none",), ("# note",)], "value string")
+    links = spark.createDataFrame([("r1::region:0 -> r2::region:1 calls",), ("r1::region:0 -> r2::none",), ("# note",)], "value string")
     own = _by_region(spark, d)
     over = workspace.overlay(workspace.parse_links(links).where("error is null"), own.nodes.withColumnRenamed("graph", "alias"))
     g = workspace.federate(own, over)
-    return g.nodes.select(F.col("id").alias("src"), F.lit("").alias("dst")).union(g.edges.select("src", "dst"))
+    return g.nodes.select(F.col("id").alias("src"), F.lit("").alias("dst"), "file").union(g.edges.select("src", "dst", F.lit("")))
 
 
-@register(f"{BOTH}, own AS (SELECT 'r' || community AS g, id FROM nodes WHERE kind IN ('module', 'class')) SELECT 'r' || (n_nationkey % 5) || '::' || CASE WHEN n_regionkey = n_nationkey % 5 THEN 'nation:' || n_nationkey ELSE '@service' END AS src, 'r0::@service' AS dst FROM nation")
+@register(f"{OWN} SELECT g || '::' || src AS src, g || '::' || dst AS dst, relation FROM edges JOIN own ON own.id = src UNION ALL SELECT 'r' || (c_nationkey % 6) || '::' || CASE WHEN coalesce(g, '') = 'r' || (c_nationkey % 6) THEN 'customer:' || c_custkey ELSE '@service' END, 'r0::@service', CASE WHEN c_custkey % 2 = 0 THEN 'calls' ELSE 'references' END FROM customer LEFT JOIN own ON own.id = 'customer:' || c_custkey")
 def q_combine_fallback(spark, d):
-    links = T.table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_nationkey") % 5).alias("from_service"), F.lit("r0").alias("to_service"), F.lit("http").alias("kind"), F.concat(F.lit("nation:"), "n_nationkey").alias("from_node"), F.lit("gone").alias("to_node"), F.lit("INFERRED").alias("confidence"))
-    return system.combine(_by_region(spark, d), links).edges.where("relation = 'calls'").select("src", "dst")
+    name, kind = F.concat(F.lit("customer:"), "c_custkey"), F.when(F.col("c_custkey") % 2 == 0, F.lit("http")).otherwise(F.lit("queue"))
+    links = T.table(spark, d, "customer").select(F.concat(F.lit("r"), F.col("c_nationkey") % 6).alias("from_service"), F.lit("r0").alias("to_service"), kind.alias("kind"), name.alias("from_node"), F.lit("gone").alias("to_node"), F.lit("INFERRED").alias("confidence"))
+    return system.combine(_by_region(spark, d), links).edges.select("src", "dst", "relation")
 
 
 @register("SELECT CAST(doc_id AS VARCHAR) AS name, substr(sha256(text), 1, 12) AS recorded, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'changed' END AS current FROM documents WHERE doc_id % 3 = 0 OR doc_id % 3 = 1")
@@ -364,9 +402,7 @@ def q_validate_enum(spark, d):
 
 @register(f"WITH {NODES_SQL}, p AS (SELECT string_split(file, '/') AS s FROM nodes) SELECT array_to_string(s[1:k], '/') AS prefix, count(*) AS n FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM p) GROUP BY 1")
 def q_path_tree(spark, d):
-    s = F.split("file", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(s)), lambda k: F.array_join(F.slice(s, F.lit(1), k), "/"))
-    return T.nodes(spark, d).select(F.explode(prefixes).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+    return maps.path_tree(T.nodes(spark, d)).select("prefix", "n")
 
 
 @register(f"""{BOTH}, {PAIRS}, m AS (SELECT 2 * sum(w) AS m2 FROM pairs), d AS (SELECT id, sum(w) AS deg FROM (SELECT a AS id, w FROM pairs UNION ALL SELECT b, w FROM pairs) GROUP BY id),
@@ -384,36 +420,37 @@ def q_links_dsl(spark, d):
     return rows.select("error", F.regexp_extract("line", r"^a::n(\d+)", 1).cast("int").alias("n"))
 
 
-CYC = "imp AS (SELECT DISTINCT 'orders:' || (l_orderkey % 500) AS src, 'orders:' || (l_partkey % 500) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 500 <> l_partkey % 500)"
+CYC = "n AS (SELECT count(*) AS n FROM part), imp AS (SELECT DISTINCT 'p' || (l_orderkey % n) AS src, 'p' || (l_partkey % n) AS dst FROM lineitem, n WHERE l_orderkey % n <> l_partkey % n)"
+
+
+def _imports(spark, d):
+    """All line items as imports among as many modules as there are parts."""
+    n = T.table(spark, d, "part").count()
+    name = lambda x: F.concat(F.lit("p"), F.col(x) % n)
+    return T.table(spark, d, "lineitem").select(F.lit("star").alias("graph"), name("l_orderkey").alias("src"), name("l_partkey").alias("dst"), F.lit("imports").alias("relation"))
 
 
 @register(f"WITH {CYC} SELECT a.src || ' ' || a.dst AS cycle FROM imp a JOIN imp b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || ' ' || b.src || ' ' || c.src FROM imp a JOIN imp b ON a.dst = b.src JOIN imp c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src")
 def q_cycles_2_3(spark, d):
-    name = lambda x: F.concat(F.lit("orders:"), F.col(x) % 500)
-    e = T.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.lit("star").alias("graph"), name("l_orderkey").alias("src"), name("l_partkey").alias("dst"), F.lit("imports").alias("relation"))
-    return analyze.short_cycles(e).select(F.array_join("members", " ").alias("cycle"))
+    return analyze.short_cycles(_imports(spark, d)).select(F.array_join("members", " ").alias("cycle"))
 
 
 @register()
 def q_louvain(spark, d):
-    n, e = T.nodes(spark, d).where("kind <> 'doc'"), T.edges(spark, d).where("relation <> 'imports'")
-    return cluster.louvain(n, e).groupBy("community").agg(F.count("*").alias("n"))
+    return cluster.louvain(T.nodes(spark, d), T.edges(spark, d)).groupBy("community").agg(F.count("*").alias("n"))
 
 
 @register()
 def q_import_cycles(spark, d):
-    name = lambda x: F.concat(F.lit("orders:"), F.col(x) % 500)
-    e = T.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.lit("star").alias("graph"), name("l_orderkey").alias("src"), name("l_partkey").alias("dst"), F.lit("imports").alias("relation"))
-    return analyze.import_cycles(e).select("rank", F.size("members").alias("n"))
-
-
-@register()
-def q_questions(spark, d):
-    n, e = T.nodes(spark, d), T.edges(spark, d)
-    return analyze.questions(n, e, cluster.name_communities(n, e)).select("rank", "question")
+    return analyze.import_cycles(_imports(spark, d)).select("rank", F.size("members").alias("n"))
 
 
 @register()
 def q_subgraph(spark, d):
-    n, _ = query.query(T.nodes(spark, d), T.edges(spark, d).where("relation = 'contains'"), QUESTION, 600)
+    n, _ = query.query(T.nodes(spark, d), T.edges(spark, d), QUESTION, 600)
     return n.select("id", "label", "kind")
+
+
+for _plans in (contracts, parsing, more):
+    QUERIES |= _plans.QUERIES
+    ORACLES |= _plans.ORACLES

@@ -67,6 +67,18 @@ def by_directory(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("graph", X.dir_of("file").alias("dir")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows numbered from 1 in an order, for sinks that write one document."""
+    return rows.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+
+
+def path_tree(nodes: DataFrame) -> DataFrame:
+    """``graph, prefix, n``: the nodes under every prefix of a path."""
+    parts = F.split("file", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return nodes.select("graph", F.explode(prefixes).alias("prefix")).groupBy("graph", "prefix").agg(F.count("*").alias("n"))
+
+
 def map_markdown(title: str, stats: dict[str, int], questions: list[str], hubs: list[tuple[str, int]], districts: list[tuple[str, int]], surprising: list[str]) -> str:
     """A page about a graph from small results: counts, questions, hubs, districts, edges between them."""
     part = lambda head, rows: [f"## {head}", "", *(f"- {x}" for x in rows or ["none"]), ""]

@@ -19,32 +19,29 @@ MOST = 1 << 20
 
 
 def read_files(spark: SparkSession, root: str, graph: str, own: str = ".graphloom") -> DataFrame:
-    """All files under a folder (any file system Spark reads): ``graph, path, rel_path, ext, length, content``.
+    """All files under a folder (any file system Spark reads): ``graph, path, rel_path, length, content``.
     ``content`` is read only where it is used."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content").union(hidden_files(spark, root))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace(F.col("path"), rf"^.*?\Q{base}\E/+", "")
     out = raw.select(F.lit(graph).alias("graph"), "path", rel.alias("rel_path"), "length", "content")
-    return out.withColumn("ext", F.lower(F.regexp_extract("rel_path", r"(\.[^./]*)$", 1))).where(~_under(F.col("rel_path"), [own]))
+    return out.where(~_under(F.col("rel_path"), [own]))
 
 
 def hidden_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files whose own name starts with ``_`` or ``.`` (``__init__.py``, ``.gitignore``): Spark's readers leave them
-    out, so the driver lists and reads them; they are few and small (up to 1 MiB each)."""
+    """Files whose own name starts with ``_`` or ``.`` (``__init__.py``, ``.gitignore``), which Spark's readers of folders
+    leave out. Their paths are listed, and read by Spark as paths, which it takes by any name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, rows = fs.listFiles(path, True), []
+    found, names = fs.listFiles(path, True), []
     while found.hasNext():
-        f = found.next()
-        name = f.getPath().getName()
-        known = name == ".gitignore" or any(name.lower().endswith(x) for x in {*LANGUAGES, *CONTRACT_EXT})
-        if name[:1] in "._" and known and f.getLen() <= MOST:
-            stream = fs.open(f.getPath())
-            try:
-                rows.append((f.getPath().toString(), f.getLen(), bytearray(stream.readAllBytes())))
-            finally:
-                stream.close()
-    return spark.createDataFrame(rows, "path string, length long, content binary")
+        f = found.next().getPath()
+        name = f.getName().lower()
+        if name[:1] in "._" and (name == ".gitignore" or any(name.endswith(x) for x in {*LANGUAGES, *CONTRACT_EXT})):
+            names.append(f.toString())
+    if not names:
+        return spark.createDataFrame([], "path string, length long, content binary")
+    return spark.read.format("binaryFile").load(names).select("path", "length", "content")
 
 
 def _under(rel: Column, names: list[str]) -> Column:
@@ -94,29 +91,46 @@ class Ignore:
         return any(self.matches("/".join(parts[:k]), True) for k in range(1, len(parts))) or self.matches(rel, False)
 
 
+def extension(rel: Column) -> Column:
+    return F.lower(F.regexp_extract(rel, r"(\.[^./]*)$", 1))
+
+
+def language(rel: Column) -> Column:
+    """Language by extension, null for other files."""
+    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    return F.try_element_at(known, extension(rel))
+
+
+def sources(files: DataFrame, ignore: str = "") -> DataFrame:
+    """Of files with ``rel_path``, those with a known ``lang`` outside skipped folders that the ignore file's text lets pass."""
+    kept = files.withColumn("lang", language(F.col("rel_path"))).where(F.col("lang").isNotNull() & ~_under(F.col("rel_path"), SKIP))
+    if not ignore.strip():
+        return kept
+
+    @F.pandas_udf("boolean")
+    def passes(paths: pd.Series) -> pd.Series:
+        own = Ignore(ignore)
+        return paths.map(lambda x: not own.ignored(x))
+
+    return kept.where(passes("rel_path"))
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """Of files with ``rel_path`` and ``length``, those that may state endpoints."""
+    name = F.regexp_extract("rel_path", "([^/]*)$", 1)
+    known = extension(F.col("rel_path")).isin(CONTRACT_EXT) | name.isin(CONTRACT_NAMES)
+    return files.where(known & ~_under(F.col("rel_path"), CONTRACT_SKIP) & (F.col("length") <= MOST))
+
+
 def scan(spark: SparkSession, root: str, graph: str, gitignore: bool = True) -> DataFrame:
     """Source files ``graph, path, rel_path, lang, length, content`` without skipped folders and, by the
     ignore file at the root, without ignored files."""
     files = read_files(spark, root, graph)
     rules = files.where("rel_path = '.gitignore'").select("content").head(1) if gitignore else []
-    lang = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    kept = files.where(F.col("ext").isin(list(LANGUAGES)) & ~_under(F.col("rel_path"), SKIP)).withColumn("lang", lang[F.col("ext")])
-    if rules:
-        text = bytes(rules[0]["content"]).decode("utf-8", "replace")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = Ignore(text)
-            for pdf in batches:
-                yield pdf[[not own.ignored(x) for x in pdf["rel_path"]]]
-
-        names = kept.select("rel_path").mapInPandas(run, "rel_path string")
-        kept = kept.join(names, "rel_path", "left_semi")
-    return kept.select("graph", "path", "rel_path", "lang", "length", "content")
+    text = bytes(rules[0]["content"]).decode("utf-8", "replace") if rules else ""
+    return sources(files, text).select("graph", "path", "rel_path", "lang", "length", "content")
 
 
 def contract_files(spark: SparkSession, root: str, graph: str) -> DataFrame:
     """Files that may state endpoints, ``graph, file, text``: more kinds, up to 1 MiB, whatever is ignored."""
-    files = read_files(spark, root, graph)
-    name = F.regexp_extract("rel_path", "([^/]*)$", 1)
-    kept = files.where((F.col("ext").isin(CONTRACT_EXT) | name.isin(CONTRACT_NAMES)) & ~_under(F.col("rel_path"), CONTRACT_SKIP) & (F.col("length") <= MOST))
-    return kept.select("graph", F.col("rel_path").alias("file"), F.col("content").cast("string").alias("text"))
+    return statements(read_files(spark, root, graph)).select("graph", F.col("rel_path").alias("file"), F.col("content").cast("string").alias("text"))
