@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 FEW, NO_ID = 1000, (1 << 63) - 1  # most heavy keys; in place of a missing id, after all others
-SALT, PIVOTS, MANY = 2048, 3, 1000  # rows of a block; further pivots of buckets with more than so many rows
+SALT, PIVOTS, MANY = 2048, 2, 500  # rows of a block; further pivots of buckets with more than so many rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -120,27 +120,30 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
 
 def meet(buckets: DataFrame, tag: str) -> DataFrame:
-    """``key, id, a, m`` of the buckets ``key, id`` that hold several rows: their smallest row and count."""
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    pivots = materialize(pivots, f"{tag}-pivots")  # few rows share a bucket; as a table its size is known to the join
+    """The buckets ``key, id`` (and ``t``, traits, if there) that hold several rows, with their number ``m`` and their
+    smallest row ``a`` (and its traits ``ta``)."""
+    first = F.min(F.struct("id", "t")) if "t" in buckets.columns else F.min(F.struct("id"))
+    pivots = buckets.groupBy("key").agg(first.alias("p"), F.count("*").alias("m")).where("m > 1")
+    named = [F.col("p.id").alias("a"), *([F.col("p.t").alias("ta")] if "t" in buckets.columns else [])]
+    pivots = materialize(pivots.select("key", "m", *named), f"{tag}-pivots")  # few rows share a bucket; as a table its size is known to the join
     out = materialize(buckets.join(pivots, "key"), f"{tag}-shared")
     release(pivots)
     return out
 
 
-def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str, carry: bool = False) -> DataFrame:
+def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
     """Components ``(id, comp)`` under the links that ``check`` confirms among rows sharing a bucket.
 
     ``shared``: from :func:`meet`; ``traits``: ``id, t`` with what ``near`` needs to tell of two rows whether
-    they may be linked; ``check`` gets pairs ``a < b`` and returns those that hold; ``carry``: traits are small enough to go
-    with every row of a bucket. A bucket of n rows makes n - 1 pairs with its smallest row. Buckets that then
+    they may be linked (if they are small, ``shared`` carries them with every row); ``check`` gets pairs ``a < b`` and
+    returns those that hold. A bucket of n rows makes n - 1 pairs with its smallest row. Buckets that then
     still span several components get another member as pivot, drawn by hash, for the rows of other components, up to
     ``PIVOTS`` times: a large group of near copies is found by any of them. Then members of different components
     are compared, by ``near`` within the join, so no pair that could join two components is left out
     and a group of copies never makes all its pairs. Large buckets are cut into blocks
     of about ``SALT`` rows, and pairs of blocks are joined, so no task has a whole bucket's comparisons.
     """
-    own = materialize(shared.join(traits, "id"), f"{tag}-carried") if carry else shared
+    own, carry = shared, "t" in shared.columns
     side = lambda c: traits.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"))
 
     def likely(pairs: DataFrame, ends: str) -> DataFrame:
@@ -153,10 +156,10 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     rows = own.where("a < id")
-    pairs = rows.select("a", F.col("id").alias("b"), F.col("t").alias("tb")) if carry else rows.select("a", F.col("id").alias("b")).distinct()
-    links = materialize(check(likely(pairs, "a" if carry else "ba")), f"{tag}-links")
+    pairs = rows.select("a", F.col("id").alias("b"), "ta", F.col("t").alias("tb")) if carry else rows.select("a", F.col("id").alias("b")).distinct()
+    links = materialize(check(likely(pairs, "" if carry else "ba")), f"{tag}-links")
     comp = components(links, tag)
-    rest, left, tried = own.where("m > 2"), None, 0
+    rest, left, tried = own.where("m > 2").drop("a", "ta"), None, 0
     while True:
         label = rest.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
@@ -184,7 +187,7 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
     cross = x.join(y, ["key", "p", "q"]).where(((F.col("p") < F.col("q")) | (F.col("ia") < F.col("ib"))) & (F.col("ca") != F.col("cb")) & near(F.col("ta"), F.col("tb")))
     more = materialize(check(cross.select(*ordered("ia", "ib")).distinct()), f"{tag}-links")
     comp = _merged(comp, more, tag)
-    release(rest, left, shared, own, links)
+    release(rest, left, shared, links)
     return comp
 
 

@@ -43,7 +43,7 @@ from .common import NO_ID, join_counted, linked, materialize, meet, portions, re
 
 PERCENT, BROADCAST = 80, 1_000_000
 SIM_WORDS, SIM_BITS = 20, 22  # SimHashes count from so many words, and may differ in so many bits
-GRAM, KEYS, ODD, LINE_BITS = 3, 8, 2, 11  # words of a gram, most keys of a line, 64-bit words of the parities
+GRAM, KEYS, ODD, LINE_BITS = 3, 8, 4, 11  # words of a gram, most keys of a line, 64-bit words of the parities
 CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
 WINDOW, WORDS = 1 << 20, 500_000  # bytes and words in hand at once
 PUNCTUATION = ".,;:!?'\"()-"
@@ -395,7 +395,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         alike = (F.least(x["n"], y["n"]) < SIM_WORDS) | (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= SIM_BITS)
         return (F.abs(x["n"] - y["n"]) <= most) & (apart <= 2 * most) & alike
 
-    comp = linked(meet(_buckets(classes), "lines"), traits, near, check, "lines", carry=True)
+    buckets = _buckets(classes)
+    carried = materialize(buckets.join(traits, "id"), "lines-carried")
+    comp = linked(meet(carried, "lines"), traits, near, check, "lines")
+    release(buckets, carried)
     group = classes.select("cid", "h1", "h2", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left").where("comp is not null or c > 1")
     group = materialize(group.select("h1", "h2", "c", F.coalesce("comp", "cid").alias("g")), "kept")
     places = materialize(join_counted(occ.select("id", "th", "line", "h1", "h2"), group, ["h1", "h2"], "c", occ.count()).select("id", "th", "line", "g"), "places")
@@ -413,12 +416,13 @@ def _without(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col("row")[text_col]
     own = own.select("row", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"))
     drop = duplicate_lines(own.select("id", "th", text.alias("text"))).groupBy("id", "th").agg(F.collect_set("line").alias("drop"))
+    drop = materialize(drop, "drops")
+    small = drop.count() <= BROADCAST // 2  # else the smaller side is hashed, so that texts aren't sorted
     lines = F.split(text, "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop"), lambda i: F.get(lines, i))
     kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(left, "\n"))
     count = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0)).cast("long")
-    # the smaller side is hashed, so that texts aren't sorted
-    return own.join(drop.hint("shuffle_hash"), ["id", "th"], "left").select("row", kept.alias("kept"), count(lines).alias("n_lines"), count(F.col("drop")).alias("n_removed"))
+    return own.join(F.broadcast(drop) if small else drop.hint("shuffle_hash"), ["id", "th"], "left").select("row", kept.alias("kept"), count(lines).alias("n_lines"), count(F.col("drop")).alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
