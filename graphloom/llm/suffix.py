@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, join_counted, keyed, materialize, portions, release
@@ -113,7 +113,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     """Step 1: every run of windows as ``id, th, a, n, dh, m, f``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (x for batch in batches for x in portions(batch, "bytes")):
+        for pdf in (x for batch in batches for x in portions(batch, "bytes", 2 << 20)):
             texts, ids, th = [bytes(x) for x in pdf["bytes"]], pdf["id"].to_numpy(), pdf["th"].to_numpy()
             for data, valid, starts, parts in _blocks(texts):
                 a, n, dh, m, f = groups(data, valid)
@@ -124,15 +124,21 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "id long, th int, a long, n int, dh int, m long, f long")
 
 
+def flat(*columns: str) -> Column:
+    """The rows of a group in order as one array of numbers, which Python reads as such and not as records."""
+    rows = F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in columns])))
+    return F.flatten(F.transform(rows, lambda x: F.array(*[x[c] for c in columns])))
+
+
 def _content(active: DataFrame, docs: DataFrame) -> DataFrame:
     """Step 2: the bytes of runs that need refining."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (x for batch in batches for x in portions(batch, "bytes", 1 << 20)):
-            out = [(i, th, r["a"], r["n"], r["dh"], r["m"], t[r["a"] : r["a"] + r["n"] - 1 + WINDOW]) for i, th, t, rs in zip(pdf["id"], pdf["th"], pdf["bytes"], pdf["runs"]) for r in rs]
+            out = [(i, th, a, n, dh, m, t[a : a + n - 1 + WINDOW]) for i, th, t, rs in zip(pdf["id"], pdf["th"], pdf["bytes"], pdf["runs"]) for a, n, dh, m in np.reshape(rs, (-1, 4)).tolist()]
             yield pd.DataFrame(out, columns=["id", "th", "a", "n", "dh", "m", "bytes"])
 
-    by = active.groupBy("id", "th").agg(F.collect_list(F.struct("a", "n", "dh", "m")).alias("runs"))
+    by = active.groupBy("id", "th").agg(flat("a", "n", "dh", "m").alias("runs"))
     return docs.dropDuplicates(["id", "th"]).join(by, ["id", "th"]).mapInPandas(run, "id long, th int, a long, n int, dh int, m long, bytes binary")
 
 
@@ -199,26 +205,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return out
 
 
+def folded(spans: np.ndarray) -> list[list[int]]:
+    """Maximal runs of spans ``s, e, s, e, ...`` in order of their starts."""
+    starts, ends = spans[::2], np.maximum.accumulate(spans[1::2])
+    new = np.flatnonzero(np.r_[True, starts[1:] > ends[:-1]])
+    return np.stack([starts[new], ends[np.r_[new[1:] - 1, len(ends) - 1]]], 1).tolist()
+
+
 def _finish(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (x for batch in batches for x in portions(batch, "bytes")):
             rows = []
             for i, t, ss in zip(pdf["id"], pdf["bytes"], pdf["spans"]):
-                kept, at, spans = [], 0, []
-                for s, e in sorted((x["s"], x["e"]) for x in ss) if ss is not None else ():
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
-                for s, e in spans:
-                    kept.append(t[at:s])
-                    at = e
-                kept.append(t[at:])
-                rows.append((i, len(t), sum(e - s for s, e in spans), spans, b"".join(kept)))
+                runs = folded(ss) if ss is not None else []
+                cuts = [0, *(x for run in runs for x in run), len(t)]
+                kept = b"".join(t[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
+                rows.append((i, len(t), sum(e - s for s, e in runs), runs, kept))
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "spans", "kept"])
 
     # a text's spans are folded into its maximal runs before they meet the text
-    w = spans.dropDuplicates().groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    w = spans.dropDuplicates().groupBy("id", "th").agg(flat("s", "e").alias("spans"))
     return docs.join(w, ["id", "th"], "left").select("id", "bytes", "spans").mapInPandas(run, "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
 
 
