@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 SAMPLE, BLOCK, QUERIES, SHARDS, RERANK, THRESHOLD = 8192, 2048, 8192, 4, 200, 0.2
 
@@ -116,7 +116,7 @@ def _blocks(vecs: DataFrame, size: int, kind: type, quantizer: Quantizer | None)
                 codes = pack(quantizer.encode(x)).tobytes() if quantizer else b""
                 yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [codes], "vecs": [x.astype(kind).tobytes()], "first": [part["id"].iloc[0]]})
 
-    return vecs.mapInPandas(run, "ids binary, codes binary, vecs binary, first long")
+    return vecs.mapInPandas(lean(run), "ids binary, codes binary, vecs binary, first long")
 
 
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -195,7 +195,7 @@ def _search(rows: DataFrame, n: int, dim: int, kind: type, k: int) -> DataFrame:
         if held:
             yield flush()
 
-    found = met.select("tag", "ids", "codes", "vecs").mapInPandas(run, "query_id long, vec_id long, score double")
+    found = met.select("tag", "ids", "codes", "vecs").mapInPandas(lean(run), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,36 @@ def release(*tables: DataFrame | None) -> None:
     SparkSession.active()._jvm.System.gc()
 
 
+@lru_cache(1)
+def _malloc():
+    """The C library's allocator, told to give arrays of 256 KB and more back when they are freed, not to keep them for
+    later; None where there is no such library."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which else grows with what is freed
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function on batches whose worker, which Spark keeps for later tasks, holds little memory between them."""
+
+    def held(batches: Iterator) -> Iterator:
+        libc = _malloc()
+        yield from run(batches)
+        if libc:
+            libc.malloc_trim(0)
+
+    return held
+
+
 def slices(sizes: Sequence[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to about ``limit``; a larger item stands alone."""
     lo = total = 0
@@ -214,7 +245,9 @@ class KeyTable:
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, or of the empty place where it belongs."""
-        at = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        h = keys * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         there = self.keys[at]
         away = np.flatnonzero((there != keys) & (there != 0))
         while len(away):

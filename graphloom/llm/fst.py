@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyTable, slices
+from .common import KeyTable, lean, slices
 
 CHUNK, STATES, LONG, SPECIAL = 256, 1_500_000, 48, "<|endoftext|>"
 PART, BORDER = 1 << 19, re.compile("(?<=[A-Za-z0-9])(?=[ \n])")
@@ -225,7 +225,10 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, limit: int = 1024, i
         for texts in batches:
             yield pd.Series(c.counts([t or "" for t in texts]), dtype="int64")
 
-    tokens = F.pandas_udf(run, "long")
+    def lean_run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(run)(batches)
+
+    tokens = F.pandas_udf(lean_run, "long")
     n_bytes = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), n_bytes.alias("n_bytes"), tokens(F.col(f"`{text_col}`")).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -30,17 +30,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KeyTable
+from .common import KeyTable, lean
 
 PER_LANG, GRAMS = 1500, 4000
 #: Word characters that are neither letters nor digits to ``re``, such as fractions and Roman numerals.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
-LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+NUMERALS, LETTERS = re.compile(f"[{re.escape(NUMERALS)}]+"), re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> str:
     """Letters in lower case, each word between single blanks."""
-    return " " + " ".join(LETTERS.findall(text.lower())) + " "
+    low = text.lower()
+    return " " + " ".join(LETTERS.findall(low if low.isascii() else NUMERALS.sub(" ", low))) + " "
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -64,7 +65,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, grams: int = GRAMS) -> dict:
                 found.update((lang, w[i : i + 3]) for i in range(len(w) - 2))
             yield pd.DataFrame([(k, g, n) for (k, g), n in found.items()], columns=["lang", "gram", "n"])
 
-    counted = sample.mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInPandas(lean(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams)
     counts = {(r["lang"], r["gram"]): r["n"] for r in top.collect()}
     langs = sorted({k for k, _ in counts})
@@ -79,7 +80,7 @@ class Mixture:
     def __init__(self, model: dict):
         self.langs, self.main, self.p = model["langs"], model["main"], model["p"]
         self.log_p, grams = np.log(self.p), model["grams"]
-        self.table = KeyTable(len(grams))
+        self.table = KeyTable(4 * len(grams))
         self.table.add(self.keys("".join(grams))[::3], np.arange(len(grams), dtype=np.int32))
 
     @staticmethod
@@ -132,13 +133,17 @@ def predicted(model: dict) -> Callable[[Column], Column]:
     """Column function: ``struct<lang_pred, score, shares>`` of a text (shares: map of the chosen set)."""
     held: list[Mixture] = []
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if not held and model["langs"]:
             held.append(Mixture(model))
-        out = [held[0].predict(t) if held else ("und", 0.0, {}) for t in texts]
-        return pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "shares": [x[2] for x in out]})
+        for texts in batches:
+            out = [held[0].predict(t) if held else ("und", 0.0, {}) for t in texts]
+            yield pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "shares": [x[2] for x in out]})
 
-    return F.pandas_udf(run, "lang_pred string, score double, shares map<string,double>")
+    def lean_run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from lean(run)(batches)
+
+    return F.pandas_udf(lean_run, "lang_pred string, score double, shares map<string,double>")
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

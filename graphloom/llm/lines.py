@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, join_counted, linked, materialize, meet, portions, release, slices
+from .common import NO_ID, join_counted, lean, linked, materialize, meet, portions, release, slices
 
 PERCENT, BROADCAST = 80, 1_000_000
 SIM_WORDS, SIM_BITS = 20, 22  # SimHashes count from so many words, and may differ in so many bits
@@ -275,7 +275,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             got = {"id": ids[doc[lo:hi]], "th": th[doc[lo:hi]], "line": line[lo:hi].astype(np.int32), "h1": h1, "h2": h2, "n": n.astype(np.int32), "sim": simhashes(own, long[a:b], n).view(np.int64)}
             yield pd.DataFrame(got | {c: odd[:, i] for i, c in enumerate(PARITIES)} | {c: keys[:, i] for i, c in enumerate(KEYED)})
 
-    return docs.mapInPandas(run, "id long, th int, line int, h1 long, h2 long, n int, sim long, " + ", ".join(f"{c} long" for c in PARITIES + KEYED))
+    return docs.mapInPandas(lean(run), "id long, th int, line int, h1 long, h2 long, n int, sim long, " + ", ".join(f"{c} long" for c in PARITIES + KEYED))
 
 
 def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
 
     by = need.groupBy("id", "th").agg(F.collect_list(F.struct("cid", "line")).alias("own"))
     near = F.broadcast if need.count() <= BROADCAST else (lambda d: d)
-    return docs.join(near(by), ["id", "th"]).select("text", "own").mapInPandas(run, "cid long, words string").dropDuplicates(["cid"])
+    return docs.join(near(by), ["id", "th"]).select("text", "own").mapInPandas(lean(run), "cid long, words string").dropDuplicates(["cid"])
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -360,8 +360,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
             for lo in range(0, len(keys), 1 << 16):
                 yield table(keys[lo : lo + (1 << 16)], ids[lo : lo + (1 << 16)])
 
-    dealt = classes.select("cid", *KEYED).mapInPandas(spread, "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
-    return materialize(dealt.mapInPandas(find, "key long, id long").distinct(), "lines-keys")
+    dealt = classes.select("cid", *KEYED).mapInPandas(lean(spread), "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
+    return materialize(dealt.mapInPandas(lean(find), "key long, id long").distinct(), "lines-keys")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -383,7 +383,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
                 good = [similar(x.split(), y.split()) for x, y in zip(pdf["wa"], pdf["wb"])]
                 yield pdf.loc[good, ["a", "b"]]
 
-        out = materialize(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long"), "verified")
+        out = materialize(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(lean(run), "a long, b long"), "verified")
         release(near, need, texts)
         return out
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, join_counted, keyed, linked, materialize, meet, portions, release
+from .common import NO_ID, join_counted, keyed, lean, linked, materialize, meet, portions, release
 
 BANDS, ROWS, SKETCH, SLACK, WHOLE = 40, 5, 512, 0.2, 2048
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 rows.append((doc, th, len(s), c1, c2, *sketch(s), whole_sketch(s)))
             yield pd.DataFrame(rows, columns=["id", "th", "n", "c1", "c2", "keys", "odd", "all"])
 
-    return docs.mapInPandas(run, "id long, th int, n long, c1 long, c2 long, keys array<long>, odd array<long>, all array<long>")
+    return docs.mapInPandas(lean(run), "id long, th int, n long, c1 long, c2 long, keys array<long>, odd array<long>, all array<long>")
 
 
 def differing(a: Column, b: Column, bits: int = SKETCH) -> Column:
@@ -142,7 +142,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     need = reps.join(ends, "cid", "left_semi").select("cid", "first.id", "first.th")
     texts = materialize(docs.join(need, ["id", "th"]).select("cid", "text").dropDuplicates(["cid"]), "near-texts")
     side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"t{c}"))
-    out = materialize(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "near-confirmed")
+    out = materialize(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInPandas(lean(run), "a long, b long"), "near-confirmed")
     release(pairs, texts)
     return out
 

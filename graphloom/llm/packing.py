@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, portions
+from .common import lean, materialize, portions
 
 GROUP, AHEAD, OPEN = 200_000, 2048, 1024
 RUN = re.compile(r"\s{2000}")
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str, str], capacity: int = 10
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    out = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(run, schema)
+    out = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(lean(run), schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str, str], capacity: int = 1024
         if held is not None and len(held):
             yield place(held)
 
-    placed = dealt.mapInPandas(run, "uid long, sequence_id long, offset long")
+    placed = dealt.mapInPandas(lean(run), "uid long, sequence_id long, offset long")
     return cut.join(placed, "uid").drop("uid")
 
 

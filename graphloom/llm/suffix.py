@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, join_counted, keyed, materialize, portions, release
+from .common import NO_ID, join_counted, keyed, lean, materialize, portions, release
 
 WINDOW, Q, REACH = 400, 25, 300  # REACH: a window's 100-byte buckets start 0..300 bytes after it
 BLOCK, WIDTH = 1 << 18, 16
@@ -121,7 +121,7 @@ def _rows(docs: DataFrame) -> DataFrame:
                 row, off = np.array([x[0] for x in parts])[part], np.array([x[1] for x in parts])[part]
                 yield pd.DataFrame({"id": ids[row], "th": th[row], "a": a - starts[part] + off, "n": n.astype(np.int32), "dh": dh.astype(np.int32), "m": m.view(np.int64), "f": f.view(np.int64)})
 
-    return docs.mapInPandas(run, "id long, th int, a long, n int, dh int, m long, f long")
+    return docs.mapInPandas(lean(run), "id long, th int, a long, n int, dh int, m long, f long")
 
 
 def flat(*columns: str) -> Column:
@@ -139,7 +139,7 @@ def _content(active: DataFrame, docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "th", "a", "n", "dh", "m", "bytes"])
 
     by = active.groupBy("id", "th").agg(flat("a", "n", "dh", "m").alias("runs"))
-    return docs.dropDuplicates(["id", "th"]).join(by, ["id", "th"]).mapInPandas(run, "id long, th int, a long, n int, dh int, m long, bytes binary")
+    return docs.dropDuplicates(["id", "th"]).join(by, ["id", "th"]).mapInPandas(lean(run), "id long, th int, a long, n int, dh int, m long, bytes binary")
 
 
 def _refine(content: DataFrame, width: int, nodes: bool) -> DataFrame:
@@ -172,7 +172,7 @@ def _refine(content: DataFrame, width: int, nodes: bool) -> DataFrame:
                 got = part.iloc[row]
                 yield pd.DataFrame({"id": got["id"].to_numpy(), "th": got["th"].to_numpy(), "a": got["a"].to_numpy(), "dh": got["dh"].to_numpy(), "m": got["m"].to_numpy(), "k": (lo // width).astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "core": core.view(np.int64), "whole": whole.view(np.int64)})
 
-    return content.mapInPandas(run, "id long, th int, a long, dh int, m long, k int, lo int, hi int, core long, whole long")
+    return content.mapInPandas(lean(run), "id long, th int, a long, dh int, m long, k int, lo int, hi int, core long, whole long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def _finish(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     # a text's spans are folded into its maximal runs before they meet the text
     w = spans.dropDuplicates().groupBy("id", "th").agg(flat("s", "e").alias("spans"))
-    return docs.join(w, ["id", "th"], "left").select("id", "bytes", "spans").mapInPandas(run, "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    return docs.join(w, ["id", "th"], "left").select("id", "bytes", "spans").mapInPandas(lean(run), "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
