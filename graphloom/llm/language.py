@@ -35,13 +35,18 @@ from .common import KeyTable, lean
 PER_LANG, GRAMS = 1500, 4000
 #: Word characters that are neither letters nor digits to ``re``, such as fractions and Roman numerals.
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
-NUMERALS, LETTERS = re.compile(f"[{re.escape(NUMERALS)}]+"), re.compile(r"[^\W\d_]+")
+NUMERALS = [re.compile("[" + "".join(c for c in NUMERALS if (c > "\uffff") == far) + "]") for far in (False, True)]  # one table is faster than both
+FAR, LETTERS = re.compile("[\U00010000-\U0010ffff]"), re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> str:
     """Letters in lower case, each word between single blanks."""
     low = text.lower()
-    return " " + " ".join(LETTERS.findall(low if low.isascii() else NUMERALS.sub(" ", low))) + " "
+    if not low.isascii():
+        low = NUMERALS[0].sub(" ", low)
+        if FAR.search(low):
+            low = NUMERALS[1].sub(" ", low)
+    return " " + " ".join(LETTERS.findall(low)) + " "
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
