@@ -16,18 +16,18 @@ from graphloom.schema import Graph
 from graphloom.sources import maps, scan, viewer
 from graphloom.streaming import incremental
 
-FOLDER, MAP = ".graphloom", "map.json"
+FOLDER, MAP, HASHES, FACTS = ".graphloom", "map.json", "hashes.json", "facts"
 
 
 def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def graph_of(files: DataFrame, texts: DataFrame) -> Graph:
+def graph_of(files: DataFrame, texts: DataFrame, facts: DataFrame | None = None) -> Graph:
     """Graphs of source files (``scan.scan``) and of the texts that may state endpoints (``scan.contract_files``);
-    both may hold many repositories. Files are parsed once: the facts are a table in the shared folder.
-    Raises if the result breaks a rule of the model."""
-    nodes, edges, calls = extract.from_facts(cut(extract.facts(files)))
+    both may hold many repositories. Files are parsed once: the facts are a table in the shared folder (given, if they
+    are known). Raises if the result breaks a rule of the model."""
+    nodes, edges, calls = extract.from_facts(cut(extract.facts(files)) if facts is None else facts)
     g = assemble.assemble(nodes, edges.unionByName(resolve.resolve(nodes, calls)))
     edges = cut(g.edges)
     nodes = cut(cluster.cluster(g.nodes, edges))
@@ -42,6 +42,18 @@ def build(spark: SparkSession, root: str, name: str | None = None) -> Graph:
     return graph_of(scan.scan(spark, root, name), scan.contract_files(spark, root, name))
 
 
+def refreshed(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """Facts of files: those stored under the root for files whose content is as it was, the rest parsed anew."""
+    folder = Path(root).resolve() / FOLDER
+    if not (folder / HASHES).exists() or not (folder / FACTS).exists():
+        return cut(extract.facts(files))
+    known = json.loads((folder / HASHES).read_text(encoding="utf-8"))
+    graph = Path(root).resolve().name
+    rows = spark.createDataFrame([(graph, k, v) for k, v in known.items()], "graph string, rel_path string, sha256 string")
+    old = spark.read.parquet(f"file://{folder / FACTS}")
+    return cut(incremental.refresh(old, files, rows, extract.facts))
+
+
 def counts(g: Graph) -> dict[str, int]:
     return {"nodes": g.nodes.count(), "edges": g.edges.count(), "communities": g.communities.count()}
 
@@ -66,14 +78,19 @@ def store(g: Graph, files: DataFrame, root: str, generated_at: str) -> str:
     (folder / "MAP.md").write_text(page(g, title), encoding="utf-8")
     viewer.write(g, str(folder / "map.html"), title, generated_at)
     known = {r["rel_path"]: r["sha256"] for r in incremental.hashes(files).orderBy("rel_path").collect()}
-    (folder / "hashes.json").write_text(json.dumps(known, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+    (folder / HASHES).write_text(json.dumps(known, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
     return digest
 
 
 def run(spark: SparkSession, root: str, generated_at: str | None = None) -> dict[str, int]:
-    """``build`` and ``store``; counts of files, nodes, edges and communities."""
-    files = scan.scan(spark, root, Path(root).resolve().name)
-    g = build(spark, root)
+    """A build that parses only files that changed since the last one, stored; counts of files, nodes, edges and
+    communities. The facts are stored first and the hashes last: if it breaks off between, files are parsed again."""
+    name, folder = Path(root).resolve().name, Path(root).resolve() / FOLDER
+    files = scan.scan(spark, root, name)
+    facts = refreshed(spark, files, root)
+    g = graph_of(files, scan.contract_files(spark, root, name), facts)
+    (folder / HASHES).unlink(missing_ok=True)
+    facts.write.mode("overwrite").parquet(f"file://{folder / FACTS}")
     store(g, files, root, generated_at or now())
     return {"files": files.count(), **counts(g)}
 

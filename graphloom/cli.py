@@ -10,7 +10,7 @@ from typing import TextIO
 from pyspark.sql import SparkSession
 
 from graphloom import __name__ as PROGRAM
-from graphloom import build
+from graphloom import build, integrate
 from graphloom.operators import paths, query, system
 from graphloom.schema import Graph
 from graphloom.server import Server
@@ -60,6 +60,8 @@ def parser() -> Parser:
         verb(name, into=sub)
     verb("impact", ("target",), into=sub)
     verb("query", ("question",), into=sub)
+    verb("init", root, ("--page", {"default": "AGENTS.md"}), ("--hook", {"action": "store_true"}))
+    verb("hook")
     verb("version")
     return top
 
@@ -194,12 +196,18 @@ def do_system(spark, a, inp, out, err):
 def main(args: list[str], inp: TextIO = sys.stdin, out: TextIO = sys.stdout, err: TextIO = sys.stderr, spark: SparkSession | None = None) -> int:
     """Runs one verb; a folder alone means ``build``. Takes the session given, the active one, or a local one."""
     try:
-        if args and args[0] not in DO and args[0] != "version" and not args[0].startswith("-") and Path(args[0]).is_dir():
+        if args and args[0] not in {*DO, "version", "init", "hook"} and not args[0].startswith("-") and Path(args[0]).is_dir():
             args = ["build", *args]
         a = parser().parse_args(args)
         if a.verb == "version":
             print(f"{PROGRAM} {RELEASE}", file=out)
             return 0
+        if a.verb == "hook":
+            integrate.nudge(inp, out)
+            return 0
+        if a.verb == "init":
+            print(*[f"{k}: {v}" for k, v in integrate.install(a.path, a.page, a.hook).items()], sep="\n", file=out)
+            return 0
         return DO[a.verb](spark or SparkSession.getActiveSession() or local_session(), a, inp, out, err) or 0
     except Usage as e:
         print(e, file=err)
@@ -209,6 +217,11 @@ def main(args: list[str], inp: TextIO = sys.stdin, out: TextIO = sys.stdout, err
         return 1
 
 
+def script() -> None:
+    """Entry of the installed command."""
+    sys.exit(main(sys.argv[1:]))
+
+
 DO = {"build": do_build, "update": do_update, "query": do_query, "serve": do_serve, "link": do_link, "workspace": do_workspace, "links": do_links, "federate": do_federate, "publish": do_publish, "system": do_system}
 
 if __name__ == "__main__":

@@ -29,19 +29,21 @@ def read_files(spark: SparkSession, root: str, graph: str, own: str = ".graphloo
 
 
 def hidden_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files whose own name starts with ``_`` or ``.`` (``__init__.py``, ``.gitignore``), which Spark's readers of folders
-    leave out. Their paths are listed, and read by Spark as paths, which it takes by any name."""
+    """Files whose own name starts with ``_`` or ``.`` (``__init__.py``, ``.gitignore``). Spark's readers leave them out, even
+    when they are named, so the driver reads them; only sources and the ignore file count, which are few."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, names = fs.listFiles(path, True), []
+    found, rows = fs.listFiles(path, True), []
     while found.hasNext():
-        f = found.next().getPath()
-        name = f.getName().lower()
+        f = found.next()
+        name = f.getPath().getName().lower()
         if name[:1] in "._" and (name == ".gitignore" or any(name.endswith(x) for x in {*LANGUAGES, *CONTRACT_EXT})):
-            names.append(f.toString())
-    if not names:
-        return spark.createDataFrame([], "path string, length long, content binary")
-    return spark.read.format("binaryFile").load(names).select("path", "length", "content")
+            stream = fs.open(f.getPath())
+            try:
+                rows.append((f.getPath().toString(), f.getLen(), bytearray(stream.readAllBytes())))
+            finally:
+                stream.close()
+    return spark.createDataFrame(rows, "path string, length long, content binary")
 
 
 def _under(rel: Column, names: list[str]) -> Column:

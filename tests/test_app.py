@@ -88,3 +88,46 @@ def test_system(spark, repos):
     assert run(spark, "system", "--root", repos, "status")[0] == 0
     assert "web::w-go:load -calls-> shop::api-r-py:serve" in run(spark, "system", "--root", repos, "query", "load")[1]
     assert run(spark, "system", "--root", repos, "render")[0] == 0 and (repos / registry.SYSTEM.folder / "system.html").stat().st_size > 1000
+
+
+def test_only_changed_files_are_parsed(spark, repos):
+    import pandas as pd
+
+    root = repos / "again"
+    root.mkdir()
+    (root / "a.py").write_text("def one(): pass\n")
+    (root / "b.py").write_text("def two(): pass\n")
+    assert build.run(spark, str(root))["files"] == 2
+    stored = root / build.FOLDER / build.FACTS
+    old = spark.read.parquet(str(stored)).toPandas()
+    old.loc[old["label"] == "one", "label"] = "kept"  # shows whether a file was parsed again
+    spark.createDataFrame(pd.DataFrame(old), spark.read.parquet(str(stored)).schema).write.parquet(str(stored) + "2")
+    for f in (*stored.glob("*"), *stored.glob(".*")):
+        f.unlink(missing_ok=True)
+    for f in (root / build.FOLDER / (build.FACTS + "2")).glob("*.parquet"):
+        f.rename(stored / f.name)
+    (root / "b.py").write_text("def three(): pass\n")
+    (root / "c.py").write_text("def four(): pass\n")
+    build.run(spark, str(root))
+    labels = lambda: {n["label"] for n in json.loads((root / build.FOLDER / build.MAP).read_text())["nodes"] if n["kind"] == "function"}
+    assert labels() == {"kept", "three", "four"}
+    (root / "b.py").unlink()
+    (root / build.FOLDER / build.HASHES).unlink()
+    build.run(spark, str(root))
+    assert labels() == {"one", "four"}
+
+
+def test_integration(repos, tmp_path):
+    (tmp_path / "AGENTS.md").write_text("# Mine")
+    first = run(None, "init", tmp_path, "--hook")
+    assert first[0] == 0 and first[1].splitlines() == ["note: created", "page: updated", "hook: created"]
+    assert run(None, "init", tmp_path, "--hook")[1].splitlines() == ["note: unchanged", "page: unchanged", "hook: unchanged"]
+    page = (tmp_path / "AGENTS.md").read_text()
+    assert page.startswith("# Mine\n") and page.count("begin -->") == 1
+    (tmp_path / "AGENTS.md").write_text(page.replace("Asking", "Old") + "after\n")
+    assert run(None, "init", tmp_path)[1].splitlines() == ["note: unchanged", "page: updated"] and (tmp_path / "AGENTS.md").read_text() == page + "after\n"
+    (tmp_path / build.FOLDER / "settings.json").write_text("[]")
+    assert run(None, "init", tmp_path, "--hook")[0] == 1
+    assert run(None, "hook", given="no json") == (0, "", "") and run(None, "hook", given=json.dumps({"cwd": str(tmp_path)})) == (0, "", "")
+    (tmp_path / build.FOLDER / build.MAP).write_text("{}")
+    assert "MAP.md" in json.loads(run(None, "hook", given=json.dumps({"cwd": str(tmp_path)}))[1])["context"]

@@ -81,6 +81,83 @@ def test_cycles_and_paths(spark):
         paths.shortest_path(n, e, "a", "z")
 
 
+def test_long_chain(spark):
+    """Walks end where the graph does, not at a number of levels."""
+    ids = [f"n{i:03}" for i in range(80)]
+    n, e = nodes_of(spark, ids).coalesce(1), edges_of(spark, list(zip(ids, ids[1:]))).coalesce(1)
+    assert paths.shortest_path(n, e, ids[0], ids[-1]) == ids
+    assert paths.levels(e, ids[0]).agg(F.max("level")).first()[0] == 79
+
+
+def test_discovery_order(spark):
+    e = edges_of(spark, [("s", "b"), ("s", "a"), ("b", "x"), ("a", "y"), ("a", "x"), ("y", "z"), ("x", "z")])
+    rows = {r["id"]: (r["level"], r["parent"]) for r in paths.bfs_levels(e, "s").collect()}
+    assert rows == {"s": (0, None), "a": (1, "s"), "b": (1, "s"), "x": (2, "a"), "y": (2, "a"), "z": (3, "x")}
+    seen = [r["id"] for r in paths.bfs_levels(e, "s").orderBy("level", "pos").collect()]
+    assert seen == ["s", "a", "b", "x", "y", "z"]
+
+
+def test_expansion_against_plain_walk(spark):
+    """The budgeted expansion against a walk that holds all neighbours."""
+    import random
+
+    rng = random.Random(5)
+    names = ["seed one"] + ["w" * rng.randint(1, 60) + str(i) for i in range(120)]
+    n = spark.createDataFrame([("g", f"i{i}", x, "function", "f", 1, -1) for i, x in enumerate(names)], NODES)
+    pairs = [(f"i{rng.choice((0, 0, 1, rng.randrange(121)))}", f"i{rng.randrange(121)}") for _ in range(400)]
+    e = edges_of(spark, pairs)
+    cost = {f"i{i}": max(len(f"i{i} [function] {x} @ f:1".encode()) // 4, 1) for i, x in enumerate(names)}
+    for budget in (30, 90, 200):
+        chosen, queue, used = ["i0"], ["i0"], cost["i0"]
+        while queue and used < budget:
+            q = queue.pop(0)
+            for x in sorted(b for a, b in pairs if a == q) + sorted(a for a, b in pairs if b == q):
+                if x not in chosen and used + cost[x] <= budget:
+                    chosen.append(x)
+                    queue.append(x)
+                    used += cost[x]
+        assert {r["id"] for r in query.query(n, e, "seed", budget)[0].collect()} == set(chosen)
+
+
+def test_local_moving(spark):
+    pairs = [(a, b) for side in ("abcd", "efgh") for a in side for b in side if a < b] + [("d", "e")]
+    got = {r["id"]: r["community"] for r in cluster.local_moving(nodes_of(spark, "abcdefghz"), edges_of(spark, pairs)).collect()}
+    assert len({got[x] for x in "abcd"}) == len({got[x] for x in "efgh"}) == 1 and len(set(got.values())) == 3
+
+
+def built(spark, tmp_path, texts):
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    nodes, edges, calls = extract.extract(scan.scan(spark, str(tmp_path), "g"))
+    g = assemble.assemble(nodes, edges.unionByName(resolve.resolve(nodes, calls)))
+    g = Graph(paths.cut(g.nodes), paths.cut(g.edges))
+    kinds = {r["kind"]: r["count"] for r in g.nodes.groupBy("kind").count().collect()}
+    relations = {(r["relation"], r["confidence"][0]): r["count"] for r in g.edges.groupBy("relation", "confidence").count().collect()}
+    return kinds, relations, len({r["community"] for r in cluster.louvain(g.nodes, g.edges).collect()})
+
+
+def test_two_packages(spark, tmp_path):
+    got = built(spark, tmp_path, {
+        "main.go": 'package main\n\nimport (\n\t"fmt"\n\t"demo/greet"\n)\n\nfunc main() {\n\tfmt.Println(greet.Hello("you"))\n}\n',
+        "greet/greet.go": 'package greet\n\nimport "strings"\n\nfunc Hello(n string) string { return strings.ToUpper(pad(n)) }\n\nfunc pad(n string) string { return n }\n',
+        "greet/box.go": 'package greet\n\ntype Box struct{}\n\nfunc (b *Box) Wrap() string { return Hello("x") }\n',
+    })
+    assert got == ({"file": 3, "function": 3, "module": 3, "class": 1, "method": 1}, {("contains", "E"): 5, ("imports", "E"): 3, ("calls", "E"): 3, ("calls", "I"): 2}, 3)
+
+
+def test_six_languages(spark, tmp_path):
+    got = built(spark, tmp_path, {
+        "svc.py": "import os\nimport api\n\nclass PySvc:\n    def run(self):\n        helper(os.getcwd())\n\ndef helper(x):\n    return x\n",
+        "svc.js": "import x from './util.js';\nclass JsSvc {\n  run() { return helper(); }\n}\nfunction helper() { return 1; }\n",
+        "svc.ts": "import { a } from './api';\ninterface Shape { area(): number; }\nclass TsSvc {\n  run(): number { return only(); }\n}\nfunction only(): number { return 1; }\n",
+        "svc.rs": "use std::fmt;\nstruct RsSvc;\nimpl RsSvc {\n    fn run(&self) { render(); }\n}\nfn render() {}\n",
+        "Svc.java": "import java.util.List;\nclass JavaSvc {\n  void run() { step(); }\n  void step() {}\n}\n",
+        "svc.php": "<?php\nuse App\\Str;\nclass PhpSvc {\n  public function run() { return render(); }\n}\nfunction render() { return 1; }\n",
+    })
+    assert got == ({"class": 7, "method": 7, "file": 6, "module": 6, "function": 5}, {("contains", "E"): 19, ("imports", "E"): 7, ("calls", "E"): 1, ("calls", "I"): 1}, 7)
+
+
 def test_budget(spark):
     n = nodes_of(spark, ["auth", "login", "token"])
     e = edges_of(spark, [("auth", "login")])
