@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import degrees
+from .cluster import ends
 from .paths import cut
 
 HUBS = 7
@@ -15,7 +15,7 @@ HUBS = 7
 def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = HUBS) -> DataFrame:
     """The ``top`` nodes of highest degree (2 at least) of each graph, ids in order on a tie."""
     order = Window.partitionBy("graph").orderBy(F.desc("degree"), "id")
-    known = degrees(nodes, edges).where("degree >= 2 and label is not null")
+    known = ends(edges).where("degree >= 2").join(nodes, ["graph", "id"]).where("label is not null")
     return known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 

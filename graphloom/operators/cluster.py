@@ -120,10 +120,14 @@ def cluster(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.drop("community").join(louvain(nodes, edges), ["graph", "id"], "left").select(nodes.columns)
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """``graph, id, degree`` of the ends of edges; a self-loop counts twice."""
+    return edges.select("graph", F.explode(F.array("src", "dst")).alias("id")).groupBy("graph", "id").agg(F.count("*").alias("degree"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Both directions; a self-loop counts twice, ends without a node count."""
-    ends = edges.select("graph", F.explode(F.array("src", "dst")).alias("id")).groupBy("graph", "id").agg(F.count("*").alias("degree"))
-    return nodes.join(ends, ["graph", "id"], "full").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    """Nodes with ``degree``, both directions; ends without a node count."""
+    return nodes.join(ends(edges), ["graph", "id"], "full").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
 
 def members(nodes: DataFrame) -> DataFrame:
@@ -153,10 +157,12 @@ def name_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def modularity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``graph, q`` of the communities that nodes carry."""
-    pairs, comm = pair_weights(edges), nodes.select("graph", "id", "community")
-    side = lambda k: comm.select("graph", F.col("id").alias(k), F.col("community").alias(f"c{k}"))
-    inner = pairs.join(side("a"), ["graph", "a"]).join(side("b"), ["graph", "b"]).groupBy("graph").agg(F.sum(F.when(F.col("ca") == F.col("cb"), 2 * F.col("w")).otherwise(0)).alias("inside"))
-    per = weighted_degrees(pairs).join(comm.withColumn("known", F.lit(True)), ["graph", "id"], "left").groupBy("graph", "community", "known").agg(F.sum("deg").alias("tot"))
-    sums = per.groupBy("graph").agg(F.sum("tot").alias("m2"), F.sum(F.when(F.col("known"), F.col("tot") * F.col("tot"))).alias("sq"))
-    return inner.join(sums, "graph").select("graph", (F.col("inside") / F.col("m2") - F.col("sq") / F.col("m2") / F.col("m2")).alias("q"))
+    """``graph, q`` of the communities that nodes carry. Edges are counted by the communities of their ends, so what is
+    summed up is as small as the pairs of communities that meet."""
+    side = lambda k: nodes.select("graph", F.col("id").alias(k), F.struct("community").alias(f"c{k}"))
+    met = edges.where("src <> dst").select("graph", "src", "dst").join(side("src"), ["graph", "src"], "left").join(side("dst"), ["graph", "dst"], "left")
+    met = met.groupBy("graph", "csrc", "cdst").agg(F.count("*").alias("n"))
+    inside = F.when(F.col("csrc") == F.col("cdst"), 2 * F.col("n")).otherwise(0)
+    per = met.select("graph", "n", inside.alias("inside"), F.explode(F.array("csrc", "cdst")).alias("c")).groupBy("graph", "c").agg(F.sum("n").alias("tot"), F.sum("inside").alias("inside"))
+    sums = per.groupBy("graph").agg((F.sum("inside") / 2).alias("inside"), F.sum("tot").alias("m2"), F.sum(F.when(F.col("c").isNotNull(), F.col("tot") * F.col("tot"))).alias("sq"))
+    return sums.select("graph", (F.col("inside") / F.col("m2") - F.col("sq") / F.col("m2") / F.col("m2")).alias("q"))

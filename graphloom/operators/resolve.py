@@ -28,9 +28,11 @@ def resolve_selector(modules: DataFrame, calls: DataFrame) -> DataFrame:
     """Calls through an imported name, to that import's module: exactly one import entry must match."""
     own = F.filter("imports", lambda i: X.import_base(i) == X.selector("callee"))
     hit = calls.where(X.selector("callee").isNotNull()).withColumn("own", own).where(F.size("own") == 1).withColumn("imp", F.get("own", 0))
-    hit = hit.withColumn("dst", X.node_id(F.concat(F.lit("module:"), F.col("imp")), X.import_base("imp")))
-    known = modules.where("kind = 'module'").select("graph", F.col("id").alias("dst")).distinct()
-    return hit.join(known, ["graph", "dst"], "left_semi").select("graph", F.col("from_id").alias("src"), "dst", F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"))
+    # ids are made once for each import, not for each call
+    module = hit.select("graph", "imp").distinct().withColumn("dst", X.node_id(F.concat(F.lit("module:"), F.col("imp")), X.import_base("imp")))
+    known = modules.where("kind = 'module'").select("graph", F.col("id").alias("dst"))
+    module = module.join(known, ["graph", "dst"], "left_semi")
+    return hit.join(module, ["graph", "imp"]).select("graph", F.col("from_id").alias("src"), "dst", F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"))
 
 
 def resolve(defs: DataFrame, calls: DataFrame) -> DataFrame:
