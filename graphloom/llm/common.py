@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 FEW, NO_ID = 1000, (1 << 63) - 1  # most heavy keys; in place of a missing id, after all others
-SALT, PIVOTS, MANY = 2048, 2, 500  # rows of a block; further pivots of buckets with more than so many rows
+SALT, MANY = 2048, 500  # rows of a block; buckets with more rows get further pivots
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -162,14 +162,14 @@ def meet(buckets: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], tag: str, pivots: int = 0) -> DataFrame:
     """Components ``(id, comp)`` under the links that ``check`` confirms among rows sharing a bucket.
 
     ``shared``: from :func:`meet`; ``traits``: ``id, t`` with what ``near`` needs to tell of two rows whether
     they may be linked (if they are small, ``shared`` carries them with every row); ``check`` gets pairs ``a < b`` and
     returns those that hold. A bucket of n rows makes n - 1 pairs with its smallest row. Buckets that then
     still span several components get another member as pivot, drawn by hash, for the rows of other components, up to
-    ``PIVOTS`` times: a large group of near copies is found by any of them. Then members of different components
+    ``pivots`` times: a large group of near copies is found by any of them. Then members of different components
     are compared, by ``near`` within the join, so no pair that could join two components is left out
     and a group of copies never makes all its pairs. Large buckets are cut into blocks
     of about ``SALT`` rows, and pairs of blocks are joined, so no task has a whole bucket's comparisons.
@@ -190,17 +190,11 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
     pairs = rows.select("a", F.col("id").alias("b"), "ta", F.col("t").alias("tb")) if carry else rows.select("a", F.col("id").alias("b")).distinct()
     links = materialize(check(likely(pairs, "" if carry else "ba")), f"{tag}-links")
     comp = components(links, tag)
-    rest, left, tried = own.where("m > 2").drop("a", "ta"), None, 0
-    while True:
-        label = rest.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-        before, left = left, materialize(label.join(mixed, "key"), f"{tag}-mixed")
-        release(before)
-        rest = left.drop("size")
-        large = left.where(F.col("size") > MANY)
-        if tried == PIVOTS or large.isEmpty():
+    mixed = _mixed(own.where("m > 2").drop("a", "ta"), comp, tag)
+    for tried in range(1, pivots + 1):  # only buckets of many rows; the others wait as they are
+        large, small = mixed.where(F.col("size") > MANY), mixed.where(F.col("size") <= MANY)
+        if large.isEmpty():
             break
-        tried += 1
         draw = F.struct(F.xxhash64("id", F.lit(tried)).alias("h"), F.col("id").alias("p"), F.col("comp").alias("pc"), *([F.col("t").alias("pt")] if carry else []))
         pivot = large.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.*")
         pairs = large.join(pivot, "key").where("comp <> pc")
@@ -209,8 +203,10 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
         else:
             pairs = likely(pairs.select(*ordered("id", "p")).distinct(), "ab")
         comp = _merged(comp, materialize(check(pairs), f"{tag}-links"), tag)
-    if not carry:
-        rest = materialize(rest.join(traits, "id"), f"{tag}-traits")
+        before, left = mixed, _mixed(large.drop("comp", "size"), comp, tag)
+        mixed = materialize(small.unionByName(left), f"{tag}-mixed")
+        release(before, left)
+    rest = mixed if carry else materialize(mixed.join(traits, "id"), f"{tag}-traits")
     blocks = F.ceil(F.col("m") / SALT).cast("int")
     rows = rest.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     x = rows.select("key", F.col("blk").alias("p"), F.explode(F.sequence("blk", blocks - 1)).alias("q"), F.col("id").alias("ia"), F.col("comp").alias("ca"), F.col("t").alias("ta"))
@@ -218,10 +214,19 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
     cross = x.join(y, ["key", "p", "q"]).where(((F.col("p") < F.col("q")) | (F.col("ia") < F.col("ib"))) & (F.col("ca") != F.col("cb")) & near(F.col("ta"), F.col("tb")))
     more = materialize(check(cross.select(*ordered("ia", "ib")).distinct()), f"{tag}-links")
     comp = _merged(comp, more, tag)
-    release(rest, left, shared, links)
+    release(rest, mixed, shared, links)
     return comp
 
 
+def _mixed(rows: DataFrame, comp: DataFrame, tag: str) -> DataFrame:
+    """The rows of buckets that span several components, with their ``comp`` and their bucket's ``size``."""
+    label = materialize(rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), f"{tag}-bucket")
+    keys = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    out = materialize(label.join(keys.select("key", "size"), "key"), f"{tag}-mixed")
+    release(label)
+    return out
+
+
 def _merged(comp: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     """Components after further links: only the components that these join are walked."""
     if links.isEmpty():

@@ -397,7 +397,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     buckets = _buckets(classes)
     carried = materialize(buckets.join(traits, "id"), "lines-carried")
-    comp = linked(meet(carried, "lines"), traits, near, check, "lines")
+    comp = linked(meet(carried, "lines"), traits, near, check, "lines", pivots=2)
     release(buckets, carried)
     group = classes.select("cid", "h1", "h2", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left").where("comp is not null or c > 1")
     group = materialize(group.select("h1", "h2", "c", F.coalesce("comp", "cid").alias("g")), "kept")
