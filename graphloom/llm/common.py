@@ -187,8 +187,11 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     rows = own.where("a < id")
-    pairs = rows.select("a", F.col("id").alias("b"), "ta", F.col("t").alias("tb")) if carry else rows.select("a", F.col("id").alias("b")).distinct()
-    links = materialize(check(likely(pairs, "" if carry else "ba")), f"{tag}-links")
+    if carry:  # of the smallest rows of its buckets that a row may be linked to, it meets the smallest; the rest is found below
+        pairs = rows.where(near(F.col("ta"), F.col("t"))).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    else:
+        pairs = likely(rows.select("a", F.col("id").alias("b")).distinct(), "ba")
+    links = materialize(check(pairs), f"{tag}-links")
     comp = components(links, tag)
     mixed = _mixed(own.where("m > 2").drop("a", "ta"), comp, tag)
     for tried in range(1, pivots + 1):  # only buckets of many rows; the others wait as they are
