@@ -193,7 +193,7 @@ def linked(shared: DataFrame, traits: DataFrame, near: Callable[[Column, Column]
         pairs = likely(rows.select("a", F.col("id").alias("b")).distinct(), "ba")
     links = materialize(check(pairs), f"{tag}-links")
     comp = components(links, tag)
-    mixed = _mixed(own.where("m > 2").drop("a", "ta"), comp, tag)
+    mixed = _mixed((own if carry else own.where("m > 2")).drop("a", "ta"), comp, tag)
     for tried in range(1, pivots + 1):  # only buckets of many rows; the others wait as they are
         large, small = mixed.where(F.col("size") > MANY), mixed.where(F.col("size") <= MANY)
         if large.isEmpty():

@@ -34,6 +34,19 @@ def test_lines_odd_ids(spark):
     assert lines.stage(spark, docs, "").columns == docs.columns
 
 
+def test_lines_chains(spark):
+    """A line linked to two others that aren't linked with each other joins them, whichever of them is met first."""
+    rows = []
+    for k in range(40):
+        w = [f"w{k}word{i}" for i in range(20)]
+        left, right = list(w), list(w)
+        for i in (1, 4, 7, 9):
+            left[i], right[i + 10] = f"left{k}x{i}", f"right{k}x{i}"
+        rows += [(3 * k + j, " ".join(x)) for j, x in enumerate((left, w, right))]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(table(spark, rows)).collect()}
+    assert got == {i: int(i % 3 > 0) for i in range(120)}
+
+
 def test_lines_very_long(spark):
     long = "\n".join(f"line number {i} of a text that is long enough for all windows {i * 7}" for i in range(30_000))
     one = " ".join(f"w{i}" for i in range(300_000))
