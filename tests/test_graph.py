@@ -81,6 +81,20 @@ def test_cycles_and_paths(spark):
         paths.shortest_path(n, e, "a", "z")
 
 
+def test_cycles_are_not_spelt_out(spark):
+    """Cycles that hold 400 million members together, in the order of their members."""
+    import numpy as np
+
+    n = 20_000
+    a, b, low, size, _ = analyze.back_edges(n, np.r_[np.arange(n - 1), np.arange(1, n), np.arange(2, n)], np.r_[np.arange(1, n), np.zeros(n - 1, int), np.ones(n - 2, int)])
+    assert len(size) == 2 * n - 3 and size.sum(dtype=np.int64) == n * n - 2
+    assert list(zip(low[:2], a[:2], b[:2])) == [(0, 1, 0), (0, 2, 0)] and low[-1] == 1
+    e = edges_of(spark, [(f"p{i}", f"p{j}") for i in range(12) for j in (i * 7 % 12, (i * 5 + 1) % 12, 0)], "imports")
+    whole = analyze.import_cycles(e).orderBy("rank").collect()
+    assert [" ".join(r["members"]) for r in whole] == sorted(" ".join(r["members"]) for r in whole)
+    assert [(r["rank"], r["n"]) for r in analyze.cycle_sizes(e).orderBy("rank").collect()] == [(r["rank"], len(r["members"])) for r in whole]
+
+
 def test_long_chain(spark):
     """Walks end where the graph does, not at a number of levels."""
     ids = [f"n{i:03}" for i in range(80)]
