@@ -72,6 +72,29 @@ def test_two_cliques(spark):
     assert {r["community"] for r in cluster.louvain(n, e.limit(0)).collect()} == set(range(8))
 
 
+def test_moves_in_blocks(monkeypatch):
+    """Nodes whose neighbourhood is as it was get no turn; the communities are those of turns for all."""
+    import random
+
+    rng = random.Random(3)
+    for many, block in ((10**9, 1), (0.5, 4), (0.5, 1 << 16)):
+        for _ in range(60):
+            n = rng.randint(1, 40)
+            pairs = {tuple(sorted(rng.sample(range(n), 2))): rng.randint(1, 3) for _ in range(rng.randint(0, 90) if n > 1 else 0)}
+            near = [{b if a == i else a: w for (a, b), w in pairs.items() if i in (a, b)} for i in range(n)]
+            deg, own, moving = [sum(x.values()) for x in near], list(range(n)), True
+            while moving:
+                moving = False
+                for i in (i for i in range(n) if near[i]):
+                    gain = {c: sum(w for j, w in near[i].items() if own[j] == c) - deg[i] * sum(deg[j] for j in range(n) if own[j] == c and j != i) / sum(deg) for c in {own[i], *(own[j] for j in near[i])}}
+                    best = min(gain, key=lambda c: (-gain[c], c != own[i], c))
+                    moving, own[i] = moving or best != own[i], best
+            number = {}
+            monkeypatch.setattr(cluster, "MANY", many)
+            monkeypatch.setattr(cluster, "BLOCK", block)
+            assert list(cluster.move_locally(list(map("{:02}".format, range(n))), [(f"{a:02}", f"{b:02}", w) for (a, b), w in pairs.items()]).values()) == [number.setdefault(c, len(number)) for c in own]
+
+
 def test_cycles_and_paths(spark):
     e = edges_of(spark, [("p", "q"), ("q", "p"), ("q", "r")], "imports")
     assert [r["members"] for r in analyze.import_cycles(e).collect()] == [["p", "q"]]
