@@ -195,6 +195,18 @@ def test_six_languages(spark, tmp_path):
     assert got == ({"class": 7, "method": 7, "file": 6, "module": 6, "function": 5}, {("contains", "E"): 19, ("imports", "E"): 7, ("calls", "E"): 1, ("calls", "I"): 1}, 7)
 
 
+def test_island_rows(spark):
+    """The island by rows, places counted within each graph over many partitions."""
+    ids = [f"n{i:03}" for i in range(300)]
+    n = nodes_of(spark, ids).unionByName(nodes_of(spark, ids[::2]).withColumn("graph", F.lit("h"))).repartition(7)
+    e = edges_of(spark, [(a, b) for a, b in zip(ids, ids[1:])] + [("n000", "n000"), ("n001", "gone")])
+    rows, pairs = maps.island_rows(n, e)
+    got = sorted((r["graph"], r["pos"], r["label"], r["deg"]) for r in rows.collect())
+    assert got == [("g", i, x, 2 - (i in (0, 299))) for i, x in enumerate(ids)] + [("h", i, x, 0) for i, x in enumerate(ids[::2])]
+    assert sorted((r["src_pos"], r["dst_pos"]) for r in pairs.collect()) == [(i, i + 1) for i in range(299)]
+    assert {r["graph"]: r["label"] for r in maps.island(n, e).collect()} == {"g": ids, "h": ids[::2]}
+
+
 def test_budget(spark):
     n = nodes_of(spark, ["auth", "login", "token"])
     e = edges_of(spark, [("auth", "login")])
