@@ -207,6 +207,28 @@ def test_island_rows(spark):
     assert {r["graph"]: r["label"] for r in maps.island(n, e).collect()} == {"g": ids, "h": ids[::2]}
 
 
+def test_map_in_pieces(spark, tmp_path):
+    """A map's text as the library writes it, packed or not; read item by item, odd strings and empty lists included."""
+    import gzip
+    import json
+
+    odd = ['a"b', "c\n    },\n    {", "\u2028é", '  "nodes": [', "z"]
+    n, e = nodes_of(spark, odd).repartition(3), edges_of(spark, list(zip(odd, odd[1:])))
+    ends = spark.createDataFrame([("s", d, "http", k, k, k, "f", 1, "INFERRED", "x") for d in ("provides", "consumes") for k in odd[:3]], ENDPOINTS)
+    c = spark.createDataFrame([("g", 0, "one", odd), ("g", 1, "two", [])], "graph string, id int, label string, members array<string>")
+    for g in (Graph(n, e, c, ends), Graph(n, e.limit(0), None, None), Graph(n.limit(0), e.limit(0), c, ends)):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        plain, packed = str(folder / "map.json"), str(folder / "map.json.gz")
+        assert maps.write_map(g, plain, "t", "r") == maps.write_map(g, packed, "t", "r")
+        text = open(plain, encoding="utf-8", newline="").read()
+        assert text == gzip.open(packed, "rt", encoding="utf-8", newline="").read() == json.dumps(json.loads(text), indent=2, ensure_ascii=False) + "\n"
+        whole = maps.load(spark, plain)
+        for got in (maps.load_laid_out(spark, plain), maps.load_laid_out(spark, packed)):
+            for k in ("nodes", "edges", "communities", "endpoints"):
+                assert sorted(map(str, getattr(got, k).collect())) == sorted(map(str, getattr(whole, k).collect()))
+
+
 def test_budget(spark):
     n = nodes_of(spark, ["auth", "login", "token"])
     e = edges_of(spark, [("auth", "login")])
