@@ -1,5 +1,7 @@
 """Graph operators on small graphs, and every query against its SQL in DuckDB."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +164,32 @@ def test_local_moving(spark):
     assert len({got[x] for x in "abcd"}) == len({got[x] for x in "efgh"}) == 1 and len(set(got.values())) == 3
 
 
+def test_local_moving_numbers(spark):
+    """Both directions of an edge are one pair, an end without a node counts for the degree only, no id is in a round, and the
+    modularity over numbers is that over ids."""
+    rng = random.Random(5)
+    pairs = [(rng.choice("abcdefgh"), rng.choice("abcdefgh")) for _ in range(40)] + [("a", "gone"), ("x", "y"), ("y", "x")]
+    n, e = nodes_of(spark, "abcdefghxyz"), edges_of(spark, pairs)
+    ids, found = cluster.numbered_pairs(n, e)
+    name = {r["pos"]: r["id"] for r in ids.collect()} | {-1: "gone"}
+    assert [name[i] for i in range(11)] == list("abcdefghxyz")
+    want = {}
+    for a, b in pairs:
+        if a != b:
+            key = frozenset((a, b))
+            want[key] = want.get(key, 0) + 1
+    assert {frozenset((name[r["a"]], name[r["b"]])): r["w"] for r in found.collect()} == want
+    own = cluster.moved_by_halves(ids, found, 20)
+    assert set(own.columns) == {"pos", "comm", "deg", "m2"} and {r["m2"] for r in own.collect()} == {2 * sum(want.values())}
+    assert {name[r["pos"]]: r["deg"] for r in own.collect()} == {x: sum(w for k, w in want.items() if x in k) for x in "abcdefghxyz"}
+    e = edges_of(spark, [(a, b) for a, b in pairs if b != "gone"])
+    ids, found = cluster.numbered_pairs(n, e)
+    own = cluster.moved_by_halves(ids, found, 20)
+    by_id = n.drop("community").join(cluster.named(ids, own), ["graph", "id"])
+    got = cluster.numbered_modularity(found, own.join(ids, "pos"), "comm").first()["comm"]
+    assert got == pytest.approx(cluster.modularity(by_id, e).first()["q"])
+
+
 def built(spark, tmp_path, texts):
     for path, text in texts.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
