@@ -171,7 +171,7 @@ def do_system(spark, a, inp, out, err):
         return int(bool(old))
     g, found = R.matched(spark, root)
     if a.what in ("build", "audit"):
-        got = R.system_overlay(found, root)
+        got = {k: d.orderBy(*R.OVERLAY_ORDER[k]).collect() for k, d in R.system_overlay(found, root).items()}
         print(f"{len(reg['services'])} services: " + ", ".join(f"{len(got[k])} {k}" for k in ("links", "ambiguous", "dangling", "orphans")), file=out)
         if a.what == "audit":
             for k in ("dangling", "orphans"):

@@ -1,5 +1,6 @@
 """Graph operators on small graphs, and every query against its SQL in DuckDB."""
 
+import json
 import random
 
 import duckdb
@@ -11,7 +12,7 @@ from graphloom.functions import expr as X
 from graphloom.operators import analyze, assemble, cluster, contract, extract, paths, query, resolve, system, workspace
 from graphloom.plans.registry import ORACLES, QUERIES
 from graphloom.schema import EDGES, ENDPOINTS, NODES, Graph
-from graphloom.sources import maps, scan
+from graphloom.sources import maps, registry, scan
 from graphloom.streaming import incremental
 
 DATA = "/root/testdata/sf0.001"
@@ -190,6 +191,23 @@ def test_local_moving_numbers(spark):
     assert got == pytest.approx(cluster.modularity(by_id, e).first()["q"])
 
 
+def test_system_overlay_parts(spark, tmp_path, monkeypatch):
+    """The overlay is the document that json.dumps makes, whatever part of a list the driver holds at a time."""
+    row = lambda s, way, key, node: (s, way, "http", key, key, node, "f", 1, "client", "EXTRACTED")
+    rows = [row(s, "provides", "GET /x", f"{s}1") for s in "ab"] + [row("c", "consumes", "GET /x", f"n{i:02}é\"") for i in range(30)] + [row("c", "consumes", "GET /gone", None), row("b", "provides", "GET /own", None), row("a", "consumes", "GET /own", None)]
+    found = system.match(spark.createDataFrame(rows, "service string, direction string, kind string, key string, display string, node string, file string, line int, source string, confidence string"))
+    monkeypatch.setattr(maps, "PART", 7)
+    monkeypatch.setattr(registry.build, "now", lambda: "then")
+    tables, own = registry.system_overlay(found, str(tmp_path)), tmp_path / registry.SYSTEM.folder / "overlay.json"
+    text = own.read_text(encoding="utf-8")
+    got = json.loads(text)
+    assert text == json.dumps(got, indent=2, ensure_ascii=False) + "\n" and list(got) == ["version", "generated_at", "links", "ambiguous", "dangling", "orphans"]
+    assert got["links"] == [{"from": "a::None", "to": "b::None", "from_service": "a", "to_service": "b", "kind": "http", "key": "GET /own", "confidence": "EXTRACTED", "via": "client->client"}]
+    assert [(x["from"], x["to"]) for x in got["ambiguous"]] == [(f"c::n{i:02}é\"", f"{s}::{s}1") for i in range(30) for s in "ab"]
+    assert got["dangling"] == [{"service": "c", "kind": "http", "key": "GET /gone", "display": "GET /gone"}] and got["orphans"] == []
+    assert {k: d.count() for k, d in tables.items()} == {"links": 1, "ambiguous": 60, "dangling": 1, "orphans": 0}
+
+
 def built(spark, tmp_path, texts):
     for path, text in texts.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
