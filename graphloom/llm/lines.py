@@ -8,7 +8,7 @@ first ``KEYS`` are the blocks that are joined: all of them for lines of up to ab
 and a bottom-k sketch of the grams for longer ones, which finds a pair at similarity 0.8 with probability 0.95 or
 more (README). Lines of five words, whose runs may be shorter, are met by the line with one word left out.
 Pairs are checked by their lengths, by the parities of their words in ``64 * ODD`` bits, of which an edit changes
-two at most, and, from ``SIM_WORDS`` words on, by their SimHashes, which may differ in ``SIM_BITS`` bits; what is left is
+two at most (one that inserts, one), and, from ``SIM_WORDS`` words on, by their SimHashes, which may differ in ``SIM_BITS`` bits; what is left is
 verified by the edit distance. One occurrence stays of each connected group: the first by document id, line and text.
 
 The blocks are blocks of words and not of the SimHash: at similarity 0.8 SimHashes of 64 bits differ in 13 bits on
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, join_counted, lean, linked, materialize, meet, portions, release, slices
 
 PERCENT, BROADCAST = 80, 1_000_000
+CLOSE = 0.65  # of the bits in which linked lines may differ: those that differ in fewer are nearly all linked
 SIM_WORDS, SIM_BITS = 20, 22  # SimHashes count from so many words, and may differ in so many bits
 GRAM, KEYS, ODD, LINE_BITS = 3, 8, 4, 11  # words of a gram, most keys of a line, 64-bit words of the parities
 CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
@@ -370,6 +371,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     carried = ["id", "th", "line", "n", "sim", *PARITIES, *KEYED]  # of any occurrence; all of one width, so nothing is sorted
     classes = occ.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in carried], F.count("*").alias("c"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # fixed once written
+    wide, occ = occ, materialize(occ.select("id", "th", "line", "h1", "h2"), "lines-names")
+    release(wide)
 
     def check(pairs: DataFrame) -> DataFrame:
         near = materialize(pairs.distinct(), "likely")
@@ -389,15 +392,15 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     traits = classes.select(F.col("cid").alias("id"), F.struct("n", "sim", *PARITIES).alias("t"))
 
-    def near(x: Column, y: Column) -> Column:
-        most = F.floor(F.greatest(x["n"], y["n"]) * (100 - PERCENT) / 100)
+    def near(x: Column, y: Column, part: float = 1.0) -> Column:
+        most, longer = F.floor(F.greatest(x["n"], y["n"]) * (100 - PERCENT) / 100), F.abs(x["n"] - y["n"])
         apart = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in PARITIES), F.lit(0))
         alike = (F.least(x["n"], y["n"]) < SIM_WORDS) | (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= SIM_BITS)
-        return (F.abs(x["n"] - y["n"]) <= most) & (apart <= 2 * most) & alike
+        return (longer <= most) & (apart <= (2 * most - longer) * part) & alike  # of the edits so many insert at least, which changes one bit
 
     buckets = _buckets(classes)
     carried = materialize(buckets.join(traits, "id"), "lines-carried")
-    comp = linked(meet(carried, "lines"), traits, near, check, "lines", pivots=2)
+    comp = linked(meet(carried, "lines"), traits, near, check, "lines", close=lambda x, y: near(x, y, CLOSE))
     release(buckets, carried)
     group = classes.select("cid", "h1", "h2", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left").where("comp is not null or c > 1")
     group = materialize(group.select("h1", "h2", "c", F.coalesce("comp", "cid").alias("g")), "kept")

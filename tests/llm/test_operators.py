@@ -387,3 +387,34 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"] for r in docs.collect()} == left
+
+
+def test_blocks_compare_pairs_once(spark, monkeypatch):
+    """Lines that share many large blocks are compared once, close ones first, and the groups are those of all pairs."""
+    from graphloom.llm import common, lines
+
+    rng, seen = random.Random(3), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    tail = [word() for _ in range(60)]
+    own = [[word() for _ in range(rng.randint(4, 24))] + tail for _ in range(70)]
+    own += [x[:-3] + [word() for _ in range(3)] for x in own[:30]]
+    across = common._across
+
+    def counted(rows, how):
+        out = across(rows, how)
+        seen.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(common, "MANY", 20)
+    monkeypatch.setattr(common, "FULL", 0)
+    monkeypatch.setattr(common, "_across", counted)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(own)], "id long, text string").selectExpr("id", "hash(text) th", "text")
+    got = {r["id"]: r["first_id"] for r in lines.duplicate_lines(docs).collect()}
+    want = list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            if lines.similar(own[i], own[j]) and want[i] != want[j]:
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if x == hi else x for x in want]
+    assert got == {i: x for i, x in enumerate(want) if i != x}
+    assert len(seen) == 2 and all(n == once for n, once in seen) and sum(n for n, _ in seen) > 0
