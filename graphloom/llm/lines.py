@@ -7,9 +7,11 @@ at most ``allowed`` words of the longer line are edited, so a line lacks at most
 first ``KEYS`` are the blocks that are joined: all of them for lines of up to about a dozen words (nothing is lost),
 and a bottom-k sketch of the grams for longer ones, which finds a pair at similarity 0.8 with probability 0.95 or
 more (README). Lines of five words, whose runs may be shorter, are met by the line with one word left out.
-Pairs are checked by their lengths, by the parities of their words in ``64 * ODD`` bits, of which an edit changes
-two at most (one that inserts, one), and, from ``SIM_WORDS`` words on, by their SimHashes, which may differ in ``SIM_BITS`` bits; what is left is
-verified by the edit distance. One occurrence stays of each connected group: the first by document id, line and text.
+The lines of a block are compared where they lie, and no pair becomes a row: by their lengths and by the parities of
+their words in ``64 * ODD`` bits, of which an edit changes two at most (one that inserts, one). Lines that have a partner
+left get their words, and links are verified by the edit distance, only those between lines that verified links don't
+join yet; links are the rows that come out, fewer than lines went in. A pair that shares several blocks is compared in the one of smallest key. One
+occurrence stays of each connected group: the first by document id, line and text.
 
 The blocks are blocks of words and not of the SimHash: at similarity 0.8 SimHashes of 64 bits differ in 13 bits on
 average, which no split into selective blocks meets (README has figures).
@@ -28,24 +30,26 @@ are replaced. Lines are separated by a newline and keep their order and own text
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, join_counted, lean, linked, materialize, meet, portions, release, slices
+from . import common
+from .common import NO_ID, components, join_counted, lean, materialize, portions, release, slices
 
 PERCENT, BROADCAST = 80, 1_000_000
 CLOSE = 0.65  # of the bits in which linked lines may differ: those that differ in fewer are nearly all linked
-SIM_WORDS, SIM_BITS = 20, 22  # SimHashes count from so many words, and may differ in so many bits
 GRAM, KEYS, ODD, LINE_BITS = 3, 8, 4, 11  # words of a gram, most keys of a line, 64-bit words of the parities
 CHUNK, PART = 1 << 20, 1 << 21  # keys dealt at once, keys compared at once
+ROWS, TEXTS, PAIRS = 250_000, 20_000, 1 << 16  # of a task: rows of blocks, those with their words; pairs compared at once
 WINDOW, WORDS = 1 << 20, 500_000  # bytes and words in hand at once
 PUNCTUATION = ".,;:!?'\"()-"
 #: Thai to Myanmar, Khmer, New Tai Lue to Tai Tham, kana with marks, Han; not Hangul and others that part words.
@@ -72,18 +76,6 @@ def normalised(line: str) -> list[str]:
     return cut(plain(line)) or line.split()
 
 
-def simhashes(w: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each line from the hashes and lengths of all words: those of four letters and more count."""
-    line = np.repeat(np.arange(len(sizes)), sizes)[long >= 4]
-    bits = np.unpackbits(w[long >= 4].view(np.uint8).reshape(-1, 8), axis=1)
-    out, starts = np.zeros(len(sizes), np.uint64), np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
-    if len(line):
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
-        n = np.diff(np.r_[starts, len(line)])
-        out[line[starts]] = np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64)[:, 0]
-    return out
-
-
 def similar(a: list[str], b: list[str], percent: int = PERCENT) -> bool:
     """Whether the edit distance in words leaves ``percent`` of the longer list. The distance is counted in bit vectors of
     the shorter one (a column of the table at once), after a bound by the words that only one has."""
@@ -159,7 +151,7 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
 #: Bytes as words see them: capitals small, all but letters, digits, ``_`` and what isn't ASCII as blanks.
 FOLD = bytes(c if c >= 128 or c in b"0123456789_abcdefghijklmnopqrstuvwxyz\n" else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 BARE = bytes(c if c > 32 or c == 10 else 32 for c in range(256))
-ODD_TEXT = re.compile(rf"[^\x00-\x7f\w]|[{UNSPACED}]")
+NO_WORD = re.compile(rf"[^\x00-\x7f\w{UNSPACED}]+")
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)  # a number for each byte
 _P = 0x9E3779B97F4A7C15
 _POW, _INV = (np.cumprod(np.full(WINDOW + 1, x, np.uint64)) for x in (_P, pow(_P, -1, 1 << 64)))
@@ -169,9 +161,9 @@ def folded(text: str) -> bytes:
     """A text whose words :data:`FOLD` parts as :func:`normalised` does, line by line."""
     if text.isascii():
         return text.encode()
-    low = text.lower()
-    if ODD_TEXT.search(low):
-        low = "\n".join(" ".join(cut(plain(line))) for line in text.split("\n"))
+    low = NO_WORD.sub(" ", text.lower())
+    if UNSPACED_WORD.search(low):
+        low = UNSPACED_WORD.sub(r" \g<0> ", low)
     return low.encode("utf-8", "surrogatepass")
 
 
@@ -242,41 +234,51 @@ def names(w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one.view(np.int64), (two + sizes.astype(np.uint64)).view(np.int64)
 
 
-KEYED = [f"k{i}" for i in range(KEYS)]
 PARITIES = [f"o{i}" for i in range(ODD)]
+LONGS = ", ".join(f"{c} long" for c in PARITIES)
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """``id, th, line, h1, h2, n, o0, ..., k0, ...`` of every line that isn't blank: its class, words, parities and keys."""
+def _fixed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in (x for pdf in batches for x in portions(pdf, "text", WINDOW)):
-            texts = [t or "" for t in part["text"]]
-            blobs = [folded(t) for t in texts]
-            counts = np.array([b.count(10) + 1 for b in blobs])
-            doc, line = np.repeat(np.arange(len(texts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            w, long, sizes = words_of(b"\n".join(blobs) + b"\n")
-            yield from rows(part, doc, line, w, long, sizes)
-            bare = [(i, k) for i, k in zip(doc[sizes == 0].tolist(), line[sizes == 0].tolist())]
-            lines = {i: texts[i].split("\n") for i in {i for i, _ in bare}}
-            bare = [(i, k) for i, k in bare if lines[i][k].strip()]  # lines without a word: their runs between blanks
-            if bare:
-                blob = "\n".join(" ".join(lines[i][k].split()) for i, k in bare) + "\n"
-                yield from rows(part, *np.array(bare).T, *words_of(blob.encode("utf-8", "surrogatepass"), BARE))
-
-    def rows(part: pd.DataFrame, doc: np.ndarray, line: np.ndarray, w: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
-        ids, th, real = part["id"].to_numpy(), part["th"].to_numpy(), np.flatnonzero(sizes)
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """``id, th, line, h1, h2, n, o0, ..., keys`` of every line that isn't blank: its class, words, parities and keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, ids, th = batch.column("text").to_pylist(), batch.column("id").to_numpy(), batch.column("th").to_numpy()
+            for lo, hi in slices([len(t or "") for t in every], WINDOW):
+                yield from part([t or "" for t in every[lo:hi]], ids[lo:hi], th[lo:hi])
+
+    def part(texts: list[str], ids: np.ndarray, th: np.ndarray) -> Iterator[pa.RecordBatch]:
+        blobs = [folded(t) for t in texts]
+        counts = np.array([b.count(10) + 1 for b in blobs])
+        doc, line = np.repeat(np.arange(len(texts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        w, long, sizes = words_of(b"\n".join(blobs) + b"\n")
+        yield from rows(ids, th, doc, line, w, long, sizes)
+        bare = [(i, k) for i, k in zip(doc[sizes == 0].tolist(), line[sizes == 0].tolist())]
+        lines = {i: texts[i].split("\n") for i in {i for i, _ in bare}}
+        bare = [(i, k) for i, k in bare if lines[i][k].strip()]  # lines without a word: their runs between blanks
+        if bare:
+            blob = "\n".join(" ".join(lines[i][k].split()) for i, k in bare) + "\n"
+            yield from rows(ids, th, *np.array(bare).T, *words_of(blob.encode("utf-8", "surrogatepass"), BARE))
+
+    def rows(ids: np.ndarray, th: np.ndarray, doc: np.ndarray, line: np.ndarray, w: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        real = np.flatnonzero(sizes)
         doc, line, sizes = doc[real], line[real], sizes[real]
         ends = np.cumsum(sizes)
         for lo, hi in slices(sizes.tolist(), WORDS):
             a, b = (ends[lo - 1] if lo else 0), ends[hi - 1]
             own, n = w[a:b], sizes[lo:hi]
-            odd, keys = parities(own, n), keys_of(own, long[a:b], n).view(np.int64)
-            h1, h2 = names(own, n)
-            got = {"id": ids[doc[lo:hi]], "th": th[doc[lo:hi]], "line": line[lo:hi].astype(np.int32), "h1": h1, "h2": h2, "n": n.astype(np.int32), "sim": simhashes(own, long[a:b], n).view(np.int64)}
-            yield pd.DataFrame(got | {c: odd[:, i] for i, c in enumerate(PARITIES)} | {c: keys[:, i] for i, c in enumerate(KEYED)})
+            odd, (h1, h2) = parities(own, n), names(own, n)
+            got = {"id": ids[doc[lo:hi]], "th": th[doc[lo:hi]], "line": line[lo:hi].astype(np.int32), "h1": h1, "h2": h2, "n": n.astype(np.int32)}
+            got |= {c: odd[:, i] for i, c in enumerate(PARITIES)} | {"keys": _fixed(keys_of(own, long[a:b], n))}
+            yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in got.items()})
 
-    return docs.mapInPandas(lean(run), "id long, th int, line int, h1 long, h2 long, n int, sim long, " + ", ".join(f"{c} long" for c in PARITIES + KEYED))
+    return docs.mapInArrow(lean(run), f"id long, th int, line int, h1 long, h2 long, n int, {LONGS}, keys binary")
 
 
 def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
@@ -299,23 +301,28 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return (same[1:] | same[:-1])[: len(keys)]
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """``key, id`` of every key that several classes have, with all that have it.
+def _buckets(occ: DataFrame) -> DataFrame:
+    """``h1, ks``: the keys of a class that other classes have too; classes without such keys aren't listed.
 
     Most keys occur once. They travel as packed arrays, dealt by key into parts of about ``PART``. A
-    chunk of about ``CHUNK`` keys first finds those it holds several times: these rows are known to be
+    chunk of about ``CHUNK`` keys first finds those that several of its classes have: these rows are known to be
     shared and pass by, dealt evenly, and one row stands for them among the chunk's keys. So a key that
-    very many classes have comes to its part at most once a chunk.
+    very many lines have comes to its part at most once a chunk.
     """
-    spark = classes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * KEYS // PART))
+    parts = _parts(occ, -(-PART // KEYS))
 
     def packed(part, known: bool, keys: np.ndarray, ids: np.ndarray):
         return (int(part), known, keys.tobytes(), ids.tobytes())
 
-    def chunk(keys: np.ndarray, ids: np.ndarray, turn: int) -> pd.DataFrame:
+    def once(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In the order of keys; of a key that only copies of a line have one row stays."""
         order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])][: len(keys)]
+        return keys[new], ids[new]
+
+    def chunk(keys: np.ndarray, ids: np.ndarray, turn: int) -> pd.DataFrame:
+        keys, ids = once(keys, ids)
         twice = _repeated(keys)
         known, own = keys[twice], ids[twice]
         rows = [packed((turn + lo // 4096) % parts, True, known[lo : lo + 4096], own[lo : lo + 4096]) for lo in range(0, len(known), 4096)]
@@ -328,21 +335,21 @@ def _buckets(classes: DataFrame) -> DataFrame:
         rows += [packed(p, False, keys[a:b], ids[a:b]) for p, a, b in zip(names, starts, [*starts[1:], len(part)])]
         return pd.DataFrame(rows, columns=["part", "known", "keys", "ids"])
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, turn = [], 0, TaskContext.get().partitionId() * 7919
-        for pdf in chain(batches, [None]):
-            if pdf is not None and len(pdf):
-                keys = pdf[KEYED].to_numpy(np.int64).view(np.uint64).ravel()
-                ids = np.repeat(pdf["cid"].to_numpy(np.int64), KEYS)[keys != 0]
+        for batch in chain(batches, [None]):
+            if batch is not None and len(batch):
+                keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64)
+                ids = np.repeat(batch.column("h1").to_numpy(), KEYS)[keys != 0]
                 held.append((keys[keys != 0], ids))
                 n += len(ids)
-            if n and (pdf is None or n >= CHUNK):
+            if n and (batch is None or n >= CHUNK):
                 keys, ids = (np.concatenate(x) for x in zip(*held))
                 held, n, turn = [], 0, turn + 31
-                yield chunk(keys, ids, turn)
+                yield pa.RecordBatch.from_pandas(chunk(keys, ids, turn), PACKED, preserve_index=False)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = lambda keys, ids: pd.DataFrame({"key": keys.view(np.int64), "id": ids})
+        table = lambda keys, ids: pd.DataFrame({"key": keys.view(np.int64), "h1": ids})
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for pdf in batches:
             for known, k, i in zip(pdf["known"], pdf["keys"], pdf["ids"]):
@@ -354,54 +361,151 @@ def _buckets(classes: DataFrame) -> DataFrame:
         if held:
             keys, ids = (np.concatenate(x) for x in zip(*held))
             del held
-            order = np.argsort(keys)
-            keys, ids = keys[order], ids[order]
+            keys, ids = once(keys, ids)
             twice = _repeated(keys)
             keys, ids = keys[twice], ids[twice]
             for lo in range(0, len(keys), 1 << 16):
                 yield table(keys[lo : lo + (1 << 16)], ids[lo : lo + (1 << 16)])
 
-    dealt = classes.select("cid", *KEYED).mapInPandas(lean(spread), "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
-    return materialize(dealt.mapInPandas(lean(find), "key long, id long").distinct(), "lines-keys")
+    dealt = occ.select("h1", "keys").mapInArrow(lean(spread), "part int, known boolean, keys binary, ids binary").repartition(parts, "part")
+    return dealt.mapInPandas(lean(find), "key long, h1 long").groupBy("h1").agg(F.collect_set("key").alias("ks"))
+
+
+PACKED = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("ids", pa.binary())])
+
+
+def _parts(rows: DataFrame, most: int) -> int:
+    """Number of parts of about ``most`` of the rows, not less than Spark's own."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """All rows of a task by column, in the order of their blocks and lengths; ``at`` numbers the blocks, ``ks`` are filled up with 0."""
+    table = pa.Table.from_batches(held) if (held := [b for b in batches if len(b)]) else None
+    if table is None:
+        return {}
+    got = {c: table.column(c).to_numpy() for c in table.column_names if c != "ks"}
+    lists = table.column("ks").combine_chunks()
+    sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    ks = np.zeros((len(sizes), KEYS), np.int64)
+    ks[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    got |= {"ks": ks, "odd": np.stack([got.pop(c) for c in PARITIES], 1).view(np.uint64)}
+    order = np.lexsort((got["n"], got["q"], got["p"], got["key"]))
+    got = {c: x[order] for c, x in got.items()}
+    new = np.zeros(len(order), bool)
+    for c in ("key", "p", "q"):
+        new[1:] |= got[c][1:] != got[c][:-1]
+    return got | {"at": np.cumsum(new)}
+
+
+def _near(t: dict[str, np.ndarray], part: float, done: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows (places) of a block that may be linked, portion by portion, without those that are ``done`` before
+    their portion; of lines that share several blocks in that of smallest key."""
+    n = t["n"].astype(np.int64)
+    rank = (t["at"].astype(np.int64) << 32) + n
+    last = np.searchsorted(rank, rank - n + n * 100 // PERCENT, "right")  # longer lines aren't linked
+    counts = last - np.arange(len(n)) - 1
+    sums = np.cumsum(counts)
+    lo = 0
+    while lo < len(n):
+        hi = max(int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + PAIRS, "right")), lo + 1)
+        own = counts[lo:hi]
+        a = np.repeat(np.arange(lo, hi), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
+        lo = hi
+        keep = (t["p"][a] == t["q"][a]) | (t["blk"][a] != t["blk"][b])
+        a, b = a[keep], b[keep]
+        most = (2 * (n[b] * (100 - PERCENT) // 100) - n[b] + n[a]) * part
+        keep = sum(np.bitwise_count(t["odd"][a, i] ^ t["odd"][b, i]).astype(np.int64) for i in range(ODD)) <= most
+        a, b = a[keep], b[keep]
+        keep = ~done(a, b)
+        a, b = a[keep], b[keep]
+        x, y = t["ks"][a], t["ks"][b]
+        common_ = (x[:, :, None] == y[:, None, :]).any(2) & (x != 0)
+        keep = np.where(common_, x, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == t["key"][a]
+        yield a[keep], b[keep]
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """``key, cid`` of the rows of blocks that have a partner there to which they may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if t := _columns(batches):
+            met = np.zeros(len(t["n"]), bool)
+            for a, b in _near(t, 1.0, lambda a, b: met[a] & met[b]):
+                met[a] = met[b] = True
+            yield pa.RecordBatch.from_pydict({c: pa.array(t[c][met]) for c in ("key", "cid")})
+
+    return common.dealt(rows, "cid").repartition(_parts(rows, ROWS), "key", "p", "q").mapInArrow(lean(run), "key long, cid long").distinct()
+
+
+def _links(part: float) -> Callable[[DataFrame], DataFrame]:
+    """How :func:`common._across` compares rows (with ``words``): links ``ia, ib`` between their components, enough to join all that any link joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (t := _columns(batches)):
+            return
+        comp = np.unique(t["comp"], return_inverse=True)[1]
+        to, words = np.arange(comp.max() + 1), {}
+
+        def root(x: int) -> int:
+            while to[x] != x:
+                to[x] = x = to[to[x]]
+            return x
+
+        def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            while (to[to] != to).any():
+                to[:] = to[to]
+            return to[comp[a]] == to[comp[b]]
+
+        def of(i: int) -> list[str]:
+            if (cid := t["cid"][i]) not in words:
+                words[cid] = t["words"][i].split()
+            return words[cid]
+
+        links = []
+        for a, b in _near(t, part, joined):
+            for i, j in zip(a.tolist(), b.tolist()):
+                x, y = root(comp[i]), root(comp[j])
+                if x != y and similar(of(i), of(j)):
+                    to[x] = y
+                    links.append((min(t["cid"][i], t["cid"][j]), max(t["cid"][i], t["cid"][j])))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_pydict({"ia": pa.array(pairs[:, 0]), "ib": pa.array(pairs[:, 1])})
+
+    return lambda rows: rows.repartition(_parts(rows, TEXTS), "key", "p", "q").mapInArrow(lean(run), "ia long, ib long")
+
+
+def _linked(classes: DataFrame, occ: DataFrame, docs: DataFrame) -> DataFrame:
+    """Components ``id, comp`` of the classes under the links of those that share a block."""
+    shared = materialize(classes.join(_buckets(occ), "h1").select("cid", "n", *PARITIES, "ks"), "lines-shared")
+    rows = shared.withColumn("key", F.explode("ks"))
+    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > min(common.MANY, common.SALT)), "lines-sizes")
+    sized = lambda d: d.join(F.broadcast(sizes), "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    met = materialize(_met(sized(rows)), "lines-met")
+    need = materialize(classes.select("cid", "id", "th", "line").join(met.select("cid").distinct(), "cid", "left_semi"), "need")
+    traits = materialize(_texts(need, docs).join(shared, "cid"), "lines-words")
+    near = sized(met.join(traits, "cid"))
+    large, first = near.where(F.col("m") > common.MANY), None
+    compare = lambda rows, part: materialize(common._across(rows, _links(part)), "lines-links").toDF("a", "b")
+    if sizes.where(F.col("m") > common.MANY).isEmpty():
+        links = compare(near.withColumn("comp", F.col("cid")), 1.0)
+    else:  # close rows first: they join most of a group of near copies, and all tasks that have a part of it know so
+        first = compare(large.withColumn("comp", F.col("cid")), CLOSE)
+        comp = components(first, "lines").withColumnRenamed("id", "cid")
+        links = compare(near.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), 1.0).union(first)
+    out = components(links, "lines")
+    release(shared, sizes, met, need, traits)
+    return out
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """``id, th, line, first_id, first_line`` of every line to remove; docs: ``id, th, text``."""
     occ = materialize(_occurrences(docs), "lines")
-    carried = ["id", "th", "line", "n", "sim", *PARITIES, *KEYED]  # of any occurrence; all of one width, so nothing is sorted
+    carried = ["id", "th", "line", "n", *PARITIES]  # of any occurrence; all of one width, so nothing is sorted
     classes = occ.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in carried], F.count("*").alias("c"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # fixed once written
-    wide, occ = occ, materialize(occ.select("id", "th", "line", "h1", "h2"), "lines-names")
-    release(wide)
-
-    def check(pairs: DataFrame) -> DataFrame:
-        near = materialize(pairs.distinct(), "likely")
-        ends = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
-        need = materialize(classes.join(ends, "cid", "left_semi").select("cid", "id", "th", "line"), "need")
-        texts = materialize(_texts(need, docs), "words")
-        side = lambda c: texts.select(F.col("cid").alias(c), F.col("words").alias(f"w{c}"))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                good = [similar(x.split(), y.split()) for x, y in zip(pdf["wa"], pdf["wb"])]
-                yield pdf.loc[good, ["a", "b"]]
-
-        out = materialize(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInPandas(lean(run), "a long, b long"), "verified")
-        release(near, need, texts)
-        return out
-
-    traits = classes.select(F.col("cid").alias("id"), F.struct("n", "sim", *PARITIES).alias("t"))
-
-    def near(x: Column, y: Column, part: float = 1.0) -> Column:
-        most, longer = F.floor(F.greatest(x["n"], y["n"]) * (100 - PERCENT) / 100), F.abs(x["n"] - y["n"])
-        apart = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in PARITIES), F.lit(0))
-        alike = (F.least(x["n"], y["n"]) < SIM_WORDS) | (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= SIM_BITS)
-        return (longer <= most) & (apart <= (2 * most - longer) * part) & alike  # of the edits so many insert at least, which changes one bit
-
-    buckets = _buckets(classes)
-    carried = materialize(buckets.join(traits, "id"), "lines-carried")
-    comp = linked(meet(carried, "lines"), traits, near, check, "lines", close=lambda x, y: near(x, y, CLOSE))
-    release(buckets, carried)
+    comp = _linked(classes, occ, docs)
     group = classes.select("cid", "h1", "h2", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left").where("comp is not null or c > 1")
     group = materialize(group.select("h1", "h2", "c", F.coalesce("comp", "cid").alias("g")), "kept")
     places = materialize(join_counted(occ.select("id", "th", "line", "h1", "h2"), group, ["h1", "h2"], "c", occ.count()).select("id", "th", "line", "g"), "places")
@@ -421,11 +525,11 @@ def _without(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     drop = duplicate_lines(own.select("id", "th", text.alias("text"))).groupBy("id", "th").agg(F.collect_set("line").alias("drop"))
     drop = materialize(drop, "drops")
     small = drop.count() <= BROADCAST // 2  # else the smaller side is hashed, so that texts aren't sorted
-    lines = F.split(text, "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop"), lambda i: F.get(lines, i))
-    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(left, "\n"))
-    count = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0)).cast("long")
-    return own.join(F.broadcast(drop) if small else drop.hint("shuffle_hash"), ["id", "th"], "left").select("row", kept.alias("kept"), count(lines).alias("n_lines"), count(F.col("drop")).alias("n_removed"))
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("drop", i))
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(left, "\n"))  # other texts aren't split
+    lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    gone = F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("long")
+    return own.join(F.broadcast(drop) if small else drop.hint("shuffle_hash"), ["id", "th"], "left").select("row", kept.alias("kept"), lines.alias("n_lines"), gone.alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

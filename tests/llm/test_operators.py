@@ -418,3 +418,21 @@ def test_blocks_compare_pairs_once(spark, monkeypatch):
                 want = [lo if x == hi else x for x in want]
     assert got == {i: x for i, x in enumerate(want) if i != x}
     assert len(seen) == 2 and all(n == once for n, once in seen) and sum(n for n, _ in seen) > 0
+
+
+def test_line_blocks_make_no_pairs(spark, monkeypatch):
+    """Lines of a block that may be linked and aren't (the same words in other orders) make no rows for their pairs."""
+    rng, counts = random.Random(5), {}
+    head, tail = ([f"{c}word{i:03d}" for i in range(30)] for c in "ht")
+    own = [rng.sample(head, 30) + tail for _ in range(60)]
+    write = lines.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        counts[tag] = max(counts.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(own)], "doc_id long, text string")
+    assert all(r["n_removed"] == 0 for r in lines.dedup_lines(docs).collect())
+    assert max(counts.values()) <= lines.KEYS * len(own)
