@@ -436,3 +436,28 @@ def test_line_blocks_make_no_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(own)], "doc_id long, text string")
     assert all(r["n_removed"] == 0 for r in lines.dedup_lines(docs).collect())
     assert max(counts.values()) <= lines.KEYS * len(own)
+
+
+def test_components_label_vertices_once(spark, monkeypatch):
+    """A long path takes several rounds, and its vertices aren't labelled anew in each; the components are those of a plain walk."""
+    from graphloom.llm import common
+
+    rng, made, n = random.Random(9), [], 600
+    write = common.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        if tag.endswith("-labels"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialize", counted)
+    ids = rng.sample(range(10_000), n + 40)
+    path, rest = ids[:n], ids[n:]
+    edges = list(zip(path, path[1:])) + [(rest[0], x) for x in rest[1:20]] + [(rest[20], rest[21]), (rest[21], rest[22]), (rest[22], rest[20])] + [(x, x) for x in rest[23:]]
+    rng.shuffle(edges)
+    got = dict(common.components(spark.createDataFrame(edges, "a long, b long"), "t").collect())
+    want = {x: min(own) for own in (path, rest[:20], rest[20:23]) for x in own}
+    assert got == want
+    assert len(made) > 2 and sum(made) <= 3 * len(want)
+    assert common.components(spark.createDataFrame([(1, 1)], "a long, b long"), "t").count() == 0
