@@ -98,6 +98,23 @@ def test_moves_in_blocks(monkeypatch):
             assert list(cluster.move_locally(list(map("{:02}".format, range(n))), [(f"{a:02}", f"{b:02}", w) for (a, b), w in pairs.items()]).values()) == [number.setdefault(c, len(number)) for c in own]
 
 
+def test_runs_have_turns_at_once(monkeypatch):
+    """A run of nodes that aren't joined, with ties and totals that depend on the turns before, ends as turn by turn does."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for k in range(120):
+        n, half = int(rng.integers(4, 80)), k % 2
+        ends = np.sort(rng.integers(0, n, (int(rng.integers(1, 200)), 2)), axis=1)
+        ends = np.unique(ends // 2 + [0, n // 2] if half else ends[ends[:, 0] < ends[:, 1]], axis=0)  # two halves, or any
+        a, b, w = *ends.astype(np.int32).T, rng.integers(1, 2 + k % 3, len(ends)).astype(np.int32)
+        monkeypatch.setattr(cluster, "BLOCK", int(rng.choice([1, 16, 1 << 16])))
+        monkeypatch.setattr(cluster, "RUN", 1 << 40)
+        want = cluster.moved(n, a, b, w)
+        monkeypatch.setattr(cluster, "RUN", int(rng.choice([1, 4])))
+        assert (cluster.moved(n, a, b, w) == want).all()
+
+
 def test_cycles_and_paths(spark):
     e = edges_of(spark, [("p", "q"), ("q", "p"), ("q", "r")], "imports")
     assert [r["members"] for r in analyze.import_cycles(e).collect()] == [["p", "q"]]
