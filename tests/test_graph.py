@@ -225,6 +225,25 @@ def test_system_overlay_parts(spark, tmp_path, monkeypatch):
     assert {k: d.count() for k, d in tables.items()} == {"links": 1, "ambiguous": 60, "dangling": 1, "orphans": 0}
 
 
+def test_ambiguous_links_are_not_stored(spark, tmp_path, monkeypatch):
+    """Ambiguous links are written from consumers and providers in parts; the list is the one that their rows give in order."""
+    import gzip
+    import random
+
+    rng = random.Random(2)
+    keys = ["GET /x", "GET /y", "POST /x", "/x", "stock"]
+    rows = [(rng.choice("abc"), rng.choice(("provides", "consumes")), rng.choice(("http", "queue")), rng.choice(keys), None, rng.choice([None, 'n"1', "n2", "né"]), "f", k % 2, rng.choice(["client", None]), "EXTRACTED") for k in range(160)]
+    found = system.match(spark.createDataFrame([*rows, *rows[:40]], "service string, direction string, kind string, key string, display string, node string, file string, line int, source string, confidence string"))
+    monkeypatch.setattr(maps, "PACKED", 300)
+    monkeypatch.setattr(maps, "MEMBER", 400)
+    rows = registry.system_overlay(found, str(tmp_path), packed=True)["ambiguous"]
+    text = gzip.decompress((tmp_path / registry.SYSTEM.folder / "overlay.json.gz").read_bytes()).decode()
+    got = json.loads(text)
+    assert text == json.dumps(got, indent=2, ensure_ascii=False) + "\n"
+    assert len(got["ambiguous"]) > 600 and got["ambiguous"] == [r.asDict() for r in rows.orderBy(*registry.OVERLAY_ORDER["ambiguous"]).collect()]
+    assert not hasattr(rows, "_walk")
+
+
 def built(spark, tmp_path, texts):
     for path, text in texts.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
